@@ -97,9 +97,9 @@ union all
 select param_id, visit_cohort_id, visit_occurrence_id, ts from (
   select c.*, st.param_id, row_number() over (partition by st.param_id, c.visit_cohort_id order by c.ts, c.visit_occurrence_id) rn_
   from cand c join stable st on st.visit_occurrence_id = c.visit_occurrence_id) where rn_ = 1"""
-        th = " union all ".join(f"select 'before_{t}_days' threshold, {t} days" for t in s.thresholds)
+        th = " union all ".join(f"select 'before_{t}_days' threshold, {t} ndays" for t in s.thresholds)
         ctes["flags"] = f"""select m.param_id, s.care_site_id, s.sub_cohort, s.mult, t.threshold,
-       m.ts <= s.cohort_stay_end + to_days(t.days) has
+       m.ts <= s.cohort_stay_end + to_days(t.ndays) has
 from m join stays s on s.visit_cohort_id = m.visit_cohort_id cross join ({th}) t
 where m.visit_occurrence_id <> m.visit_cohort_id"""
         ctes["nev"] = f"""select param_id, {ALL_SITE} care_site_id, sub_cohort, threshold,
