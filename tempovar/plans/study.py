@@ -7,6 +7,7 @@ between stages (a lost executor recomputes from the last written stage only).
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import cached_property
 
@@ -88,35 +89,58 @@ class Pipeline:
                                   self.analysis_cohort.hospital_count, self.study)
 
 
-def run_study(spark: SparkSession, pipeline: Pipeline, out_dir: str, mode: str = "overwrite") -> dict[str, str]:
+def run_study(spark: SparkSession, pipeline: Pipeline, out_dir: str, mode: str = "overwrite",
+              on_stage: Callable[[str, float], None] | None = None,
+              materialize_inputs: bool = False) -> dict[str, str]:
     """Write every stage to ``out_dir`` and read each back before the next stage uses it.
 
     Stage outputs are the lineage cuts: cohort tables (A3), probes / estimates /
-    site counts (A4), indicators partitioned by outcome and the count summary (A5).
+    site counts (A4), the analysis cohort, then one indicator partition per
+    outcome (``indicators/outcome_name=...``, one dataset for all outcomes) and
+    the count summary (A5). ``on_stage(name, seconds)`` receives stage timings.
+    ``materialize_inputs`` first stores the input tables (for inputs that are
+    views, such as the surrogate warehouse of the tests).
     """
+    import time
+
+    from pyspark.sql import functions as F
+
     from ..sources.sinks import write_table
 
-    written = {}
-    outcomes = {}
-    for name, df in pipeline.outcomes.items():
-        written[f"cohort/{name}"] = write_table(df, f"{out_dir}/cohort/{name}", mode)
-        outcomes[name] = spark.read.parquet(written[f"cohort/{name}"])
+    def stage(name: str, df: DataFrame, path: str, **kw) -> DataFrame:
+        t0 = time.perf_counter()
+        written[name] = write_table(df, path, mode, **kw)
+        if on_stage:
+            on_stage(name, time.perf_counter() - t0)
+        return spark.read.parquet(path)
+
+    written: dict[str, str] = {}
+    if materialize_inputs:
+        def store(prefix: str, tables: Tables) -> Tables:
+            return Tables({t: stage(f"{prefix}/{t}", df, f"{out_dir}/{prefix}/{t}") for t, df in tables.items()})
+        pipeline = Pipeline(store("warehouse/core", pipeline.core), store("warehouse/reference", pipeline.reference),
+                            store("warehouse/claims", pipeline.claims), pipeline.study)
+    outcomes = {name: stage(f"cohort/{name}", df, f"{out_dir}/cohort/{name}")
+                for name, df in pipeline.outcomes.items()}
     pipeline.__dict__["outcomes"] = outcomes
-    for name in ["visit", "icu", "note", "note_per_visit", "condition_per_visit", "condition"]:
-        written[f"probes/{name}"] = write_table(pipeline.probe(name), f"{out_dir}/probes/{name}", mode)
+    probes = {name: stage(f"probes/{name}", pipeline.probe(name), f"{out_dir}/probes/{name}")
+              for name in ["visit", "icu", "note", "note_per_visit", "condition_per_visit", "condition"]}
+    pipeline.probe = probes.__getitem__  # type: ignore[method-assign]
     est = {}
     for name in ["visit", "icu_rectangle", "note", "note_per_visit", "condition", "condition_per_condition"]:
-        written[f"models/{name}"] = write_table(pipeline.estimates(name), f"{out_dir}/models/{name}", mode)
-        est[name] = spark.read.parquet(written[f"models/{name}"])
-    pipeline.estimates = lambda name: est[name]  # type: ignore[method-assign]
-    written["cs_count"] = write_table(pipeline.care_site_counts(), f"{out_dir}/cs_count", mode)
-    indicators, summaries = None, None
+        est[name] = stage(f"models/{name}", pipeline.estimates(name), f"{out_dir}/models/{name}")
+    pipeline.estimates = est.__getitem__  # type: ignore[method-assign]
+    cs_count = stage("cs_count", pipeline.care_site_counts(), f"{out_dir}/cs_count")
+    pipeline.care_site_counts = lambda: cs_count  # type: ignore[method-assign]
+    ac = pipeline.analysis_cohort
+    pipeline.__dict__["analysis_cohort"] = G.AnalysisCohort(
+        stage("analysis/cohort_all", ac.cohort_all, f"{out_dir}/analysis/cohort_all"),
+        ac.cohort_mcd,
+        stage("analysis/hospital_count", ac.hospital_count, f"{out_dir}/analysis/hospital_count"))
+    summaries = None
     for name in OUTCOMES:
-        ind = pipeline.indicator(name).withColumn("outcome_name", __import__("pyspark.sql.functions",
-                                                                           fromlist=["lit"]).lit(name))
-        indicators = ind if indicators is None else indicators.unionByName(ind, allowMissingColumns=True)
+        stage(f"indicators/{name}", pipeline.indicator(name), f"{out_dir}/indicators/outcome_name={name}")
         summ = pipeline.count_summary(name)
         summaries = summ if summaries is None else summaries.unionByName(summ)
-    written["indicators"] = write_table(indicators, f"{out_dir}/indicators", mode, partition_by=["outcome_name"])
-    written["cs_count_summary"] = write_table(summaries, f"{out_dir}/cs_count_summary", mode)
+    stage("cs_count_summary", summaries.withColumn("outcome_name", F.col("outcome_name")), f"{out_dir}/cs_count_summary")
     return written
