@@ -68,6 +68,78 @@ def _summary_query(name: str):
     return lambda spark, sf_dir: _canon(_pipeline(spark, sf_dir).count_summary(name))
 
 
+TRENDS = ["hospit_visit", "emergency_visit", "prescription_note", "icu_visit_rectangle"]
+
+
+def _trend_query(name: str):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        from tempovar.operators.trend import linear_trend
+        t = linear_trend(_pipeline(spark, sf_dir).indicator(name), y="rate")
+        return _canon(t.select(*[c for c in t.columns if c not in ("se_alpha_0", "se_alpha_1", "t_alpha_1")]))
+    return run
+
+
+def _significance_query(name: str):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        from tempovar.operators.trend import as_text, linear_trend, significance
+        return _canon(as_text(significance(linear_trend(_pipeline(spark, sf_dir).indicator(name), y="rate"))))
+    return run
+
+
+def _report_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from tempovar.plans import reports as R
+
+    def est_all(pl: Pipeline) -> dict:
+        return {n: pl.estimates(n) for n in ["visit", "note", "note_per_visit", "condition", "icu_rectangle"]}
+
+    def preds(pl: Pipeline) -> dict:
+        return {n: pl.probe(n) for n in ["visit", "note", "note_per_visit", "condition_per_visit"]}
+
+    def wrap(fn):
+        return lambda spark, sf_dir: _canon(fn(_pipeline(spark, sf_dir)))
+
+    return {
+        "warehouse_counts": wrap(lambda pl: R.warehouse_counts(pl.core)),
+        "care_site_counts": wrap(lambda pl: pl.care_site_counts()),
+        "model_summary": wrap(lambda pl: R.model_summary(est_all(pl))),
+        "cohort_summary": wrap(lambda pl: R.cohort_summary(pl.outcomes)),
+        "ehr_context": wrap(lambda pl: R.ehr_context(pl.probe("visit"), pl.probe("note"), pl.probe("condition"),
+                                                     pl.study.probe_start)),
+        "analysis_summary_hospit_visit": wrap(lambda pl: R.analysis_summary(
+            pl.indicator("hospit_visit"), pl.count_summary("hospit_visit"), "hospit_visit")),
+        "site_sensitivity_hospit_visit": wrap(lambda pl: R.site_sensitivity(pl.indicator("hospit_visit"))),
+        "site_sensitivity_prescription_note": wrap(lambda pl: R.site_sensitivity(pl.indicator("prescription_note"))),
+        "goodness_of_fit": wrap(lambda pl: R.goodness_of_fit(preds(pl), est_all(pl))),
+        "fit_by_lag": wrap(lambda pl: R.fit_by_lag(R.goodness_of_fit(preds(pl), est_all(pl)))),
+        "volume_per_site_hospit_visit": wrap(lambda pl: R.volume_per_site(pl.indicator("hospit_visit"))),
+        "volume_per_site_flu_condition": wrap(lambda pl: R.volume_per_site(pl.indicator("flu_condition"), None)),
+        "figure_dataset_consultation_note": wrap(lambda pl: R.figure_dataset(pl.indicator("consultation_note"))),
+        "left_edge_aligned_flu_condition": wrap(lambda pl: R.left_edge_aligned(pl.indicator("flu_condition"))),
+    }
+
+
+def _report_oracles() -> dict[str, str]:
+    from oracle import reports as OR
+    from oracle import sql as OS
+    return {
+        "warehouse_counts": OR.warehouse_counts(),
+        "care_site_counts": OS.with_ctes(dict(OS.VIEWS), """select care_site_type_source_value care_site_level,
+       count(distinct care_site_id) total_care_site from care_site group by 1"""),
+        "model_summary": OR.model_summary(),
+        "cohort_summary": OR.cohort_summary(),
+        "ehr_context": OR.ehr_context(C.DEFAULT_STUDY.probe_start),
+        "analysis_summary_hospit_visit": OR.analysis_summary("hospit_visit"),
+        "site_sensitivity_hospit_visit": OR.site_sensitivity("hospit_visit"),
+        "site_sensitivity_prescription_note": OR.site_sensitivity("prescription_note"),
+        "goodness_of_fit": OR.goodness_of_fit(False),
+        "fit_by_lag": OR.goodness_of_fit(True),
+        "volume_per_site_hospit_visit": OR.volume_per_site("hospit_visit"),
+        "volume_per_site_flu_condition": OR.volume_per_site("flu_condition"),
+        "figure_dataset_consultation_note": OR.figure_dataset("consultation_note"),
+        "left_edge_aligned_flu_condition": OR.left_edge_aligned("flu_condition"),
+    }
+
+
 def _analysis_cohort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _canon(_pipeline(spark, sf_dir).analysis_cohort.cohort_all)
 
@@ -89,6 +161,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     for name in C.OUTCOMES:
         q[f"indicator_{name}"] = _indicator_query(name)
         q[f"cs_count_summary_{name}"] = _summary_query(name)
+    for name in TRENDS:
+        q[f"trend_{name}"] = _trend_query(name)
+    q["trend_significance_hospit_visit"] = _significance_query("hospit_visit")  # p-values: rows-only check
+    q.update(_report_queries())
     return q
 
 
@@ -118,4 +194,7 @@ def oracle_sql() -> dict[str, str]:
     for name in C.OUTCOMES:
         out[f"indicator_{name}"] = OG.indicator(name)
         out[f"cs_count_summary_{name}"] = OG.cs_count_summary(name)
+    for name in TRENDS:
+        out[f"trend_{name}"] = OG.trend(name)
+    out.update(_report_oracles())
     return out

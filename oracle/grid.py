@@ -82,6 +82,11 @@ from res r join cells p on p.param_id = r.param_id where r.sub_cohort >= cast(p.
 
 
 def indicator(name: str, s: C.Study = C.DEFAULT_STUDY) -> str:
+    ctes, final = indicator_parts(name, s)
+    return with_ctes(ctes, final)
+
+
+def indicator_parts(name: str, s: C.Study = C.DEFAULT_STUDY) -> tuple[dict[str, str], str]:
     ctes, o, _ = outcome_ctes(name, s)
     events = name.replace("_rectangle", "")
     ctes["stays"] = """select visit_cohort_id, person_id, cohort_stay_end, care_site_id, sub_cohort, count(*) mult
@@ -135,7 +140,40 @@ from hits group by grouping sets ((param_id, care_site_id, wk), (param_id, wk))"
   select *, cast(year(sub_cohort) + case when month(sub_cohort) > 8 then 1 else 0 end as integer) school_years
   from weekly)"""
         cols = "r.care_site_id, r.sub_cohort, r.n_events, r.school_years, r.max_events"
-    return with_ctes(ctes, _attach_cells(cols))
+    return ctes, _attach_cells(cols)
+
+
+TREND_IDX = ["care_site_id", "threshold", "param_id", "start_observation_date", "max_error", "min_c_0",
+             "max_error_label", "min_c_0_label", "analysis"]
+
+
+def trend_ctes(ctes: dict[str, str], src: str, idx: list[str], y: str = "rate", prefix: str = "t") -> str:
+    """Add the D15 CTEs over ``src`` and return the name of the per-partition result CTE."""
+    cols = ", ".join(idx)
+    on = " and ".join(f"g.{c} is not distinct from i.{c}" for c in idx)
+    ctes[f"{prefix}_part"] = f"select distinct {cols} from {src}"
+    ctes[f"{prefix}_grid"] = f"""select p.*, cast(unnest(generate_series(cast(p.start_observation_date as timestamp),
+       cast((select max(sub_cohort) from {src}) as timestamp), interval 1 month)) as date) sub_cohort from {prefix}_part p"""
+    ctes[f"{prefix}_filled"] = f"""select {', '.join('g.' + c for c in idx)}, g.sub_cohort, coalesce(i.{y}, 0.0) y
+from {prefix}_grid g left join {src} i on {on} and i.sub_cohort = g.sub_cohort"""
+    ctes[f"{prefix}_xs"] = f"""select *, cast(row_number() over (partition by {cols} order by sub_cohort) - 1 as double) x
+from {prefix}_filled"""
+    ctes[f"{prefix}_res"] = f"""select {cols}, count(*) n,
+       case when regr_sxx(y, x) > 0 then regr_intercept(y, x) end alpha_0,
+       case when regr_sxx(y, x) > 0 then regr_slope(y, x) end alpha_1,
+       avg(y) mean_value
+from {prefix}_xs group by all"""
+    return f"{prefix}_res"
+
+
+def trend(name: str, s: C.Study = C.DEFAULT_STUDY) -> str:
+    """D15 on ``rate``: zero-filled months from each start date to the last month, x = month index."""
+    ctes, final = indicator_parts(name, s)
+    ctes["ind"] = final
+    idx = [c for c in TREND_IDX if c != "threshold" or C.OUTCOMES[name].key_function == "duration_after"]
+    res = trend_ctes(ctes, "ind", idx)
+    return with_ctes(ctes, f"""select * replace (round(alpha_0, 9) as alpha_0, round(alpha_1, 9) as alpha_1,
+       round(mean_value, 9) as mean_value) from {res}""")
 
 
 def cs_count_summary(name: str, s: C.Study = C.DEFAULT_STUDY) -> str:
