@@ -26,7 +26,7 @@ from tempovar.sources.surrogate import warehouse  # noqa: E402
 def one_run(spark, sf_dir: str) -> dict[str, float]:
     times: dict[str, float] = {}
     out = tempfile.mkdtemp(prefix="tempovar-bench-")
-    core, reference, claims = warehouse(spark, sf_dir)
+    core, reference, claims = warehouse(spark, sf_dir, persist=False)
     run_study(spark, Pipeline(core, reference, claims), out, on_stage=lambda n, s: times.__setitem__(n, s),
               materialize_inputs=True)
     return times

@@ -86,7 +86,8 @@ def indicator(name: str, s: C.Study = C.DEFAULT_STUDY) -> str:
     return with_ctes(ctes, final)
 
 
-def indicator_parts(name: str, s: C.Study = C.DEFAULT_STUDY) -> tuple[dict[str, str], str]:
+def indicator_parts(name: str, s: C.Study = C.DEFAULT_STUDY, rounded: bool = True) -> tuple[dict[str, str], str]:
+    """CTEs and final select of the indicator; ``rounded=False`` keeps exact doubles for further computation."""
     ctes, o, _ = outcome_ctes(name, s)
     events = name.replace("_rectangle", "")
     ctes["stays"] = """select visit_cohort_id, person_id, cohort_stay_end, care_site_id, sub_cohort, count(*) mult
@@ -115,7 +116,8 @@ from stays group by grouping sets ((care_site_id, sub_cohort), (sub_cohort))"""
         ctes["res"] = """select n.param_id, n.care_site_id, n.sub_cohort, n.threshold, n.n_events, t.n_total,
        n.n_events / t.n_total rate
 from nev n join ntot t on t.care_site_id = n.care_site_id and t.sub_cohort = n.sub_cohort"""
-        cols = "r.care_site_id, r.sub_cohort, r.threshold, r.n_events, r.n_total, round(r.rate, 9) rate"
+        cols = "r.care_site_id, r.sub_cohort, r.threshold, r.n_events, r.n_total, " + (
+            "round(r.rate, 9) rate" if rounded else "r.rate")
     elif o.key_function == "during_stay":
         ctes["flag"] = f"""select -1 param_id, s.*, s.visit_cohort_id in (select visit_occurrence_id from {events}) hit from stays s
 union all
@@ -125,7 +127,8 @@ left join stable st on st.visit_occurrence_id = s.visit_cohort_id and st.param_i
        cast(sum(case when hit then mult else 0 end) as integer) n_events, count(*) n_total,
        cast(sum(case when hit then mult else 0 end) as integer) / count(*) rate
 from flag group by grouping sets ((param_id, care_site_id, sub_cohort), (param_id, sub_cohort))"""
-        cols = "r.care_site_id, r.sub_cohort, r.n_events, r.n_total, round(r.rate, 9) rate"
+        cols = "r.care_site_id, r.sub_cohort, r.n_events, r.n_total, " + (
+            "round(r.rate, 9) rate" if rounded else "r.rate")
     else:
         ctes["hits"] = f"""select -1 param_id, c.visit_cohort_id, c.care_site_id, cast(date_trunc('week', c.cohort_stay_start) as date) wk
 from cohort_all c where c.visit_cohort_id in (select visit_occurrence_id from {events})
@@ -168,7 +171,7 @@ from {prefix}_xs group by all"""
 
 def trend(name: str, s: C.Study = C.DEFAULT_STUDY) -> str:
     """D15 on ``rate``: zero-filled months from each start date to the last month, x = month index."""
-    ctes, final = indicator_parts(name, s)
+    ctes, final = indicator_parts(name, s, rounded=False)
     ctes["ind"] = final
     idx = [c for c in TREND_IDX if c != "threshold" or C.OUTCOMES[name].key_function == "duration_after"]
     res = trend_ctes(ctes, "ind", idx)

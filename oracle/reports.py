@@ -100,7 +100,7 @@ where {where(f)} and date >= DATE '{start_date}' group by date""" for label, src
 
 
 def analysis_summary(name: str) -> str:
-    ctes, final = indicator_parts(name)
+    ctes, final = indicator_parts(name, rounded=False)
     ctes["ind"] = final
     ctes["cell"] = f"""select * from ind where care_site_id = 'All' and max_error_label = 'No filter'
   and min_c_0_label = 'No filter' {"and threshold = 'before_30_days'" if C.OUTCOMES[name].key_function == 'duration_after' else ''}"""
@@ -120,7 +120,7 @@ from {res} t join share s on s.param_id = t.param_id and s.start_observation_dat
 
 
 def site_sensitivity(name: str) -> str:
-    ctes, final = indicator_parts(name)
+    ctes, final = indicator_parts(name, rounded=False)
     is_d5 = C.OUTCOMES[name].key_function == "duration_after"
     ctes["ind"] = f"select * from ({final}) {'where threshold = ' + q('before_30_days') if is_d5 else ''}"
     idx = [c for c in TREND_IDX if c != "threshold" or is_d5]

@@ -1,10 +1,10 @@
 """Linear trend per partition (D15, C21, E5, I7, H17) with built-in regression aggregates.
 
-Each partition (site, threshold, parameter cell, analysis) gets the months
-from its start date to the last month of the whole table, zero-filled (T16,
-T17); ``x`` is the row index of the month (``row_number() - 1``). Slope and
-intercept are ``regr_slope`` / ``regr_intercept``; the slope's standard error
-and t statistic come from ``regr_sxx / regr_syy / regr_sxy``. Only the p-value
+Each partition (site, threshold, parameter cell, analysis) counts the months
+from its start date to the last month of the whole table, missing ones as 0
+(T16, T17); ``x`` is the month index. The zero-filled least squares is done in
+closed form from three sums over the observed rows (``fill_months`` keeps the
+explicit grid for datasets that want the filled series). Only the p-value
 and the 95 % intervals need the Student-t distribution: an Arrow-batched
 pandas UDF on the aggregated rows (one row per partition).
 """
@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.dates import month_diff
 from ..functions.stats import p_values, quantiles
 
 TREND_INDEX = ["MCD", "care_site_id", "threshold", "param_id", "start_observation_date", "max_error", "min_c_0",
@@ -44,32 +45,40 @@ def fill_months(df: DataFrame, y: str, x: str = "sub_cohort", index: Sequence[st
 
 
 def linear_trend(df: DataFrame, y: str = "rate", x: str = "sub_cohort", index: Sequence[str] | None = None,
-                 fill: bool = True) -> DataFrame:
-    """Per partition ``n, alpha_0, alpha_1, se_alpha_1, t_alpha_1, mean_value`` (NULL when n < 3 or no spread, T15)."""
+                 start_col: str = "start_observation_date") -> DataFrame:
+    """Per partition ``n, alpha_0, alpha_1, se_alpha_0, se_alpha_1, t_alpha_1, mean_value``.
+
+    Same result as filling every month from the partition's start to the last
+    month of the table with 0 and regressing on the month index (C21, T16, T17),
+    but in closed form: a missing month adds nothing to the sums of ``y``,
+    ``x*y`` and ``y^2``, and ``x = 0..n-1`` has known sums, so one aggregate over
+    the observed rows suffices (no month grid, no join). NULL when there is no
+    spread or fewer than 3 points (T15).
+    """
     index = list(index or trend_index(df))
-    data = fill_months(df, y, x, index) if fill else df.select(*index, x, F.col(y).cast("double").alias(y))
-    w = Window.partitionBy(*index).orderBy(x)
-    data = data.withColumn("_x", (F.row_number().over(w) - 1).cast("double"))
-    agg = data.groupBy(*index).agg(
-        F.count("*").alias("n"),
-        F.regr_slope(y, "_x").alias("alpha_1"),
-        F.regr_intercept(y, "_x").alias("alpha_0"),
-        F.regr_sxx(y, "_x").alias("_sxx"),
-        F.regr_syy(y, "_x").alias("_syy"),
-        F.regr_sxy(y, "_x").alias("_sxy"),
-        F.avg(y).alias("mean_value"))
-    ok = (F.col("n") >= 3) & (F.col("_sxx") > 0)
-    resid = F.greatest(F.col("_syy") - F.col("_sxy") * F.col("_sxy") / F.col("_sxx"), F.lit(0.0))
-    se = F.sqrt(resid / (F.col("n") - 2) / F.col("_sxx"))
-    out = (agg.withColumn("se_alpha_1", F.when(ok, se))
-           .withColumn("t_alpha_1", F.when(ok & (F.col("se_alpha_1") > 0), F.col("alpha_1") / F.col("se_alpha_1")))
-           .withColumn("alpha_1", F.when(F.col("_sxx") > 0, F.col("alpha_1")))
-           .withColumn("alpha_0", F.when(F.col("_sxx") > 0, F.col("alpha_0"))))
-    # se of the intercept: x = 0..n-1, so mean(x) = (n - 1) / 2
-    mean_x = (F.col("n") - 1) / 2.0
-    out = out.withColumn("se_alpha_0", F.when(ok, F.sqrt(resid / (F.col("n") - 2)
-                                                         * (1.0 / F.col("n") + mean_x * mean_x / F.col("_sxx")))))
-    return out.drop("_sxx", "_syy", "_sxy")
+    last = df.agg(F.max(x)).scalar()
+    start = F.col(start_col).cast("date")
+    xi = month_diff(F.col(x), start).cast("double")
+    yv = F.coalesce(F.col(y).cast("double"), F.lit(0.0))
+    agg = (df.groupBy(*index)
+           .agg(F.sum(yv).alias("_sy"), F.sum(xi * yv).alias("_sxy_raw"), F.sum(yv * yv).alias("_syy_raw"))
+           .withColumn("n", (month_diff(last, start) + 1).cast("long")))
+    n = F.col("n").cast("double")
+    sum_x = n * (n - 1) / 2.0
+    sxx = n * (n * n - 1) / 12.0
+    sxy = F.col("_sxy_raw") - sum_x * F.col("_sy") / n
+    syy = F.col("_syy_raw") - F.col("_sy") * F.col("_sy") / n
+    spread = sxx > 0
+    slope = F.when(spread, sxy / sxx)
+    out = (agg.withColumn("alpha_1", slope)
+           .withColumn("alpha_0", F.when(spread, F.col("_sy") / n - slope * (n - 1) / 2.0))
+           .withColumn("mean_value", F.col("_sy") / n))
+    ok = (F.col("n") >= 3) & spread
+    resid = F.greatest(syy - sxy * sxy / sxx, F.lit(0.0))
+    out = (out.withColumn("se_alpha_1", F.when(ok, F.sqrt(resid / (n - 2) / sxx)))
+              .withColumn("se_alpha_0", F.when(ok, F.sqrt(resid / (n - 2) * (1.0 / n + ((n - 1) / 2.0) ** 2 / sxx))))
+              .withColumn("t_alpha_1", F.when(ok & (F.col("se_alpha_1") > 0), F.col("alpha_1") / F.col("se_alpha_1"))))
+    return out.drop("_sy", "_sxy_raw", "_syy_raw")
 
 
 @F.pandas_udf(T.DoubleType())

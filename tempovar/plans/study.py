@@ -56,6 +56,14 @@ class Pipeline:
 
     # --- models (I5, I6) keyed as the analysis names them ---
     def estimates(self, name: str) -> DataFrame:
+        """Estimates are one row per site and label set: memoised and persisted, since the
+        analysis reads them several times (stability, thresholds, cells, counts)."""
+        cache = self.__dict__.setdefault("_estimates", {})
+        if name not in cache:
+            cache[name] = self._fit(name).persist()
+        return cache[name]
+
+    def _fit(self, name: str) -> DataFrame:
         if name == "visit":
             return M.fit_step(self.probe("visit"))
         if name == "icu_rectangle":
@@ -75,7 +83,9 @@ class Pipeline:
 
     @cached_property
     def analysis_cohort(self) -> G.AnalysisCohort:
-        return G.analysis_cohort(self.outcomes["cohort_visit"], self.estimates("visit"), self.study)
+        ac = G.analysis_cohort(self.outcomes["cohort_visit"], self.estimates("visit"), self.study)
+        # every indicator reads the analysis cohort: persist it once (MEMORY_AND_DISK), as the study caches its cohort
+        return G.AnalysisCohort(ac.cohort_all.persist(), ac.cohort_mcd, ac.hospital_count)
 
     def indicator(self, outcome_name: str) -> DataFrame:
         o = OUTCOMES[outcome_name]

@@ -185,10 +185,18 @@ def claims_condition_occurrence(ln: DataFrame, orders: DataFrame) -> DataFrame:
                        "condition_status_source_value", "condition_source_value", "condition_start_datetime")
 
 
-def warehouse(spark: SparkSession, sf_dir: str) -> tuple[Tables, Tables, Tables]:
-    """Build (core, reference, claims) table sets over one test-data folder."""
+def warehouse(spark: SparkSession, sf_dir: str, persist: bool = True) -> tuple[Tables, Tables, Tables]:
+    """Build (core, reference, claims) table sets over one test-data folder.
+
+    A real warehouse stores these tables; here they are views, so by default each
+    is persisted (MEMORY_AND_DISK) once, and every later reference reads the
+    stored rows instead of re-deriving the view (a lost block is recomputed from
+    its lineage).
+    """
     raw = read_raw(spark, sf_dir)
     ln = lines(raw["lineitem"])
+    if persist:
+        ln = ln.persist()
     orders = raw["orders"]
     core = Tables({
         "care_site": care_site(raw["nation"], raw["supplier"]),
@@ -205,4 +213,6 @@ def warehouse(spark: SparkSession, sf_dir: str) -> tuple[Tables, Tables, Tables]
         "visit_occurrence": claims_visit_occurrence(orders),
         "condition_occurrence": claims_condition_occurrence(ln, orders),
     })
+    if persist:
+        core, reference, claims = (Tables({k: v.persist() for k, v in t.items()}) for t in (core, reference, claims))
     return core, reference, claims
