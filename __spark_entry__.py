@@ -86,7 +86,13 @@ def _significance_query(name: str):
     return run
 
 
+EXAMPLE_HOSPITALS = [1000, 1003]
+EXAMPLE_FILTERS = {"care_site_level": C.LEVEL_HOSPITAL, "stay_type": "hospitalisés", "specialties_set": "All"}
+
+
 def _report_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from tempovar.operators import extract as X
+    from tempovar.operators.trend import as_text, linear_trend, long_form, significance
     from tempovar.plans import reports as R
 
     def est_all(pl: Pipeline) -> dict:
@@ -115,6 +121,17 @@ def _report_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "volume_per_site_flu_condition": wrap(lambda pl: R.volume_per_site(pl.indicator("flu_condition"), None)),
         "figure_dataset_consultation_note": wrap(lambda pl: R.figure_dataset(pl.indicator("consultation_note"))),
         "left_edge_aligned_flu_condition": wrap(lambda pl: R.left_edge_aligned(pl.indicator("flu_condition"))),
+        "ghm": wrap(lambda pl: pl.prepared.ghm),
+        "note_care_site": wrap(lambda pl: pl.prepared.note_care_site),
+        "arem_condition": wrap(lambda pl: X.prepare_condition_occurrence(
+            pl.core, pl.claims, pl.prepared.visit_occurrence, C.SOURCE_CLAIMS)),
+        "fitted_examples_hospital": wrap(lambda pl: R.fitted_examples(
+            pl.probe("visit"), pl.estimates("visit"), EXAMPLE_HOSPITALS, EXAMPLE_FILTERS)),
+        "fitted_trend_line_hospit_visit": wrap(lambda pl: R.fitted_trend_line(pl.indicator("hospit_visit"))),
+        "seasonal_peak_trend_flu_condition": wrap(lambda pl: R.fitted_trend_line(
+            pl.indicator("flu_condition"), None, "max_events")),
+        "trend_long_form_hospit_visit": wrap(lambda pl: long_form(as_text(significance(
+            linear_trend(pl.indicator("hospit_visit")))))),  # formatted text: rows-only check
     }
 
 
@@ -137,6 +154,12 @@ def _report_oracles() -> dict[str, str]:
         "volume_per_site_flu_condition": OR.volume_per_site("flu_condition"),
         "figure_dataset_consultation_note": OR.figure_dataset("consultation_note"),
         "left_edge_aligned_flu_condition": OR.left_edge_aligned("flu_condition"),
+        "ghm": OS.with_ctes(OS.base_ctes(), "select * from ghm"),
+        "note_care_site": OS.with_ctes(OS.base_ctes(), "select * from ncs"),
+        "arem_condition": OR.arem_condition(),
+        "fitted_examples_hospital": OR.fitted_examples(EXAMPLE_HOSPITALS, EXAMPLE_FILTERS),
+        "fitted_trend_line_hospit_visit": OR.fitted_trend_line("hospit_visit", "rate"),
+        "seasonal_peak_trend_flu_condition": OR.fitted_trend_line("flu_condition", "max_events"),
     }
 
 

@@ -197,3 +197,38 @@ from ind group by all"""
     return with_ctes(ctes, """select i.* replace (case when i.sub_cohort <= e.edge then make_date(cast(y.y as integer), 1, 1)
        else i.sub_cohort end as sub_cohort)
 from ind i join edge e using (start_observation_date) join yrs y using (start_observation_date)""")
+
+
+def arem_condition() -> str:
+    ctes = OS.base_ctes()
+    return with_ctes(ctes, f"""select v.visit_occurrence_id, cast(null as bigint) visit_detail_id,
+       c.condition_status_source_value diag_type, c.condition_source_value, c.condition_start_datetime
+from arem_visit_occurrence a join arem_condition_occurrence c on c.visit_occurrence_id = a.visit_occurrence_id
+join vo v on v.visit_occurrence_source_value = a.visit_occurrence_source_value
+where c.cdm_source = 'AREM' and {OS.rx('c.condition_status_source_value', C.DIAG_REGEX, True)}""")
+
+
+def fitted_examples(site_ids: list[int], filters: dict) -> str:
+    ctes = OS.base_ctes()
+    ctes["pred"] = OS.visit_probe()
+    ctes["est"] = OS.step_fit("select * from pred", OS.PROBE_INDEX["visit"])
+    on = " and ".join(f"p.{c} is not distinct from e.{c}" for c in OS.PROBE_INDEX["visit"])
+    w = " and ".join(f"p.{k} = {q(v)}" for k, v in filters.items())
+    ids = ", ".join(str(i) for i in site_ids)
+    return with_ctes(ctes, f"""select p.date, 'Hospital ' || cast(dense_rank() over (order by p.care_site_id) as varchar)
+       care_site_short_name, round(p.c, 9) c,
+       round(case when p.date >= e.t_0 then e.c_0 else 0.0 end, 9) c_hat
+from pred p join est e on {on} where {w} and p.care_site_id in ({ids})""")
+
+
+def fitted_trend_line(name: str, y: str) -> str:
+    ctes, final = indicator_parts(name, rounded=False)
+    is_d5 = C.OUTCOMES[name].key_function == "duration_after"
+    ctes["cell"] = f"""select * from ({final}) where care_site_id = 'All' and {y} is not null
+  {"and threshold = 'before_30_days'" if is_d5 else ''}"""
+    ctes["xy"] = "select *, cast(date_diff('day', DATE '1970-01-01', sub_cohort) as double) x_ from cell"
+    ctes["coef"] = f"select param_id, analysis, regr_slope({y}, x_) b_, regr_intercept({y}, x_) a_ from xy group by all"
+    doubles = ["max_error", "min_c_0", f"{y}_fitted"] + (["rate"] if y == "rate" else [])
+    rep = ", ".join(f"round({c}, 9) as {c}" for c in doubles)
+    return with_ctes(ctes, f"""select * replace ({rep}) from (
+  select x.* exclude (x_), c.a_ + c.b_ * x.x_ {y}_fitted from xy x join coef c using (param_id, analysis))""")

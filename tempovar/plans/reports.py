@@ -222,15 +222,16 @@ def fit_by_lag(gof: DataFrame) -> DataFrame:
                  F.stddev_samp("normalized_c").alias("normalized_c_std"), F.max("model").alias("model")))
 
 
-def fitted_trend_line(indicator: DataFrame, threshold: str | None = "before_30_days") -> DataFrame:
-    """Regression of the "All" rate on the month (day number) per cell and analysis, predicted at each month."""
-    cell = indicator.where(F.col("care_site_id") == "All")
+def fitted_trend_line(indicator: DataFrame, threshold: str | None = "before_30_days", y: str = "rate") -> DataFrame:
+    """Regression of the "All" value (rate, or seasonal peak ``max_events``) on the date (day number)
+    per cell and analysis, predicted at each row; rows without a value are left out, as a chart drops them."""
+    cell = indicator.where((F.col("care_site_id") == "All") & F.col(y).isNotNull())
     if threshold and "threshold" in cell.columns:
         cell = cell.where(F.col("threshold") == threshold)
     keys = ["param_id", "analysis"]
     x = _epoch_days("sub_cohort").cast("double")
-    coef = cell.groupBy(*keys).agg(F.regr_slope("rate", x).alias("_b"), F.regr_intercept("rate", x).alias("_a"))
-    return (cell.join(coef, keys).withColumn("rate_fitted", F.col("_a") + F.col("_b") * x).drop("_a", "_b"))
+    coef = cell.groupBy(*keys).agg(F.regr_slope(y, x).alias("_b"), F.regr_intercept(y, x).alias("_a"))
+    return (cell.join(coef, keys).withColumn(f"{y}_fitted", F.col("_a") + F.col("_b") * x).drop("_a", "_b"))
 
 
 def volume_per_site(indicator: DataFrame, threshold: str | None = "before_30_days") -> DataFrame:
@@ -275,3 +276,30 @@ def fitted_examples(predictor: DataFrame, estimates: DataFrame, site_ids: Sequen
     rank = F.dense_rank().over(Window.orderBy("care_site_id"))  # a handful of example sites
     return (fitted.withColumn("care_site_short_name", F.concat(F.lit("Hospital "), rank.cast("string")))
             .select("date", "care_site_short_name", "c", "c_hat"))
+
+
+def write_reports(spark, pipeline, out_dir: str, mode: str = "overwrite") -> dict[str, str]:
+    """Figure and summary datasets as CSV with a header, the warehouse record as JSON."""
+    from ..sources.sinks import write_csv, write_json
+
+    est = {n: pipeline.estimates(n) for n in ["visit", "note", "note_per_visit", "condition", "icu_rectangle"]}
+    preds = {n: pipeline.probe(n) for n in ["visit", "note", "note_per_visit", "condition_per_visit"]}
+    out = {"warehouse_counts": write_json(warehouse_counts(pipeline.core), f"{out_dir}/warehouse_counts", mode)}
+    datasets = {
+        "model_summary": model_summary(est),
+        "cohort_summary": cohort_summary(pipeline.outcomes),
+        "ehr_context": ehr_context(pipeline.probe("visit"), pipeline.probe("note"), pipeline.probe("condition"),
+                                   pipeline.study.probe_start),
+        "goodness_of_fit": fit_by_lag(goodness_of_fit(preds, est)),
+    }
+    for name in C.OUTCOMES:
+        ind = pipeline.indicator(name)
+        datasets[f"figure_{name}"] = figure_dataset(ind)
+        if "rate" in ind.columns:
+            datasets[f"sensitivity_{name}"] = site_sensitivity(ind)
+            datasets[f"volume_{name}"] = volume_per_site(ind)
+        else:
+            datasets[f"aligned_{name}"] = left_edge_aligned(figure_dataset(ind).withColumn("care_site_id", F.lit("All")))
+    for name, df in datasets.items():
+        out[name] = write_csv(df.coalesce(1), f"{out_dir}/{name}", mode)  # small report tables: one file each
+    return out

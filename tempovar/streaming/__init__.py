@@ -1,0 +1,6 @@
+"""Intentionally empty.
+
+The study is batch only: no watermark, stateful or late-data logic exists in
+what it computes (weekly buckets are plain batch aggregates), so no Structured
+Streaming operator is provided.
+"""
