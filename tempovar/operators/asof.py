@@ -1,21 +1,23 @@
-"""Forward as-of join by key with a tolerance (C13), written as a bucketed range join.
-
-For each left row (a stay ending at ``left_ts``), the candidates are the right
-rows (events) of the same key with ``left_ts <= right_ts <= left_ts + tolerance``.
-The equi-join key is ``(key, time bucket)`` where a bucket is ``tolerance`` days
-wide; the left side is exploded to its bucket and the next one, which covers the
-whole band. A key with very many events is thus split across buckets, so no
-join task holds one key's whole history. The nearest candidate is then picked by
-an aggregate (``min`` of ``(right_ts, right_id)``), which combines map-side,
-instead of a window that would sort one stay's candidates in one task.
-Ties on the timestamp go to the smallest right id.
+"""Forward as-of join by key with a tolerance (C13), pair-free.
+
+For each left row (a stay ending at ``left_ts``) the match is the right row
+(an event) of the same key with the smallest ``(right_ts, right_id)`` such that
+``left_ts <= right_ts <= left_ts + tolerance``.
+
+Stays and events are stacked in one frame and windowed by ``(key, bucket)``,
+a bucket being ``tolerance`` days wide. Each event is placed in its own bucket
+and in the previous one, so a stay's window holds every event of its band.
+Scanning a window in descending ``(ts, side, id)`` order, the nearest next event
+of a stay is the last event seen, ``last(event, ignorenulls)`` over a running
+frame: linear in the rows, no (stay, event) pairs are ever formed, and a key
+with a long history is split over its time buckets (events are copied once).
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -24,34 +26,44 @@ def _bucket(ts: Column, days: int) -> Column:
     return F.floor(F.unix_date(ts.cast("date")) / F.lit(days))
 
 
-def asof_candidates(left: DataFrame, right: DataFrame, key: str, left_ts: str, right_ts: str,
-                    tolerance_days: int) -> DataFrame:
-    """All (left, right) pairs of the same key with ``right_ts`` in ``[left_ts, left_ts + tolerance]``.
+def asof_nearest(left: DataFrame, right: DataFrame, key: str, left_id: str, left_ts: str, right_id: str,
+                 right_ts: str, tolerance_days: int, group: Sequence[str] = (), out: str = "match") -> DataFrame:
+    """``left_id, *group, out`` where ``out`` is ``struct(ts, id)`` of the match, or NULL.
 
-    ``left`` and ``right`` must share only ``key`` among their column names.
+    ``group`` columns (for instance a parameter cell) must be on both sides; the
+    match is searched within equal group values.
     """
     if tolerance_days <= 0:
         raise ValueError("tolerance_days must be positive")
-    lb = _bucket(F.col(left_ts), tolerance_days)
-    l = left.withColumn("_bucket", F.explode(F.array(lb, lb + 1)))
-    r = right.withColumn("_bucket", _bucket(F.col(right_ts), tolerance_days))
-    band = (F.col(right_ts) >= F.col(left_ts)) & \
-           (F.col(right_ts) <= F.col(left_ts) + F.make_dt_interval(days=F.lit(tolerance_days)))
-    return l.join(r, [key, "_bucket"]).where(band).drop("_bucket")
-
-
-def nearest(candidates: DataFrame, group: Sequence[str], right_ts: str, right_id: str,
-            out: str = "match") -> DataFrame:
-    """Per group, the candidate with the smallest ``(right_ts, right_id)`` as a struct column ``out``."""
-    return candidates.groupBy(*group).agg(F.min(F.struct(F.col(right_ts).alias("ts"),
-                                                        F.col(right_id).alias("id"))).alias(out))
+    group = list(group)
+    id_type = dict(right.dtypes)[right_id]
+    lid_type = dict(left.dtypes)[left_id]
+    stays = left.select(F.col(key), *group, F.col(left_id).alias("_lid"), F.col(left_ts).cast("timestamp_ntz").alias("_ts"),
+                        _bucket(F.col(left_ts), tolerance_days).alias("_b"), F.lit(0).alias("_side"),
+                        F.lit(None).cast(id_type).alias("_rid"))
+    rb = _bucket(F.col(right_ts), tolerance_days)
+    events = right.select(F.col(key), *group, F.lit(None).cast(lid_type).alias("_lid"),
+                          F.col(right_ts).cast("timestamp_ntz").alias("_ts"), F.explode(F.array(rb, rb - 1)).alias("_b"),
+                          F.lit(1).alias("_side"), F.col(right_id).cast(id_type).alias("_rid"))
+    w = (Window.partitionBy(key, *group, "_b")
+         .orderBy(F.col("_ts").desc(), F.col("_side").desc(), F.col("_rid").desc())
+         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    event = F.when(F.col("_side") == 1, F.struct(F.col("_ts").alias("ts"), F.col("_rid").alias("id")))
+    scanned = stays.unionByName(events).withColumn("_next", F.last(event, ignorenulls=True).over(w))
+    within = F.col("_next.ts") <= F.col("_ts") + F.make_dt_interval(days=F.lit(tolerance_days))
+    return (scanned.where(F.col("_side") == 0)
+            .select(F.col("_lid").alias(left_id), *group, F.when(within, F.col("_next")).alias(out)))
 
 
 def asof_join(left: DataFrame, right: DataFrame, key: str, left_id: str, left_ts: str, right_id: str,
               right_ts: str, tolerance_days: int, how: str = "left") -> DataFrame:
-    """Left rows with the columns ``right_id, right_ts`` of their forward nearest match (NULL if none)."""
-    cand = asof_candidates(left.select(left_id, key, left_ts), right.select(right_id, key, right_ts),
-                           key, left_ts, right_ts, tolerance_days)
-    best = nearest(cand, [left_id], right_ts, right_id)
+    """Left rows with the columns ``right_id, right_ts`` of their forward nearest match (NULL if none).
+
+    ``left_id`` must identify left rows.
+    """
+    best = asof_nearest(left.select(left_id, key, left_ts), right.select(right_id, key, right_ts),
+                        key, left_id, left_ts, right_id, right_ts, tolerance_days)
     best = best.select(left_id, F.col("match.id").alias(right_id), F.col("match.ts").alias(right_ts))
+    if how == "inner":
+        best = best.where(F.col(right_id).isNotNull())
     return left.join(best, left_id, how)

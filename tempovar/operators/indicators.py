@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import season_year, week_start
-from .asof import asof_candidates, nearest
+from .asof import asof_nearest
 from .stability import stable_in, with_cells
 
 ALL = "All"
@@ -72,15 +72,18 @@ def duration_after_event(event_df: DataFrame, cohort: DataFrame, col_date: str,
     ev = (event_df.where(F.col(col_date).isNotNull())
           .select("visit_occurrence_id", "person_id", F.col(col_date).cast("timestamp_ntz").alias("event_ts"))
           .distinct())
-    group = ["visit_cohort_id"]
+    left = stays.select("visit_cohort_id", "person_id", "cohort_stay_end")
+    group: list[str] = []
     if stability is not None:
         ev = ev.join(stability, "visit_occurrence_id")
-    cand = asof_candidates(stays.select("visit_cohort_id", "person_id", "cohort_stay_end"), ev,
-                           "person_id", "cohort_stay_end", "event_ts", tol)
     if cells is not None:
-        cand = with_cells(cand, cells).where(stable_in(with_t1=with_t1))
-        group.append("param_id")
-    best = nearest(cand, group, "event_ts", "visit_occurrence_id")
+        # stays x 48 cells; each event only into the cells where its visit is stable
+        left = with_cells(left, cells).select("visit_cohort_id", "person_id", "cohort_stay_end", "param_id")
+        ev = (with_cells(ev, cells).where(stable_in(with_t1=with_t1))
+              .select("visit_occurrence_id", "person_id", "event_ts", "param_id"))
+        group = ["param_id"]
+    best = asof_nearest(left, ev, "person_id", "visit_cohort_id", "cohort_stay_end", "visit_occurrence_id",
+                        "event_ts", tol, group).where(F.col("match").isNotNull())
     matched = best.join(stays, "visit_cohort_id").where(F.col("match.id") != F.col("visit_cohort_id"))
     th = F.array(*[F.struct(F.lit(f"before_{t}_days").alias("threshold"), F.lit(int(t)).alias("days"))
                    for t in thresholds])

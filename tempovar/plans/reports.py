@@ -273,33 +273,9 @@ def fitted_examples(predictor: DataFrame, estimates: DataFrame, site_ids: Sequen
     pred = _eq_all(predictor, filters).where(F.col("care_site_id").isin(list(site_ids)))
     est = _eq_all(estimates, filters)
     fitted = predict(pred, est)
-    rank = F.dense_rank().over(Window.orderBy("care_site_id"))  # a handful of example sites
-    return (fitted.withColumn("care_site_short_name", F.concat(F.lit("Hospital "), rank.cast("string")))
+    # rank only the distinct example ids (a handful of rows), then join the labels back
+    ids = pred.select("care_site_id").distinct()
+    labels = ids.withColumn("_rank", F.row_number().over(Window.orderBy("care_site_id")))
+    return (fitted.join(F.broadcast(labels), "care_site_id")
+            .withColumn("care_site_short_name", F.concat(F.lit("Hospital "), F.col("_rank").cast("string")))
             .select("date", "care_site_short_name", "c", "c_hat"))
-
-
-def write_reports(spark, pipeline, out_dir: str, mode: str = "overwrite") -> dict[str, str]:
-    """Figure and summary datasets as CSV with a header, the warehouse record as JSON."""
-    from ..sources.sinks import write_csv, write_json
-
-    est = {n: pipeline.estimates(n) for n in ["visit", "note", "note_per_visit", "condition", "icu_rectangle"]}
-    preds = {n: pipeline.probe(n) for n in ["visit", "note", "note_per_visit", "condition_per_visit"]}
-    out = {"warehouse_counts": write_json(warehouse_counts(pipeline.core), f"{out_dir}/warehouse_counts", mode)}
-    datasets = {
-        "model_summary": model_summary(est),
-        "cohort_summary": cohort_summary(pipeline.outcomes),
-        "ehr_context": ehr_context(pipeline.probe("visit"), pipeline.probe("note"), pipeline.probe("condition"),
-                                   pipeline.study.probe_start),
-        "goodness_of_fit": fit_by_lag(goodness_of_fit(preds, est)),
-    }
-    for name in C.OUTCOMES:
-        ind = pipeline.indicator(name)
-        datasets[f"figure_{name}"] = figure_dataset(ind)
-        if "rate" in ind.columns:
-            datasets[f"sensitivity_{name}"] = site_sensitivity(ind)
-            datasets[f"volume_{name}"] = volume_per_site(ind)
-        else:
-            datasets[f"aligned_{name}"] = left_edge_aligned(figure_dataset(ind).withColumn("care_site_id", F.lit("All")))
-    for name, df in datasets.items():
-        out[name] = write_csv(df.coalesce(1), f"{out_dir}/{name}", mode)  # small report tables: one file each
-    return out
