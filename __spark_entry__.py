@@ -36,9 +36,18 @@ MODELS = {"visit_step_model": "visit", "icu_rectangle_model": "icu_rectangle", "
           "note_per_visit_step_model": "note_per_visit", "condition_step_model": "condition"}
 
 
+_PIPELINES: dict[tuple[str, str], Pipeline] = {}
+
+
 def _pipeline(spark: SparkSession, sf_dir: str) -> Pipeline:
-    core, reference, claims = warehouse(spark, sf_dir)
-    return Pipeline(core, reference, claims)
+    """One pipeline per Spark application and data folder: its persisted derived tables
+    (surrogate views, estimates, analysis cohort) are computed once from the given tables
+    and shared by every query of the run."""
+    key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir))
+    if key not in _PIPELINES:
+        core, reference, claims = warehouse(spark, sf_dir)
+        _PIPELINES[key] = Pipeline(core, reference, claims)
+    return _PIPELINES[key]
 
 
 def _canon(df: DataFrame) -> DataFrame:
