@@ -36,8 +36,8 @@ def rx(c: str, regex: str, case: bool = False) -> str:
 
 
 def age(later: str, earlier: str) -> str:
-    return (f"(year({later}) - year({earlier}) - "
-            f"cast(strftime({later}, '%m-%d') < strftime({earlier}, '%m-%d') as integer))")
+    return (f"cast(year({later}) - year({earlier}) - "
+            f"cast(strftime({later}, '%m-%d') < strftime({earlier}, '%m-%d') as integer) as integer)")
 
 
 # ---------------------------------------------------------------- surrogate views
