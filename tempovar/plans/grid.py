@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from .. import config as C
 from ..config import DEFAULT_STUDY, Outcome, Study
 from ..operators.indicators import KEY_FUNCTIONS, add_mcd
-from ..operators.stability import (cells_array, cells_subquery, estimate_parameters, filter_estimates,
+from ..operators.stability import (cells_frame, cells_subquery, estimate_parameters, filter_estimates,
                                    filter_stable_visits, outcome_filters, parameter_grid, stable_site_counts,
                                    visit_extremes, with_cells)
 
@@ -87,9 +87,8 @@ def cs_count_summary(cs_count: DataFrame, estimates: DataFrame, outcome: Outcome
     thresholds = estimate_parameters(estimates, level, **filters)
     cells = cells_subquery(thresholds, study.start_observation_dates, end)
     cso = stable_site_counts(estimates, cells, level, with_t1=end is not None, **filters)
-    grid = (thresholds.select(F.col("active_cs_count").alias("naive_cs_count"),
-                              F.explode(cells_array(study.start_observation_dates, end)).alias("cell"))
-            .select("naive_cs_count", *[F.col(f"cell.{c}").alias(c) for c in PARAM_COLS])
+    grid = (cells_frame(thresholds.withColumnRenamed("active_cs_count", "naive_cs_count"),
+                        study.start_observation_dates, end, keep=["naive_cs_count"])
             .withColumn("care_site_level", F.lit(level)))
     total = cs_count.where(F.col("care_site_level") == level)
     out = (grid.join(total, "care_site_level")

@@ -117,9 +117,9 @@ def run_study(spark: SparkSession, pipeline: Pipeline, out_dir: str, mode: str =
 
     from ..sources.sinks import write_table
 
-    def stage(name: str, df: DataFrame, path: str, **kw) -> DataFrame:
-        t0 = time.perf_counter()
-        written[name] = write_table(df, path, mode, **kw)
+    def stage(name: str, df: DataFrame | Callable[[], DataFrame], path: str, **kw) -> DataFrame:
+        t0 = time.perf_counter()  # includes building the plan when ``df`` is a thunk
+        written[name] = write_table(df() if callable(df) else df, path, mode, **kw)
         if on_stage:
             on_stage(name, time.perf_counter() - t0)
         return spark.read.parquet(path)
@@ -133,23 +133,25 @@ def run_study(spark: SparkSession, pipeline: Pipeline, out_dir: str, mode: str =
     outcomes = {name: stage(f"cohort/{name}", df, f"{out_dir}/cohort/{name}")
                 for name, df in pipeline.outcomes.items()}
     pipeline.__dict__["outcomes"] = outcomes
-    probes = {name: stage(f"probes/{name}", pipeline.probe(name), f"{out_dir}/probes/{name}")
+    probes = {name: stage(f"probes/{name}", lambda name=name: pipeline.probe(name), f"{out_dir}/probes/{name}")
               for name in ["visit", "icu", "note", "note_per_visit", "condition_per_visit", "condition"]}
     pipeline.probe = probes.__getitem__  # type: ignore[method-assign]
     est = {}
     for name in ["visit", "icu_rectangle", "note", "note_per_visit", "condition", "condition_per_condition"]:
-        est[name] = stage(f"models/{name}", pipeline.estimates(name), f"{out_dir}/models/{name}")
+        est[name] = stage(f"models/{name}", lambda name=name: pipeline._fit(name), f"{out_dir}/models/{name}")
     pipeline.estimates = est.__getitem__  # type: ignore[method-assign]
     cs_count = stage("cs_count", pipeline.care_site_counts(), f"{out_dir}/cs_count")
     pipeline.care_site_counts = lambda: cs_count  # type: ignore[method-assign]
-    ac = pipeline.analysis_cohort
+    # built directly (not the persisted property): the stage write is the reuse point here
+    ac = G.analysis_cohort(pipeline.outcomes["cohort_visit"], pipeline.estimates("visit"), pipeline.study)
     pipeline.__dict__["analysis_cohort"] = G.AnalysisCohort(
         stage("analysis/cohort_all", ac.cohort_all, f"{out_dir}/analysis/cohort_all"),
         ac.cohort_mcd,
         stage("analysis/hospital_count", ac.hospital_count, f"{out_dir}/analysis/hospital_count"))
     summaries = None
     for name in OUTCOMES:
-        stage(f"indicators/{name}", pipeline.indicator(name), f"{out_dir}/indicators/outcome_name={name}")
+        stage(f"indicators/{name}", lambda name=name: pipeline.indicator(name),
+              f"{out_dir}/indicators/outcome_name={name}")
         summ = pipeline.count_summary(name)
         summaries = summ if summaries is None else summaries.unionByName(summ)
     stage("cs_count_summary", summaries.withColumn("outcome_name", F.col("outcome_name")), f"{out_dir}/cs_count_summary")

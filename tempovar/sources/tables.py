@@ -95,10 +95,3 @@ def cmd_map(spark: SparkSession, mapping: Mapping[str, str] | None = None) -> Da
     schema = T.StructType([T.StructField("CMD_code", T.StringType(), False),
                            T.StructField("CMD", T.StringType(), False)])
     return F.broadcast(spark.createDataFrame(sorted(mapping.items()), schema))
-
-
-def label_sets(spark: SparkSession, sets: Mapping[str, str], label: str, regex: str = "regex") -> DataFrame:
-    """Named regex set as a literal frame (label, regex); small by construction."""
-    schema = T.StructType([T.StructField(label, T.StringType(), False),
-                           T.StructField(regex, T.StringType(), False)])
-    return F.broadcast(spark.createDataFrame(list(sets.items()), schema))
