@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import config as C
@@ -57,25 +57,30 @@ def site_rows(p: Prepared, visits: DataFrame, levels: Sequence[str]) -> DataFram
     return rows.distinct().join(cs, "care_site_id").where(F.col("care_site_level").isin(list(levels)))
 
 
-def zero_filled(counts: DataFrame, index: Sequence[str], count_cols: Sequence[str], study: Study) -> DataFrame:
+def zero_filled(counts: DataFrame, index: Sequence[str], count_cols: Sequence[str], study: Study,
+                normalise: str | None = None) -> DataFrame:
     """Every index gets every month of ``[probe_start, end_date)``; missing counts are 0.
 
-    Done as a union of a zero grid with the counts and a re-aggregation, which
-    groups NULL index values together without null-safe join keys.
+    One grouping per index: its months go into a map (at most one entry per month
+    of the window), the month grid is exploded and looked up. With ``normalise``,
+    ``c = n / max(n)`` over the index's months (0 when the maximum is 0) comes from
+    the same map, so no window or second shuffle is needed. NULL index values group
+    together as any other value.
     """
     last = F.add_months(F.lit(study.end_date).cast("date"), -1)
-    grid = (counts.select(*index).distinct()
-            .withColumn("date", F.explode(month_grid(F.lit(study.probe_start), last))))
-    for c in count_cols:
-        grid = grid.withColumn(c, F.lit(0).cast("long"))
-    both = counts.select(*index, "date", *[F.col(c).cast("long") for c in count_cols]).unionByName(grid)
-    return both.groupBy(*index, "date").agg(*[F.sum(c).alias(c) for c in count_cols])
-
-
-def _normalised(df: DataFrame, index: Sequence[str], n: str) -> DataFrame:
-    """``c = n / max(n)`` over the index's months, 0 when the maximum is 0."""
-    m = F.max(n).over(Window.partitionBy(*index))
-    return df.withColumn("c", F.when(m > 0, F.col(n) / m).otherwise(F.lit(0.0)))
+    per_index = counts.groupBy(*index).agg(
+        F.map_from_entries(F.collect_list(F.struct(F.col("date"), F.struct(*[F.col(c).cast("long").alias(c)
+                                                                            for c in count_cols])))).alias("_m"))
+    if normalise:
+        per_index = per_index.withColumn("_max", F.array_max(F.transform(F.map_values("_m"), lambda v: v[normalise])))
+    out = per_index.withColumn("date", F.explode(month_grid(F.lit(study.probe_start), last)))
+    hit = F.try_element_at(F.col("_m"), F.col("date"))
+    out = out.select(*index, "date", *[F.coalesce(hit[c], F.lit(0)).cast("long").alias(c) for c in count_cols],
+                     *(["_max"] if normalise else []))
+    if normalise:
+        out = out.withColumn("c", F.when(F.col("_max") > 0, F.col(normalise) / F.col("_max")).otherwise(F.lit(0.0)))
+        out = out.drop("_max")
+    return out
 
 
 def visit_probe(p: Prepared, study: Study = DEFAULT_STUDY, levels: Sequence[str] = tuple(C.CARE_SITE_LEVELS),
@@ -90,7 +95,7 @@ def visit_probe(p: Prepared, study: Study = DEFAULT_STUDY, levels: Sequence[str]
     # and a row gets each set label once, so a plain count is the distinct visit count (one shuffle less)
     counts = (rows.withColumn("date", month_start("visit_start_datetime"))
               .groupBy(*index, "date").agg(F.count("*").alias("n_visit")))
-    return _normalised(zero_filled(counts, index, ["n_visit"], study), index, "n_visit")
+    return zero_filled(counts, index, ["n_visit"], study, normalise="n_visit")
 
 
 def _notes_in_window(p: Prepared, study: Study) -> DataFrame:
@@ -127,7 +132,7 @@ def note_probe(p: Prepared, study: Study = DEFAULT_STUDY,
     index = SITE + ["stay_type", "note_type"]
     counts = (rows.withColumn("date", month_start("note_datetime"))
               .groupBy(*index, "date").agg(F.countDistinct("note_id").alias("n_note")))
-    return _normalised(zero_filled(counts, index, ["n_note"], study), index, "n_note")
+    return zero_filled(counts, index, ["n_note"], study, normalise="n_note")
 
 
 def _per_visit(site_visits: DataFrame, flagged: DataFrame, index: Sequence[str],
@@ -220,7 +225,7 @@ def condition_probe(p: Prepared, study: Study = DEFAULT_STUDY,
     site = fan_out(site, "stay_type", "raw_stay_type", stay_types)
     counts = (site.withColumn("date", month_start("condition_start_datetime"))
               .groupBy(*index, "date").agg(F.count("*").alias("n_condition")))
-    return _normalised(zero_filled(counts, index, ["n_condition"], study), index, "n_condition")
+    return zero_filled(counts, index, ["n_condition"], study, normalise="n_condition")
 
 
 def care_site_counts(care_site: DataFrame, exclude: Sequence[int] = ()) -> DataFrame:
