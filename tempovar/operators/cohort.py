@@ -87,6 +87,9 @@ def cohort_visit(p: Prepared, study: Study = DEFAULT_STUDY) -> DataFrame:
     return add_patient_info(stays, p.person, study.as_of)
 
 
+NOTE_COLS = ["note_id", "person_id", "visit_occurrence_id", "note_datetime", "note_type"]
+
+
 def _cohort_persons(cohort: DataFrame) -> DataFrame:
     return cohort.select("person_id")
 
@@ -100,7 +103,8 @@ def visit_outcome(p: Prepared, cohort: DataFrame, stay_type_regex: str, stay_sou
 
 def consultation_note(p: Prepared, cohort: DataFrame) -> DataFrame:
     """B3, D3, B6, C4, C6 (inner to note sites), C7 (left to visits)."""
-    n = X.filter_note_type(p.note, C.CONSULTATION_NOTE_TYPE_REGEX)
+    # project before the first-event aggregate: the note text never enters the shuffle
+    n = X.filter_note_type(p.note, C.CONSULTATION_NOTE_TYPE_REGEX).select(*NOTE_COLS)
     n = X.first_event(n, "note_datetime", tie_break=["note_id"])
     n = X.clean_date(n, "note_datetime")
     n = n.select("person_id", "visit_occurrence_id", "note_datetime", "note_id", "note_type")
@@ -117,7 +121,7 @@ def _cohort_stays(cohort: DataFrame, cols: list[str]) -> DataFrame:
 
 def prescription_note(p: Prepared, cohort: DataFrame) -> DataFrame:
     """B3, D3, B6, C5 (inner to distinct cohort stays), C6."""
-    n = X.filter_note_type(p.note, C.PRESCRIPTION_NOTE_TYPE_REGEX)
+    n = X.filter_note_type(p.note, C.PRESCRIPTION_NOTE_TYPE_REGEX).select(*NOTE_COLS)
     n = X.first_event(n, "note_datetime", tie_break=["note_id"])
     n = X.clean_date(n, "note_datetime")
     n = n.select("person_id", "visit_occurrence_id", "note_datetime", "note_type", "note_id")
