@@ -50,3 +50,20 @@ def test_random_against_brute_force(spark):
     for j in range(1500):
         events.append((10_000 + j, rng.randrange(20), T0 + timedelta(days=rng.randrange(500), hours=rng.randrange(3))))
     assert run(spark, stays, events, 45) == brute(stays, events, 45)
+
+
+def test_hot_person_against_brute_force(spark):
+    # one person holds a third of all stays and events, packed into a few months
+    rng = random.Random(11)
+    stays, events = [], []
+    for i in range(600):
+        hot = i % 3 == 0
+        pid = 0 if hot else 1 + rng.randrange(50)
+        span = 120 if hot else 700
+        stays.append((i, pid, T0 + timedelta(days=rng.randrange(span), minutes=rng.randrange(1440))))
+    for j in range(3000):
+        hot = j % 3 == 0
+        pid = 0 if hot else 1 + rng.randrange(50)
+        span = 150 if hot else 800
+        events.append((100_000 + j, pid, T0 + timedelta(days=rng.randrange(span), minutes=rng.randrange(1440))))
+    assert run(spark, stays, events, 90) == brute(stays, events, 90)
