@@ -1,0 +1,19 @@
+"""Report datasets written as CSV / JSON from the smallest test data."""
+
+import os
+import tempfile
+
+from tempovar.plans.reports import write_reports
+
+
+def test_write_reports(spark):
+    import __spark_entry__ as E
+    pl = E._pipeline(spark, "/root/testdata/sf0.001")
+    out = tempfile.mkdtemp(prefix="tempovar-reports-")
+    written = write_reports(spark, pl, out)
+    assert "warehouse_counts" in written and "model_summary" in written
+    csv = [f for f in os.listdir(os.path.join(out, "model_summary")) if f.endswith(".csv")]
+    with open(os.path.join(out, "model_summary", csv[0])) as fh:
+        header = fh.readline().strip().split(",")
+    assert header[:3] == ["functionality", "n_models", "error_mean"]
+    assert any(f.endswith(".json") for f in os.listdir(os.path.join(out, "warehouse_counts")))
