@@ -10,6 +10,7 @@ Doubles are rounded to 9 places on both sides before comparison.
 
 from __future__ import annotations
 
+import importlib.util
 import os
 import sys
 from collections.abc import Callable
@@ -26,6 +27,9 @@ from tempovar import config as C  # noqa: E402
 from tempovar.plans.study import Pipeline  # noqa: E402
 from tempovar.sources.surrogate import warehouse  # noqa: E402
 
+#: The training-data operators are optional: without their subpackage the other queries stand.
+HAS_LLM = importlib.util.find_spec("tempovar.llm") is not None and importlib.util.find_spec("corpus_pipeline") is not None
+
 SMOKE_DIR = "/root/testdata/sf0.001"
 
 OUTCOME_TABLES = ["cohort_visit", "hospit_visit", "emergency_visit", "consultation_note", "prescription_note",
@@ -197,6 +201,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         q[f"trend_{name}"] = _trend_query(name)
     q["trend_significance_hospit_visit"] = _significance_query("hospit_visit")  # p-values: rows-only check
     q.update(_report_queries())
+    if HAS_LLM:
+        import corpus_pipeline
+        from tempovar.llm import queries as llm
+        q.update(llm.queries())
+        q["pipeline"] = corpus_pipeline.run
     return q
 
 
@@ -229,4 +238,10 @@ def oracle_sql() -> dict[str, str]:
     for name in TRENDS:
         out[f"trend_{name}"] = OG.trend(name)
     out.update(_report_oracles())
+    if HAS_LLM:
+        import corpus_pipeline
+        from tempovar.llm import queries as llm
+        out.update(llm.oracle_sql())
+        if corpus_pipeline.ORACLE_SQL:
+            out["pipeline"] = corpus_pipeline.ORACLE_SQL
     return out
