@@ -26,12 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scan import LOWER, Index, bounds, mix, slices, word_hashes
+from .scan import LOWER, Index, bounds, slices, window_hashes, word_hashes
 
 IS_WORD = np.ones(256, dtype=bool)
 IS_WORD[:0x30] = IS_WORD[0x3A:0x61] = IS_WORD[0x7B:0x80] = False
 _WORDS = re.compile(rb"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
-_STEP = np.uint64(0xD6E8FEB86659FD93)
 SCANNED = "doc_id long, text string, n_words long, spans array<struct<s:long,e:long>>, items array<string>"
 
 
@@ -43,14 +42,6 @@ def item_windows(item_id: str | None, text: str | None, n: int) -> list[tuple[st
     return [(name, b" ".join(words[i:i + width]), width) for i in range(len(words) - width + 1)] if words else []
 
 
-def window_hashes(words: np.ndarray, width: int) -> np.ndarray:
-    out = np.zeros(max(0, len(words) - width + 1), dtype=np.uint64)
-    with np.errstate(over="ignore"):
-        for k in range(width):
-            out = out * _STEP + words[k:len(words) - width + 1 + k]
-    return mix(out)
-
-
 class HashSet:
     """The windows of one block of the benchmark, by width."""
 
@@ -143,5 +134,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, n: int = 10, max_windows: int =
     """The documents without a hit, all columns kept. Rows are matched by id and text, so one
     id under two texts is judged text by text."""
     found = (scan(docs, benchmark, n, max_windows).where(F.size("spans") > 0)
-             .select(F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_text")).distinct())
-    return docs.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("_text")), "left_anti")
+             .select(F.col("doc_id").alias("f_id"), F.xxhash64("text").alias("f_d")).distinct())
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["doc_id"].cast("long").alias("r_id"),
+                       F.xxhash64(docs["text"].cast("string")).alias("r_d"))
+    return rows.join(found, F.col("r_id").eqNullSafe(F.col("f_id")) & (F.col("r_d") == F.col("f_d")), "left_anti").select("row.*")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, packing, sharding, tokencount
+from . import decontaminate, langid, linededup, lm, packing, paradedup, rules, sharding, simhash, tokencount
 from .common import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -21,16 +21,42 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paradedup.clusters(table(spark, sf_dir, "documents"))
+
+
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.report(table(spark, sf_dir, "documents"))
+
+
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.predictions(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_decontamination, op5_token_counts, op9_sharding)}
+    return {f.__name__: f for f in (
+        op1_packing, op2_decontamination, op3_substring_dedup, op4_quality_rules, op5_token_counts, op6_line_dedup, op7_simhash, op8_lm_scoring,
+        op9_sharding, op10_language_id)}
 
 
 #: Words of a text: lower-cased A-Z, then runs of 0-9, a-z and anything beyond ASCII.
@@ -54,6 +80,27 @@ select doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(n_hit, 0) as big
 from doc left join word using (r) left join found using (r)
 """
 
+#: Runs of worded lines from a line on, or up to a line, of 50 words or more, as strings.
+OP6 = r"""
+with doc as (select doc_id, text, row_number() over () as r from documents),
+line as (select doc_id, r, unnest(range(1, len(x) + 1)) as p, unnest(x) as t from (select doc_id, r, string_split(text, chr(10)) as x from doc)),
+worded as (select doc_id, r, p, t, len(regexp_extract_all(t, '[^\x20\x09-\x0D]+')) as n from line),
+upto as (select *, sum(n) over (partition by r order by p rows unbounded preceding) as upto from worded where n > 0),
+run as (
+  select doc_id, r, sum(n) over w as n, min(p) over w as a, max(p) over w as b, list(t) over w as t
+  from (select *, upto - n as before from upto) window w as (partition by r order by before range between current row and 49 following)
+  union
+  select doc_id, r, sum(n) over w as n, min(p) over w as a, max(p) over w as b, list(t) over w as t
+  from upto window w as (partition by r order by upto range between 49 preceding and current row)),
+numbered as (select r, a, b, row_number() over (partition by t order by doc_id, a) as k from run where n >= 50),
+gone as (select distinct r, unnest(range(a, b + 1)) as p from numbered where k > 1),
+kept as (select r, string_agg(t, chr(10) order by p) as t, count(*) as n from line anti join gone using (r, p) group by r),
+total as (select r, count(*) as n from line group by r)
+select doc_id, cast(coalesce(total.n, 0) as bigint) as n_lines, cast(coalesce(total.n, 0) - coalesce(kept.n, 0) as bigint) as n_removed,
+  sha256(case when text is null then null else coalesce(kept.t, '') end) as text_sha256
+from doc left join total using (r) left join kept using (r)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontamination": OP2}
+    return {"op2_decontamination": OP2, "op6_line_dedup": OP6}

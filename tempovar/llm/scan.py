@@ -15,6 +15,7 @@ SLICE = 1 << 20
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 _BASE, _MIX1, _MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+_STEP = np.uint64(0xD6E8FEB86659FD93)
 with np.errstate(over="ignore"):
     _POW = np.cumprod(np.full(4096, _BASE, dtype=np.uint64))
 
@@ -75,6 +76,15 @@ def word_hashes(buf: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
     return mix(out)
 
 
+def window_hashes(words: np.ndarray, width: int) -> np.ndarray:
+    """A hash of each run of ``width`` word hashes."""
+    out = np.zeros(max(0, len(words) - width + 1), dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(width):
+            out = out * _STEP + words[k:len(words) - width + 1 + k]
+    return mix(out)
+
+
 class Index:
     """Positions of 64-bit keys: an open-addressing table, probed for whole arrays."""
 
