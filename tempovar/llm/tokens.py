@@ -17,7 +17,7 @@ from functools import lru_cache
 import numpy as np
 
 #: Words in each of the two generations of a worker's memo, and the longest word held.
-MEMO_WORDS, MEMO_LENGTH = 400_000, 64
+MEMO_WORDS, MEMO_LENGTH = 500_000, 64
 _SPACE = re.compile(r"\s").search
 _UNSAFE = re.compile(r"\s (?:\s|\Z)")
 _JOINED = 64  # unknown words that are encoded in one call
@@ -45,6 +45,7 @@ class Encoder:
         self._feed = feed[0] if len(feed) == 1 else None
         self._memo: dict[str, bytes] = {}
         self._older: dict[str, bytes] = {}
+        self._stops: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
@@ -54,17 +55,26 @@ class Encoder:
             return None
         return text.split(" ")
 
-    def _learn(self, words: list[str]) -> dict[str, bytes]:
-        """Ids of " word" for each word."""
-        out: dict[str, bytes] = {}
-        plain = [w for w in words if self._feed is not None and w and not _SPACE(w)]
-        for w in set(words).difference(plain):
+    def _learn(self, words: set[str]) -> dict[str, bytes]:
+        """Ids of " word" for each word; letters and the stops after them are always pieces apart."""
+        stems = {w: w.rstrip(".,") for w in words}
+        stems = {w: stem for w, stem in stems.items() if len(stem) < len(w) and stem.isalpha()}
+        out = {stem: self._memo[stem] for stem in set(stems.values()) & self._memo.keys()}
+        new = words.difference(stems.keys()).union(stems.values()).difference(out.keys())
+        plain = [w for w in new if self._feed is not None and w and not _SPACE(w)]
+        for w in new.difference(plain):
             out[w] = self.whole(" " + w)
         for i in range(0, len(plain), _JOINED):
             part = plain[i:i + _JOINED]
             ids = np.array(self.library.encode(" " + "\n ".join(part), add_special_tokens=False).ids, dtype="<u4")
             cuts = np.flatnonzero(ids == self._feed).tolist()
-            out.update(zip(part, [ids[a:b].tobytes() for a, b in zip([0, *[c + 1 for c in cuts]], [*cuts, len(ids)])], strict=True))
+            body, cuts = ids.tobytes(), [0, *[4 * c + 4 for c in cuts], 4 * len(ids) + 4]
+            out.update(zip(part, [body[a:b - 4] for a, b in zip(cuts, cuts[1:], strict=False)], strict=True))
+        for w, stem in stems.items():
+            stop = w[len(stem):]
+            if stop not in self._stops:
+                self._stops[stop] = self.whole(stop)
+            out[w] = out[stem] + self._stops[stop]
         return out
 
     def ids(self, texts: list[str]) -> list[bytes]:
@@ -77,13 +87,15 @@ class Encoder:
         unknown = words.difference(self._memo.keys())
         known = {w: self._older[w] for w in unknown.intersection(self._older.keys())}
         self._memo.update(known)
-        learnt = self._learn(list(unknown.difference(known.keys())))
+        learnt = self._learn(unknown.difference(known.keys()))
         self._memo.update(learnt)
         get = self._memo.__getitem__
         out = [self.whole(t) if c is None else self.whole(f) + b"".join(map(get, c)) for t, c, f in zip(texts, cut, firsts, strict=True)]
         for w in learnt:
             if len(w) > MEMO_LENGTH:
                 del self._memo[w]
+        if len(self._stops) > 1000:
+            self._stops = {}
         return out
 
 
