@@ -13,6 +13,7 @@ import json
 import os
 import re
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 
@@ -81,21 +82,27 @@ class Encoder:
         """Little-endian unsigned 32-bit ids of each text."""
         cut = [self._cut(t) for t in texts]
         firsts = [c.pop(0) if c else "" for c in cut]
-        words = set().union(*(c for c in cut if c))
-        if len(self._memo) + len(words) > MEMO_WORDS:
-            self._older, self._memo = self._memo, {}
-        unknown = words.difference(self._memo.keys())
-        known = {w: self._older[w] for w in unknown.intersection(self._older.keys())}
-        self._memo.update(known)
-        learnt = self._learn(unknown.difference(known.keys()))
-        self._memo.update(learnt)
-        get = self._memo.__getitem__
-        out = [self.whole(t) if c is None else self.whole(f) + b"".join(map(get, c)) for t, c, f in zip(texts, cut, firsts, strict=True)]
-        for w in learnt:
-            if len(w) > MEMO_LENGTH:
-                del self._memo[w]
-        if len(self._stops) > 1000:
-            self._stops = {}
+        words = list(chain.from_iterable(c for c in cut if c))
+        got = list(map(self._memo.get, words))
+        if None in got:
+            at = [i for i, v in enumerate(got) if v is None]
+            unknown = {words[i] for i in at}
+            if len(self._memo) + len(unknown) > MEMO_WORDS:
+                self._older, self._memo = self._memo, {}
+            known = {w: v for w in unknown if (v := self._older.get(w)) is not None}
+            known.update(self._learn(unknown.difference(known)))
+            for i in at:
+                got[i] = known[words[i]]
+            self._memo.update((w, v) for w, v in known.items() if len(w) <= MEMO_LENGTH)
+            if len(self._stops) > 1000:
+                self._stops = {}
+        out, a = [], 0
+        for t, c, first in zip(texts, cut, firsts, strict=True):
+            if c is None:
+                out.append(self.whole(t))
+            else:
+                out.append(self.whole(first) + b"".join(got[a:a + len(c)]))
+                a += len(c)
         return out
 
 

@@ -7,6 +7,9 @@ from tempovar.llm import linededup as L
 from .fixtures import ODD, documents, empty, texts
 
 
+LEFT = {}  # the texts that stayed, by doc_id
+
+
 def brute(docs, min_words):
     """A line goes if it is in a run of worded lines of min_words words whose same run starts earlier."""
     docs = [(i, t, [(p, x, len(x.encode().split())) for p, x in enumerate(t.split("\n")) if x.encode().split()]) for i, t in docs]
@@ -30,6 +33,7 @@ def brute(docs, min_words):
                         gone.update(range(lines[a][0], lines[b][0] + 1))
         every = t.split("\n")
         left = "\n".join(x for p, x in enumerate(every) if p not in gone)
+        LEFT[i] = left
         yield i, len(every), len(gone), hashlib.sha256(left.encode()).hexdigest()
 
 
