@@ -81,6 +81,8 @@ def _summary_query(name: str):
     return lambda spark, sf_dir: _canon(_pipeline(spark, sf_dir).count_summary(name))
 
 
+#: Steps of the trend that are not part of the registered results.
+TREND_STEPS = ("se_alpha_0", "se_alpha_1", "t_alpha_1")
 TRENDS = ["hospit_visit", "emergency_visit", "prescription_note", "icu_visit_rectangle"]
 
 
@@ -88,17 +90,26 @@ def _trend_query(name: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         from tempovar.operators.trend import linear_trend
         t = linear_trend(_pipeline(spark, sf_dir).indicator(name), y="rate")
-        return _canon(t.select(*[c for c in t.columns if c not in ("se_alpha_0", "se_alpha_1", "t_alpha_1")]))
+        return _canon(t.drop(*TREND_STEPS))
     return run
 
 
 def _significance_query(name: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         from tempovar.operators.trend import as_text, linear_trend, significance
-        return _canon(as_text(significance(linear_trend(_pipeline(spark, sf_dir).indicator(name), y="rate"))))
+        return _canon(as_text(significance(linear_trend(_pipeline(spark, sf_dir).indicator(name), y="rate"))).drop(*TREND_STEPS))
     return run
 
 
+EXCLUDED_SITES = [1003, 2000001, 3000002]
+
+
+def _excluded_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """B12 with sites to leave out: the study's list is empty on the test data."""
+    from tempovar.operators.probes import care_site_counts
+    return care_site_counts(_pipeline(spark, sf_dir).core.care_site, EXCLUDED_SITES)
+
+
 EXAMPLE_HOSPITALS = [1000, 1003]
 EXAMPLE_FILTERS = {"care_site_level": C.LEVEL_HOSPITAL, "stay_type": "hospitalisés", "specialties_set": "All"}
 
@@ -144,7 +155,7 @@ def _report_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "seasonal_peak_trend_flu_condition": wrap(lambda pl: R.fitted_trend_line(
             pl.indicator("flu_condition"), None, "max_events")),
         "trend_long_form_hospit_visit": wrap(lambda pl: long_form(as_text(significance(
-            linear_trend(pl.indicator("hospit_visit")))))),  # formatted text: rows-only check
+            linear_trend(pl.indicator("hospit_visit")))))),
     }
 
 
@@ -199,7 +210,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         q[f"cs_count_summary_{name}"] = _summary_query(name)
     for name in TRENDS:
         q[f"trend_{name}"] = _trend_query(name)
-    q["trend_significance_hospit_visit"] = _significance_query("hospit_visit")  # p-values: rows-only check
+    q["trend_significance_hospit_visit"] = _significance_query("hospit_visit")
+    q["indicator_hospit_visit_by_group"] = lambda spark, sf_dir: _canon(_pipeline(spark, sf_dir).indicator_by_group("hospit_visit"))
+    q["care_site_counts_without_excluded"] = _excluded_query
     q.update(_report_queries())
     if HAS_LLM:
         import corpus_pipeline
@@ -237,6 +250,12 @@ def oracle_sql() -> dict[str, str]:
         out[f"cs_count_summary_{name}"] = OG.cs_count_summary(name)
     for name in TRENDS:
         out[f"trend_{name}"] = OG.trend(name)
+    out["trend_significance_hospit_visit"] = OG.trend_significance("hospit_visit")
+    out["trend_long_form_hospit_visit"] = OG.trend_significance("hospit_visit", long_form=True)
+    out["indicator_hospit_visit_by_group"] = OG.indicator_by_group("hospit_visit")
+    out["care_site_counts_without_excluded"] = OS.with_ctes(dict(OS.VIEWS), f"""select care_site_type_source_value care_site_level,
+       count(distinct care_site_id) total_care_site from care_site
+where care_site_id not in ({', '.join(map(str, EXCLUDED_SITES))}) group by 1""")
     out.update(_report_oracles())
     if HAS_LLM:
         import corpus_pipeline

@@ -86,6 +86,19 @@ def indicator(name: str, s: C.Study = C.DEFAULT_STUDY) -> str:
     return with_ctes(ctes, final)
 
 
+def indicator_by_group(name: str, s: C.Study = C.DEFAULT_STUDY) -> str:
+    """D5 per (site, diagnosis group) on the per-group subset of the cohort."""
+    ctes, _ = indicator_parts(name, s)
+    ctes["stays"] = f"""select visit_cohort_id, person_id, cohort_stay_end, care_site_id, sub_cohort, CMD_code || ' ' || CMD MCD, count(*) mult
+from cohort_all where CMD_code <= '27' and sub_cohort >= DATE '{s.mcd_start}' group by all"""
+    ctes["cand"] = ctes["cand"].replace("from stays s", "from (select distinct visit_cohort_id, person_id, cohort_stay_end from stays) s")
+    ctes["flags"] = ctes["flags"].replace("s.care_site_id,", "s.care_site_id, s.MCD,")
+    for part in ("nev", "ntot"):
+        ctes[part] = ctes[part].replace("care_site_id, sub_cohort", "care_site_id, MCD, sub_cohort").replace("param_id, sub_cohort", "param_id, MCD, sub_cohort").replace(", (sub_cohort)", ", (MCD, sub_cohort)")
+    ctes["res"] = ctes["res"].replace("n.care_site_id, ", "n.care_site_id, n.MCD, ").replace("and t.sub_cohort", "and t.MCD = n.MCD and t.sub_cohort")
+    return with_ctes(ctes, _attach_cells("r.care_site_id, r.MCD, r.sub_cohort, r.threshold, r.n_events, r.n_total, round(r.rate, 9) rate"))
+
+
 def indicator_parts(name: str, s: C.Study = C.DEFAULT_STUDY, rounded: bool = True) -> tuple[dict[str, str], str]:
     """CTEs and final select of the indicator; ``rounded=False`` keeps exact doubles for further computation."""
     ctes, o, _ = outcome_ctes(name, s)
@@ -95,14 +108,18 @@ from cohort_all group by all"""
     if o.key_function == "duration_after":
         ctes["ev"] = f"""select distinct visit_occurrence_id, person_id, {o.col_date} ts from {events}
 where {o.col_date} is not null"""
-        ctes["cand"] = f"""select s.visit_cohort_id, e.visit_occurrence_id, e.ts from stays s join ev e
+        ctes["cand"] = f"""select s.visit_cohort_id, s.person_id s_person, e.visit_occurrence_id, e.ts from stays s join ev e
 on e.person_id = s.person_id and e.ts >= s.cohort_stay_end and e.ts <= s.cohort_stay_end + to_days({s.tolerance_days})"""
+        level = C.OUTCOMES[name].care_site_level
+        at_level = "" if level == H else f"and detail_care_site_level = {q(level)}"
+        ctes["cand_level"] = f"""select c.* from cand c where exists (select 1 from {events} e
+  where e.visit_occurrence_id = c.visit_occurrence_id and e.person_id = s_person and e.{o.col_date} = c.ts {at_level})"""
         ctes["m"] = """select -1 param_id, visit_cohort_id, visit_occurrence_id, ts from (
   select c.*, row_number() over (partition by visit_cohort_id order by ts, visit_occurrence_id) rn_ from cand c) where rn_ = 1
 union all
 select param_id, visit_cohort_id, visit_occurrence_id, ts from (
   select c.*, st.param_id, row_number() over (partition by st.param_id, c.visit_cohort_id order by c.ts, c.visit_occurrence_id) rn_
-  from cand c join stable st on st.visit_occurrence_id = c.visit_occurrence_id) where rn_ = 1"""
+  from cand_level c join stable st on st.visit_occurrence_id = c.visit_occurrence_id) where rn_ = 1"""
         th = " union all ".join(f"select 'before_{t}_days' threshold, {t} ndays" for t in s.thresholds)
         ctes["flags"] = f"""select m.param_id, s.care_site_id, s.sub_cohort, s.mult, t.threshold,
        m.ts <= s.cohort_stay_end + to_days(t.ndays) has
@@ -179,6 +196,55 @@ def trend(name: str, s: C.Study = C.DEFAULT_STUDY) -> str:
        round(mean_value, 9) as mean_value) from {res}""")
 
 
+def _p_sum(nu: str, c2: str) -> str:
+    """The finite cosine sum of Student's t for whole degrees of freedom, by gamma functions."""
+    odd = f"list_sum(list_transform(range(0, ({nu} - 1) // 2), lambda k: exp(lgamma(k + 1) - lgamma(k + 1.5)) * sqrt(pi()) / 2 * pow({c2}, k)))"
+    even = f"list_sum(list_transform(range(0, {nu} // 2), lambda k: exp(lgamma(k + 0.5) - lgamma(k + 1)) / sqrt(pi()) * pow({c2}, k)))"
+    return f"case when {nu} % 2 = 1 then coalesce({odd}, 0) else coalesce({even}, 0) end"
+
+
+def _p_two_sided(t: str, nu: str) -> str:
+    a = f"atan(abs({t}) / sqrt({nu}))"
+    total = _p_sum(nu, f"pow(cos({a}), 2)")
+    return (f"greatest(0, 1 - case when {nu} % 2 = 1 then 2 / pi() * ({a} + sin({a}) * cos({a}) * ({total})) "
+            f"else sin({a}) * ({total}) end)")
+
+
+def trend_significance(name: str, long_form: bool = False, s: C.Study = C.DEFAULT_STUDY) -> str:
+    """P-value, 95 % intervals and their text, from the filled months."""
+    ctes, final = indicator_parts(name, s, rounded=False)
+    ctes["ind"] = final
+    idx = [c for c in TREND_IDX if c != "threshold" or C.OUTCOMES[name].key_function == "duration_after"]
+    trend_ctes(ctes, "ind", idx)
+    cols = ", ".join(idx)
+    ctes["raw"] = f"""select {cols}, count(*) n, sum(y) sy, sum(x * y) sxy_raw, sum(y * y) syy_raw,
+       count(*) * (count(*) * count(*) - 1) / 12.0 sxx from t_xs group by all"""
+    ctes["mom"] = """select *, sxy_raw - (n - 1) / 2.0 * sy sxy_, syy_raw - sy * sy / n syy_ from raw"""
+    ctes["fit0"] = """select *, case when abs(sxy_) <= 1e-12 * sqrt(syy_raw * sxx) then 0 else sxy_ end sxy,
+       case when abs(syy_) <= 1e-12 * syy_raw then 0 else syy_ end syy from mom"""
+    ctes["fit1"] = """select *, case when sxx > 0 then sxy / sxx end alpha_1, sy / n mean_value,
+       syy - sxy_ * sxy_ / nullif(sxx, 0) res_ from fit0"""
+    ctes["fit2"] = """select *, case when sxx > 0 then sy / n - alpha_1 * (n - 1) / 2.0 end alpha_0,
+       case when n >= 3 then case when abs(res_) <= 1e-12 * syy_raw then 0 else greatest(res_, 0) end end res from fit1"""
+    ctes["fit3"] = """select *, sqrt(res / (n - 2) / sxx) se_1, sqrt(res / (n - 2) * (1.0 / n + pow((n - 1) / 2.0, 2) / sxx)) se_0 from fit2"""
+    ctes["fit4"] = f"""select *, case when se_1 = 0 and alpha_1 <> 0 then 0.0 when se_1 > 0 then {_p_two_sided('(alpha_1 / se_1)', '(n - 2)')} end p_value from fit3"""
+    half = _p_two_sided("((lo + hi) / 2)", "(n - 2)")
+    ctes["bis"] = f"""select n, 0.0::double lo, 12.8::double hi, 0 i from (select distinct n from raw where n >= 3)
+union all select n, case when {half} > 0.05 then (lo + hi) / 2 else lo end, case when {half} > 0.05 then hi else (lo + hi) / 2 end, i + 1 from bis where i < 60"""
+    ctes["qq"] = "select n, (lo + hi) / 2 q from bis where i = 60"
+    ctes["sig"] = f"""select {cols}, n, alpha_0, alpha_1, mean_value, p_value, alpha_0 - q * se_0 alpha_0_ci_low, alpha_0 + q * se_0 alpha_0_ci_high,
+       alpha_1 - q * se_1 alpha_1_ci_low, alpha_1 + q * se_1 alpha_1_ci_high from fit4 left join qq using (n)"""
+    text = ", ".join(
+        f"format('{{:.2e}}', {c}) || ' [' || format('{{:.2e}}', {c}_ci_low) || ', ' || format('{{:.2e}}', {c}_ci_high) || ']' {c}_text"
+        for c in ("alpha_0", "alpha_1"))
+    ctes["txt"] = f"""select *, case when p_value < 0.001 then '< 10e-3' else format('{{:.3f}}', p_value) end p_value_text, {text} from sig"""
+    if long_form:
+        return with_ctes(ctes, " union all ".join(f"select {cols}, '{m}' model, {m} as value from txt"
+                                                  for m in ("p_value_text", "alpha_0_text", "alpha_1_text")), recursive=True)
+    doubles = ["alpha_0", "alpha_1", "mean_value", "p_value", *[f"alpha_{i}_ci_{x}" for i in (0, 1) for x in ("low", "high")]]
+    return with_ctes(ctes, f"select * replace ({', '.join(f'round({c}, 9) as {c}' for c in doubles)}) from txt", recursive=True)
+
+
 def cs_count_summary(name: str, s: C.Study = C.DEFAULT_STUDY) -> str:
     ctes, o, end = outcome_ctes(name, s)
     t1 = f"and e.t_1 >= DATE '{end}'" if end else ""

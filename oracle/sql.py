@@ -42,9 +42,12 @@ def age(later: str, earlier: str) -> str:
 
 # ---------------------------------------------------------------- surrogate views
 VIEWS = {
-    "ln": """select l_orderkey k, l_linenumber n, l_orderkey*10+l_linenumber id,
-       min(l_suppkey) sk, min(l_partkey) pk, min(l_returnflag) rf
-from lineitem group by l_orderkey, l_linenumber""",
+    "ln": """select l_orderkey k, l_linenumber n, l_suppkey sk, l_partkey pk, l_returnflag rf,
+       (l_orderkey*10+l_linenumber)*100 - 1 + row_number() over (partition by l_orderkey, l_linenumber
+         order by l_partkey nulls first, l_suppkey nulls first, l_quantity nulls first, l_extendedprice nulls first,
+           l_discount nulls first, l_tax nulls first, l_returnflag nulls first, l_linestatus nulls first,
+           l_shipdate nulls first) id
+from lineitem""",
     "care_site": f"""select cast(1000+n_nationkey as bigint) care_site_id, {q(H)} care_site_type_source_value,
        n_name care_site_short_name, cast(null as varchar) place_of_service_source_value from nation
 union all select 2000000+s_suppkey, {q(UF)}, s_name, 'DEPARTEMENT' from supplier
@@ -88,7 +91,7 @@ union all select concat('US',s_suppkey), 3000000+s_suppkey from supplier""",
        concat('GHM:',lpad(cast(1+o_orderkey%28 as varchar),2,'0'),'M0',cast(o_orderkey%4 as varchar)) concept_cd,
        'AREM' sourcesystem_cd from orders where o_orderkey%9<>0
 union all
-select concat('E',o_orderkey), concat('GHM:',lpad(cast(1+o_orderkey%28 as varchar),2,'0'),'C09'), 'AREM'
+select concat('E',o_orderkey), concat('GHM:',lpad(cast(1+(o_orderkey+7)%28 as varchar),2,'0'),'C09'), 'AREM'
 from orders where o_orderkey%41=0""",
     "arem_visit_occurrence": "select -o_orderkey visit_occurrence_id, concat('V',o_orderkey) visit_occurrence_source_value from orders",
     "arem_condition_occurrence": """select -k visit_occurrence_id, 'AREM' cdm_source,
@@ -401,9 +404,9 @@ def estimates(name: str, s: C.Study = C.DEFAULT_STUDY) -> str:
     raise ValueError(name)
 
 
-def with_ctes(ctes: dict[str, str], final: str) -> str:
+def with_ctes(ctes: dict[str, str], final: str, recursive: bool = False) -> str:
     body = ",\n".join(f"{k} AS (\n{v}\n)" for k, v in ctes.items())
-    return f"WITH {body}\n{final}"
+    return f"WITH {'RECURSIVE ' if recursive else ''}{body}\n{final}"
 
 
 def base_ctes(study: C.Study = C.DEFAULT_STUDY) -> dict[str, str]:

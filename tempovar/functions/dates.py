@@ -24,7 +24,7 @@ def ts(value: str) -> Column:
 def in_ns_range(c) -> Column:
     """True unless the date is outside the nanosecond range; NULL counts as in range (trap T1)."""
     c = col(c)
-    return ~F.coalesce((c < ts(NS_MIN)) | (c > ts(NS_MAX)), F.lit(False))
+    return c.isNull() | ((c >= ts(NS_MIN)) & (c <= ts(NS_MAX)))
 
 
 def month_start(c) -> Column:
@@ -56,11 +56,6 @@ def month_diff(a, b) -> Column:
     return (F.year(a) - F.year(b)) * 12 + F.month(a) - F.month(b)
 
 
-def within_days(later, earlier, days: int) -> Column:
-    """``later - earlier <= days`` on timestamps (H8)."""
-    return (col(later) - col(earlier)) <= F.make_dt_interval(days=F.lit(days))
-
-
 def month_grid(start, end) -> Column:
     """Array of month starts from the month of ``start`` (snapped up to a month start) to ``end`` inclusive."""
     s = col(start).cast("date")

@@ -1,86 +1,47 @@
-"""Student-t tail probabilities and quantiles (I7), vectorised with numpy.
+"""Student-t tail probabilities and quantiles (I7) as column expressions.
 
-Used inside an Arrow-batched pandas UDF on already aggregated rows (one row
-per trend partition), never per input row. SciPy is not assumed.
+Degrees of freedom are whole numbers here (months minus two), for which the distribution
+is a finite sum of powers of a cosine; no Python runs on executors.
 """
 
 from __future__ import annotations
 
 import math
 
-import numpy as np
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
+BISECTIONS = 60
 
-def _betacf(a: float, b: float, x: float, iters: int = 300, eps: float = 1e-15) -> float:
-    """Continued fraction of the incomplete beta function (modified Lentz)."""
-    tiny = 1e-300
-    qab, qap, qam = a + b, a + 1.0, a - 1.0
-    c, d = 1.0, 1.0 - qab * x / qap
-    d = 1.0 / (d if abs(d) > tiny else tiny)
-    h = d
-    for m in range(1, iters + 1):
-        m2 = 2 * m
-        aa = m * (b - m) * x / ((qam + m2) * (a + m2))
-        d = 1.0 + aa * d
-        d = 1.0 / (d if abs(d) > tiny else tiny)
-        c = 1.0 + aa / c
-        c = c if abs(c) > tiny else tiny
-        h *= d * c
-        aa = -(a + m) * (qab + m) * x / ((a + m2) * (qap + m2))
-        d = 1.0 + aa * d
-        d = 1.0 / (d if abs(d) > tiny else tiny)
-        c = 1.0 + aa / c
-        c = c if abs(c) > tiny else tiny
-        delta = d * c
-        h *= delta
-        if abs(delta - 1.0) < eps:
-            break
-    return h
 
+def t_two_sided_p(t: Column, dof: Column) -> Column:
+    """``P(|T| >= |t|)`` for Student's t with a whole number ``dof >= 1`` of degrees of freedom; NULL otherwise."""
+    nu = dof.cast("int")
+    angle = F.atan(F.abs(t) / F.sqrt(nu))
+    square = F.cos(angle) * F.cos(angle)
+    odd = nu % 2 == 1
+    terms = F.when(odd, F.floor((nu - 1) / 2)).otherwise(F.floor(nu / 2)).cast("int")
+    start = F.struct(F.lit(1.0).alias("term"), F.lit(0.0).alias("total"))
 
-def betainc(a: float, b: float, x: float) -> float:
-    """Regularised incomplete beta ``I_x(a, b)``."""
-    if x <= 0.0:
-        return 0.0
-    if x >= 1.0:
-        return 1.0
-    lbeta = math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b)
-    front = math.exp(lbeta + a * math.log(x) + b * math.log1p(-x))
-    if x < (a + 1.0) / (a + b + 2.0):
-        return front * _betacf(a, b, x) / a
-    return 1.0 - front * _betacf(b, a, 1.0 - x) / b
+    def step(acc: Column, k: Column) -> Column:
+        ratio = F.when(odd, (2 * k + 2) / (2 * k + 3)).otherwise((2 * k + 1) / (2 * k + 2))
+        return F.struct((acc["term"] * square * ratio).alias("term"), (acc["total"] + acc["term"]).alias("total"))
 
+    every = F.when(terms > 0, F.sequence(F.lit(0), terms - 1)).otherwise(F.array().cast("array<int>"))
+    total = F.aggregate(every, start, step, lambda acc: acc["total"])
+    inside = F.when(odd, (angle + F.sin(angle) * F.cos(angle) * total) * (2 / math.pi)).otherwise(F.sin(angle) * total)
+    return F.when(nu >= 1, F.greatest(1 - inside, F.lit(0.0)))
 
-def t_two_sided_p(t: float, df: float) -> float:
-    """``P(|T| >= |t|)`` for Student's t with ``df`` degrees of freedom."""
-    if t is None or df is None or not np.isfinite(t) or df <= 0:
-        return float("nan")
-    return betainc(df / 2.0, 0.5, df / (df + t * t))
 
+def t_quantile(p: float, dof: Column) -> Column:
+    """``t`` with ``P(T <= t) = p`` (0.5 <= p < 1), by bisection: no quantile exceeds that of one degree of freedom."""
+    start = F.struct(F.lit(0.0).alias("lo"), F.lit(math.tan(math.pi * (p - 0.5)) + 1e-9).alias("hi"))
 
-def t_quantile(p: float, df: float) -> float:
-    """Upper quantile: ``t`` with ``P(T <= t) = p`` (bisection on the CDF), for 0.5 <= p < 1."""
-    if df is None or df <= 0:
-        return float("nan")
-    target = 2.0 * (1.0 - p)  # two-sided tail mass at t
-    lo, hi = 0.0, 1.0
-    while t_two_sided_p(hi, df) > target:
-        hi *= 2.0
-        if hi > 1e12:
-            return float("inf")
-    for _ in range(200):
-        mid = (lo + hi) / 2.0
-        if t_two_sided_p(mid, df) > target:
-            lo = mid
-        else:
-            hi = mid
-    return (lo + hi) / 2.0
+    def step(acc: Column, _: Column) -> Column:
+        middle = (acc["lo"] + acc["hi"]) / 2
+        above = t_two_sided_p(middle, dof) > 2 * (1 - p)
+        return F.struct(F.when(above, middle).otherwise(acc["lo"]).alias("lo"),
+                        F.when(above, acc["hi"]).otherwise(middle).alias("hi"))
 
-
-def p_values(t: np.ndarray, df: np.ndarray) -> np.ndarray:
-    return np.array([t_two_sided_p(float(a), float(b)) if np.isfinite(a) and np.isfinite(b) else np.nan
-                     for a, b in zip(t, df)], dtype=float)
-
-
-def quantiles(p: float, df: np.ndarray) -> np.ndarray:
-    return np.array([t_quantile(p, float(b)) if np.isfinite(b) and b > 0 else np.nan for b in df], dtype=float)
+    found = F.aggregate(F.sequence(F.lit(1), F.lit(BISECTIONS)), start, step, lambda acc: (acc["lo"] + acc["hi"]) / 2)
+    return F.when(dof >= 1, found)

@@ -26,44 +26,39 @@ def _bucket(ts: Column, days: int) -> Column:
     return F.floor(F.unix_date(ts.cast("date")) / F.lit(days))
 
 
-def asof_nearest(left: DataFrame, right: DataFrame, key: str, left_id: str, left_ts: str, right_id: str,
-                 right_ts: str, tolerance_days: int, group: Sequence[str] = (), out: str = "match") -> DataFrame:
-    """``left_id, *group, out`` where ``out`` is ``struct(ts, id)`` of the match, or NULL.
+def asof_nearest(left: DataFrame, right: DataFrame, key: str, left_ts: str, right_id: str, right_ts: str,
+                 tolerance_days: int, carry: Sequence[str] = (), cells: Sequence[Column] | None = None,
+                 out: str = "match") -> DataFrame:
+    """Left rows with ``out``, an array of ``struct(ts, id)`` (NULL: no match), one entry per cell.
 
-    ``group`` columns (for instance a parameter cell) must be on both sides; the
-    match is searched within equal group values.
+    ``cells`` are conditions over the ``carry`` columns of an event; each cell's match is searched
+    among the events that meet its condition, all cells over one sort. Without cells there is one
+    entry, over all events. Only the carried columns are shuffled, never a copy per cell.
     """
     if tolerance_days <= 0:
         raise ValueError("tolerance_days must be positive")
-    group = list(group)
-    id_type = dict(right.dtypes)[right_id]
-    lid_type = dict(left.dtypes)[left_id]
-    stays = left.select(F.col(key), *group, F.col(left_id).alias("_lid"), F.col(left_ts).cast("timestamp_ntz").alias("_ts"),
+    types = dict(right.dtypes)
+    row_type = left.select(F.struct(*left.columns).alias("r")).schema["r"].dataType
+    stays = left.select(key, F.struct(*left.columns).alias("_row"), F.col(left_ts).cast("timestamp_ntz").alias("_ts"),
                         _bucket(F.col(left_ts), tolerance_days).alias("_b"), F.lit(0).alias("_side"),
-                        F.lit(None).cast(id_type).alias("_rid"))
+                        F.lit(None).cast(types[right_id]).alias("_rid"), *[F.lit(None).cast(types[c]).alias(c) for c in carry])
     rb = _bucket(F.col(right_ts), tolerance_days)
-    events = right.select(F.col(key), *group, F.lit(None).cast(lid_type).alias("_lid"),
-                          F.col(right_ts).cast("timestamp_ntz").alias("_ts"), F.explode(F.array(rb, rb - 1)).alias("_b"),
-                          F.lit(1).alias("_side"), F.col(right_id).cast(id_type).alias("_rid"))
-    w = (Window.partitionBy(key, *group, "_b")
+    events = right.select(key, F.lit(None).cast(row_type).alias("_row"), F.col(right_ts).cast("timestamp_ntz").alias("_ts"),
+                          F.explode(F.array(rb, rb - 1)).alias("_b"), F.lit(1).alias("_side"), F.col(right_id).alias("_rid"), *carry)
+    w = (Window.partitionBy(key, "_b")
          .orderBy(F.col("_ts").desc(), F.col("_side").desc(), F.col("_rid").desc())
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    event = F.when(F.col("_side") == 1, F.struct(F.col("_ts").alias("ts"), F.col("_rid").alias("id")))
-    scanned = stays.unionByName(events).withColumn("_next", F.last(event, ignorenulls=True).over(w))
-    within = F.col("_next.ts") <= F.col("_ts") + F.make_dt_interval(days=F.lit(tolerance_days))
-    return (scanned.where(F.col("_side") == 0)
-            .select(F.col("_lid").alias(left_id), *group, F.when(within, F.col("_next")).alias(out)))
+    event = F.struct(F.col("_ts").alias("ts"), F.col("_rid").alias("id"))
+    seen = [F.last(F.when((F.col("_side") == 1) & c, event), ignorenulls=True).over(w) for c in (cells or [F.lit(True)])]
+    scanned = stays.unionByName(events).select("_row", "_ts", "_side", F.array(*seen).alias("_next")).where(F.col("_side") == 0)
+    latest = F.col("_ts") + F.make_dt_interval(days=F.lit(tolerance_days))
+    return scanned.select("_row.*", F.transform("_next", lambda e: F.when(e["ts"] <= latest, e)).alias(out))
 
 
 def asof_join(left: DataFrame, right: DataFrame, key: str, left_id: str, left_ts: str, right_id: str,
               right_ts: str, tolerance_days: int, how: str = "left") -> DataFrame:
-    """Left rows with the columns ``right_id, right_ts`` of their forward nearest match (NULL if none).
-
-    ``left_id`` must identify left rows.
-    """
-    best = asof_nearest(left.select(left_id, key, left_ts), right.select(right_id, key, right_ts),
-                        key, left_id, left_ts, right_id, right_ts, tolerance_days)
-    best = best.select(left_id, F.col("match.id").alias(right_id), F.col("match.ts").alias(right_ts))
-    if how == "inner":
-        best = best.where(F.col(right_id).isNotNull())
-    return left.join(best, left_id, how)
+    """Left rows with the columns ``right_id, right_ts`` of their forward nearest match (NULL if none)."""
+    best = asof_nearest(left, right.select(right_id, key, right_ts), key, left_ts, right_id, right_ts, tolerance_days, out="_match")
+    match = F.get("_match", 0)
+    best = best.select(*left.columns, match["id"].alias(right_id), match["ts"].alias(right_ts))
+    return best.where(F.col(right_id).isNotNull()) if how == "inner" else best

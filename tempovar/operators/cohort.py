@@ -91,7 +91,8 @@ NOTE_COLS = ["note_id", "person_id", "visit_occurrence_id", "note_datetime", "no
 
 
 def _cohort_persons(cohort: DataFrame) -> DataFrame:
-    return cohort.select("person_id")
+    """C4: each person once, so the side of the semi join is small before it is shuffled or broadcast."""
+    return cohort.select("person_id").distinct()
 
 
 def visit_outcome(p: Prepared, cohort: DataFrame, stay_type_regex: str, stay_source_regex: str) -> DataFrame:
@@ -153,13 +154,9 @@ def condition_outcome(p: Prepared, cohort: DataFrame, regex: str,
     return out
 
 
-def cohort_selection(core: Tables, reference: Tables, claims: Tables, study: Study = DEFAULT_STUDY,
-                     condition_source_system: str = C.SOURCE_CORE) -> dict[str, DataFrame]:
-    """The cohort and its nine outcome tables, lazily."""
-    p = prepare(core, reference, claims, condition_source_system)
-    cohort = cohort_visit(p, study)
+def outcome_tables(p: Prepared, cohort: DataFrame, condition_source_system: str = C.SOURCE_CORE) -> dict[str, DataFrame]:
+    """The nine outcome tables of a cohort (a stored one is read by each, not derived again)."""
     out = {
-        "cohort_visit": cohort,
         "hospit_visit": visit_outcome(p, cohort, C.HOSPIT_STAY_TYPE_REGEX, C.HOSPIT_STAY_SOURCE_REGEX),
         "emergency_visit": visit_outcome(p, cohort, C.EMERGENCY_STAY_TYPE_REGEX, C.EMERGENCY_STAY_SOURCE_REGEX),
         "consultation_note": consultation_note(p, cohort),
@@ -169,3 +166,11 @@ def cohort_selection(core: Tables, reference: Tables, claims: Tables, study: Stu
     for name, regex in C.CONDITION_REGEXES.items():
         out[name] = condition_outcome(p, cohort, regex, condition_source_system)
     return out
+
+
+def cohort_selection(core: Tables, reference: Tables, claims: Tables, study: Study = DEFAULT_STUDY,
+                     condition_source_system: str = C.SOURCE_CORE) -> dict[str, DataFrame]:
+    """The cohort and its nine outcome tables, lazily."""
+    p = prepare(core, reference, claims, condition_source_system)
+    cohort = cohort_visit(p, study)
+    return {"cohort_visit": cohort, **outcome_tables(p, cohort, condition_source_system)}

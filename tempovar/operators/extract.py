@@ -42,14 +42,14 @@ def filter_source(df: DataFrame, source_system: str) -> DataFrame:
 
 def clean_date(df: DataFrame, column: str) -> DataFrame:
     """Drop dates outside the nanosecond range, keep NULL, as zone-less timestamps."""
-    return df.where(in_ns_range(column)).withColumn(column, F.col(column).cast("timestamp_ntz"))
+    return df.where(in_ns_range(F.col(column))).withColumn(column, F.col(column).cast("timestamp_ntz"))
 
 
 def filter_valid(df: DataFrame, valid: str | None = None, invalid: str | None = None,
                  column: str = "row_status_source_value") -> DataFrame:
     """``valid=`` keeps equality; ``invalid=`` keeps everything else, NULL included."""
     if invalid is not None:
-        return df.where(F.coalesce(F.col(column) != F.lit(invalid), F.lit(True)))
+        return df.where((F.col(column) != F.lit(invalid)) | F.col(column).isNull())
     if valid is not None:
         return df.where(F.col(column) == F.lit(valid))
     raise ValueError("give valid= or invalid=")
@@ -73,6 +73,7 @@ def first_event(df: DataFrame, date_col: str, key: str = "visit_occurrence_id",
                 tie_break: Sequence[str] = ()) -> DataFrame:
     """The whole earliest row per key (trap T3), NULL dates last, then ``tie_break`` columns.
 
+    Rows without a key belong to no group and are dropped.
     Written as ``min(struct)`` per key: an aggregate with a map-side partial step,
     so a key holding a large share of the rows is combined before the shuffle
     instead of sorted inside one window partition.
@@ -80,7 +81,7 @@ def first_event(df: DataFrame, date_col: str, key: str = "visit_occurrence_id",
     rest = [c for c in df.columns if c not in (key, date_col, *tie_break)]
     order = [F.col(date_col).isNull().alias("_nulls_last"), F.col(date_col)]
     order += [F.col(c) for c in tie_break] + [F.col(c) for c in rest]
-    first = df.groupBy(key).agg(F.min(F.struct(*order)).alias("_first"))
+    first = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(F.struct(*order)).alias("_first"))
     return first.select(key, *[F.col(f"_first.{c}").alias(c) for c in df.columns if c != key])
 
 

@@ -1,24 +1,23 @@
 """Indicators (D5-D10, D14, E1, B16): readmission-style rates, event-during-stay rates, weekly incidence.
 
 Each function computes the naive indicator, or, given the per-visit stability
-extremes and the parameter cells, the complete-source-only indicator of every
-cell in the same job (4.2). The "All" care site (D14) is a roll-up done by
-exploding each row into its site and "All" right before a partial aggregate,
-so the hot "All" key is combined map-side. Stays duplicated by several GHM
-codes (trap T6) are carried as a multiplicity, so row-count semantics hold
-while the as-of join runs once per stay.
+answers, the complete-source-only indicator of every cell in the same job
+(4.2). The "All" care site (D14) is a roll-up done by exploding each row into
+its site and "All" right before a partial aggregate, so the hot "All" key is
+combined map-side. Stays duplicated by several GHM codes (trap T6) are carried
+as a multiplicity, so row-count semantics hold.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import season_year, week_start
 from .asof import asof_nearest
-from .stability import stable_in, with_cells
+from .stability import OK, Stability
 
 ALL = "All"
 ALL_MCD = "00 ALL"
@@ -48,18 +47,9 @@ def cohort_stays(cohort: DataFrame, index: Sequence[str] = ("care_site_id",)) ->
     return cohort.groupBy(*dict.fromkeys(keys)).agg(F.count("*").alias("mult"))
 
 
-def _keys(index: Sequence[str]) -> list[str]:
-    return list(index)
-
-
-def _stability_by(stability: DataFrame, name: str) -> DataFrame:
-    return stability.withColumnRenamed("visit_occurrence_id", name) if name != "visit_occurrence_id" else stability
-
-
 def duration_after_event(event_df: DataFrame, cohort: DataFrame, col_date: str,
                          thresholds: Sequence[int] = (30, 90), tolerance_days: int | None = None,
-                         index: Sequence[str] = ("care_site_id",), stability: DataFrame | None = None,
-                         cells: Column | None = None, with_t1: bool = False) -> DataFrame:
+                         index: Sequence[str] = ("care_site_id",), stability: Stability | None = None) -> DataFrame:
     """D5 (C13, C14, H8, D6, D7): share of stays followed by an event within each threshold.
 
     The as-of match is the nearest event of the same person at or after the stay
@@ -72,81 +62,85 @@ def duration_after_event(event_df: DataFrame, cohort: DataFrame, col_date: str,
     ev = (event_df.where(F.col(col_date).isNotNull())
           .select("visit_occurrence_id", "person_id", F.col(col_date).cast("timestamp_ntz").alias("event_ts"))
           .distinct())
-    left = stays.select("visit_cohort_id", "person_id", "cohort_stay_end")
-    group: list[str] = []
     if stability is not None:
-        ev = ev.join(stability, "visit_occurrence_id")
-    if cells is not None:
-        # stays x 48 cells; each event only into the cells where its visit is stable
-        left = with_cells(left, cells).select("visit_cohort_id", "person_id", "cohort_stay_end", "param_id")
-        ev = (with_cells(ev, cells).where(stable_in(with_t1=with_t1))
-              .select("visit_occurrence_id", "person_id", "event_ts", "param_id"))
-        group = ["param_id"]
-    best = asof_nearest(left, ev, "person_id", "visit_cohort_id", "cohort_stay_end", "visit_occurrence_id",
-                        "event_ts", tol, group).where(F.col("match").isNotNull())
-    matched = best.join(stays, "visit_cohort_id").where(F.col("match.id") != F.col("visit_cohort_id"))
+        ev = ev.join(stability.visits, "visit_occurrence_id")
+    found = asof_nearest(stays, ev, "person_id", "cohort_stay_end", "visit_occurrence_id", "event_ts", tol,
+                         OK if stability else (), stability.cells() if stability else None)
+    # from here on rows go straight into the partial aggregate
+    matched = (found.select("*", F.posexplode("match").alias("param_id", "_m")).drop("match")
+               .where(F.col("_m").isNotNull() & (F.col("_m.id") != F.col("visit_cohort_id"))))
     th = F.array(*[F.struct(F.lit(f"before_{t}_days").alias("threshold"), F.lit(int(t)).alias("days"))
                    for t in thresholds])
     flags = (matched.withColumn("_t", F.explode(th))
              .withColumn("threshold", F.col("_t.threshold"))
-             .withColumn("_has", (F.col("match.ts") - F.col("cohort_stay_end"))
+             .withColumn("_has", (F.col("_m.ts") - F.col("cohort_stay_end"))
                          <= F.make_dt_interval(days=F.col("_t.days"))))
-    flags = add_care_site(flags, index)
-    extra = ["param_id"] if cells is not None else []
-    n_events = (flags.groupBy(*_keys(index), "sub_cohort", "threshold", *extra)
+    extra = ["param_id"] if stability is not None else []
+    n_events = (add_care_site(flags, index).groupBy(*index, "sub_cohort", "threshold", *extra)
                 .agg(F.sum(F.when(F.col("_has"), F.col("mult")).otherwise(0)).cast("int").alias("n_events")))
-    n_total = (add_care_site(stays, index).groupBy(*_keys(index), "sub_cohort")
+    n_total = (add_care_site(stays, index).groupBy(*index, "sub_cohort")
                .agg(F.sum("mult").cast("long").alias("n_total")))
-    out = n_events.join(n_total, [*_keys(index), "sub_cohort"])
+    out = n_events.join(n_total, [*index, "sub_cohort"])
     return out.withColumn("rate", F.col("n_events") / F.col("n_total"))
 
 
+def _events_by_stay(event_df: DataFrame, stability: Stability | None) -> DataFrame:
+    """The visits with an event, as ``visit_cohort_id``, with their stability answers."""
+    ev = event_df.select("visit_occurrence_id").distinct()
+    if stability is not None:
+        ev = ev.join(stability.visits, "visit_occurrence_id")
+    return ev.withColumnRenamed("visit_occurrence_id", "visit_cohort_id")
+
+
+def _by_cell(classes: DataFrame, stability: Stability) -> DataFrame:
+    """Each class of equal answers once per cell, with ``stable``: classes are few, whatever the stays."""
+    flags = F.array(*[F.coalesce(c, F.lit(False)) for c in stability.cells()])
+    return classes.select("*", F.posexplode(flags).alias("param_id", "stable"))
+
+
 def event_during_stay(event_df: DataFrame, cohort: DataFrame, index: Sequence[str] = ("care_site_id",),
-                      stability: DataFrame | None = None, cells: Column | None = None,
-                      with_t1: bool = False, **_) -> DataFrame:
+                      stability: Stability | None = None, **_) -> DataFrame:
     """D8 (C17): share of stays with an event of the same visit.
 
     ``n_events`` sums a flag over cohort rows while ``n_total`` counts distinct
     stays, so a rate can pass 1 when stays are duplicated (T6), as in the study.
+    Stays are counted by site, month and stability answers before any cell or
+    the "All" site is expanded.
     """
-    stays = cohort_stays(cohort, index)
-    ev = event_df.select(F.col("visit_occurrence_id").alias("visit_cohort_id")).distinct()
-    if stability is not None:
-        ev = ev.join(_stability_by(stability, "visit_cohort_id"), "visit_cohort_id")
-    s = stays.join(ev.withColumn("_hit", F.lit(True)), "visit_cohort_id", "left")
+    ev = _events_by_stay(event_df, stability).withColumn("_hit", F.lit(True))
+    answers = OK if stability is not None else []
+    classes = (cohort_stays(cohort, index).join(ev, "visit_cohort_id", "left").groupBy(*index, "sub_cohort", *answers)
+               .agg(F.sum(F.when(F.col("_hit"), F.col("mult")).otherwise(0)).alias("_events"), F.count("*").alias("_total")))
     extra = []
-    if cells is not None:
-        s = with_cells(s, cells).withColumn("_hit", F.coalesce(F.col("_hit"), F.lit(False)) & stable_in(with_t1=with_t1))
+    if stability is not None:
+        classes = _by_cell(classes, stability).withColumn("_events", F.when(F.col("stable"), F.col("_events")).otherwise(0))
         extra = ["param_id"]
-    s = add_care_site(s, index)
-    out = (s.groupBy(*_keys(index), "sub_cohort", *extra)
-           .agg(F.sum(F.when(F.col("_hit"), F.col("mult")).otherwise(0)).cast("int").alias("n_events"),
-                F.count("*").cast("long").alias("n_total")))
+    out = (add_care_site(classes, index).groupBy(*index, "sub_cohort", *extra)
+           .agg(F.sum("_events").cast("int").alias("n_events"), F.sum("_total").cast("long").alias("n_total")))
     return out.withColumn("rate", F.col("n_events") / F.col("n_total"))
 
 
 def condition_incidence(event_df: DataFrame, cohort: DataFrame, index: Sequence[str] = ("care_site_id",),
-                        stability: DataFrame | None = None, cells: Column | None = None,
-                        with_t1: bool = False, **_) -> DataFrame:
+                        stability: Stability | None = None, **_) -> DataFrame:
     """D9 (C18, D10, E1, H7): weekly distinct stays with the condition, and the seasonal peak.
 
     Weeks start on Monday (T11); a season runs September to August (T19);
     ``max_events`` is set on the peak week of each (season, site) only, the
-    earliest week winning ties.
+    earliest week winning ties. A stay has one site, so distinct stays are counted
+    per site, week and stability answers, and those counts add up.
     """
-    ev = event_df.select(F.col("visit_occurrence_id").alias("visit_cohort_id")).distinct()
-    if stability is not None:
-        ev = ev.join(_stability_by(stability, "visit_cohort_id"), "visit_cohort_id")
-    hits = cohort.select("visit_cohort_id", "cohort_stay_start", *index).join(ev, "visit_cohort_id")
+    answers = OK if stability is not None else []
+    hits = (cohort.select("visit_cohort_id", week_start("cohort_stay_start").alias("sub_cohort"), *index).distinct()
+            .join(_events_by_stay(event_df, stability), "visit_cohort_id"))
+    classes = hits.groupBy(*index, "sub_cohort", *answers).agg(F.count("*").alias("_events"))
     extra = []
-    if cells is not None:
-        hits = with_cells(hits, cells).where(stable_in(with_t1=with_t1))
+    if stability is not None:
+        classes = _by_cell(classes, stability).where("stable")
         extra = ["param_id"]
-    hits = add_care_site(hits.withColumn("sub_cohort", week_start("cohort_stay_start")), index)
-    weekly = (hits.groupBy(*_keys(index), "sub_cohort", *extra)
-              .agg(F.countDistinct("visit_cohort_id").cast("int").alias("n_events"))
+    weekly = (add_care_site(classes, index).groupBy(*index, "sub_cohort", *extra)
+              .agg(F.sum("_events").cast("int").alias("n_events"))
               .withColumn("school_years", season_year("sub_cohort").cast("int")))
-    w = Window.partitionBy("school_years", *_keys(index), *extra).orderBy(F.col("n_events").desc(), "sub_cohort")
+    w = Window.partitionBy("school_years", *index, *extra).orderBy(F.col("n_events").desc(), "sub_cohort")
     return weekly.withColumn("max_events", F.when(F.row_number().over(w) == 1, F.col("n_events")))
 
 

@@ -5,18 +5,18 @@ Step model: ``c_hat(t) = c_0 * 1(t >= t_0)``. Rectangle model:
 over all months of the index. For a support ``A`` of ``n_A`` months the best
 level is the mean of ``c`` on ``A``, and the error is
 ``(sum(c^2) - sum_A(c)^2 / n_A) / T``. The step scans every ``t_0`` with
-suffix sums; the rectangle scans every pair ``t_0 <= t_1`` with prefix sums
-(a self-join of one index's months: ``T(T+1)/2`` pairs, about 11k for 150
-months). The smallest error wins, then the earliest ``t_0`` (then ``t_1``).
+suffix sums; the rectangle scans every pair ``t_0 <= t_1`` with prefix sums,
+inside one array expression per index. The smallest error wins, then the
+earliest ``t_0`` (then ``t_1``).
 Every partition is one index (one care site and label set), so no window or
 aggregate ever holds more than that index's months.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 META = {"date", "c", "c_hat"}
@@ -51,28 +51,38 @@ def fit_step(predictor: DataFrame, index: Sequence[str] | None = None) -> DataFr
                        F.col("_best.error").alias("error"))
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def fit_rectangle(predictor: DataFrame, index: Sequence[str] | None = None) -> DataFrame:
-    """``index..., t_0, t_1, c_0, error`` per index."""
+    """``index..., t_0, t_1, c_0, error`` per index.
+
+    One grouping per index: its months become an ordered array (at most the months of the
+    window), prefix sums give every support's sum, and the best pair is the least of an
+    array expression; no pair is ever a row.
+    """
     index = list(index or index_columns(predictor))
-    w_prefix = (Window.partitionBy(*index).orderBy("date")
-                .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    base = (_totals(predictor, index)
-            .withColumn("_p", F.sum("c").over(w_prefix))
-            .withColumn("_i", F.row_number().over(Window.partitionBy(*index).orderBy("date"))))
-    a = base.select(*[F.col(c).alias(f"a_{c}") for c in index], F.col("date").alias("t_0"),
-                    F.col("_p").alias("a_p"), F.col("c").alias("a_c"), F.col("_i").alias("a_i"))
-    b = base.select(*index, F.col("date").alias("t_1"), F.col("_p").alias("b_p"), F.col("_i").alias("b_i"),
-                    "_q", "_t")
-    on = [F.col(f"a_{c}").eqNullSafe(F.col(c)) for c in index] + [F.col("a_i") <= F.col("b_i")]
-    pairs = (b.join(a, on)
-             .withColumn("_s", F.col("b_p") - F.col("a_p") + F.col("a_c"))
-             .withColumn("_n", F.col("b_i") - F.col("a_i") + 1)
-             .withColumn("c_0", F.col("_s") / F.col("_n"))
-             .withColumn("error", (F.col("_q") - F.col("_s") * F.col("_s") / F.col("_n")) / F.col("_t")))
-    best = pairs.groupBy(*index).agg(
-        F.min(F.struct(F.round("error", 12).alias("e"), "t_0", "t_1", "c_0", "error")).alias("_best"))
-    return best.select(*index, F.col("_best.t_0").alias("t_0"), F.col("_best.t_1").alias("t_1"),
-                       F.col("_best.c_0").alias("c_0"), F.col("_best.error").alias("error"))
+    months = (predictor.select(*index, "date", F.col("c").cast("double").alias("c")).groupBy(*index)
+              .agg(F.array_sort(F.collect_list(F.struct("date", "c"))).alias("m")))
+
+    def best(prefix: Column) -> Column:
+        size, square = F.size("m"), F.aggregate("m", F.lit(0.0), lambda acc, x: acc + x["c"] * x["c"])
+
+        def over(q: Column) -> Column:
+            def support(a: Column, b: Column) -> Column:
+                total, n = F.get(prefix, b + 1) - F.get(prefix, a), b - a + 1
+                error = (q - total * total / n) / size
+                return F.struct(F.round(error, 12).alias("e"), F.get("m", a)["date"].alias("t_0"), F.get("m", b)["date"].alias("t_1"),
+                                (total / n).alias("c_0"), error.alias("error"))
+            return F.array_min(F.transform(F.sequence(F.lit(0), size - 1), lambda a: F.array_min(
+                F.transform(F.sequence(a, size - 1), lambda b: support(a, b)))))
+        return _let(square, over)
+
+    sums = F.aggregate("m", F.array(F.lit(0.0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x["c"])))
+    fitted = months.withColumn("_best", _let(sums, best))
+    return fitted.select(*index, *[F.col(f"_best.{c}").alias(c) for c in ("t_0", "t_1", "c_0", "error")])
 
 
 def predict(predictor: DataFrame, estimates: DataFrame, index: Sequence[str] | None = None) -> DataFrame:

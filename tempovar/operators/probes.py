@@ -139,20 +139,20 @@ def _per_visit(site_visits: DataFrame, flagged: DataFrame, index: Sequence[str],
                labels: Sequence[Mapping[str, str]], n_name: str, study: Study) -> DataFrame:
     """Share of a site's visits (by visit month) having >= 1 flagged record; 0 when there is no visit.
 
-    The denominator is repeated for each label combination of the regex sets by
-    exploding a literal array (the combinations are fixed by the configuration).
+    One pass over the site-visits: a visit's label combinations are a set (bounded by the
+    configuration), and one grouping counts the visits and, per combination, those that
+    have it; the combinations become rows after it.
     """
     label_cols = list(labels[0].keys())
-    combos = F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in combo.items()]) for combo in labels])
-    # site_visits rows are unique per (visit, site, stay-type label), flagged rows per (visit, labels):
-    # plain counts are distinct visit counts
-    den = (site_visits.groupBy(*[c for c in index if c not in label_cols], "date")
-           .agg(F.count("*").alias("n_visit"))
-           .withColumn("_labels", F.explode(combos))
-           .select("*", *[F.col(f"_labels.{c}").alias(c) for c in label_cols]).drop("_labels"))
-    hit = (site_visits.join(flagged, "visit_occurrence_id")
-           .groupBy(*index, "date").agg(F.count("*").alias(n_name)))
-    counts = den.join(hit, [*index, "date"], "left").fillna(0, subset=[n_name])
+    combos = [F.struct(*[F.lit(v).alias(k) for k, v in combo.items()]) for combo in labels]
+    sets = flagged.groupBy("visit_occurrence_id").agg(F.collect_set(F.struct(*label_cols)).alias("_labels"))
+    # site_visits rows are unique per (visit, site, stay-type label): counts of rows are counts of visits
+    wide = (site_visits.join(sets, "visit_occurrence_id", "left")
+            .groupBy(*[c for c in index if c not in label_cols], "date")
+            .agg(F.count("*").alias("n_visit"),
+                 F.array(*[F.struct(combo.alias("l"), F.count_if(F.array_contains("_labels", combo)).alias("n")) for combo in combos]).alias("_n")))
+    counts = (wide.withColumn("_n", F.explode("_n"))
+              .select(*[F.col(f"_n.l.{c}").alias(c) if c in label_cols else F.col(c) for c in index], "date", "n_visit", F.col("_n.n").alias(n_name)))
     counts = zero_filled(counts, index, ["n_visit", n_name], study)
     return counts.withColumn("c", F.when(F.col("n_visit") > 0, F.col(n_name) / F.col("n_visit"))
                              .otherwise(F.lit(0.0)))
@@ -175,7 +175,7 @@ def note_per_visit_probe(p: Prepared, study: Study = DEFAULT_STUDY,
     """Share of visits with at least one note of the type set, per site, stay-type set and month."""
     site_visits = _site_visits(p, study, levels, stay_types)
     flagged = fan_out(p.note.select("visit_occurrence_id", "note_type"), "note_type_set", "note_type", note_types)
-    flagged = flagged.select("visit_occurrence_id", F.col("note_type_set").alias("note_type")).distinct()
+    flagged = flagged.select("visit_occurrence_id", F.col("note_type_set").alias("note_type"))
     index = SITE + ["stay_type", "note_type"]
     return _per_visit(site_visits, flagged, index, [{"note_type": k} for k in note_types],
                       "n_visit_with_note", study)
@@ -202,7 +202,7 @@ def condition_probe(p: Prepared, study: Study = DEFAULT_STUDY,
     index = SITE + ["stay_type"] + labels
     if per_visit:
         site_visits = _site_visits(p, study, levels, stay_types)
-        flagged = conds.select("visit_occurrence_id", *labels).distinct()
+        flagged = conds.select("visit_occurrence_id", *labels)
         combos = [{"condition_type": ct, "diag_type": dt, "source_system": ss}
                   for ct in condition_types for dt in diag_types for ss in source_systems]
         return _per_visit(site_visits, flagged, index, combos, "n_visit_with_condition", study)

@@ -6,18 +6,19 @@ estimate row matched by every care site of the visit has ``t_0 <= start``,
 no estimate, or a NULL in any of these, makes the visit unstable. An AND of
 threshold tests is a test on extremes, so one aggregate per visit,
 ``max(t_0), max(error), min(c_0), min(t_1)`` plus a ``bad`` flag, answers all
-cells at once. The 48 cells are one array built by a scalar subquery over the
-one-row threshold aggregate; rows are fanned out over it with ``explode`` (a
-bounded x48 generator, no join) and kept where the cell's test holds.
+cells at once: a visit carries one short array of answers per dimension of the
+grid (``visit_cells``), and a cell is an AND over the three. Nothing is copied
+per cell before it is aggregated.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
+from itertools import product
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .. import config as C
 from ..config import Outcome
@@ -63,23 +64,49 @@ def visit_extremes(event_df: DataFrame, estimates: DataFrame, care_site_level: s
                    visit_col: str = "visit_occurrence_id", with_t1: bool = False) -> DataFrame:
     """D4 folded: per visit ``max_t0, max_error, min_c0[, min_t1], bad`` over its sites' estimate rows.
 
-    ``estimates`` must already be filtered (B14). The join is a plain left join;
-    the estimates are one row per site and label set, so AQE broadcasts them
-    after measuring them.
+    ``estimates`` must already be filtered (B14). They are reduced to one row of extremes per
+    site first, so an event row meets at most one; AQE broadcasts them after measuring them,
+    and a visit's repeated sites are one before the join.
     """
     col = site_column(care_site_level)
-    rows = level_rows(event_df, care_site_level).select(visit_col, F.col(col).cast("long").alias("_site"))
-    est = estimates.select(F.col("care_site_id").cast("long").alias("_site"), "t_0", "error", "c_0",
-                           *(["t_1"] if with_t1 else []))
-    j = rows.join(est, "_site", "left")
+    rows = level_rows(event_df, care_site_level).select(visit_col, F.col(col).cast("long").alias("_site")).distinct()
     bad = F.col("t_0").isNull() | F.col("error").isNull() | F.col("c_0").isNull()
     if with_t1:
         bad = bad | F.col("t_1").isNull()
-    aggs = [F.max("t_0").alias("max_t0"), F.max("error").alias("max_error"), F.min("c_0").alias("min_c0"),
-            F.bool_or(bad).alias("bad")]
-    if with_t1:
-        aggs.append(F.min("t_1").alias("min_t1"))
-    return j.groupBy(visit_col).agg(*aggs)
+    extremes = [F.max("t_0").alias("max_t0"), F.max("error").alias("max_error"), F.min("c_0").alias("min_c0"),
+                *([F.min("t_1").alias("min_t1")] if with_t1 else [])]
+    site = estimates.groupBy(F.col("care_site_id").cast("long").alias("_site")).agg(*extremes, F.bool_or(bad).alias("bad"))
+    again = [F.max("max_t0").alias("max_t0"), F.max("max_error").alias("max_error"), F.min("min_c0").alias("min_c0"),
+             *([F.min("min_t1").alias("min_t1")] if with_t1 else [])]
+    return rows.join(site, "_site", "left").groupBy(visit_col).agg(*again, F.bool_or(F.coalesce("bad", F.lit(True))).alias("bad"))
+
+
+@dataclass(frozen=True)
+class Stability:
+    """Per visit, which start dates, error limits and levels it passes (``OK`` columns); the grid's shape."""
+
+    visits: DataFrame
+    shape: tuple[int, int, int]
+
+    def cells(self) -> list[Column]:
+        """The condition of each cell over the ``OK`` columns, by ``param_id``."""
+        return [F.get(OK[0], s) & F.get(OK[1], e) & F.get(OK[2], c) for s, e, c in product(*map(range, self.shape))]
+
+
+OK = ["ok_start", "ok_error", "ok_c_0"]
+
+
+def visit_cells(extremes: DataFrame, thresholds: DataFrame, start_dates: Sequence[str], end_date: str | None = None) -> Stability:
+    """I9 for all cells: the visit's answers in each dimension (a NULL extreme or a bad site passes none)."""
+    good = ~F.col("bad")
+    if end_date:
+        good = good & (F.col("min_t1") >= F.lit(end_date).cast("date"))
+    starts = [F.coalesce(good & (F.col("max_t0") <= F.lit(s).cast("date")), F.lit(False)) for s in start_dates]
+    limits, floors = thresholds.select("max_errors").scalar(), thresholds.select("min_c_0s").scalar()
+    errors = [F.coalesce(F.col("max_error") <= F.get(limits, i), F.lit(False)) for i in range(len(ERROR_LABELS))]
+    levels = [F.coalesce(F.col("min_c0") >= F.get(floors, i), F.lit(False)) for i in range(len(C0_LABELS))]
+    visits = extremes.select(extremes.columns[0], *[F.array(*a).alias(c) for a, c in zip((starts, errors, levels), OK, strict=True)])
+    return Stability(visits, (len(starts), len(errors), len(levels)))
 
 
 def stable_in(params_prefix: str = "p_", with_t1: bool = False) -> Column:
@@ -205,19 +232,3 @@ def stable_site_counts(estimates: DataFrame, cells: Column, care_site_level: str
     ok = site_stable(F.col("p_start"), F.col("p_max_error"), F.col("p_min_c_0"), end)
     return (est.groupBy("param_id")
             .agg(F.countDistinct(F.when(ok, F.col("care_site_id"))).cast("long").alias("cso_cs_count")))
-
-
-def cohort_stability_filter(cohort: DataFrame, visit_estimates: DataFrame, stability_date: str,
-                            stay_type: str = "hospitalisés") -> tuple[DataFrame, DataFrame]:
-    """Keep stays of hospitals complete at ``stability_date`` (no error / level limit)."""
-    return_count, rows = filter_stable_visits(cohort, visit_estimates, stability_date, C.LEVEL_HOSPITAL,
-                                              visit_col="visit_cohort_id", stay_type=stay_type)
-    return return_count, rows
-
-
-def empty_estimates(spark: SparkSession) -> DataFrame:
-    schema = T.StructType([T.StructField("care_site_level", T.StringType()),
-                           T.StructField("care_site_id", T.LongType()),
-                           T.StructField("t_0", T.DateType()), T.StructField("c_0", T.DoubleType()),
-                           T.StructField("error", T.DoubleType())])
-    return spark.createDataFrame([], schema)

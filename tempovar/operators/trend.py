@@ -3,45 +3,35 @@
 Each partition (site, threshold, parameter cell, analysis) counts the months
 from its start date to the last month of the whole table, missing ones as 0
 (T16, T17); ``x`` is the month index. The zero-filled least squares is done in
-closed form from three sums over the observed rows (``fill_months`` keeps the
-explicit grid for datasets that want the filled series). Only the p-value
-and the 95 % intervals need the Student-t distribution: an Arrow-batched
-pandas UDF on the aggregated rows (one row per partition).
+closed form from three sums over the observed rows. The p-value and the 95 %
+intervals take the Student-t distribution as column expressions.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.dates import month_diff
-from ..functions.stats import p_values, quantiles
+from ..functions.stats import t_quantile, t_two_sided_p
 
 TREND_INDEX = ["MCD", "care_site_id", "threshold", "param_id", "start_observation_date", "max_error", "min_c_0",
                "max_error_label", "min_c_0_label", "analysis", "outcome_name"]
 
 
+#: Differences of sums below this share of the sums are round-off.
+ROUND_OFF = 1e-12
+
+
 def trend_index(df: DataFrame) -> list[str]:
     return [c for c in TREND_INDEX if c in df.columns]
 
 
-def fill_months(df: DataFrame, y: str, x: str = "sub_cohort", index: Sequence[str] | None = None,
-                start_col: str = "start_observation_date") -> DataFrame:
-    """Each partition x months ``[its start date, global last month]``, missing ``y`` = 0."""
-    index = list(index or trend_index(df))
-    last = df.agg(F.max(x)).scalar()
-    grid = (df.select(*index).distinct()
-            .withColumn(x, F.explode(F.sequence(F.col(start_col).cast("date"), last.cast("date"),
-                                                F.expr("interval 1 month")))))
-    data = df.select(*index, F.col(x).cast("date").alias(x), F.col(y).cast("double").alias(y))
-    on = [grid[c].eqNullSafe(data[c]) for c in index] + [grid[x] == data[x]]
-    joined = grid.join(data, on, "left").select(*[grid[c] for c in index], grid[x], F.coalesce(data[y], F.lit(0.0)).alias(y))
-    return joined
+def _settled(value: Column, scale: Column) -> Column:
+    """Zero in place of what is only round-off beside ``scale``."""
+    return F.when(F.abs(value) <= ROUND_OFF * scale, F.lit(0.0)).otherwise(value)
 
 
 def linear_trend(df: DataFrame, y: str = "rate", x: str = "sub_cohort", index: Sequence[str] | None = None,
@@ -67,49 +57,47 @@ def linear_trend(df: DataFrame, y: str = "rate", x: str = "sub_cohort", index: S
     sum_x = n * (n - 1) / 2.0
     sxx = n * (n * n - 1) / 12.0
     sxy = F.col("_sxy_raw") - sum_x * F.col("_sy") / n
-    syy = F.col("_syy_raw") - F.col("_sy") * F.col("_sy") / n
+    syy = _settled(F.col("_syy_raw") - F.col("_sy") * F.col("_sy") / n, F.col("_syy_raw"))
     spread = sxx > 0
-    slope = F.when(spread, sxy / sxx)
+    slope = F.when(spread, _settled(sxy, F.sqrt(F.col("_syy_raw") * sxx)) / sxx)
     out = (agg.withColumn("alpha_1", slope)
            .withColumn("alpha_0", F.when(spread, F.col("_sy") / n - slope * (n - 1) / 2.0))
            .withColumn("mean_value", F.col("_sy") / n))
     ok = (F.col("n") >= 3) & spread
-    resid = F.greatest(syy - sxy * sxy / sxx, F.lit(0.0))
+    resid = F.greatest(_settled(syy - sxy * sxy / sxx, F.col("_syy_raw")), F.lit(0.0))
     out = (out.withColumn("se_alpha_1", F.when(ok, F.sqrt(resid / (n - 2) / sxx)))
               .withColumn("se_alpha_0", F.when(ok, F.sqrt(resid / (n - 2) * (1.0 / n + ((n - 1) / 2.0) ** 2 / sxx))))
               .withColumn("t_alpha_1", F.when(ok & (F.col("se_alpha_1") > 0), F.col("alpha_1") / F.col("se_alpha_1"))))
     return out.drop("_sy", "_sxy_raw", "_syy_raw")
 
 
-@F.pandas_udf(T.DoubleType())
-def _p_value(t: pd.Series, dof: pd.Series) -> pd.Series:
-    return pd.Series(p_values(t.to_numpy(dtype=float, na_value=np.nan), dof.to_numpy(dtype=float, na_value=np.nan)))
-
-
-@F.pandas_udf(T.DoubleType())
-def _t975(dof: pd.Series) -> pd.Series:
-    return pd.Series(quantiles(0.975, dof.to_numpy(dtype=float, na_value=np.nan)))
-
-
 def significance(trend: DataFrame) -> DataFrame:
-    """Two-sided slope p-value and 95 % intervals of both coefficients."""
-    dof = (F.col("n") - 2).cast("double")
-    out = (trend.withColumn("p_value", F.when(F.col("t_alpha_1").isNotNull(), _p_value(F.col("t_alpha_1"), dof)))
-           .withColumn("_q", F.when(F.col("n") >= 3, _t975(dof))))
+    """Two-sided slope p-value and 95 % intervals of both coefficients.
+
+    An exact fit with a slope has p = 0; without one (all values equal) p is NULL. The
+    quantile is worked out once per number of months.
+    """
+    dof = F.col("n") - 2
+    exact = (F.col("se_alpha_1") == 0) & (F.col("alpha_1") != 0)
+    same = Window.partitionBy("n")
+    once = F.when((F.row_number().over(same.orderBy(F.lit(1))) == 1) & (dof >= 1), t_quantile(0.975, dof))
+    out = (trend.withColumn("p_value", F.when(exact, F.lit(0.0))
+                            .when(F.col("t_alpha_1").isNotNull(), t_two_sided_p(F.col("t_alpha_1"), dof)))
+           .withColumn("_once", once).withColumn("_q", F.max("_once").over(same)))
     for c in ("alpha_0", "alpha_1"):
         out = (out.withColumn(f"{c}_ci_low", F.col(c) - F.col("_q") * F.col(f"se_{c}"))
                   .withColumn(f"{c}_ci_high", F.col(c) + F.col("_q") * F.col(f"se_{c}")))
-    return out.drop("_q")
+    return out.drop("_once", "_q")
 
 
 def _sci(c: Column) -> Column:
-    return F.format_string("%.2e", c)
+    return F.when(c.isNotNull(), F.format_string("%.2e", c))
 
 
 def as_text(trend: DataFrame) -> DataFrame:
-    """``estimate [low, high]`` in scientific notation; p below 0.001 as ``< 10e-3``."""
+    """``estimate [low, high]`` in scientific notation; p below 0.001 as ``< 10e-3``; NULL stays NULL."""
     out = trend.withColumn("p_value_text", F.when(F.col("p_value") < 0.001, F.lit("< 10e-3"))
-                           .otherwise(F.format_string("%.3f", F.col("p_value"))))
+                           .when(F.col("p_value").isNotNull(), F.format_string("%.3f", F.col("p_value"))))
     for c in ("alpha_0", "alpha_1"):
         out = out.withColumn(f"{c}_text", F.concat(_sci(F.col(c)), F.lit(" ["), _sci(F.col(f"{c}_ci_low")),
                                                     F.lit(", "), _sci(F.col(f"{c}_ci_high")), F.lit("]")))

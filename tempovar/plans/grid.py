@@ -1,13 +1,13 @@
 """Statistical analysis over the parameter grid.
 
 One job per outcome computes the naive indicator once and the complete-source
--only indicator of all 48 cells at once (stability folded into per-visit
-extremes, cells fanned out by ``explode``), then stacks both in one long table
-with an ``analysis`` column.
+-only indicator of all cells at once (stability folded into per-visit answers),
+then stacks both in one long table with an ``analysis`` column.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -17,8 +17,8 @@ from .. import config as C
 from ..config import DEFAULT_STUDY, Outcome, Study
 from ..operators.indicators import KEY_FUNCTIONS, add_mcd
 from ..operators.stability import (cells_frame, cells_subquery, estimate_parameters, filter_estimates,
-                                   filter_stable_visits, outcome_filters, parameter_grid, stable_site_counts,
-                                   visit_extremes, with_cells)
+                                   filter_stable_visits, level_rows, outcome_filters, parameter_grid, stable_site_counts,
+                                   visit_cells, visit_extremes, with_cells)
 
 PARAM_COLS = ["param_id", "start_observation_date", "max_error", "min_c_0", "max_error_label", "min_c_0_label"]
 COHORT_COLS = ["visit_cohort_id", "person_id", "care_site_id", "cohort_stay_start", "cohort_stay_end",
@@ -47,35 +47,67 @@ def _kwargs(outcome: Outcome, study: Study) -> dict:
     return {}
 
 
+def outcome_thresholds(estimates: DataFrame, outcome: Outcome) -> DataFrame:
+    """D11 for an outcome: one row, from which all its cells follow."""
+    return estimate_parameters(estimates, outcome.care_site_level, **outcome_filters(outcome))
+
+
 def statistical_analysis(cohort_all: DataFrame, event_df: DataFrame, estimates: DataFrame, outcome: Outcome,
-                         study: Study = DEFAULT_STUDY) -> DataFrame:
-    """Naive (copied to each cell, from its start date on) + CSO per cell, one table."""
+                         study: Study = DEFAULT_STUDY, thresholds: DataFrame | None = None,
+                         sensibility_variables: Sequence[str] = ("care_site_id",)) -> DataFrame:
+    """Naive (copied to each cell, from its start date on) + CSO per cell, one table.
+
+    ``sensibility_variables`` are the grouping columns beside the month (``care_site_id``, ``MCD``);
+    ``thresholds`` is the stored row of ``outcome_thresholds``, worked out if not given.
+    """
     level = outcome.care_site_level
     filters = outcome_filters(outcome)
     est = filter_estimates(estimates, level, **filters)
     end = study.last_month if outcome.use_end_date and "t_1" in estimates.columns else None
     with_t1 = end is not None
-    thresholds = estimate_parameters(estimates, level, **filters)
+    thresholds = outcome_thresholds(estimates, outcome) if thresholds is None else thresholds
     cells = cells_subquery(thresholds, study.start_observation_dates, end)
     params = F.broadcast(parameter_grid(thresholds, study.start_observation_dates, end).select(*PARAM_COLS))
     fn = KEY_FUNCTIONS[outcome.key_function]
-    kw = _kwargs(outcome, study)
+    kw = _kwargs(outcome, study) | {"index": list(sensibility_variables)}
 
     naive = fn(event_df, cohort_all, **kw)
     naive = (with_cells(naive, cells).where(F.col("sub_cohort") >= F.col("p_start"))
              .select(*naive.columns, *[F.col(c if c == "param_id" else f"p_{c}").alias(c) for c in PARAM_COLS])
              .withColumn("analysis", F.lit(C.NAIVE)))
 
-    stability = visit_extremes(event_df, est, level, "visit_occurrence_id", with_t1)
-    cso = fn(event_df, cohort_all, stability=stability, cells=cells, with_t1=with_t1, **kw)
+    extremes = visit_extremes(event_df, est, level, "visit_occurrence_id", with_t1)
+    stability = visit_cells(extremes, thresholds, study.start_observation_dates, end)
+    # complete sources: rows of the level first, then the stable visits (the naive form keeps every row)
+    cso = fn(level_rows(event_df, level), cohort_all, stability=stability, **kw)
     cso = (cso.join(params, "param_id")
            .where(F.col("sub_cohort") >= F.col("start_observation_date").cast("date"))
            .withColumn("analysis", F.lit(C.CSO)))
     return naive.unionByName(cso.select(*naive.columns))
 
 
+# The columns of the long table over all outcomes (A5, G2), with their types.
+INDICATOR_COLUMNS = {"care_site_id": "string", "sub_cohort": "date", "threshold": "string", "n_events": "int", "n_total": "long",
+                     "rate": "double", "school_years": "int", "max_events": "int", "param_id": "int",
+                     "start_observation_date": "string", "max_error": "double", "min_c_0": "double",
+                     "max_error_label": "string", "min_c_0_label": "string", "analysis": "string"}
+#: Those that only some kinds of outcome have.
+OWN_COLUMNS = {"duration_after": ["threshold", "n_total", "rate"], "during_stay": ["n_total", "rate"], "incidence": ["school_years", "max_events"]}
+
+
+def union_schema(indicator: DataFrame) -> DataFrame:
+    """A5: every column of the long table, typed NULL where the outcome has none."""
+    return indicator.select(*[(F.col(c) if c in indicator.columns else F.lit(None)).cast(t).alias(c) for c, t in INDICATOR_COLUMNS.items()])
+
+
+def own_schema(rows: DataFrame, outcome: Outcome) -> DataFrame:
+    """The columns that an outcome of this kind has."""
+    optional = {c for own in OWN_COLUMNS.values() for c in own} - set(OWN_COLUMNS[outcome.key_function])
+    return rows.select(*[c for c in INDICATOR_COLUMNS if c not in optional])
+
+
 def cs_count_summary(cs_count: DataFrame, estimates: DataFrame, outcome: Outcome, hospital_count: DataFrame,
-                     study: Study = DEFAULT_STUDY) -> DataFrame:
+                     study: Study = DEFAULT_STUDY, thresholds: DataFrame | None = None) -> DataFrame:
     """I17 (D11, D12, C22): per cell, sites at the level, active sites, stable sites.
 
     Cells join on the integer ``param_id`` (not on float thresholds), so equal
@@ -84,7 +116,7 @@ def cs_count_summary(cs_count: DataFrame, estimates: DataFrame, outcome: Outcome
     level = outcome.care_site_level
     filters = outcome_filters(outcome)
     end = study.last_month if outcome.use_end_date and "t_1" in estimates.columns else None
-    thresholds = estimate_parameters(estimates, level, **filters)
+    thresholds = outcome_thresholds(estimates, outcome) if thresholds is None else thresholds
     cells = cells_subquery(thresholds, study.start_observation_dates, end)
     cso = stable_site_counts(estimates, cells, level, with_t1=end is not None, **filters)
     grid = (cells_frame(thresholds.withColumnRenamed("active_cs_count", "naive_cs_count"),

@@ -281,8 +281,11 @@ def fitted_examples(predictor: DataFrame, estimates: DataFrame, site_ids: Sequen
             .select("date", "care_site_short_name", "c", "c_hat"))
 
 
-def write_reports(spark, pipeline, out_dir: str, mode: str = "overwrite") -> dict[str, str]:
-    """Figure and summary datasets as CSV with a header, the warehouse record as JSON."""
+def write_reports(pipeline, out_dir: str, mode: str = "overwrite") -> dict[str, str]:
+    """Figure and summary datasets as CSV with a header, the warehouse record as JSON.
+
+    Meant for the pipeline that ``run_study`` gives back: every dataset reads its stored stages.
+    """
     from ..sources.sinks import write_csv, write_json
 
     est = {n: pipeline.estimates(n) for n in ["visit", "note", "note_per_visit", "condition", "icu_rectangle"]}
@@ -304,5 +307,5 @@ def write_reports(spark, pipeline, out_dir: str, mode: str = "overwrite") -> dic
         else:
             datasets[f"aligned_{name}"] = left_edge_aligned(ind)
     for name, df in datasets.items():
-        out[name] = write_csv(df.coalesce(1), f"{out_dir}/{name}", mode)  # small report tables: one file each
+        out[name] = write_csv(df, f"{out_dir}/{name}", mode)
     return out

@@ -7,20 +7,26 @@ between stages (a lost executor recomputes from the last written stage only).
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
-from functools import cached_property
+from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .. import config as C
 from ..config import DEFAULT_STUDY, OUTCOMES, Study
 from ..operators import models as M
 from ..operators import probes as P
-from ..operators.cohort import Prepared, cohort_selection, prepare
+from ..operators.cohort import Prepared, cohort_selection, cohort_visit, outcome_tables, prepare
+from ..sources.sinks import write_table
 from ..sources.tables import Tables
 from . import grid as G
 
+PROBES = ["visit", "icu", "note", "note_per_visit", "condition_per_visit", "condition"]
+MODELS = ["visit", "icu_rectangle", "note", "note_per_visit", "condition", "condition_per_condition"]
+
 
 @dataclass
 class Pipeline:
@@ -91,68 +97,114 @@ class Pipeline:
         o = OUTCOMES[outcome_name]
         event_df = self.outcomes[outcome_name.replace("_rectangle", "")]
         return G.statistical_analysis(self.analysis_cohort.cohort_all, event_df, self.estimates(o.estimates), o,
-                                      self.study)
+                                      self.study, self.thresholds(outcome_name))
+
+    def indicator_by_group(self, outcome_name: str) -> DataFrame:
+        """The indicator per site and diagnosis group, on the per-group subset of the cohort."""
+        o = OUTCOMES[outcome_name]
+        return G.statistical_analysis(self.analysis_cohort.cohort_mcd, self.outcomes[outcome_name.replace("_rectangle", "")],
+                                      self.estimates(o.estimates), o, self.study, self.thresholds(outcome_name), ("care_site_id", "MCD"))
+
+    def thresholds(self, outcome_name: str) -> DataFrame:
+        o = OUTCOMES[outcome_name]
+        return G.outcome_thresholds(self.estimates(o.estimates), o)
+
+    def release(self) -> None:
+        """Give back what the lazy pipeline persisted."""
+        for df in [*self.__dict__.get("_estimates", {}).values(), *([self.analysis_cohort.cohort_all] if "analysis_cohort" in self.__dict__ else [])]:
+            df.unpersist()
 
     def count_summary(self, outcome_name: str) -> DataFrame:
         o = OUTCOMES[outcome_name]
         return G.cs_count_summary(self.care_site_counts(), self.estimates(o.estimates), o,
-                                  self.analysis_cohort.hospital_count, self.study)
+                                  self.analysis_cohort.hospital_count, self.study, self.thresholds(outcome_name))
+
+
+@dataclass
+class StoredPipeline(Pipeline):
+    """A pipeline that reads back each stage that has been written, by its name in ``held``."""
+
+    held: dict[str, DataFrame] = field(default_factory=dict)
+
+    @property
+    def outcomes(self) -> dict[str, DataFrame]:  # type: ignore[override]
+        return {k.removeprefix("cohort/"): df for k, df in self.held.items() if k.startswith("cohort/")}
+
+    def probe(self, name: str) -> DataFrame:
+        return self.held[f"probes/{name}"] if f"probes/{name}" in self.held else super().probe(name)
+
+    def estimates(self, name: str) -> DataFrame:
+        return self.held[f"models/{name}"] if f"models/{name}" in self.held else self._fit(name)
+
+    def thresholds(self, outcome_name: str) -> DataFrame:
+        key = f"thresholds/{outcome_name}"
+        return self.held[key] if key in self.held else super().thresholds(outcome_name)
+
+    def care_site_counts(self) -> DataFrame:
+        return self.held["cs_count"] if "cs_count" in self.held else super().care_site_counts()
+
+    @property
+    def analysis_cohort(self) -> G.AnalysisCohort:  # type: ignore[override]
+        ac = G.analysis_cohort(self.outcomes["cohort_visit"], self.estimates("visit"), self.study)
+        return G.AnalysisCohort(self.held.get("analysis/cohort_all", ac.cohort_all), self.held.get("analysis/cohort_mcd", ac.cohort_mcd),
+                                self.held.get("analysis/hospital_count", ac.hospital_count))
+
+    def indicator(self, outcome_name: str) -> DataFrame:
+        key = f"indicators/{outcome_name}"
+        return self.held[key] if key in self.held else super().indicator(outcome_name)
+
+    def count_summary(self, outcome_name: str) -> DataFrame:
+        if "cs_count_summary" in self.held:
+            return self.held["cs_count_summary"].where(F.col("outcome_name") == outcome_name)
+        return super().count_summary(outcome_name)
+
+
+def all_indicators(spark: SparkSession, out_dir: str) -> DataFrame:
+    """A5 read back: one long table over all outcomes, with ``outcome_name``."""
+    return spark.read.parquet(f"{out_dir}/indicators")
 
 
 def run_study(spark: SparkSession, pipeline: Pipeline, out_dir: str, mode: str = "overwrite",
               on_stage: Callable[[str, float], None] | None = None,
-              materialize_inputs: bool = False) -> dict[str, str]:
-    """Write every stage to ``out_dir`` and read each back before the next stage uses it.
-
-    Stage outputs are the lineage cuts: cohort tables (A3), probes / estimates /
-    site counts (A4), the analysis cohort, then one indicator partition per
-    outcome (``indicators/outcome_name=...``, one dataset for all outcomes) and
-    the count summary (A5). ``on_stage(name, seconds)`` receives stage timings.
-    ``materialize_inputs`` first stores the input tables (for inputs that are
-    views, such as the surrogate warehouse of the tests).
+              materialize_inputs: bool = False) -> StoredPipeline:
+    """Write every stage to ``out_dir``; the pipeline that comes back reads what was written.
+
+    The stage outputs are the lineage cuts, each read back by all that follow: the cohort before
+    the outcome tables (A3), probes / estimates / site counts (A4), threshold rows, the analysis
+    cohort, one indicator partition per outcome under one schema
+    (``indicators/outcome_name=...``) and the count summary (A5). ``on_stage(name, seconds)``
+    receives stage timings, plan building included. ``materialize_inputs`` first stores the
+    input tables (for inputs that are views, such as the surrogate warehouse of the tests).
     """
-    import time
-
-    from pyspark.sql import functions as F
-
-    from ..sources.sinks import write_table
+    done = StoredPipeline(pipeline.core, pipeline.reference, pipeline.claims, pipeline.study)
 
-    def stage(name: str, df: DataFrame | Callable[[], DataFrame], path: str, **kw) -> DataFrame:
-        t0 = time.perf_counter()  # includes building the plan when ``df`` is a thunk
-        written[name] = write_table(df() if callable(df) else df, path, mode, **kw)
+    def stage(name: str, build: Callable[[], DataFrame], folder: str | None = None) -> DataFrame:
+        t0 = time.perf_counter()
+        path = write_table(build(), f"{out_dir}/{folder or name}", mode)
+        done.held[name] = spark.read.parquet(path)
         if on_stage:
             on_stage(name, time.perf_counter() - t0)
-        return spark.read.parquet(path)
+        return done.held[name]
 
-    written: dict[str, str] = {}
     if materialize_inputs:
-        def store(prefix: str, tables: Tables) -> Tables:
-            return Tables({t: stage(f"{prefix}/{t}", df, f"{out_dir}/{prefix}/{t}") for t, df in tables.items()})
-        pipeline = Pipeline(store("warehouse/core", pipeline.core), store("warehouse/reference", pipeline.reference),
-                            store("warehouse/claims", pipeline.claims), pipeline.study)
-    outcomes = {name: stage(f"cohort/{name}", df, f"{out_dir}/cohort/{name}")
-                for name, df in pipeline.outcomes.items()}
-    pipeline.__dict__["outcomes"] = outcomes
-    probes = {name: stage(f"probes/{name}", lambda name=name: pipeline.probe(name), f"{out_dir}/probes/{name}")
-              for name in ["visit", "icu", "note", "note_per_visit", "condition_per_visit", "condition"]}
-    pipeline.probe = probes.__getitem__  # type: ignore[method-assign]
-    est = {}
-    for name in ["visit", "icu_rectangle", "note", "note_per_visit", "condition", "condition_per_condition"]:
-        est[name] = stage(f"models/{name}", lambda name=name: pipeline._fit(name), f"{out_dir}/models/{name}")
-    pipeline.estimates = est.__getitem__  # type: ignore[method-assign]
-    cs_count = stage("cs_count", pipeline.care_site_counts(), f"{out_dir}/cs_count")
-    pipeline.care_site_counts = lambda: cs_count  # type: ignore[method-assign]
-    # built directly (not the persisted property): the stage write is the reuse point here
-    ac = G.analysis_cohort(pipeline.outcomes["cohort_visit"], pipeline.estimates("visit"), pipeline.study)
-    pipeline.__dict__["analysis_cohort"] = G.AnalysisCohort(
-        stage("analysis/cohort_all", ac.cohort_all, f"{out_dir}/analysis/cohort_all"),
-        ac.cohort_mcd,
-        stage("analysis/hospital_count", ac.hospital_count, f"{out_dir}/analysis/hospital_count"))
-    summaries = None
-    for name in OUTCOMES:
-        stage(f"indicators/{name}", lambda name=name: pipeline.indicator(name),
-              f"{out_dir}/indicators/outcome_name={name}")
-        summ = pipeline.count_summary(name)
-        summaries = summ if summaries is None else summaries.unionByName(summ)
-    stage("cs_count_summary", summaries.withColumn("outcome_name", F.col("outcome_name")), f"{out_dir}/cs_count_summary")
-    return written
+        done.core, done.reference, done.claims = (
+            Tables({t: stage(f"warehouse/{prefix}/{t}", lambda df=df: df) for t, df in tables.items()})
+            for prefix, tables in (("core", pipeline.core), ("reference", pipeline.reference), ("claims", pipeline.claims)))
+    cohort = stage("cohort/cohort_visit", lambda: cohort_visit(done.prepared, done.study))
+    tables = outcome_tables(done.prepared, cohort)
+    for name, df in tables.items():
+        stage(f"cohort/{name}", lambda df=df: df)
+    for name in PROBES:
+        stage(f"probes/{name}", lambda name=name: done.probe(name))
+    for name in MODELS:
+        stage(f"models/{name}", lambda name=name: done._fit(name))
+    stage("cs_count", done.care_site_counts)
+    stage("analysis/cohort_all", lambda: done.analysis_cohort.cohort_all)
+    stage("analysis/cohort_mcd", lambda: done.analysis_cohort.cohort_mcd)
+    stage("analysis/hospital_count", lambda: done.analysis_cohort.hospital_count)
+    for name, outcome in OUTCOMES.items():
+        stage(f"thresholds/{name}", lambda name=name: done.thresholds(name))
+        rows = stage(f"indicators/{name}", lambda name=name: G.union_schema(done.indicator(name)), f"indicators/outcome_name={name}")
+        done.held[f"indicators/{name}"] = G.own_schema(rows, outcome)
+    stage("cs_count_summary", lambda: reduce(DataFrame.unionByName, [done.count_summary(n) for n in OUTCOMES]))
+    return done

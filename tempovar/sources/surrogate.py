@@ -9,7 +9,7 @@ so filters and column pruning reach the files and the work grows with the data.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import config as C
@@ -28,12 +28,21 @@ def read_raw(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     return {t: spark.read.parquet(f"{sf_dir.rstrip('/')}/{t}.parquet") for t in RAW}
 
 
+#: Fixed order of the lines that share an order and a line number.
+LINE_ORDER = ["l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag",
+              "l_linestatus", "l_shipdate"]
+
+
 def lines(lineitem: DataFrame) -> DataFrame:
-    """One row per (order, line number): the pair is not unique in lineitem."""
-    return (lineitem.groupBy(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"))
-            .agg(F.min("l_suppkey").alias("sk"), F.min("l_partkey").alias("pk"),
-                 F.min("l_returnflag").alias("rf"))
-            .withColumn("id", F.col("k") * 10 + F.col("n")))
+    """Every line. (order, line number) is not unique in lineitem, so the id adds the line's rank within
+    the pair; a pair of more than 100 lines or a line number above 9 does not fit the id and is an error."""
+    same = Window.partitionBy("l_orderkey", "l_linenumber").orderBy(*LINE_ORDER)
+    n, rank = F.col("l_linenumber"), F.col("rank")
+    line_id = F.when(rank.between(1, 100) & n.between(0, 9), (F.col("l_orderkey") * 10 + n) * 100 + rank - 1)
+    return (lineitem.withColumn("rank", F.row_number().over(same))
+            .select(F.col("l_orderkey").alias("k"), n.alias("n"), F.col("l_suppkey").alias("sk"),
+                    F.col("l_partkey").alias("pk"), F.col("l_returnflag").alias("rf"),
+                    F.coalesce(line_id, F.raise_error(F.lit("line id overflow")).cast("long")).alias("id")))
 
 
 def care_site(nation: DataFrame, supplier: DataFrame) -> DataFrame:
@@ -166,9 +175,10 @@ def ghm_facts(orders: DataFrame) -> DataFrame:
         enc.alias("encounter_num"),
         F.concat(F.lit("GHM:"), cmd, F.lit("M0"), (k % 4).cast("string")).alias("concept_cd"),
         F.lit(C.SOURCE_CLAIMS).alias("sourcesystem_cd"))
+    other = F.lpad((1 + (k + 7) % 28).cast("string"), 2, "0")  # a second group, so some stays have two
     second = orders.where(k % 41 == 0).select(
         enc.alias("encounter_num"),
-        F.concat(F.lit("GHM:"), cmd, F.lit("C09")).alias("concept_cd"),
+        F.concat(F.lit("GHM:"), other, F.lit("C09")).alias("concept_cd"),
         F.lit(C.SOURCE_CLAIMS).alias("sourcesystem_cd"))
     return first.unionByName(second)
 

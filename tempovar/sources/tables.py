@@ -58,11 +58,6 @@ class Tables(Mapping):
     def __len__(self):
         return len(self._frames)
 
-    def with_tables(self, **frames: DataFrame) -> "Tables":
-        merged = dict(self._frames)
-        merged.update(frames)
-        return Tables(merged)
-
 
 def check_columns(name: str, df: DataFrame, required: Iterable[str] | None = None) -> DataFrame:
     """Fail early on a missing column, the way a schema-on-read warehouse would not."""

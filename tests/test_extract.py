@@ -56,3 +56,33 @@ def test_ages(spark):
     df = spark.createDataFrame(rows, "b timestamp_ntz, a timestamp_ntz")
     ages = [r.age for r in df.select(years_between_birthdays("a", "b").alias("age")).collect()]
     assert ages == [20, 21, 30, None]
+
+
+def test_first_event_drops_rows_without_a_key(spark):
+    df = spark.createDataFrame([(None, 1, 5), (None, 2, 3), (7, 3, 9)], "visit_occurrence_id long, note_id long, d int")
+    assert [(r.visit_occurrence_id, r.note_id) for r in X.first_event(df, "d", tie_break=["note_id"]).collect()] == [(7, 3)]
+
+
+def test_filters_reach_the_scan(spark, tmp_path):
+    from tempovar.sources.surrogate import warehouse
+    from tempovar.sources.tables import Tables
+    core, _, _ = warehouse(spark, "/root/testdata/sf0.001", persist=False)
+    core["visit_occurrence"].write.parquet(str(tmp_path / "v"))
+    stored = Tables({"visit_occurrence": spark.read.parquet(str(tmp_path / "v"))})
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
+    plan = X.prepare_visit_occurrence(stored)._jdf.queryExecution().executedPlan().toString()
+    pushed = plan[plan.index("PushedFilters"):]
+    for column in ("row_status_source_value", "visit_start_datetime", "visit_end_datetime", "cdm_source"):
+        assert column in pushed.split("ReadSchema")[0], pushed
+
+
+def test_unknown_condition_source_is_an_error(spark):
+    import pytest
+    with pytest.raises(ValueError):
+        X.prepare_condition_occurrence(None, None, None, "elsewhere")
+
+
+def test_counts_keep_a_null_level_and_leave_out_sites(spark):
+    from tempovar.operators.probes import care_site_counts
+    sites = spark.createDataFrame([(1, "Hopital"), (2, None), (3, "Hopital"), (None, "Hopital")], "care_site_id long, care_site_type_source_value string")
+    assert {(r.care_site_level, r.total_care_site) for r in care_site_counts(sites, [3]).collect()} == {("Hopital", 1), (None, 1)}

@@ -60,6 +60,44 @@ def test_during_stay_rate_can_pass_one(spark):
     assert (r.n_events, r.n_total, r.rate) == (2, 1, 2.0)
 
 
+def test_index_finer_than_the_stay(spark):
+    """One stay in two diagnosis groups, one later event: each group counts it once."""
+    d = datetime
+    c = cohort(spark, [(1, 1, 7, d(2020, 1, 1), d(2020, 1, 5))])
+    c = c.withColumn("MCD", F.explode(F.array(F.lit("01 A"), F.lit("02 B"))))
+    ev = spark.createDataFrame([(100, 1, d(2020, 1, 13))], "visit_occurrence_id long, person_id long, visit_start_datetime timestamp_ntz")
+    out = duration_after_event(ev, c, "visit_start_datetime", (30, 90), index=("care_site_id", "MCD")).collect()
+    assert len(out) == 8 and {(r.n_events, r.n_total, r.rate) for r in out} == {(1, 1, 1.0)}
+
+
+def test_complete_source_match_takes_rows_of_the_level(spark):
+    """A stable visit has a unit row at day 3 and a department row at day 78: only the latter counts at department level."""
+    from dataclasses import replace
+
+    from tempovar import config as C
+    from tempovar.plans.grid import statistical_analysis
+    d = datetime
+    c = cohort(spark, [(1, 1, 7, d(2020, 1, 1), d(2020, 1, 5))])
+    ev = spark.createDataFrame([(100, 1, 31, C.LEVEL_UNIT, d(2020, 1, 8)), (100, 1, 21, C.LEVEL_DEPARTMENT, d(2020, 3, 23))],
+                               "visit_occurrence_id long, person_id long, detail_care_site_id long, detail_care_site_level string, visit_start_datetime timestamp_ntz")
+    est = spark.createDataFrame([(C.LEVEL_DEPARTMENT, 21, d(2019, 1, 1).date(), 0.9, 0.01)],
+                                "care_site_level string, care_site_id long, t_0 date, c_0 double, error double")
+    outcome = C.Outcome(**{**C.OUTCOMES["hospit_visit"].__dict__, "care_site_level": C.LEVEL_DEPARTMENT, "stay_type": None, "specialties_set": None,
+                           "col_date": "visit_start_datetime"})
+    study = replace(C.DEFAULT_STUDY, start_observation_dates=["2020-01-01"])
+    out = {(r.analysis, r.threshold): r.n_events for r in statistical_analysis(c, ev, est, outcome, study).where("care_site_id = '7'").collect()}
+    assert out[C.CSO, "before_30_days"] == 0 and out[C.CSO, "before_90_days"] == 1
+    assert out[C.NAIVE, "before_30_days"] == 1
+
+
+def test_no_cells_below_a_shuffle_of_stays_or_events(spark, pipeline):
+    """The grid is expanded after the last exchange that carries stays or events, and D9 has no distinct aggregate."""
+    for name in ("hospit_visit", "prescription_note", "flu_condition"):
+        plan = pipeline.indicator(name)._jdf.queryExecution().optimizedPlan().toString()
+        assert "count(distinct visit_cohort_id" not in plan
+        assert "p_max_error" not in plan.split("Join Inner")[-1]
+
+
 @pytest.fixture(scope="module")
 def pipeline(spark):
     from tempovar.plans.study import Pipeline

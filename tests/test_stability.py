@@ -5,8 +5,7 @@ from datetime import date
 from pyspark.sql import functions as F
 
 from tempovar.config import LEVEL_HOSPITAL
-from tempovar.operators.stability import (estimate_parameters, filter_stable_visits, parameter_grid, visit_extremes,
-                                          stable_in, with_cells, cells_subquery)
+from tempovar.operators.stability import estimate_parameters, filter_stable_visits, parameter_grid, visit_cells, visit_extremes
 
 D0 = date(2019, 1, 1)
 
@@ -37,10 +36,9 @@ def test_visit_stability_traps(spark):
 def test_fold_equals_direct_form_on_every_cell(spark):
     est = estimates(spark).where(F.col("stay_type") == "x")
     thr = estimate_parameters(estimates(spark), LEVEL_HOSPITAL, stay_type="x")
-    cells = cells_subquery(thr, ["2018-01-01", "2020-01-01"])
-    ext = visit_extremes(events(spark), est, LEVEL_HOSPITAL)
-    folded = {(r.param_id, r.visit_occurrence_id)
-              for r in with_cells(ext, cells).where(stable_in()).select("param_id", "visit_occurrence_id").collect()}
+    stability = visit_cells(visit_extremes(events(spark), est, LEVEL_HOSPITAL), thr, ["2018-01-01", "2020-01-01"])
+    flags = stability.visits.select("visit_occurrence_id", F.posexplode(F.array(*stability.cells())).alias("param_id", "ok")).where("ok")
+    folded = {(r.param_id, r.visit_occurrence_id) for r in flags.collect()}
     direct = set()
     for p in parameter_grid(thr, ["2018-01-01", "2020-01-01"]).collect():
         _, ev = filter_stable_visits(events(spark), estimates(spark), p.start_observation_date, LEVEL_HOSPITAL,

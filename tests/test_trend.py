@@ -5,8 +5,10 @@ from datetime import date
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from tempovar.functions.stats import t_quantile, t_two_sided_p
-from tempovar.operators.trend import linear_trend, significance
+from tempovar.operators.trend import as_text, linear_trend, significance
 
 
 def months(start, n):
@@ -63,9 +65,22 @@ def test_degenerate_partitions(spark):
     assert flat.n == 6 and abs(flat.mean_value - 0.25) < 1e-12 and flat.p_value is not None
 
 
-def test_student_t():
-    assert t_two_sided_p(0.0, 5) == pytest.approx(1.0)
-    assert t_two_sided_p(2.228138852, 10) == pytest.approx(0.05, abs=1e-8)
-    assert t_two_sided_p(12.7062047, 1) == pytest.approx(0.05, abs=1e-7)
-    assert t_quantile(0.975, 10) == pytest.approx(2.228138852, abs=1e-7)
-    assert t_quantile(0.975, 1000) == pytest.approx(1.962339, abs=1e-5)
+def test_student_t(spark):
+    rows = [(0.0, 5, 1.0), (2.228138852, 10, 0.05), (12.7062047, 1, 0.05), (-4.302652730, 2, 0.05), (3.182446305, 3, 0.05)]
+    df = spark.createDataFrame(rows, "t double, dof int, p double")
+    for r in df.select("p", t_two_sided_p(F.col("t"), F.col("dof")).alias("got")).collect():
+        assert r.got == pytest.approx(r.p, abs=1e-7)
+    dof = spark.createDataFrame([(1, 12.7062047), (2, 4.302652730), (10, 2.228138852), (1000, 1.962339)], "dof int, q double")
+    for r in dof.select("q", t_quantile(0.975, F.col("dof")).alias("got")).collect():
+        assert r.got == pytest.approx(r.q, abs=1e-5)
+    none = spark.range(1).select(t_two_sided_p(F.lit(1.0), F.lit(0)).alias("p"), t_quantile(0.975, F.lit(0)).alias("q")).first()
+    assert none.p is None and none.q is None
+
+
+def test_exact_and_empty_fits(spark):
+    """An exact slope has p = 0, a series of zeros has no p; NULL stays NULL in the text."""
+    rows = [("exact", "2020-01-01", d, 0.25 * i) for i, d in enumerate(months(date(2020, 1, 1), 8))]
+    rows += [("zero", "2020-01-01", d, 0.0) for d in months(date(2020, 1, 1), 8)]
+    out = {r.care_site_id: r for r in as_text(significance(linear_trend(frame(spark, rows), index=["care_site_id", "start_observation_date"]))).collect()}
+    assert out["exact"].p_value == 0.0 and out["exact"].p_value_text == "< 10e-3" and out["exact"].alpha_1 == pytest.approx(0.25)
+    assert out["zero"].p_value is None and out["zero"].p_value_text is None and out["zero"].alpha_1 == 0.0
