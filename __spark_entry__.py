@@ -14,6 +14,7 @@ import importlib.util
 import os
 import sys
 from collections.abc import Callable
+from functools import reduce
 
 _HERE = os.path.dirname(os.path.abspath(__file__))
 if _HERE not in sys.path:
@@ -111,6 +112,9 @@ def _excluded_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 EXAMPLE_HOSPITALS = [1000, 1003]
+EXAMPLE_DEPARTMENTS = [2000001, 2000002]
+EXAMPLE_UNITS = [3000005, 3000006]
+SENSITIVITY_OUTCOMES = ["hospit_visit", "prescription_note"]
 EXAMPLE_FILTERS = {"care_site_level": C.LEVEL_HOSPITAL, "stay_type": "hospitalisés", "specialties_set": "All"}
 
 
@@ -125,6 +129,12 @@ def _report_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def preds(pl: Pipeline) -> dict:
         return {n: pl.probe(n) for n in ["visit", "note", "note_per_visit", "condition_per_visit"]}
 
+    def counts(pl: Pipeline, names: list[str]) -> DataFrame:
+        return reduce(DataFrame.unionByName, [pl.count_summary(n) for n in names])
+
+    def panels(pl: Pipeline, names: list[str], rates: bool = True) -> DataFrame:
+        return R.figure_panels({n: pl.indicator(n) for n in names}, counts(pl, names), rates)
+
     def wrap(fn):
         return lambda spark, sf_dir: _canon(fn(_pipeline(spark, sf_dir)))
 
@@ -154,6 +164,15 @@ def _report_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "fitted_trend_line_hospit_visit": wrap(lambda pl: R.fitted_trend_line(pl.indicator("hospit_visit"))),
         "seasonal_peak_trend_flu_condition": wrap(lambda pl: R.fitted_trend_line(
             pl.indicator("flu_condition"), None, "max_events")),
+        "analysis_summary": wrap(lambda pl: R.analysis_summary_all(
+            {n: pl.indicator(n) for n in C.SUMMARY_OUTCOMES}, counts(pl, C.SUMMARY_OUTCOMES))),
+        "quality_figure": wrap(lambda pl: panels(pl, C.QUALITY_OUTCOMES)),
+        "quality_figure_icu": wrap(lambda pl: panels(pl, C.ICU_OUTCOMES)),
+        "epidemiology_figure": wrap(lambda pl: panels(pl, C.EPIDEMIOLOGY_OUTCOMES, False)),
+        "site_sensitivity_rows": wrap(lambda pl: R.site_sensitivity_rows({n: pl.indicator(n) for n in SENSITIVITY_OUTCOMES})),
+        "example_panels": wrap(lambda pl: R.example_panels(preds(pl), est_all(pl), EXAMPLE_HOSPITALS, EXAMPLE_DEPARTMENTS)),
+        "rectangle_panels": wrap(lambda pl: R.rectangle_panels(pl.probe("visit"), pl.probe("icu"), est_all(pl), EXAMPLE_UNITS,
+                                                               pl.study.end_date)),
         "trend_long_form_hospit_visit": wrap(lambda pl: long_form(as_text(significance(
             linear_trend(pl.indicator("hospit_visit")))))),
     }
@@ -178,6 +197,13 @@ def _report_oracles() -> dict[str, str]:
         "volume_per_site_flu_condition": OR.volume_per_site("flu_condition"),
         "figure_dataset_consultation_note": OR.figure_dataset("consultation_note"),
         "left_edge_aligned_flu_condition": OR.left_edge_aligned("flu_condition"),
+        "analysis_summary": OR.analysis_summary_all(),
+        "quality_figure": OR.figure_panels(C.QUALITY_OUTCOMES),
+        "quality_figure_icu": OR.figure_panels(C.ICU_OUTCOMES),
+        "epidemiology_figure": OR.figure_panels(C.EPIDEMIOLOGY_OUTCOMES, rates=False),
+        "site_sensitivity_rows": OR.site_sensitivity_rows(SENSITIVITY_OUTCOMES),
+        "example_panels": OR.example_panels(EXAMPLE_HOSPITALS, EXAMPLE_DEPARTMENTS),
+        "rectangle_panels": OR.rectangle_panels(EXAMPLE_UNITS, C.DEFAULT_STUDY.end_date),
         "ghm": OS.with_ctes(OS.base_ctes(), "select * from ghm"),
         "note_care_site": OS.with_ctes(OS.base_ctes(), "select * from ncs"),
         "arem_condition": OR.arem_condition(),

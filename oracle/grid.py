@@ -167,11 +167,11 @@ TREND_IDX = ["care_site_id", "threshold", "param_id", "start_observation_date",
              "max_error_label", "min_c_0_label", "analysis"]
 
 
-def trend_ctes(ctes: dict[str, str], src: str, idx: list[str], y: str = "rate", prefix: str = "t") -> str:
+def trend_ctes(ctes: dict[str, str], src: str, idx: list[str], y: str = "rate", prefix: str = "t", only: str = "true") -> str:
     """Add the D15 CTEs over ``src`` and return the name of the per-partition result CTE."""
     cols = ", ".join(idx)
     on = " and ".join(f"g.{c} is not distinct from i.{c}" for c in idx)
-    ctes[f"{prefix}_part"] = f"select distinct {cols} from {src}"
+    ctes[f"{prefix}_part"] = f"select distinct {cols} from {src} where {only}"
     ctes[f"{prefix}_grid"] = f"""select p.*, cast(unnest(generate_series(cast(p.start_observation_date as timestamp),
        cast((select max(sub_cohort) from {src}) as timestamp), interval 1 month)) as date) sub_cohort from {prefix}_part p"""
     ctes[f"{prefix}_filled"] = f"""select {', '.join('g.' + c for c in idx)}, g.sub_cohort, coalesce(i.{y}, 0.0) y
@@ -210,12 +210,23 @@ def _p_two_sided(t: str, nu: str) -> str:
             f"else sin({a}) * ({total}) end)")
 
 
-def trend_significance(name: str, long_form: bool = False, s: C.Study = C.DEFAULT_STUDY) -> str:
+def trend_significance(name: str, long_form: bool = False) -> str:
     """P-value, 95 % intervals and their text, from the filled months."""
+    ctes, idx = significance_ctes(name)
+    if long_form:
+        cols = ", ".join(idx)
+        return with_ctes(ctes, " union all ".join(f"select {cols}, '{m}' model, {m} as value from txt"
+                                                  for m in ("p_value_text", "alpha_0_text", "alpha_1_text")), recursive=True)
+    doubles = ["alpha_0", "alpha_1", "mean_value", "p_value", *[f"alpha_{i}_ci_{x}" for i in (0, 1) for x in ("low", "high")]]
+    return with_ctes(ctes, f"select * replace ({', '.join(f'round({c}, 9) as {c}' for c in doubles)}) from txt", recursive=True)
+
+
+def significance_ctes(name: str, s: C.Study = C.DEFAULT_STUDY, threshold: str | None = None, only: str = "true") -> tuple[dict[str, str], list[str]]:
+    """The CTEs up to ``txt``; ``threshold`` limits the rows first, ``only`` the partitions that are fitted."""
     ctes, final = indicator_parts(name, s, rounded=False)
-    ctes["ind"] = final
+    ctes["ind"] = f"select * from ({final}) where threshold = {q(threshold)}" if threshold else final
     idx = [c for c in TREND_IDX if c != "threshold" or C.OUTCOMES[name].key_function == "duration_after"]
-    trend_ctes(ctes, "ind", idx)
+    trend_ctes(ctes, "ind", idx, only=only)
     cols = ", ".join(idx)
     ctes["raw"] = f"""select {cols}, count(*) n, sum(y) sy, sum(x * y) sxy_raw, sum(y * y) syy_raw,
        count(*) * (count(*) * count(*) - 1) / 12.0 sxx from t_xs group by all"""
@@ -238,14 +249,14 @@ union all select n, case when {half} > 0.05 then (lo + hi) / 2 else lo end, case
         f"format('{{:.2e}}', {c}) || ' [' || format('{{:.2e}}', {c}_ci_low) || ', ' || format('{{:.2e}}', {c}_ci_high) || ']' {c}_text"
         for c in ("alpha_0", "alpha_1"))
     ctes["txt"] = f"""select *, case when p_value < 0.001 then '< 10e-3' else format('{{:.3f}}', p_value) end p_value_text, {text} from sig"""
-    if long_form:
-        return with_ctes(ctes, " union all ".join(f"select {cols}, '{m}' model, {m} as value from txt"
-                                                  for m in ("p_value_text", "alpha_0_text", "alpha_1_text")), recursive=True)
-    doubles = ["alpha_0", "alpha_1", "mean_value", "p_value", *[f"alpha_{i}_ci_{x}" for i in (0, 1) for x in ("low", "high")]]
-    return with_ctes(ctes, f"select * replace ({', '.join(f'round({c}, 9) as {c}' for c in doubles)}) from txt", recursive=True)
+    return ctes, idx
 
 
 def cs_count_summary(name: str, s: C.Study = C.DEFAULT_STUDY) -> str:
+    return with_ctes(*count_parts(name, s))
+
+
+def count_parts(name: str, s: C.Study = C.DEFAULT_STUDY) -> tuple[dict[str, str], str]:
     ctes, o, end = outcome_ctes(name, s)
     t1 = f"and e.t_1 >= DATE '{end}'" if end else ""
     ctes["csc"] = """select care_site_type_source_value care_site_level, count(distinct care_site_id) total_care_site
@@ -259,7 +270,7 @@ from cells p cross join est_f e group by p.param_id"""
        (select n from hospital_count) cohort_hospital_count
 from cells p cross join thr t join csc c on c.care_site_level = {q(o.care_site_level)}
 left join cso_cnt k on k.param_id = p.param_id"""
-    return with_ctes(ctes, final)
+    return ctes, final
 
 
 def grid_parameters(name: str, s: C.Study = C.DEFAULT_STUDY) -> str:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from tempovar import config as C
 
 from . import sql as OS
-from .grid import TREND_IDX, cs_count_summary, indicator_parts, outcome_ctes, trend_ctes
+from .grid import TREND_IDX, count_parts, cs_count_summary, indicator_parts, outcome_ctes, significance_ctes, trend_ctes
 from .sql import q, with_ctes
 
 FUNCTIONALITIES = {
@@ -140,13 +140,19 @@ from {res} where care_site_id = 'All'"""
     return with_ctes(ctes, f"select s.*, a.alpha_1_all, a.mean_value_all from spread s left join alls a on {on}")
 
 
+def _panel(c: str) -> str:
+    return f"case {c} " + " ".join(f"when {q(k)} then {q(v)}" for k, v in C.PANEL_LABELS.items()) + " end"
+
+
 def goodness_of_fit(by_lag: bool) -> str:
     ctes = OS.base_ctes()
     probes = {"visit": OS.visit_probe(), "note": OS.note_probe(), "note_per_visit": OS.note_per_visit_probe(),
               "condition": OS.condition_probe()}
     idx = OS.PROBE_INDEX
     for name, sql in probes.items():
-        ctes[f"pred_{name}"] = sql
+        # only the wanted levels and sets are fitted: an index is fitted by itself
+        wanted = " or ".join("(" + " and ".join(f"{k} = {q(v)}" for k, v in f.items()) + ")" for n, f in FUNCTIONALITIES.values() if n == name)
+        ctes[f"pred_{name}"] = f"select * from ({sql}) where {wanted}"
         ctes[f"est_{name}"] = OS.step_fit(f"select * from pred_{name}", idx[name])
     parts = []
     for label, (name, filters) in FUNCTIONALITIES.items():
@@ -154,7 +160,7 @@ def goodness_of_fit(by_lag: bool) -> str:
             continue
         on = " and ".join(f"p.{c} is not distinct from e.{c}" for c in idx[name])
         w = " and ".join(f"p.{k} = {q(v)}" for k, v in filters.items())
-        parts.append(f"""select {q(label)} EHR_functionality, p.care_site_level, p.care_site_id, p.care_site_short_name,
+        parts.append(f"""select {q(label)} EHR_functionality, {_panel('p.care_site_level')} care_site_level, p.care_site_id, p.care_site_short_name,
        p.date, p.c, e.c_0, e.t_0, e.error from pred_{name} p join est_{name} e on {on} where {w}""")
     ctes["gof"] = " union all ".join(parts)
     ctes["gof2"] = """select *, cast((year(date) - year(t_0)) * 12 + month(date) - month(t_0) as integer) normalized_date from gof"""
@@ -232,3 +238,88 @@ def fitted_trend_line(name: str, y: str) -> str:
     rep = ", ".join(f"round({c}, 9) as {c}" for c in doubles)
     return with_ctes(ctes, f"""select * replace ({rep}) from (
   select x.* exclude (x_), c.a_ + c.b_ * x.x_ {y}_fitted from xy x join coef c using (param_id, analysis))""")
+
+
+SHARE = f"""select param_id, outcome_name, start_observation_date, care_site_level, {q(C.NAIVE)} analysis,
+       cast(naive_cs_count as varchar) || ' (100 %)' cs_considered from summ
+union all select param_id, outcome_name, start_observation_date, care_site_level, {q(C.CSO)},
+       cast(cso_cs_count as varchar) || ' (' || printf('%.1f', cso_cs_count / naive_cs_count * 100) || ' %)' from summ"""
+
+
+def _with_share(ctes: dict[str, str], name: str) -> dict[str, str]:
+    more, final = count_parts(name)
+    return {**ctes, **{k: v for k, v in more.items() if k not in ctes}, "summ": final, "share": SHARE}
+
+
+def analysis_summary_all() -> str:
+    parts = []
+    cell = "care_site_id = 'All' and max_error_label = 'No filter' and min_c_0_label = 'No filter'"
+    for name in C.SUMMARY_OUTCOMES:
+        if C.OUTCOMES[name].key_function == "incidence":
+            ctes, final = indicator_parts(name)
+            ctes["rows_"] = f"""select distinct param_id, start_observation_date, analysis, cast(null as varchar) alpha_0,
+       cast(null as varchar) alpha_1 from ({final}) where max_error_label = 'No filter' and min_c_0_label = 'No filter'"""
+        else:
+            is_d5 = C.OUTCOMES[name].key_function == "duration_after"
+            ctes, _ = significance_ctes(name, only=cell + (" and threshold = 'before_30_days'" if is_d5 else ""))
+            ctes["rows_"] = "select param_id, start_observation_date, analysis, alpha_0_text alpha_0, alpha_1_text alpha_1 from txt"
+        parts.append(with_ctes(_with_share(ctes, name), """select s.outcome_name, t.start_observation_date, t.analysis, s.cs_considered, t.alpha_0, t.alpha_1
+from rows_ t join share s using (param_id, start_observation_date, analysis)""", recursive=True))
+    return " union all ".join(f"select * from ({p})" for p in parts)
+
+
+def figure_panels(names: list[str], rates: bool = True) -> str:
+    label = "case s.care_site_level " + " ".join(f"when {q(k)} then {q(v + 's')}" for k, v in C.LEVEL_LABELS.items()) + " end"
+    parts = []
+    for name in names:
+        ctes, final = indicator_parts(name)
+        ctes["ind"] = final
+        drop = "care_site_id, max_error, min_c_0" + (", n_events" if rates else "")
+        parts.append(with_ctes(_with_share(ctes, name), f"""select i.* exclude ({drop}),
+       'Starting date: ' || strftime(cast(i.start_observation_date as date), '%b %Y') start_label, s.cs_considered, {label} care_site_level, {q(name)} outcome_name
+from ind i join share s on s.param_id = i.param_id and s.analysis = {q(C.CSO)} where i.care_site_id = 'All'"""))
+    return " union all by name ".join(f"select * from ({p})" for p in parts)
+
+
+def site_sensitivity_rows(names: list[str]) -> str:
+    parts = []
+    for name in names:
+        is_d5 = C.OUTCOMES[name].key_function == "duration_after"
+        keys = [c for c in ["threshold", "param_id", "start_observation_date", "max_error_label", "min_c_0_label", "analysis"] if c != "threshold" or is_d5]
+        ctes, _ = significance_ctes(name, threshold="before_30_days" if is_d5 else None)
+        values = ["p_value", "alpha_0", "alpha_1", "mean_value"]
+        on = " and ".join(f"a.{k} = s.{k}" for k in keys)
+        parts.append(with_ctes(ctes, f"""select s.care_site_id, {', '.join('s.' + k for k in keys)}, {', '.join(f'round(s.{v}, 9) {v}, round(a.{v}, 9) {v}_all' for v in values)},
+       {q(C.EVENT_NAMES[name])} outcome_name
+from txt s left join txt a on {on} and a.care_site_id = 'All' where s.care_site_id <> 'All'""", recursive=True))
+    return " union all by name ".join(f"select * from ({p})" for p in parts)
+
+
+def _panel_rows(probe: str, key: str, outcome: str, sites: list[int], kind: str, rectangle: bool = False) -> str:
+    o = C.OUTCOMES[outcome]
+    ctes = OS.base_ctes()
+    w = " and ".join(f"{k} = {q(v)}" for k, v in {"care_site_level": o.care_site_level, **{k: getattr(o, k) for k in (
+        "note_type", "stay_type", "specialties_set", "diag_type", "source_system", "condition_type") if getattr(o, k)}}.items())
+    ctes["pred"] = f"select * from ({probe}) where {w}"
+    ctes["est"] = OS.estimates(o.estimates) if rectangle else OS.step_fit("select * from pred", OS.PROBE_INDEX[key])
+    on = " and ".join(f"p.{c} is not distinct from e.{c}" for c in OS.PROBE_INDEX[key])
+    inside = "p.date >= e.t_0" + (" and p.date <= e.t_1" if rectangle else "")
+    names = " ".join(f"when {i} then '{kind} {n}'" for n, i in enumerate(sorted(sites), 1))
+    return with_ctes(ctes, f"""select p.date, case p.care_site_id {names} end care_site_short_name, round(p.c, 9) c,
+       round(case when {inside} then e.c_0 else 0.0 end, 9) c_hat
+from pred p join est e on {on} where p.care_site_id in ({', '.join(map(str, sites))})""")
+
+
+def example_panels(hospitals: list[int], departments: list[int]) -> str:
+    rows = [("Hospitalizations", OS.visit_probe(), "visit", "hospit_visit", hospitals, "Hospital"),
+            ("Emergency stays", OS.visit_probe(), "visit", "emergency_visit", hospitals, "Hospital"),
+            ("Consultation reports", OS.note_probe(), "note", "consultation_note", departments, "Department"),
+            ("Prescription reports", OS.note_per_visit_probe(), "note_per_visit", "prescription_note", departments, "Department"),
+            ("Diagnostic codes", OS.condition_probe(), "condition", "bronchiolitis_condition", departments, "Department")]
+    return " union all ".join(f"select *, {q(t)} data_type from ({_panel_rows(p, k, o, s, kind)})" for t, p, k, o, s, kind in rows)
+
+
+def rectangle_panels(units: list[int], end_date: str) -> str:
+    icu = OS.visit_probe(levels=[C.LEVEL_UNIT], sets=C.ICU_SPECIALTIES_SETS)
+    return f"""select *, 0 data_type from ({_panel_rows(OS.visit_probe(), 'visit', 'icu_visit', units, 'Unit')})
+union all select *, 1 from ({_panel_rows(icu, 'visit', 'icu_visit_rectangle', units, 'Unit', rectangle=True)}) where date <= DATE '{end_date}'"""

@@ -116,6 +116,31 @@ class Outcome:
     use_end_date: bool = False
 
 
+# The names of the outcomes in reports.
+EVENT_NAMES = {
+    "hospit_visit": "Hospitalisation",
+    "emergency_visit": "Emergency stay",
+    "consultation_note": "Consultation note",
+    "prescription_note": "Prescription",
+    "bronchiolitis_condition": "Bronchiolitis condition",
+    "flu_condition": "Flu condition",
+    "gastroenteritis_condition": "Gastroenteritis condition",
+    "nasopharyngitis_condition": "Nasopharyngitis condition",
+    "icu_visit": "ICU stay",
+    "icu_visit_rectangle": "ICU stay corrected",
+}
+
+# Levels as reports name them, in the counts and on the fit panels.
+LEVEL_LABELS = {LEVEL_HOSPITAL: "hospital", LEVEL_DEPARTMENT: "department", LEVEL_UNIT: "unit"}
+PANEL_LABELS = {LEVEL_HOSPITAL: "1 - Hospitals", LEVEL_DEPARTMENT: "2 - Departments", LEVEL_UNIT: "3 - Units"}
+
+# The outcomes of each report.
+SUMMARY_OUTCOMES = ["hospit_visit", "emergency_visit", "consultation_note", "prescription_note", "icu_visit",
+                    "icu_visit_rectangle", "bronchiolitis_condition", "flu_condition"]
+QUALITY_OUTCOMES = ["hospit_visit", "emergency_visit", "consultation_note", "prescription_note"]
+ICU_OUTCOMES = ["icu_visit", "icu_visit_rectangle"]
+EPIDEMIOLOGY_OUTCOMES = ["bronchiolitis_condition", "flu_condition"]
+
 OUTCOMES = {
     "hospit_visit": Outcome("hospit_visit", "duration_after", "visit", LEVEL_HOSPITAL,
                             col_date="visit_start_datetime", stay_type="hospitalisés"),

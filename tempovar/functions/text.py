@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -30,3 +32,12 @@ def prefix(c, n: int) -> Column:
 def starting_date_label(c) -> Column:
     """``Starting date: Mon YYYY``."""
     return F.concat(F.lit("Starting date: "), F.date_format(col(c), "MMM yyyy"))
+
+
+def relabel(c: str | Column, labels: Mapping[str, str]) -> Column:
+    """A column's values by their labels; a value without one stays."""
+    column = F.col(c) if isinstance(c, str) else c
+    out = None
+    for value, label in labels.items():
+        out = F.when(column == value, F.lit(label)) if out is None else out.when(column == value, F.lit(label))
+    return column if out is None else out.otherwise(column)

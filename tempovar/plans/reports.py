@@ -7,17 +7,28 @@ are meant to leave the cluster (as CSV, A7).
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import config as C
 from ..functions.dates import month_diff
-from ..functions.text import starting_date_label
+from ..functions.text import relabel, starting_date_label
 from ..operators.models import predict
-from ..operators.trend import linear_trend
+from ..operators.stability import outcome_filters
+from ..operators.trend import as_text, linear_trend, significance
 from ..sources.tables import Tables
 
+# The panels of example sites: data type, outcome, probe, kind of site.
+EXAMPLE_PANELS = [
+    ("Hospitalizations", "hospit_visit", "visit", "Hospital"),
+    ("Emergency stays", "emergency_visit", "visit", "Hospital"),
+    ("Consultation reports", "consultation_note", "note", "Department"),
+    ("Prescription reports", "prescription_note", "note_per_visit", "Department"),
+    ("Diagnostic codes", "bronchiolitis_condition", "condition_per_visit", "Department"),
+]
+
 # The functionalities of the model summary and their estimate filters.
 FUNCTIONALITIES = {
     "Hospitalization": ("visit", {"care_site_level": C.LEVEL_HOSPITAL, "stay_type": "hospitalisés"}),
@@ -81,6 +92,7 @@ def model_summary(estimates: Mapping[str, DataFrame]) -> DataFrame:
 
 def cohort_summary(outcomes: Mapping[str, DataFrame]) -> DataFrame:
     """Distinct stays, patients, hospitals, departments, units and age per table; absent columns give NULL."""
+    # The tables' names in the summary.
     labels = {"cohort_visit": "Cohort", "hospit_visit": "QI1_Hospitalization", "emergency_visit": "QI2_Emergency",
               "consultation_note": "QI3_Consultation", "prescription_note": "QI4_Prescription",
               "icu_visit": "QI5_ICU", "bronchiolitis_condition": "EI1_Bronchiolitis", "flu_condition": "EI2_Flu",
@@ -149,13 +161,13 @@ def one_cell(indicator: DataFrame, max_error_label: str = "No filter", min_c_0_l
     return out
 
 
-def cs_share(cs_count_summary: DataFrame) -> DataFrame:
+def cs_share(cs_count_summary: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """``cso (x.x %)`` for the complete-source-only analysis, ``naive (100 %)`` for the naive one."""
     base = cs_count_summary.select("param_id", "start_observation_date", "max_error_label", "min_c_0_label",
-                                   "outcome_name", "naive_cs_count", "cso_cs_count")
+                                   "outcome_name", "naive_cs_count", "cso_cs_count", *keep)
     cso = base.select("*", F.lit(C.CSO).alias("analysis"),
                       F.concat(F.col("cso_cs_count").cast("string"), F.lit(" ("),
-                               F.format_string("%.1f", F.col("cso_cs_count") / F.col("naive_cs_count") * 100),
+                               F.format_number(F.col("cso_cs_count") / F.col("naive_cs_count") * 100, 1),
                                F.lit(" %)")).alias("cs_considered"))
     naive = base.select("*", F.lit(C.NAIVE).alias("analysis"),
                         F.concat(F.col("naive_cs_count").cast("string"), F.lit(" (100 %)")).alias("cs_considered"))
@@ -172,6 +184,53 @@ def analysis_summary(indicator: DataFrame, cs_count_summary: DataFrame, outcome_
             .select("outcome_name", "start_observation_date", "analysis", "cs_considered", "alpha_0", "alpha_1"))
 
 
+def analysis_summary_all(indicators: Mapping[str, DataFrame], cs_count_summary: DataFrame,
+                         threshold: str = "before_30_days") -> DataFrame:
+    """D20 over the outcomes: estimates with their intervals as text at "All" in the no-filter cell, beside
+    the site shares; an outcome without a rate has the shares only."""
+    parts = []
+    for name, indicator in indicators.items():
+        if "rate" in indicator.columns:
+            # the months run to the last one of the whole table, so the cell is taken after the fit
+            fitted = as_text(significance(linear_trend(indicator, y="rate")))
+            rows = one_cell(fitted, threshold=threshold).where(F.col("care_site_id") == "All")
+            texts = [F.col("alpha_0_text").alias("alpha_0"), F.col("alpha_1_text").alias("alpha_1")]
+        else:
+            rows = one_cell(indicator).select("start_observation_date", "analysis", "param_id").distinct()
+            texts = [F.lit(None).cast("string").alias(c) for c in ("alpha_0", "alpha_1")]
+        share = cs_share(cs_count_summary.where(F.col("outcome_name") == name))
+        parts.append(rows.select("start_observation_date", "analysis", "param_id", *texts)
+                     .join(share, ["param_id", "start_observation_date", "analysis"]))
+    return reduce(DataFrame.unionByName, parts).select("outcome_name", "start_observation_date", "analysis", "cs_considered", "alpha_0", "alpha_1")
+
+
+def figure_panels(indicators: Mapping[str, DataFrame], cs_count_summary: DataFrame, rates: bool = True) -> DataFrame:
+    """I16 / C25 over the outcomes: the "All" rows with the stable sites of their cell, rank labels in place of
+    thresholds; rates leave the event counts out."""
+    share = cs_share(cs_count_summary.withColumn("care_site_level", F.concat(relabel("care_site_level", C.LEVEL_LABELS), F.lit("s"))),
+                     keep=["care_site_level"]).where(F.col("analysis") == C.CSO).drop("analysis")
+    parts = []
+    for name, indicator in indicators.items():
+        rows = figure_dataset(indicator).drop("max_error", "min_c_0", *(["n_events"] if rates else []))
+        of = share.where(F.col("outcome_name") == name).select("param_id", "cs_considered", "care_site_level")
+        parts.append(rows.join(of, "param_id").withColumn("outcome_name", F.lit(name)))
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
+def site_sensitivity_rows(indicators: Mapping[str, DataFrame], threshold: str | None = "before_30_days") -> DataFrame:
+    """Every site's fit beside that of "All" in the same cell, all outcomes, by their report name."""
+    parts = []
+    for name, indicator in indicators.items():
+        chosen = indicator.where(F.col("threshold") == threshold) if threshold and "threshold" in indicator.columns else indicator
+        fit = significance(linear_trend(chosen, y="rate"))
+        keys = [c for c in ("threshold", "param_id", "start_observation_date", "max_error_label", "min_c_0_label", "analysis") if c in fit.columns]
+        values = ["p_value", "alpha_0", "alpha_1", "mean_value"]
+        alls = fit.where(F.col("care_site_id") == "All").select(*keys, *[F.col(v).alias(f"{v}_all") for v in values])
+        sites = fit.where(F.col("care_site_id") != "All").select("care_site_id", *keys, *values)
+        parts.append(sites.join(alls, keys, "left").withColumn("outcome_name", F.lit(C.EVENT_NAMES[name])))
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
 def site_sensitivity(indicator: DataFrame, threshold: str | None = "before_30_days") -> DataFrame:
     """I18 + C24 + D21: trend per site beside the "All" trend, and the spread of the sites' values.
 
@@ -212,6 +271,7 @@ def goodness_of_fit(predictors: Mapping[str, DataFrame], estimates: Mapping[str,
     out = out.withColumn("normalized_date", lag)
     out = out.withColumn("normalized_c", F.when((F.col("normalized_date") < 0) | (F.col("c_0") == 0), F.col("c"))
                          .otherwise(F.col("c") / F.col("c_0")))
+    out = out.withColumn("care_site_level", relabel("care_site_level", C.PANEL_LABELS))
     return out.withColumn("model", F.when(F.col("normalized_date") >= 0, 1).otherwise(0))
 
 
@@ -268,17 +328,37 @@ def figure_dataset(indicator: DataFrame) -> DataFrame:
 
 
 def fitted_examples(predictor: DataFrame, estimates: DataFrame, site_ids: Sequence[int],
-                    filters: Mapping[str, str]) -> DataFrame:
+                    filters: Mapping[str, str], kind: str = "Hospital") -> DataFrame:
     """I14 + B21 + I8: fitted model of example sites, relabelled "Hospital 1", "Hospital 2"... by id order."""
-    pred = _eq_all(predictor, filters).where(F.col("care_site_id").isin(list(site_ids)))
-    est = _eq_all(estimates, filters)
-    fitted = predict(pred, est)
-    # rank only the distinct example ids (a handful of rows), then join the labels back
-    ids = pred.select("care_site_id").distinct()
-    labels = ids.withColumn("_rank", F.row_number().over(Window.orderBy("care_site_id")))
-    return (fitted.join(F.broadcast(labels), "care_site_id")
-            .withColumn("care_site_short_name", F.concat(F.lit("Hospital "), F.col("_rank").cast("string")))
-            .select("date", "care_site_short_name", "c", "c_hat"))
+    ids = sorted(site_ids)
+    pred = _eq_all(predictor, filters).where(F.col("care_site_id").isin(ids))
+    fitted = predict(pred, _eq_all(estimates, filters))
+    names = relabel(F.col("care_site_id").cast("string"), {str(i): f"{kind} {n}" for n, i in enumerate(ids, 1)})
+    return fitted.withColumn("care_site_short_name", names).select("date", "care_site_short_name", "c", "c_hat")
+
+
+def example_panels(probes: Mapping[str, DataFrame], estimates: Mapping[str, DataFrame], hospitals: Sequence[int],
+                   departments: Sequence[int]) -> DataFrame:
+    """The five panels of example sites, by ``data_type``."""
+    parts = []
+    for data_type, outcome, probe, kind in EXAMPLE_PANELS:
+        o = C.OUTCOMES[outcome]
+        sites = hospitals if kind == "Hospital" else departments
+        parts.append(fitted_examples(probes[probe], estimates[o.estimates], sites, _filters(o), kind).withColumn("data_type", F.lit(data_type)))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def rectangle_panels(visit_probe: DataFrame, icu_probe: DataFrame, estimates: Mapping[str, DataFrame], units: Sequence[int],
+                     end_date: str) -> DataFrame:
+    """Step fit (0) beside rectangle fit (1, up to ``end_date``) of example units."""
+    step, rectangle = C.OUTCOMES["icu_visit"], C.OUTCOMES["icu_visit_rectangle"]
+    a = fitted_examples(visit_probe, estimates[step.estimates], units, _filters(step), "Unit").withColumn("data_type", F.lit(0))
+    b = fitted_examples(icu_probe, estimates[rectangle.estimates], units, _filters(rectangle), "Unit").withColumn("data_type", F.lit(1))
+    return a.unionByName(b.where(F.col("date") <= F.lit(end_date).cast("date")))
+
+
+def _filters(outcome: C.Outcome) -> dict[str, str]:
+    return {"care_site_level": outcome.care_site_level, **{k: v for k, v in outcome_filters(outcome).items() if v}}
 
 
 def write_reports(pipeline, out_dir: str, mode: str = "overwrite") -> dict[str, str]:
@@ -298,6 +378,16 @@ def write_reports(pipeline, out_dir: str, mode: str = "overwrite") -> dict[str,
                                    pipeline.study.probe_start),
         "goodness_of_fit": fit_by_lag(goodness_of_fit(preds, est)),
     }
+    summary = reduce(DataFrame.unionByName, [pipeline.count_summary(n) for n in C.OUTCOMES])
+    ind = {name: pipeline.indicator(name) for name in C.OUTCOMES}
+    rates = [n for n in C.OUTCOMES if "rate" in ind[n].columns]
+    datasets |= {
+        "analysis_summary": analysis_summary_all({n: ind[n] for n in C.SUMMARY_OUTCOMES}, summary),
+        "quality": figure_panels({n: ind[n] for n in C.QUALITY_OUTCOMES}, summary),
+        "quality_icu": figure_panels({n: ind[n] for n in C.ICU_OUTCOMES}, summary),
+        "epidemiology": figure_panels({n: ind[n] for n in C.EPIDEMIOLOGY_OUTCOMES}, summary, rates=False),
+        "site_sensitivity": site_sensitivity_rows({n: ind[n] for n in rates}),
+    }
     for name in C.OUTCOMES:
         ind = pipeline.indicator(name)
         datasets[f"figure_{name}"] = figure_dataset(ind)

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from .. import config as C
 
-# Columns each input table must have (the columns the study selects).
+# Columns each input table must have (the columns the study selects).
 REQUIRED_COLUMNS = {
     "care_site": ["care_site_id", "care_site_type_source_value", "care_site_short_name",
                   "place_of_service_source_value"],
@@ -32,6 +32,10 @@ REQUIRED_COLUMNS = {
 }
 
 
+# Columns that the core tables have beside these; the claims tables lack them.
+CORE_COLUMNS = {"condition_occurrence": ["visit_detail_id"]}
+
+
 class Tables(Mapping):
     """Name -> DataFrame mapping with attribute access (``tables.visit_occurrence``)."""
 
@@ -68,20 +72,18 @@ def check_columns(name: str, df: DataFrame, required: Iterable[str] | None = Non
     return df
 
 
-def load_catalog(spark: SparkSession, database: str, tables: Iterable[str]) -> Tables:
+def _checked(name: str, df: DataFrame, claims: bool) -> DataFrame:
+    return check_columns(name, df, [*REQUIRED_COLUMNS.get(name, []), *([] if claims else CORE_COLUMNS.get(name, []))])
+
+
+def load_catalog(spark: SparkSession, database: str, tables: Iterable[str], claims: bool = False) -> Tables:
     """Load ``database.table`` for each name from the metastore (A1)."""
-    frames = {}
-    for t in tables:
-        frames[t] = check_columns(t, spark.read.table(f"{database}.{t}"))
-    return Tables(frames)
+    return Tables({t: _checked(t, spark.read.table(f"{database}.{t}"), claims) for t in tables})
 
 
-def load_parquet(spark: SparkSession, root: str, tables: Iterable[str]) -> Tables:
+def load_parquet(spark: SparkSession, root: str, tables: Iterable[str], claims: bool = False) -> Tables:
     """Load ``root/table.parquet`` (or a folder of that name) for each name (A1)."""
-    frames = {}
-    for t in tables:
-        frames[t] = check_columns(t, spark.read.parquet(f"{root.rstrip('/')}/{t}.parquet"))
-    return Tables(frames)
+    return Tables({t: _checked(t, spark.read.parquet(f"{root.rstrip('/')}/{t}.parquet"), claims) for t in tables})
 
 
 def cmd_map(spark: SparkSession, mapping: Mapping[str, str] | None = None) -> DataFrame:
