@@ -225,9 +225,10 @@ def site_sensitivity_rows(indicators: Mapping[str, DataFrame], threshold: str |
         fit = significance(linear_trend(chosen, y="rate"))
         keys = [c for c in ("threshold", "param_id", "start_observation_date", "max_error_label", "min_c_0_label", "analysis") if c in fit.columns]
         values = ["p_value", "alpha_0", "alpha_1", "mean_value"]
-        alls = fit.where(F.col("care_site_id") == "All").select(*keys, *[F.col(v).alias(f"{v}_all") for v in values])
-        sites = fit.where(F.col("care_site_id") != "All").select("care_site_id", *keys, *values)
-        parts.append(sites.join(alls, keys, "left").withColumn("outcome_name", F.lit(C.EVENT_NAMES[name])))
+        # a cell's rows are its sites: "All" is read beside them, not joined back
+        beside = [F.max(F.when(F.col("care_site_id") == "All", F.col(v))).over(Window.partitionBy(*keys)).alias(f"{v}_all") for v in values]
+        sites = fit.select("care_site_id", *keys, *values, *beside).where(F.col("care_site_id") != "All")
+        parts.append(sites.withColumn("outcome_name", F.lit(C.EVENT_NAMES[name])))
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
@@ -241,16 +242,14 @@ def site_sensitivity(indicator: DataFrame, threshold: str | None = "before_30_da
     tr = linear_trend(ind, y="rate")
     keys = [c for c in ["threshold", "param_id", "start_observation_date", "max_error_label", "min_c_0_label",
                         "analysis"] if c in tr.columns]
-    sites = tr.where(F.col("care_site_id") != "All")
-    alls = tr.where(F.col("care_site_id") == "All").select(*keys, F.col("alpha_1").alias("alpha_1_all"),
-                                                           F.col("mean_value").alias("mean_value_all"))
+    at_all = F.col("care_site_id") == "All"
     aggs = []
     for v in ("alpha_1", "mean_value"):
-        aggs += [F.min(v).alias(f"{v}_min"), F.percentile(v, 0.25).alias(f"{v}_q1"),
-                 F.percentile(v, 0.5).alias(f"{v}_median"), F.percentile(v, 0.75).alias(f"{v}_q3"),
-                 F.max(v).alias(f"{v}_max")]
-    spread = sites.groupBy(*keys).agg(F.count("*").alias("n_sites"), *aggs)
-    return spread.join(alls, keys, "left")
+        site = F.when(~at_all, F.col(v))
+        aggs += [F.min(site).alias(f"{v}_min"), F.percentile(site, 0.25).alias(f"{v}_q1"),
+                 F.percentile(site, 0.5).alias(f"{v}_median"), F.percentile(site, 0.75).alias(f"{v}_q3"),
+                 F.max(site).alias(f"{v}_max"), F.max(F.when(at_all, F.col(v))).alias(f"{v}_all")]
+    return tr.groupBy(*keys).agg(F.count_if(~at_all).alias("n_sites"), *aggs).where("n_sites > 0")
 
 
 def goodness_of_fit(predictors: Mapping[str, DataFrame], estimates: Mapping[str, DataFrame]) -> DataFrame:
