@@ -29,7 +29,7 @@ from tempovar.plans.study import Pipeline  # noqa: E402
 from tempovar.sources.surrogate import warehouse  # noqa: E402
 
 #: The training-data operators are optional: without their subpackage the other queries stand.
-HAS_LLM = importlib.util.find_spec("tempovar.llm") is not None and importlib.util.find_spec("corpus_pipeline") is not None
+HAS_LLM = all((spec := importlib.util.find_spec(name)) is not None and spec.origin is not None for name in ("tempovar.llm", "corpus_pipeline"))
 
 SMOKE_DIR = "/root/testdata/sf0.001"
 

@@ -1,12 +1,12 @@
 """Bench: the whole study (cohort, probes, models, analysis cohort, 10 grid indicators, count summary).
 
 Runs ``run_study`` on ``$BENCH_SF_DIR`` (default /root/testdata/sf0.1) with
-``local[$BENCH_CPUS]``, each stage written as parquet to a fresh scratch folder
+``local[$BENCH_CPUS]``, each stage written as parquet under the checkpoint folder
 (the stage writes are the study's lineage cuts). The surrogate warehouse views
-are stored first, as the warehouse tables of a real study are. One untimed warm-up run, then
-``$BENCH_RUNS`` timed runs (default 1); per-stage seconds are the minimum over
-the timed runs. Shuffle bytes come from Spark's event log (written to a scratch
-folder) and are averaged over warm-up and timed runs. Prints one JSON line.
+are stored first, as the warehouse tables of a real study are. One untimed warm-up run on
+``$BENCH_WARM_DIR`` (default sf0.001), then ``$BENCH_RUNS`` timed runs (default 3); per-stage
+seconds are the minimum over the timed runs. Shuffle bytes come from Spark's event log (written to a scratch
+folder) and are averaged over the timed runs. Prints one JSON line.
 """
 
 from __future__ import annotations
@@ -16,17 +16,18 @@ import os
 import sys
 import tempfile
 import time
+import uuid
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from tempovar.plans.study import Pipeline, run_study  # noqa: E402
-from tempovar.session import local_session  # noqa: E402
+from tempovar.session import ensure_checkpoint_dir, local_session  # noqa: E402
 from tempovar.sources.surrogate import warehouse  # noqa: E402
 
 
 def one_run(spark, sf_dir: str) -> dict[str, float]:
     times: dict[str, float] = {}
-    out = tempfile.mkdtemp(prefix="tempovar-bench-")
+    out = f"{ensure_checkpoint_dir(spark)}/bench-{uuid.uuid4().hex}"
     core, reference, claims = warehouse(spark, sf_dir, persist=False)
     run_study(spark, Pipeline(core, reference, claims), out, on_stage=lambda n, s: times.__setitem__(n, s),
               materialize_inputs=True)
@@ -52,12 +53,12 @@ def shuffle_bytes(log_dir: str) -> tuple[int, int]:
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    runs = int(os.environ.get("BENCH_RUNS", "1"))
+    runs = int(os.environ.get("BENCH_RUNS", "3"))
     log_dir = tempfile.mkdtemp(prefix="tempovar-eventlog-")
     spark = local_session(cpus=cpus, shuffle_partitions=int(os.environ.get("BENCH_SHUFFLE_PARTITIONS", "16")),
                           extra_conf={"spark.eventLog.enabled": "true", "spark.eventLog.dir": log_dir,
                                       "spark.eventLog.compress": "false", "spark.eventLog.rolling.enabled": "false"})
-    one_run(spark, sf_dir)  # warm-up: JIT, file listing, Python workers
+    one_run(spark, os.environ.get("BENCH_WARM_DIR", "/root/testdata/sf0.001"))  # warm-up: JIT
     best: dict[str, float] = {}
     walls = []
     for _ in range(runs):
@@ -76,8 +77,8 @@ def main() -> None:
         "queries": {k.replace("/", "_"): round(v, 3) for k, v in best.items()},
         "sf": float(sf) if sf.replace(".", "", 1).isdigit() else sf,
         "runs": runs,
-        "shuffle_write_bytes_per_run": shuffle_write // (runs + 1),
-        "shuffle_read_bytes_per_run": shuffle_read // (runs + 1),
+        "shuffle_write_bytes_per_run": shuffle_write // runs,
+        "shuffle_read_bytes_per_run": shuffle_read // runs,
         "config": {"master": f"local[{cpus}]", "spark.sql.shuffle.partitions": spark.conf.get("spark.sql.shuffle.partitions"),
                    "spark.sql.adaptive.enabled": spark.conf.get("spark.sql.adaptive.enabled")},
     }))
