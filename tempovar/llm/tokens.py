@@ -2,9 +2,10 @@
 
 A byte-level BPE without a normaliser never joins characters across the start of a
 " word": a text may be cut before a space unless white space stands on both sides of it.
-Such tokenizers encode each distinct word once per worker (a bounded memo); a text with
-an unsafe space or an added token's string, and every other kind of tokenizer, goes to
-the library whole.
+Such tokenizers encode each distinct word once per worker (a bounded memo of two
+generations, looked up once per word; an unknown word and its stem share one encoding);
+a text with an unsafe space or an added token's string, and every other kind of
+tokenizer, goes to the library whole.
 """
 
 from __future__ import annotations
