@@ -360,7 +360,7 @@ def _filters(outcome: C.Outcome) -> dict[str, str]:
     return {"care_site_level": outcome.care_site_level, **{k: v for k, v in outcome_filters(outcome).items() if v}}
 
 
-def write_reports(pipeline, out_dir: str, mode: str = "overwrite") -> dict[str, str]:
+def write_reports(pipeline, out_dir: str, mode: str = "overwrite", outcomes: Sequence[str] = tuple(C.OUTCOMES)) -> dict[str, str]:
     """Figure and summary datasets as CSV with a header, the warehouse record as JSON.
 
     Meant for the pipeline that ``run_study`` gives back: every dataset reads its stored stages.
@@ -377,18 +377,19 @@ def write_reports(pipeline, out_dir: str, mode: str = "overwrite") -> dict[str,
                                    pipeline.study.probe_start),
         "goodness_of_fit": fit_by_lag(goodness_of_fit(preds, est)),
     }
-    summary = reduce(DataFrame.unionByName, [pipeline.count_summary(n) for n in C.OUTCOMES])
-    ind = {name: pipeline.indicator(name) for name in C.OUTCOMES}
-    rates = [n for n in C.OUTCOMES if "rate" in ind[n].columns]
-    datasets |= {
-        "analysis_summary": analysis_summary_all({n: ind[n] for n in C.SUMMARY_OUTCOMES}, summary),
-        "quality": figure_panels({n: ind[n] for n in C.QUALITY_OUTCOMES}, summary),
-        "quality_icu": figure_panels({n: ind[n] for n in C.ICU_OUTCOMES}, summary),
-        "epidemiology": figure_panels({n: ind[n] for n in C.EPIDEMIOLOGY_OUTCOMES}, summary, rates=False),
-        "site_sensitivity": site_sensitivity_rows({n: ind[n] for n in rates}),
-    }
-    for name in C.OUTCOMES:
-        ind = pipeline.indicator(name)
+    summary = reduce(DataFrame.unionByName, [pipeline.count_summary(n) for n in outcomes])
+    every = {name: pipeline.indicator(name) for name in outcomes}
+
+    def chosen(names: Sequence[str]) -> dict[str, DataFrame]:
+        return {n: every[n] for n in names if n in every}
+
+    panels = {"quality": (C.QUALITY_OUTCOMES, True), "quality_icu": (C.ICU_OUTCOMES, True), "epidemiology": (C.EPIDEMIOLOGY_OUTCOMES, False)}
+    datasets |= {k: figure_panels(chosen(names), summary, rates) for k, (names, rates) in panels.items() if chosen(names)}
+    if chosen(C.SUMMARY_OUTCOMES):
+        datasets["analysis_summary"] = analysis_summary_all(chosen(C.SUMMARY_OUTCOMES), summary)
+    if rates := [n for n in every if "rate" in every[n].columns]:
+        datasets["site_sensitivity"] = site_sensitivity_rows(chosen(rates))
+    for name, ind in every.items():
         datasets[f"figure_{name}"] = figure_dataset(ind)
         if "rate" in ind.columns:
             datasets[f"sensitivity_{name}"] = site_sensitivity(ind)

@@ -8,7 +8,7 @@ between stages (a lost executor recomputes from the last written stage only).
 from __future__ import annotations
 
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 from functools import cached_property, reduce
 
@@ -166,7 +166,7 @@ def all_indicators(spark: SparkSession, out_dir: str) -> DataFrame:
 
 def run_study(spark: SparkSession, pipeline: Pipeline, out_dir: str, mode: str = "overwrite",
               on_stage: Callable[[str, float], None] | None = None,
-              materialize_inputs: bool = False) -> StoredPipeline:
+              materialize_inputs: bool = False, outcomes: Sequence[str] = tuple(OUTCOMES)) -> StoredPipeline:
     """Write every stage to ``out_dir``; the pipeline that comes back reads what was written.
 
     The stage outputs are the lineage cuts, each read back by all that follow: the cohort before
@@ -175,6 +175,7 @@ def run_study(spark: SparkSession, pipeline: Pipeline, out_dir: str, mode: str =
     (``indicators/outcome_name=...``) and the count summary (A5). ``on_stage(name, seconds)``
     receives stage timings, plan building included. ``materialize_inputs`` first stores the
     input tables (for inputs that are views, such as the surrogate warehouse of the tests).
+    ``outcomes`` are those to analyse.
     """
     done = StoredPipeline(pipeline.core, pipeline.reference, pipeline.claims, pipeline.study)
 
@@ -202,9 +203,9 @@ def run_study(spark: SparkSession, pipeline: Pipeline, out_dir: str, mode: str =
     stage("analysis/cohort_all", lambda: done.analysis_cohort.cohort_all)
     stage("analysis/cohort_mcd", lambda: done.analysis_cohort.cohort_mcd)
     stage("analysis/hospital_count", lambda: done.analysis_cohort.hospital_count)
-    for name, outcome in OUTCOMES.items():
+    for name, outcome in ((n, OUTCOMES[n]) for n in outcomes):
         stage(f"thresholds/{name}", lambda name=name: done.thresholds(name))
         rows = stage(f"indicators/{name}", lambda name=name: G.union_schema(done.indicator(name)), f"indicators/outcome_name={name}")
         done.held[f"indicators/{name}"] = G.own_schema(rows, outcome)
-    stage("cs_count_summary", lambda: reduce(DataFrame.unionByName, [done.count_summary(n) for n in OUTCOMES]))
+    stage("cs_count_summary", lambda: reduce(DataFrame.unionByName, [done.count_summary(n) for n in outcomes]))
     return done
