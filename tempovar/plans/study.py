@@ -94,10 +94,14 @@ class Pipeline:
         return G.AnalysisCohort(ac.cohort_all.persist(), ac.cohort_mcd, ac.hospital_count)
 
     def indicator(self, outcome_name: str) -> DataFrame:
-        o = OUTCOMES[outcome_name]
-        event_df = self.outcomes[outcome_name.replace("_rectangle", "")]
-        return G.statistical_analysis(self.analysis_cohort.cohort_all, event_df, self.estimates(o.estimates), o,
-                                      self.study, self.thresholds(outcome_name))
+        """Persisted, since the reports read it several times: one row per site, month and cell."""
+        cache = self.__dict__.setdefault("_indicators", {})
+        if outcome_name not in cache:
+            o = OUTCOMES[outcome_name]
+            event_df = self.outcomes[outcome_name.replace("_rectangle", "")]
+            cache[outcome_name] = G.statistical_analysis(self.analysis_cohort.cohort_all, event_df, self.estimates(o.estimates), o,
+                                                         self.study, self.thresholds(outcome_name)).persist()
+        return cache[outcome_name]
 
     def indicator_by_group(self, outcome_name: str) -> DataFrame:
         """The indicator per site and diagnosis group, on the per-group subset of the cohort."""
@@ -111,7 +115,8 @@ class Pipeline:
 
     def release(self) -> None:
         """Give back what the lazy pipeline persisted."""
-        for df in [*self.__dict__.get("_estimates", {}).values(), *([self.analysis_cohort.cohort_all] if "analysis_cohort" in self.__dict__ else [])]:
+        held = [*self.__dict__.get("_estimates", {}).values(), *self.__dict__.get("_indicators", {}).values()]
+        for df in [*held, *([self.analysis_cohort.cohort_all] if "analysis_cohort" in self.__dict__ else [])]:
             df.unpersist()
 
     def count_summary(self, outcome_name: str) -> DataFrame:
@@ -151,7 +156,11 @@ class StoredPipeline(Pipeline):
 
     def indicator(self, outcome_name: str) -> DataFrame:
         key = f"indicators/{outcome_name}"
-        return self.held[key] if key in self.held else super().indicator(outcome_name)
+        if key in self.held:
+            return self.held[key]
+        o = OUTCOMES[outcome_name]  # about to be written: not persisted
+        return G.statistical_analysis(self.analysis_cohort.cohort_all, self.outcomes[outcome_name.replace("_rectangle", "")],
+                                      self.estimates(o.estimates), o, self.study, self.thresholds(outcome_name))
 
     def count_summary(self, outcome_name: str) -> DataFrame:
         if "cs_count_summary" in self.held:
