@@ -2,17 +2,23 @@
 
 Symbols are words (lower-cased A-Z, parted by white space) and one end per text. The root
 is the word distribution with absolute discounting; the discounted mass is that of the one
-unknown word. A context of one or two words is a candidate if its probability in the
-training text is at least ``p_state``. Its next-symbol distribution keeps the successors
-whose joint probability is at least ``p_pair`` (discounted by ``DISCOUNT``); the rest of its
-mass goes to the other symbols in proportion to the suffix's distribution, so every state
-sums to one. A candidate is retained if its distribution diverges (Kullback-Leibler, nats)
-from its suffix's by ``divergence``. A token is scored in the longest retained suffix state.
-
-Counting is three passes with counts shuffled by word, pair and triple. By their probability
-thresholds at most 1/p_word words, 1/p_state contexts a level and 1/p_pair successors a
-level exist, whatever the corpus: these are collected and broadcast. Rarer words (no state
-holds them) are counted exactly too: each text's rare words are joined to the count table.
+unknown word. A context is a candidate if it occurs ``least_state`` times in the training
+text. Its next-symbol distribution keeps the successors seen ``least_pair`` times with it
+(discounted by ``DISCOUNT``); the rest of its mass goes to the other symbols in proportion
+to the suffix's distribution, so every state sums to one. A candidate is retained if its
+distribution diverges (Kullback-Leibler, nats) from its suffix's by ``divergence``. A token
+is scored in the longest retained suffix state. Levels grow from the candidates among the
+kept runs of the level before, up to ``depth`` words.
+
+A run of words is a hash of the two runs that are one word shorter, so it is counted by
+(context, suffix) and both are at hand. The log probability of a token is the sum over the
+runs that end at it of fixed values: its root, ``extra`` of each kept successor (what it is
+above its suffix's value and its context's ``rest``) and ``rest`` of each retained context.
+States and successors are stored tables, as large as the evidence makes them. Those of
+probability ``p_word`` or more (at most 1/p_word words, contexts and successors a level)
+are broadcast; the others are joined to the runs of each text, summed by text first, that
+pass a filter of at most ``FILTER_BITS`` bits. A filter passes more than it should, never
+less, and the joins drop what is not there, so both are exact at any size.
 
 Defined cases: null, empty and wordless texts are one end token; a null doc_id counts as
 the empty text in the split; repeated rows train and score each for themselves; with no
@@ -22,8 +28,10 @@ extra columns are not carried.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -38,19 +46,23 @@ IS_WORD[[32, 9, 10, 11, 12, 13]] = False
 END = np.uint64(0xE0D0E0D0E0D0E0D1)
 DISCOUNT = 0.75
 FLUSH = 1_000_000
+FILTER_BITS = 1 << 27
+SALTS = 8
+STATE = np.uint64(0x51A7E51A7E51A7E5)  # parts the key of a run as a context from its key as a successor
 
 
 @dataclass(frozen=True)
 class Thresholds:
-    """Least probabilities, and least counts for small corpora."""
+    """Least counts of contexts and successors; the probabilities ``p_next``, ``p_state`` and ``p_pair`` only if asked for."""
 
-    p_word: float = 2.5e-7
-    p_next: float = 1e-5
-    p_state: float = 1e-4
-    p_pair: float = 1e-6
+    p_word: float = 2.5e-7  # of what is broadcast
+    p_next: float = 0.0
+    p_state: float = 0.0
+    p_pair: float = 0.0
     divergence: float = 0.02
     least_state: int = 20
     least_pair: int = 4
+    depth: int = 2
 
 
 def tokens(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -66,33 +78,45 @@ def tokens(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def counted(texts: DataFrame, keys: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
     """(``key``, ``n``) of the 64-bit keys that ``keys(tokens, text)`` gives; summed in the task first."""
+    return _counted(texts, lambda tok, of: keys(tok, of)[:, None], ["key"])
+
+
+def _counted(texts: DataFrame, keys: Callable[[np.ndarray, np.ndarray], np.ndarray], names: list[str]) -> DataFrame:
+    """The same for rows of several 64-bit columns."""
+
+    def summed(rows: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not len(rows):
+            return rows, n
+        order = np.lexsort(rows.T) if rows.shape[1] > 1 else np.argsort(rows[:, 0], kind="stable")
+        rows, n = rows[order], n[order]
+        new = np.ones(len(rows), dtype=bool)
+        new[1:] = (rows[1:] != rows[:-1]).any(axis=1)
+        at = np.flatnonzero(new)
+        return rows[at], np.add.reduceat(n, at)
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, count = [], []
 
-        def merged() -> tuple[np.ndarray, np.ndarray]:
-            key, at = np.unique(np.concatenate(held), return_inverse=True)
-            return key, np.bincount(at, np.concatenate(count), len(key)).astype(np.int64)
-
-        def batch() -> pa.RecordBatch:
-            key, n = merged()
-            return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n)], names=["key", "n"])
+        def batch(rows: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([*[pa.array(np.ascontiguousarray(c).view(np.int64)) for c in rows.T], pa.array(n)], names=[*names, "n"])
 
         for f in frames:
             for _, _, buf, offs in slices(f.column(0)):
-                key, n = np.unique(keys(*tokens(buf, offs)), return_counts=True)
-                held.append(key.astype(np.uint64))
+                rows = keys(*tokens(buf, offs))
+                rows, n = summed(rows, np.ones(len(rows), dtype=np.int64))
+                held.append(rows)
                 count.append(n)
                 if sum(map(len, held)) > 2 * FLUSH:
-                    key, n = merged()
-                    held, count = [key], [n]
-                    if len(key) > FLUSH:
-                        yield batch()
+                    rows, n = summed(np.concatenate(held), np.concatenate(count))
+                    held, count = [rows], [n]
+                    if len(rows) > FLUSH:
+                        yield batch(rows, n)
                         held, count = [], []
         if held:
-            yield batch()
+            yield batch(*summed(np.concatenate(held), np.concatenate(count)))
 
-    return texts.select("text").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    schema = ", ".join(f"{c} long" for c in [*names, "n"])
+    return texts.select("text").mapInArrow(run, schema).groupBy(*names).agg(F.sum("n").alias("n"))
 
 
 def collected(df: DataFrame, *columns: str) -> list[np.ndarray]:
@@ -100,14 +124,48 @@ def collected(df: DataFrame, *columns: str) -> list[np.ndarray]:
     return [rows[c].to_numpy() for c in columns]
 
 
+class Filter:
+    """A Bloom filter of the keys of a table, of at most ``FILTER_BITS`` bits."""
+
+    def __init__(self, keys: DataFrame, size: int):
+        bits = min(FILTER_BITS, 1 << max(10, int(16 * size).bit_length()))
+
+        def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            table = np.zeros(bits // 64, dtype=np.uint64)
+            for f in frames:
+                for at in Filter.places(f.column(0).to_numpy().view(np.uint64), bits):
+                    np.bitwise_or.at(table, at >> 6, np.uint64(1) << (at & 63).astype(np.uint64))
+            at = np.flatnonzero(table)
+            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int64)), pa.array(table[at].view(np.int64))], names=["at", "mask"])
+
+        self.bits, self.table = bits, np.zeros(bits // 64, dtype=np.uint64)
+        if size:
+            at, mask = collected(keys.mapInArrow(run, "at long, mask long").groupBy("at").agg(F.bit_or("mask").alias("mask")), "at", "mask")
+            self.table[at] = mask.view(np.uint64)
+        self.size = size
+
+    @staticmethod
+    def places(key: np.ndarray, bits: int) -> Iterator[np.ndarray]:
+        step = mix(key ^ np.uint64(0x5DEECE66D)) | np.uint64(1)
+        for k in range(4):
+            with np.errstate(over="ignore"):
+                yield ((key + np.uint64(k) * step) & np.uint64(bits - 1)).astype(np.int64)
+
+    def passes(self, key: np.ndarray) -> np.ndarray:
+        out = np.full(len(key), self.size > 0)
+        for at in self.places(key, self.bits) if self.size else ():
+            out &= (self.table[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)) > 0
+        return out
+
+
 @dataclass
 class Level:
-    """Retained contexts of one length: their key, log10 of the share left to the suffix, and successors."""
+    """The broadcast contexts of one length with log10 of the share left to the suffix, and the broadcast successors."""
 
     states: Index
     rest: np.ndarray
     pairs: Index
-    log_p: np.ndarray
+    extra: np.ndarray
 
 
 @dataclass
@@ -118,51 +176,72 @@ class Model:
     words: Index
     log_root: np.ndarray
     log_count: np.ndarray  # log10(c + 1)
-    follows: np.ndarray  # number among the frequent next words, or -1
     levels: list[Level]
+    others: DataFrame | None = None  # (key, value) of the states and successors that are not broadcast
 
     def unknown(self) -> float:
         return float(np.log10(self.discount * self.v / self.n)) if self.n else 0.0
 
 
-def _pair_keys(state: np.ndarray, follow: np.ndarray) -> np.ndarray:
-    return mix((state.astype(np.uint64) << np.uint64(32)) | follow.astype(np.uint64))
-
+def longer(context: np.ndarray, suffix: np.ndarray) -> np.ndarray:
+    """Key of the run whose first words are ``context`` and whose last words are ``suffix``."""
+    with np.errstate(over="ignore"):
+        return mix(mix(context + np.uint64(1)) + suffix)
 
-def _before(ids: np.ndarray, of: np.ndarray, k: int) -> np.ndarray:
-    """Word id ``k`` tokens before in the same text, or -1."""
-    out = np.full(len(ids), -1, dtype=np.int64)
-    if len(ids) > k:
-        out[k:] = np.where(of[k:] == of[:-k], ids[:-k], -1)
-    return out
 
-
-def _context_keys(ids: np.ndarray, of: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Key of the ``length`` words before each token, and where all of them are known."""
-    back = [_before(ids, of, k) for k in range(1, length + 1)]
-    there = np.logical_and.reduce([b >= 0 for b in back])
-    key = np.zeros(len(ids), dtype=np.uint64)
-    for b in back:
-        key = mix(key) ^ (b + 1).astype(np.uint64)
-    return mix(key), there
+def runs(tok: np.ndarray, of: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For lengths 1 to ``most``: where a run of that many words of one text ends, and its key."""
+    at, key = np.arange(len(tok)), tok
+    for length in range(1, most + 1):
+        yield at, key
+        full = np.zeros(len(tok), dtype=np.uint64)
+        full[at] = key
+        at = at[at >= length]
+        at = at[of[at] == of[at - length]]
+        key = longer(full[at - 1], full[at])
 
 
 def walk(model: Model, ids: np.ndarray, of: np.ndarray) -> np.ndarray:
-    """log10 probability of each token; a token without an id gets the factor before its root probability."""
+    """log10 probability of each token by what is broadcast; one without an id gets the factor before its root probability."""
+    tok = np.full(len(ids), STATE)
+    tok[ids >= 0] = model.words.keys[ids[ids >= 0]]
     p = np.where(ids >= 0, model.log_root[ids], 0.0) if len(model.log_root) else np.zeros(len(ids))
-    follow = np.where(ids >= 0, model.follows[ids], -1) if len(model.follows) else np.full(len(ids), -1)
-    for length, level in enumerate(model.levels, 1):
-        key, there = _context_keys(ids, of, length)
-        state = np.full(len(ids), -1, dtype=np.int64)
-        state[there] = level.states.find(key[there])
-        at = np.full(len(ids), -1, dtype=np.int64)
-        both = np.flatnonzero((state >= 0) & (follow >= 0))
-        at[both] = level.pairs.find(_pair_keys(state[both], follow[both]))
-        own = state >= 0
-        p[own] += level.rest[state[own]]
-        seen = at >= 0
-        p[seen] = level.log_p[at[seen]]
-    return p
+    return p + walked(model.levels, tok, of, None)[0]
+
+
+def walked(levels: list[Level], tok: np.ndarray, of: np.ndarray, others: Filter | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What the levels add to each token's log10 probability; the tokens and keys that the other states and successors may add to."""
+    p, where, keys = np.zeros(len(tok)), [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
+
+    def add(index: Index, value: np.ndarray, at: np.ndarray, key: np.ndarray, tag: np.uint64) -> None:
+        found = index.find(key)
+        p[at[found >= 0]] += value[found[found >= 0]]
+        if others is not None:
+            left = found < 0
+            at, key = at[left], key[left] ^ tag
+            there = others.passes(key)
+            where.append(at[there])
+            keys.append(key[there])
+
+    for length, (at, key) in enumerate(runs(tok, of, len(levels) + 1)):
+        if length:
+            add(levels[length - 1].pairs, levels[length - 1].extra, at, key, np.uint64(0))
+        if length < len(levels):
+            inner = at + 1 < len(tok)
+            inner[inner] = of[at[inner] + 1] == of[at[inner]]
+            add(levels[length].states, levels[length].rest, at[inner] + 1, key[inner], STATE)
+    return p, np.concatenate(where), np.concatenate(keys)
+
+
+def keyed(df: DataFrame) -> DataFrame:
+    """Add the ``key`` of the run of ``ctx`` and ``suf``."""
+
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for f in frames:
+            key = longer(*(f.column(c).to_numpy().view(np.uint64) for c in ("ctx", "suf")))
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *f.columns], names=["key", *f.schema.names])
+
+    return df.select("ctx", "suf", "n").mapInArrow(run, "key long, ctx long, suf long, n long")
 
 
 def train(texts: DataFrame, t: Thresholds) -> tuple[Model, DataFrame]:
@@ -171,89 +250,95 @@ def train(texts: DataFrame, t: Thresholds) -> tuple[Model, DataFrame]:
     counts = stored(counted(texts, lambda tok, of: tok), "word-counts")
     n, v, n1, n2 = counts.agg(F.sum("n"), F.count("*"), F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2)).first()
     n, discount = n or 0, min(0.9, max(0.1, n1 / (n1 + 2 * n2) if n1 else 0.5))
-    key, c = collected(counts.where(F.col("n") >= t.p_word * n).orderBy(F.desc("n"), "key"), "key", "n")
-    follows = np.where(c >= t.p_next * n, np.arange(len(c)), -1)  # the most frequent come first
-    model = Model(n, v, discount, Index(key.view(np.uint64)), np.log10((c - discount) / max(n, 1)), np.log10(c + 1.0), follows, [])
-
-    def grow(length: int, words: list[np.ndarray], times: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-        """Add the level of these candidate contexts (columns of word ids, latest first); its frequent pairs come back."""
-        of = np.arange(len(times)).repeat(length)
-        ids = np.stack(words[::-1], axis=1).ravel() if len(times) else np.empty(0, np.int64)
-        contexts = Index(_after(ids, of, length))
-        held = spark.sparkContext.broadcast((model.words, model.follows, contexts))
-
-        def pairs(tok: np.ndarray, text: np.ndarray) -> np.ndarray:
-            index, follows, contexts = held.value
-            ids = index.find(tok).astype(np.int64)
-            key, there = _context_keys(ids, text, length)
-            follow = np.where(ids >= 0, follows[ids], -1) if len(follows) else ids
-            there &= follow >= 0
-            state = contexts.find(key[there]).astype(np.int64)
-            return ((state << 32) | follow[there])[state >= 0]
-
-        joint = max(t.least_pair, t.p_pair * n)
-        got, m = collected(counted(texts, pairs).where(F.col("n") >= joint).orderBy("key"), "key", "n")
-        state, follow = got >> 32, got & 0xFFFFFFFF
-        # the suffix's log10 probability of each successor, by the levels there are
-        line = np.stack([*[w[state] for w in words[::-1]], follow], axis=1) if len(got) else np.empty((0, length + 1), np.int64)
-        suffix = 10.0 ** walk(model, line[:, 1:].ravel(), np.arange(len(got)).repeat(length)).reshape(len(got), -1)[:, -1] if len(got) else np.empty(0)
-        share = (m - DISCOUNT) / times[state]
-        left = 1 - np.bincount(state, share, len(times))
-        other = np.maximum(1 - np.bincount(state, suffix, len(times)), 1e-12)
-        diverges = np.bincount(state, share * np.log(share / suffix), len(times)) + left * np.log(left / other)
-        retained = diverges >= t.divergence
-        new = np.cumsum(retained) - 1
-        ok = retained[state]
-        model.levels.append(Level(Index(contexts.keys[retained]), np.log10(left / other)[retained],
-                                  Index(_pair_keys(new[state[ok]], follow[ok])), np.log10(share[ok])))
-        again = (m >= max(t.least_state, t.p_state * n)) & (model_end != follow)
-        return [follow[again], *[w[state[again]] for w in words]], m[again]
-
-    model_end = int(model.words.find(np.array([END]))[0])
-    alone = np.flatnonzero((c >= max(t.least_state, t.p_state * n)) & (np.arange(len(c)) != model_end))
-    words, times = grow(1, [alone], c[alone])
-    grow(2, words, times)
+    head = F.col("n") >= t.p_word * n
+    key, c = collected(counts.where(head).orderBy(F.desc("n"), "key"), "key", "n")
+    model = Model(n, v, discount, Index(key.view(np.uint64)), np.log10((c - discount) / max(n, 1)), np.log10(c + 1.0), [])
+    evidence = max(t.least_state, t.p_state * n)
+    known = counts.where(F.col("n") >= max(t.least_pair, t.p_next * n)).select(
+        "key", "n", F.log10((F.col("n") - discount) / n).alias("t"), (F.col("key") == F.lit(int(END.view(np.int64)))).alias("end")) if n else None
+    others: list[DataFrame] = []
+    while n and len(model.levels) < t.depth:
+        length = len(model.levels) + 1
+        open_ = (F.col("n") >= evidence) & ~F.col("end")
+        some, size = known.agg(F.count_if(open_), F.count("*")).first()
+        if not some:
+            break
+        candidates = known.where(open_)
+        held = spark.sparkContext.broadcast((Filter(candidates.select("key"), some), Filter(known.select("key"), size)))
+
+        def pairs(tok: np.ndarray, of: np.ndarray, length: int = length, held=held) -> np.ndarray:
+            contexts, ends = held.value
+            *_, (at, key) = runs(tok, of, length)
+            full, there = np.zeros(len(tok), dtype=np.uint64), np.zeros(len(tok), dtype=bool)
+            full[at], there[at] = key, True
+            at = at[at > 0]
+            at = at[there[at - 1] & (of[at - 1] == of[at])]
+            at = at[contexts.passes(full[at - 1])]
+            at = at[ends.passes(full[at])]
+            return np.stack([full[at - 1], full[at]], axis=1)
+
+        kept = _counted(texts, pairs, ["ctx", "suf"]).where(F.col("n") >= max(t.least_pair, t.p_pair * n))
+        got = stored(keyed(kept).join(known.select(F.col("key").alias("suf"), "t", "end"), "suf"), f"runs-{length}")
+        held.unpersist()
+        m, ln10 = F.col("n") - DISCOUNT, math.log(10)
+        sums = got.groupBy("ctx").agg(F.sum(m).alias("a"), F.sum(F.pow(F.lit(10.0), "t")).alias("s"), F.sum(m * (F.log(m) - F.col("t") * ln10)).alias("b"))
+        left, other = 1 - F.col("a") / F.col("times"), F.greatest(1 - F.col("s"), F.lit(1e-12))
+        diverges = (F.col("b") - F.col("a") * F.log("times")) / F.col("times") + left * F.log(left / other)
+        states = stored(sums.join(candidates.select(F.col("key").alias("ctx"), F.col("n").alias("times")), "ctx")
+                        .where(diverges >= t.divergence).select("ctx", "times", F.log10(left / other).alias("rest")), f"states-{length}")
+        # a context of many successors is dealt by a salt
+        salted = states.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        own = F.log10(m / F.col("times"))
+        known = stored(got.withColumn("salt", F.pmod("key", F.lit(SALTS)).cast("int")).join(salted, ["ctx", "salt"], "left").select(
+            "key", "n", F.coalesce(own, "t").alias("t"), "end", (own - F.col("t") - F.col("rest")).alias("extra")), f"known-{length}")
+        key, rest = collected(states.where(F.col("times") >= t.p_word * n).orderBy("ctx"), "ctx", "rest")
+        pair, extra = collected(known.where(head & F.col("extra").isNotNull()).orderBy("key"), "key", "extra")
+        model.levels.append(Level(Index(key.view(np.uint64)), rest, Index(pair.view(np.uint64)), extra))
+        others += [states.where(F.col("times") < t.p_word * n).select(F.col("ctx").bitwiseXOR(F.lit(int(STATE.view(np.int64)))).alias("key"), F.col("rest").alias("value")),
+                   known.where(~head & F.col("extra").isNotNull()).select("key", F.col("extra").alias("value"))]
+    if others:
+        model.others = reduce(DataFrame.unionByName, others)
     return model, counts
 
 
-def _after(ids: np.ndarray, of: np.ndarray, length: int) -> np.ndarray:
-    """Keys of contexts given as runs of ``length`` word ids."""
-    rows = ids.reshape(-1, length)
-    key = np.zeros(len(rows), dtype=np.uint64)
-    for k in range(length):
-        key = mix(key) ^ (rows[:, length - 1 - k] + 1).astype(np.uint64)
-    return mix(key)
+SCORED = ("doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, "
+          "rare array<long>, times array<long>, keys array<long>, key_times array<long>")
 
 
-SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, rare array<long>, times array<long>"
+def _per_text(of: np.ndarray, key: np.ndarray, size: int) -> list[pa.Array]:
+    """Per text its distinct keys, and how often each."""
+    order = np.lexsort((key, of))
+    of, key = of[order], key[order]
+    new = np.ones(len(key), dtype=bool)
+    new[1:] = (key[1:] != key[:-1]) | (of[1:] != of[:-1])
+    at = np.flatnonzero(new)
+    cuts = pa.array(np.searchsorted(of[at], np.arange(size + 1)).astype(np.int32))
+    return [pa.ListArray.from_arrays(cuts, pa.array(x)) for x in (key[at].view(np.int64), np.diff([*at, len(key)]).astype(np.int64))]
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """Per text: sums over the tokens the model holds, and its other words with their number."""
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    """Per text: sums over what is broadcast, and its other words and other keys with their number."""
+    others = Filter(model.others.select("key"), model.others.count()) if model.others is not None else None
+    held = docs.sparkSession.sparkContext.broadcast((model.words, model.log_root, model.log_count, model.levels, others))
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = held.value
+        words, log_root, log_count, levels, others = held.value
         for f in frames:
             for a, b, buf, offs in slices(f.column("text")):
                 tok, of = tokens(buf, offs)
-                ids = m.words.find(tok).astype(np.int64)
+                ids = words.find(tok).astype(np.int64)
                 known, size = ids >= 0, b - a
-                p = walk(m, ids, of)
-                base = np.where(known, m.log_count[ids], 0.0) if len(m.log_count) else np.zeros(len(ids))
-                other = np.flatnonzero(~known)
-                other = other[np.lexsort((tok[other], of[other]))]
-                new = np.ones(len(other), dtype=bool)
-                new[1:] = (tok[other][1:] != tok[other][:-1]) | (of[other][1:] != of[other][:-1])
-                at = np.flatnonzero(new)
-                cuts = pa.array(np.searchsorted(of[other[at]], np.arange(size + 1)).astype(np.int32))
+                p, at, key = walked(levels, tok, of, others)
+                base = np.zeros(len(ids))
+                if len(log_count):
+                    base = np.where(known, log_count[ids], 0.0)
+                    p += np.where(known, log_root[ids], 0.0)
                 yield pa.RecordBatch.from_arrays([
                     f.column("doc_id").slice(a, size), f.column("held_out").slice(a, size),
                     pa.array(np.bincount(of, minlength=size)), pa.array(np.bincount(of, known, size).astype(np.int64)),
                     pa.array(np.bincount(of, base, size)), pa.array(np.bincount(of, p, size)),
-                    pa.ListArray.from_arrays(cuts, pa.array(tok[other[at]].view(np.int64))),
-                    pa.ListArray.from_arrays(cuts, pa.array(np.diff([*at, len(other)]).astype(np.int64))),
-                ], names=["doc_id", "held_out", "n_tokens", "n_known", "base", "score", "rare", "times"])
+                    *_per_text(of[~known], tok[~known], size), *_per_text(of[at], key, size),
+                ], names=["doc_id", "held_out", "n_tokens", "n_known", "base", "score", "rare", "times", "keys", "key_times"])
 
     return docs.mapInArrow(run, SCORED)
 
@@ -275,8 +360,14 @@ def score(docs: DataFrame, t: Thresholds | None = None) -> DataFrame:
             .agg(F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("r_known"),
                  F.sum(F.col("times") * F.log10(c + 1.0)).alias("r_base"), F.sum(F.col("times") * root).alias("r_score")))
     scale = float(np.log10(model.n + model.v + 1))
-    return (per_doc.drop("rare", "times").join(sums, "row", "left").select(
+    if model.others is not None:
+        by_key = (per_doc.select("row", F.explode(F.arrays_zip("keys", "key_times")).alias("x")).select("row", F.col("x.keys").alias("key"), F.col("x.key_times").alias("times"))
+                  .join(model.others, "key").groupBy("row").agg(F.sum(F.col("times") * F.col("value")).alias("o_score")))
+        sums = sums.join(by_key, "row", "full")
+    else:
+        sums = sums.withColumn("o_score", F.lit(0.0))
+    return (per_doc.drop("rare", "times", "keys", "key_times").join(sums, "row", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("r_known", F.lit(0))).cast("long").alias("n_known"),
         F.lit(model.n).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("r_base", F.lit(0.0)) - F.col("n_tokens") * scale).alias("base_score"),
-        (F.col("score") + F.coalesce("r_score", F.lit(0.0))).alias("score")))
+        (F.col("score") + F.coalesce("r_score", F.lit(0.0)) + F.coalesce("o_score", F.lit(0.0))).alias("score")))

@@ -67,3 +67,46 @@ def test_odd_and_empty(spark):
     only_held = [(i, "some words") for i in range(100) if held(i)]
     got = lm.score(documents(spark, only_held)).collect()
     assert all(r.train_tokens == 0 and r.n_known == 0 and r.base_score == 0 and r.score == 0 for r in got) and len(got) == len(only_held)
+
+
+def tree(docs, t):
+    """log10 probability of each text by a plain suffix tree of runs counted in full."""
+    train = [tokens(x) for i, x in docs if not held(i)]
+    count = [Counter(tuple(x[a:a + k]) for x in train for a in range(len(x) - k + 1)) for k in range(t.depth + 2)]
+    n, c = sum(count[1].values()), Counter(count[1].values())
+    d = min(0.9, max(0.1, c[1] / (c[1] + 2 * c[2]) if c[1] else 0.5))
+    kept, states = {}, {}
+    for k in range(1, t.depth + 1):
+        for g, m in count[k + 1].items():
+            if m >= t.least_pair and count[k][g[:-1]] >= t.least_state:
+                kept.setdefault(g[:-1], {})[g[-1]] = m
+
+    def p(ctx, w):
+        if not ctx:
+            return (count[1][w,] - d) / n if (w,) in count[1] else d * len(count[1]) / n
+        if ctx not in states:
+            return p(ctx[1:], w)
+        own, rest = states[ctx]
+        return own[w] if w in own else rest * p(ctx[1:], w)
+
+    for ctx in sorted(kept, key=len):
+        own = {w: (m - lm.DISCOUNT) / count[len(ctx)][ctx] for w, m in kept[ctx].items()}
+        below = {w: p(ctx[1:], w) for w in own}
+        left, other = 1 - sum(own.values()), max(1 - sum(below.values()), 1e-12)
+        if sum(x * math.log(x / below[w]) for w, x in own.items()) + left * math.log(left / other) >= t.divergence:
+            states[ctx] = own, left / other
+    for i, x in docs:
+        tok = tokens(x)
+        yield i, sum(math.log10(p(tuple(tok[max(0, a - t.depth):a]), w)) for a, w in enumerate(tok)), states
+
+
+def test_every_context_with_evidence_counts(spark):
+    """A corpus beyond 200,000 tokens: relative limits left out contexts of 20 occurrences and successors of few."""
+    docs = texts(spark, "/root/testdata/sf0.01")
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    want = list(tree(docs, lm.Thresholds()))
+    assert len([s for s in want[0][2] if len(s) == 1]) > 1000
+    for p_word in (2.5e-7, 1e-4):  # all broadcast; most of the states and successors joined
+        got = sorted((r.doc_id, r.score) for r in lm.score(df, lm.Thresholds(p_word=p_word)).collect())
+        assert len(got) == len(want)
+        assert all(a == b and abs(x - y) < 1e-6 * max(1, abs(y)) for (a, x), (b, y, _) in zip(got, sorted(want, key=lambda r: r[:2]), strict=True))
