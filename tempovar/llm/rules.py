@@ -4,9 +4,13 @@ Whole-text statistics feed integer features (per mille, or counts). Labelled row
 by a hash of doc_id into growing and pruning rows. A rule grows by the threshold condition
 of the largest FOIL gain until it covers no good growing row, is pruned to the prefix of
 the best (bad - good) / (bad + good) on pruning rows, and is accepted if that share of bad
-is high enough; the rows it covers leave, and the next rule grows. Each step is one
-aggregate over the labelled statistics: feature x threshold counts go to the driver, never
-rows. The list is emitted as ordered ``when(...)`` expressions.
+is high enough; the rows it covers leave, and the next rule grows. If it is not, the feature
+and side it starts with are set aside until a rule is accepted, and the next best start is
+tried. A grown rule's earlier thresholds are chosen anew beside its later conditions where
+that covers more bad and no more good rows. The thresholds of a step are percentiles of each feature over the growing rows the rule
+still covers and the bad ones of them, and the middles between neighbours. Each step is two aggregates over the
+labelled statistics: feature x threshold counts go to the driver, never rows. The list is
+emitted as ordered ``when(...)`` expressions.
 
 Defined cases: a null text has no words and fails the base rule; labels without a doc_id, a
 document or a quality are not learned from; a doc_id labelled twice counts twice; without
@@ -26,8 +30,8 @@ from pyspark.sql import functions as F
 from .common import stored
 
 SYMBOLS, SPACE = "#*$%&|<>", " \t\n\x0b\f\r"
-#: Thresholds offered to every feature.
-GRID = (0, 1, 2, 3, 5, 8, 12, 20, 30, 50, 80, 120, 200, 300, 450, 650, 1000, 1500, 2500, 4000, 6000, 10000)
+#: Percentiles of a feature that are offered as thresholds: of the rows, and of the bad rows.
+CUTS = 256
 Condition = tuple[str, bool, int]  # feature, whether above (else at most), threshold
 
 
@@ -99,20 +103,33 @@ def _gain(p: int, n: int, p0: int, n0: int) -> float:
     return p * (math.log2(p / (p + n)) - math.log2(p0 / (p0 + n0))) if p else 0.0
 
 
-def best_condition(rows: DataFrame, features: list[str]) -> tuple[Condition | None, int, int]:
-    """The condition of the largest gain on ``rows`` (``bad``), with the bad and good it covers."""
-    place = F.array(*[F.struct(F.lit(f).alias("f"), sum(((F.col(f) > v).cast("int") for v in GRID), F.lit(0)).alias("b")) for f in features])
-    cells = (rows.select("bad", F.explode(place).alias("x")).groupBy("x.f", "x.b")
-             .agg(F.sum("bad").alias("p"), F.sum(1 - F.col("bad")).alias("n")).collect())  # at most features x thresholds
+def thresholds(rows: DataFrame, features: list[str]) -> dict[str, list[int]]:
+    """Per feature the values at the percentiles of ``rows`` and of the bad ones, and the middles between neighbours."""
+    shares = [i / CUTS for i in range(CUTS + 1)]
+    bad = F.col("bad") == 1
+    got = rows.agg(*[F.percentile_approx(x, shares, 10_000).alias(f"{f}_{k}") for f in features for k, x in enumerate((F.col(f), F.when(bad, F.col(f))))]).first()
+    values = {f: sorted({v for k in (0, 1) for v in got[f"{f}_{k}"] or ()}) for f in features}
+    return {f: sorted({c for a, b in zip(v, v[1:]) for c in (a, (a + b) // 2)}) for f, v in values.items()}
+
+
+def best_condition(rows: DataFrame, features: list[str], aside: set[tuple[str, bool]] = frozenset()) -> tuple[Condition | None, int, int]:
+    """The condition of the largest gain on ``rows`` (``bad``), with the bad and good it covers; none of a feature and side ``aside``."""
+    grid = thresholds(rows, features)
+    values = (rows.select("bad", F.explode(F.array(*[F.struct(F.lit(f).alias("f"), F.col(f).alias("v")) for f in features])).alias("x"))
+              .groupBy("x.f", "x.v").agg(F.sum("bad").alias("p"), F.sum(1 - F.col("bad")).alias("n")))
+    cuts = F.create_map(*[c for f in features for c in (F.lit(f), F.array(*map(F.lit, grid[f])).cast("array<long>"))])
+    below = F.size(F.filter(cuts[F.col("f")], lambda c: c < F.col("v")))
+    cells = values.groupBy("f", below.alias("b")).agg(F.sum("p").alias("p"), F.sum("n").alias("n")).collect()  # at most features x thresholds
     count = {(r["f"], r["b"]): (r["p"], r["n"]) for r in cells}
     best: tuple[float, Condition | None, int, int] = (0.0, None, 0, 0)
     for f in features:
-        of = [count.get((f, b), (0, 0)) for b in range(len(GRID) + 1)]
+        of = [count.get((f, b), (0, 0)) for b in range(len(grid[f]) + 1)]
         p0, n0 = sum(c[0] for c in of), sum(c[1] for c in of)
-        for i, v in enumerate(GRID):  # at most v: cells 0 to i
-            p, n = sum(c[0] for c in of[:i + 1]), sum(c[1] for c in of[:i + 1])
+        p = n = 0
+        for v, cell in zip(grid[f], of):  # at most v: cells up to this one
+            p, n = p + cell[0], n + cell[1]
             for above, q, m in ((False, p, n), (True, p0 - p, n0 - n)):
-                if p0 and (gain := _gain(q, m, p0, n0)) > best[0] + 1e-9:
+                if p0 and (f, above) not in aside and (gain := _gain(q, m, p0, n0)) > best[0] + 1e-9:
                     best = (gain, (f, above, v), q, m)
     return best[1:]
 
@@ -121,18 +138,27 @@ def learn(labelled: DataFrame, features: list[str], max_rules: int = 10, max_con
           min_bad: float = 0.9, least: int = 5) -> list[list[Condition]]:
     """Rules for bad rows (``bad`` 1, else 0; ``prune`` marks pruning rows), in order."""
     rules: list[list[Condition]] = []
-    for _ in range(max_rules):
+    aside: set[tuple[str, bool]] = set()
+    while len(rules) < max_rules:
         left = labelled.where(~reduce(lambda a, b: a | b, [holds(r) for r in rules], F.lit(False)))
+        if not aside and left.where(F.col("prune") & (F.col("bad") == 1)).count() < least:
+            break  # no rule can be accepted
         rule: list[Condition] = []
         while len(rule) < max_conditions:
-            condition, p, n = best_condition(left.where(~F.col("prune") & holds(rule)), features)
+            condition, p, n = best_condition(left.where(~F.col("prune") & holds(rule)), features, frozenset() if rule else aside)
             if condition is None:
                 break
             rule.append(condition)
+            covered = p, n
             if n == 0:
                 break
         if not rule:
             break
+        for i, (f, above, _) in enumerate(rule[:-1]):  # a threshold chosen before the later conditions may be too tight beside them
+            beside = left.where(~F.col("prune") & holds(rule[:i] + rule[i + 1:]))
+            condition, p, n = best_condition(beside, [f], {(f, not above)})
+            if condition is not None and p > covered[0] and n <= covered[1]:
+                rule[i], covered = condition, (p, n)
         prefixes = [rule[:i] for i in range(1, len(rule) + 1)]
         got = left.where("prune").agg(*[F.sum(F.when(holds(r), x).otherwise(0)) for r in prefixes for x in (F.col("bad"), 1 - F.col("bad"))]).first()
         worth = [((got[2 * i] or 0), (got[2 * i + 1] or 0)) for i in range(len(prefixes))]
@@ -140,8 +166,10 @@ def learn(labelled: DataFrame, features: list[str], max_rules: int = 10, max_con
         i = max(range(len(value)), key=lambda k: (value[k], -k))
         p, n = worth[i]
         if p < least or p / (p + n) < min_bad:
-            break
+            aside.add(rule[0][:2])
+            continue
         rules.append(prefixes[i])
+        aside = set()
     return rules
 
 

@@ -54,3 +54,23 @@ def test_without_labels_only_the_base_rule(spark):
     odd = spark.createDataFrame([(None, 0), (6, None), (99, 1)], "doc_id long, quality int")
     assert len(R.quality(documents(spark), odd).collect()) == len(ODD)
     assert R.quality(empty(spark), none).collect() == []
+
+
+def test_thresholds_follow_the_rows(spark):
+    """A cut at 41,000, far above any fixed grid."""
+    rng = random.Random(5)
+    rows = [rng.randint(30_000, 50_000) for _ in range(900)]
+    df = spark.createDataFrame([(a, int(a > 41_000), i % 3 == 0) for i, a in enumerate(rows)], "f_a long, bad int, prune boolean")
+    rules = R.learn(df, ["f_a"])
+    assert rules and df.withColumn("kept", R.decision_list(rules)).where((F.col("bad") == 1) == F.col("kept")).count() <= 9
+
+
+def test_a_rejected_rule_does_not_end_the_list(spark):
+    """f_a is a better start on the growing rows but fails on the pruning rows; f_b holds on both."""
+    data = []
+    for i in range(600):
+        prune, bad = i % 3 == 0, i % 4 == 0
+        data.append((100 if bad and not prune or not bad and prune else 0, 100 if bad and i % 20 else 0, int(bad), prune))
+    df = spark.createDataFrame(data, "f_a long, f_b long, bad int, prune boolean")
+    rules = R.learn(df, ["f_a", "f_b"])
+    assert [[c[:2] for c in r] for r in rules][:1] == [[("f_b", True)]]
