@@ -73,3 +73,21 @@ def test_odd_and_empty(spark):
     assert {(6, 6, False), (7, 6, True), (8, 6, True)} <= got
     assert (9, 9, False) in got and (9, 9, True) not in got  # equal rows are one document
     assert P.clusters(empty(spark)).collect() == []
+
+
+def test_query_takes_every_line_with_a_shingle(spark, tmp_path):
+    """Lines of 5 to 19 words too, alone and as a wrapped passage; the query's limit was 20 words."""
+    from tempovar.llm.queries import op3_substring_dedup
+    wrapped = "\n".join(" ".join(f"w{k}x{i}" for i in range(9)) for k in range(7))
+    near = [f"n{i}" for i in range(18)]
+    docs = [(1, "one two three four five\n" + wrapped), (2, "ONE two three four five\nfour words are none"), (3, wrapped + "\nfour words are none"),
+            (4, " ".join(near)), (5, " ".join([*near, "more"]))]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted(map(tuple, op3_substring_dedup(spark, str(tmp_path)).collect()))
+    assert got == sorted(brute(docs, 0.8, 5)) and len(got) == 2 + 14 + 2
+
+
+def test_whole_table_of_short_lines(spark):
+    docs = texts(spark, "/root/testdata/sf0.01")
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert sorted(map(tuple, P.clusters(df, min_words=5).collect())) == sorted(brute(docs, 0.8, 5))
