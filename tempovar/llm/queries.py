@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, langid, linededup, lm, packing, paradedup, rules, sharding, simhash, tokencount
+from . import decontaminate, langid, linededup, lm, packing, paradedup, rules, search, sharding, simhash, tokencount
 from .common import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -53,10 +53,14 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predictions(table(spark, sf_dir, "documents"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_packing, op2_decontamination, op3_substring_dedup, op4_quality_rules, op5_token_counts, op6_line_dedup, op7_simhash, op8_lm_scoring,
-        op9_sharding, op10_language_id)}
+        op9_sharding, op10_language_id, op11_lexical_search)}
 
 
 #: Words of a text: lower-cased A-Z, then runs of 0-9, a-z and anything beyond ASCII.
@@ -102,5 +106,24 @@ from doc left join total using (r) left join kept using (r)
 """
 
 
+#: Terms of a text: runs of digits, letters and anything beyond ASCII, A-Z lower-cased.
+_TERMS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+OP11 = f"""
+with doc as (select doc_id, row_number() over () as r, {_TERMS} as w from documents),
+counted as (select *, len(w) as n from doc where len(w) > 0),
+total as (select count(*) as docs, cast(sum(n) as bigint) as length from counted),
+want as (select item_id, t, count(*) as q from (select item_id, unnest({_TERMS}) as t from benchmark) group by item_id, t),
+posting as (select r, t, count(*) as tf from (select r, unnest(w) as t from counted) where t in (select t from want) group by r, t),
+weight as (select t, cast(floor(1000 * ln((2 * docs + 2)::double / (2 * df + 1)::double)) as bigint) as w
+           from (select t, count(*) as df from posting group by t), total),
+part as (select r, t, weight.w * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + (25 * n * docs) // length))) as s
+         from posting join weight using (t) join counted using (r), total),
+score as (select item_id, r, sum(q * s) as score from part join want using (t) group by item_id, r having sum(q * s) > 0),
+best as (select item_id, doc_id, score, row_number() over (partition by item_id order by score desc, doc_id, r) as rank from score join doc using (r))
+select item_id, cast(rank as integer) as rank, doc_id, cast(score as bigint) as score from best where rank <= 20
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontamination": OP2, "op6_line_dedup": OP6}
+    return {"op2_decontamination": OP2, "op6_line_dedup": OP6, "op11_lexical_search": OP11}
