@@ -8,7 +8,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
@@ -52,6 +52,30 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Bits of a bitmap that ``sifted`` broadcasts, at most: 16 MB.
+SIFT_BITS = 1 << 27
+
+
+def sifted(df: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
+    """The rows of ``df`` whose long ``column`` may be among those of ``wanted`` (one long column ``k``).
+
+    A bitmap of hashed keys, built by Spark and broadcast (at most 16 MB), drops most other rows in
+    the scan, before a join shuffles them. It passes some that are not wanted, never drops one that is.
+    """
+    size = wanted.count()
+    bits = 1 << min(27, max(15, (16 * size).bit_length()))
+
+    def place(c: str) -> Column:
+        return F.pmod(F.xxhash64(c), F.lit(min(bits, SIFT_BITS)))
+
+    held = (wanted.select(place("k").alias("p")).select(F.bitmap_bucket_number("p").alias("_bucket"), F.bitmap_bit_position("p").alias("b"))
+            .groupBy("_bucket").agg(F.bitmap_construct_agg("b").alias("_bitmap")))
+    marked = df.withColumn("_place", place(column)).withColumn("_bucket", F.bitmap_bucket_number("_place"))
+    byte = F.conv(F.hex(F.substring("_bitmap", (F.bitmap_bit_position("_place") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    hit = F.expr("shiftright(_byte, cast(bitmap_bit_position(_place) % 8 as int)) & 1 = 1")
+    return marked.join(F.broadcast(held), "_bucket").withColumn("_byte", byte).where(hit).select(*[F.col(c) for c in df.columns])
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, langid, linededup, lm, packing, paradedup, rules, search, sharding, simhash, tokencount
+from . import decontaminate, langid, linededup, lm, packing, paradedup, rules, search, setjoin, sharding, simhash, tokencount, variants
 from .common import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -57,10 +57,18 @@ def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.variants(table(spark, sf_dir, "documents"))
+
+
+def op13_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return setjoin.classes(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_packing, op2_decontamination, op3_substring_dedup, op4_quality_rules, op5_token_counts, op6_line_dedup, op7_simhash, op8_lm_scoring,
-        op9_sharding, op10_language_id, op11_lexical_search)}
+        op9_sharding, op10_language_id, op11_lexical_search, op12_spelling_variants, op13_jaccard_join)}
 
 
 #: Words of a text: lower-cased A-Z, then runs of 0-9, a-z and anything beyond ASCII.
@@ -125,5 +133,21 @@ select item_id, cast(rank as integer) as rank, doc_id, cast(score as bigint) as
 """
 
 
+OP13 = r"""
+with recursive doc as (
+  select doc_id, row_number() over () as r, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+gram as (select distinct r, array_to_string(w[i:i + 2], ' ') as g
+         from (select r, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) as i from doc where len(w) > 0)),
+size as (select r, count(*) as n from gram group by r),
+both as (select x.r as a, y.r as b, count(*) as n from gram x join gram y on x.g = y.g and x.r < y.r group by x.r, y.r),
+near as (select a, b from both join size x on x.r = a join size y on y.r = b where 100 * both.n >= 90 * (x.n + y.n - both.n)),
+link as (select a, b from near union all select b, a from near),
+reach as (select r, r as s from doc union select reach.r, link.b from reach join link on reach.s = link.a),
+least as (select reach.r, min(doc.doc_id) as c from reach join doc on doc.r = reach.s group by reach.r)
+select doc_id, cast(coalesce(n, 0) as bigint) as n_shingles, c as component_id from doc join least using (r) left join size using (r)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontamination": OP2, "op6_line_dedup": OP6, "op11_lexical_search": OP11}
+    return {"op2_decontamination": OP2, "op6_line_dedup": OP6, "op11_lexical_search": OP11, "op13_jaccard_join": OP13}
