@@ -63,10 +63,10 @@ def sifted(df: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
     the scan, before a join shuffles them. It passes some that are not wanted, never drops one that is.
     """
     size = wanted.count()
-    bits = 1 << min(27, max(15, (16 * size).bit_length()))
+    bits = min(SIFT_BITS, 1 << max(15, (8 * size).bit_length()))
 
     def place(c: str) -> Column:
-        return F.pmod(F.xxhash64(c), F.lit(min(bits, SIFT_BITS)))
+        return F.pmod(F.xxhash64(c), F.lit(bits))
 
     held = (wanted.select(place("k").alias("p")).select(F.bitmap_bucket_number("p").alias("_bucket"), F.bitmap_bit_position("p").alias("b"))
             .groupBy("_bucket").agg(F.bitmap_construct_agg("b").alias("_bitmap")))

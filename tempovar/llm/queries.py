@@ -140,8 +140,8 @@ with recursive doc as (
 gram as (select distinct r, array_to_string(w[i:i + 2], ' ') as g
          from (select r, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) as i from doc where len(w) > 0)),
 size as (select r, count(*) as n from gram group by r),
-both as (select x.r as a, y.r as b, count(*) as n from gram x join gram y on x.g = y.g and x.r < y.r group by x.r, y.r),
-near as (select a, b from both join size x on x.r = a join size y on y.r = b where 100 * both.n >= 90 * (x.n + y.n - both.n)),
+shared as (select x.r as a, y.r as b, count(*) as n from gram x join gram y on x.g = y.g and x.r < y.r group by x.r, y.r),
+near as (select a, b from shared join size x on x.r = a join size y on y.r = b where 100 * shared.n >= 90 * (x.n + y.n - shared.n)),
 link as (select a, b from near union all select b, a from near),
 reach as (select r, r as s from doc union select reach.r, link.b from reach join link on reach.s = link.a),
 least as (select reach.r, min(doc.doc_id) as c from reach join doc on doc.r = reach.s group by reach.r)

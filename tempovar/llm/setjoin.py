@@ -19,12 +19,15 @@ as well are dropped; only what is left is verified on the texts.
 4. Search: the sets of one prefix shingle meet in a task. Shingles whose sets are all of one class are
    dropped; else pairs *of different classes* that pass the size, position and sketch bounds are
    candidates, filtered by the other orders and verified. Pairs within a class are connected already,
-   so no link between classes is lost and none is sought twice.
+   so no link between classes is lost and none is sought twice. A group may be a class of thousands of near
+   copies, so a task gives out a forest of its candidates, never all pairs: a pair whose sets its other
+   candidates connect waits. If one of those turns out to be no link, the sets it stood for are searched once
+   more, with the failed pairs left out, until every pair that waited is connected or has been tried.
 
 Verified links, with those of the stars, give the classes by components.
 
-Bounds: to the driver and broadcast: the count table (``SLOTS`` counters, 1 MB) and bitmaps of at most
-2^27 bits that let a scan drop what no candidate needs. A shingle with more than ``most`` sets is dealt into
+Bounds: to the driver and broadcast: the count table (``SLOTS`` counters, 2 MB) and bitmaps of at most
+16 MB that let a scan drop what no candidate needs. A shingle with more than ``most`` sets is dealt into
 chunks by hash, each pair of chunks a task of its own. Shingles are compared by 64-bit hashes.
 
 Defined cases: null, empty and wordless texts have size 0, are linked with nothing and are their own
@@ -36,6 +39,7 @@ table gives no rows; extra columns are not carried.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +48,7 @@ from pyspark.sql import functions as F
 
 from .common import sifted, stored
 from .components import components
+from .simhash import Classes
 from .lm import IS_WORD
 from .scan import LOWER, bounds, mix, slices, window_hashes, word_hashes
 
@@ -135,10 +140,11 @@ def bands(shaped: DataFrame) -> np.ndarray:
     return np.ceil(np.log2(ratio + 1)).astype(np.uint8)
 
 
-def _sketch(grams: np.ndarray) -> bytes:
-    """Parities of the set over 256 to 4096 cells, about as many as it has shingles; folding halves gives the narrower ones."""
-    bits = min(4096, max(256, 1 << int(len(grams) - 1).bit_length()))
-    return np.packbits(np.bincount((grams >> np.uint64(5)).astype(np.int64) & (bits - 1), minlength=bits) & 1 == 1, bitorder="little").tobytes()
+def _sketch(grams: np.ndarray) -> tuple[bytes, bytes]:
+    """Parities of the set over about four cells a shingle (256 to 65,536); folding halves gives narrower ones, here 256 cells."""
+    bits = min(1 << 16, max(256, 1 << int(4 * len(grams) - 1).bit_length()))
+    wide = np.packbits(np.bincount((grams >> np.uint64(5)).astype(np.int64) & (bits - 1), minlength=bits) & 1 == 1, bitorder="little")
+    return np.bitwise_xor.reduce(wide.reshape(-1, 32), axis=0).tobytes(), wide.tobytes()
 
 
 def prefix_sizes(size: np.ndarray, percent: int) -> np.ndarray:
@@ -164,19 +170,22 @@ def prefixes(texts: DataFrame, band: np.ndarray, shingle: int, percent: int) ->
                 pre = []
                 for k in range(ORDERS):
                     order = np.lexsort((late | mix(grams ^ SALT[k + 2]) >> np.uint64(6), of))
-                    flat, cut = grams[order][places].astype("<u8").tobytes(), (8 * np.cumsum(p)).tolist()
-                    pre.append(pa.array([flat[x - 8 * y:x] for x, y in zip(cut, p.tolist(), strict=True)], pa.binary()))
+                    flat = grams[order][places]
+                    flat = flat.astype("<u8") if k == 0 else (flat >> np.uint64(32)).astype("<u4")  # half a hash will do for a filter
+                    flat, cut, wide = flat.tobytes(), (flat.itemsize * np.cumsum(p)).tolist(), flat.itemsize
+                    pre.append(pa.array([flat[x - wide * y:x] for x, y in zip(cut, p.tolist(), strict=True)], pa.binary()))
                 d1, d2 = _digests(grams, size)
                 keys = np.zeros((ORDERS, len(full)), dtype=np.uint64)
                 with np.errstate(over="ignore"):
                     for k in range(2 * ORDERS):
                         keys[k // 2] = mix(keys[k // 2] + np.minimum.reduceat(mix(grams + SALT[k]), start) + np.uint64(k // 2))
+                fold, wide = zip(*[_sketch(grams[x:y]) for x, y in zip(start.tolist(), last.tolist(), strict=True)], strict=True)
                 yield pa.RecordBatch.from_arrays([
                     f.column("doc_id").slice(a, b - a).take(pa.array(full)), f.column("t").slice(a, b - a).take(pa.array(full)), pa.array(d1[full]), pa.array(d2[full]),
-                    pa.array(size[full].astype(np.int64)), *pre, pa.array([_sketch(grams[x:y]) for x, y in zip(start.tolist(), last.tolist(), strict=True)], pa.binary()),
-                    *[pa.array(x.view(np.int64)) for x in keys]], names=["doc_id", "t", "d1", "d2", "n", "o1", "o2", "o3", "sketch", "k1", "k2", "k3"])
+                    pa.array(size[full].astype(np.int64)), *pre, pa.array(fold, pa.binary()), pa.array(wide, pa.binary()),
+                    *[pa.array(x.view(np.int64)) for x in keys]], names=["doc_id", "t", "d1", "d2", "n", "o1", "o2", "o3", "fold", "sketch", "k1", "k2", "k3"])
 
-    return texts.mapInArrow(run, "doc_id long, t long, d1 long, d2 long, n long, o1 binary, o2 binary, o3 binary, sketch binary, k1 long, k2 long, k3 long")
+    return texts.mapInArrow(run, "doc_id long, t long, d1 long, d2 long, n long, o1 binary, o2 binary, o3 binary, fold binary, sketch binary, k1 long, k2 long, k3 long")
 
 
 def near_sketches(x: bytes, y: bytes, most: int) -> bool:
@@ -206,8 +215,8 @@ def filtered(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
             keep = []
             for i, most in enumerate(most_apart(size, percent).tolist()):
                 if (near_sketches(f.column("x_sketch")[i].as_py(), f.column("y_sketch")[i].as_py(), most)
-                        and all(len(np.intersect1d(np.frombuffer(f.column(f"x_{o}")[i].as_py(), "<u8"), np.frombuffer(f.column(f"y_{o}")[i].as_py(), "<u8"), True))
-                                for o in ("o1", "o2", "o3"))):
+                        and all(len(np.intersect1d(np.frombuffer(f.column(f"x_{o}")[i].as_py(), kind), np.frombuffer(f.column(f"y_{o}")[i].as_py(), kind)))
+                                for o, kind in (("o1", "<u8"), ("o2", "<u4"), ("o3", "<u4")))):
                     keep.append(i)
             yield f.select(["x", "y"]).take(pa.array(keep, pa.int64()))
 
@@ -268,10 +277,11 @@ def _groups(frames: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:
 
 
 POSTING = "tok long, id long, root long, n long, pos int"
+SMALL = 64  # sets of a shingle up to which their short sketches will do
 
 
 def postings(known: DataFrame, roots: DataFrame) -> DataFrame:
-    """(``tok``, ``id``, ``root``, ``n``, ``pos``) of the first order's prefixes, where a shingle has sets of several classes."""
+    """(``tok``, ``id``, ``root``, ``n``, ``pos``) of the first order's prefixes, where a shingle has sets of several classes; ``m``, how many."""
     of = known.select("id", "n", "o1").join(roots.select(F.col("node").alias("id"), "root"), "id", "left").select("id", F.coalesce("root", "id").alias("root"), "n", "o1")
 
     def spread(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -290,50 +300,80 @@ def postings(known: DataFrame, roots: DataFrame) -> DataFrame:
             tok, root = t["tok"].to_numpy(), t["root"].to_numpy()
             cut = np.flatnonzero(np.concatenate([[True], tok[1:] != tok[:-1]]))
             mixed = np.minimum.reduceat(root, cut) < np.maximum.reduceat(root, cut)
-            keep = np.flatnonzero(np.repeat(mixed, np.diff([*cut, len(tok)])))
-            yield from t.take(pa.array(keep)).combine_chunks().to_batches()
-
-    return of.mapInArrow(spread, POSTING).repartition("tok").sortWithinPartitions("tok").mapInArrow(several, POSTING)
-
-
-def candidates(found: DataFrame, known: DataFrame, percent: int, most: int) -> DataFrame:
-    """(``x``, ``y``): pairs of sets of different classes that share a prefix shingle of the first order, within the bounds."""
-    held = sifted(known.select("id", "sketch"), "id", found.select(F.col("id").alias("k")))
-    large = stored(found.groupBy("tok").count().where(F.col("count") > most).select("tok", F.ceil(F.col("count") / most).cast("int").alias("chunks")), "setjoin-large")
-    dealt = found.join(held, "id").join(large, "tok", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
-    mine = F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")
-    tasks = (dealt.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-             .select(F.xxhash64("tok", F.least("mine", "other"), F.greatest("mine", "other")).alias("task"), "id", "root", "n", "pos", "sketch")
-             .repartition("task").sortWithinPartitions("task"))
+            m = np.diff([*cut, len(tok)])
+            keep = np.flatnonzero(np.repeat(mixed, m))
+            yield from t.append_column("m", pa.array(np.repeat(m, m))).take(pa.array(keep)).combine_chunks().to_batches()
+
+    return of.mapInArrow(spread, POSTING).repartition("tok").sortWithinPartitions("tok").mapInArrow(several, f"{POSTING}, m long")
+
+
+def candidates(found: DataFrame, known: DataFrame, tried: DataFrame | None, percent: int, most: int) -> DataFrame:
+    """(``x``, ``y``, ``part``, ``waits``): a forest, per shingle, of the pairs of sets of different classes within the bounds.
+
+    ``part`` numbers the trees; ``waits`` tells that some pair of the tree's sets has not been looked at.
+    ``tried`` are pairs known to be no links (``x``, ``y``).
+    """
+    held = sifted(known.select("id", "fold", "sketch"), "id", found.select(F.col("id").alias("k")))
+    if tried is not None:
+        both = tried.select(F.explode(F.array(F.struct(F.col("x").alias("id"), F.col("y").alias("o")), F.struct(F.col("y").alias("id"), F.col("x").alias("o")))).alias("p"))
+        held = held.join(both.select("p.*").groupBy("id").agg(F.collect_set("o").alias("tried")), "id", "left")
+    else:
+        held = held.withColumn("tried", F.lit(None).cast("array<long>"))
+    chunks = F.ceil(F.col("m") / most).cast("int")
+    dealt = found.join(held, "id").withColumn("mine", F.pmod(F.xxhash64("id"), chunks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
+    tasks = (dealt.select(F.xxhash64("tok", F.least("mine", "other"), F.greatest("mine", "other")).alias("task"), "id", "root", "n", "pos", "fold",
+                          F.when(F.col("m") > SMALL, F.col("sketch")).alias("sketch"), "tried")
+             .repartition("task").sortWithinPartitions("task", "id"))
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _groups(frames, 50_000):
             task, id_, root, n, pos = (t[c].to_numpy() for c in ("task", "id", "root", "n", "pos"))
+            fold = np.frombuffer(b"".join(t["fold"].to_pylist()), dtype="<u8").reshape(-1, 4)
             sketch = t["sketch"].to_pylist()
-            folded = np.array([np.bitwise_xor.reduce(np.frombuffer(s, dtype="<u8").reshape(-1, 4), axis=0) for s in sketch])
-
-            def passing(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+            failed = {(i, j) for i, others in zip(id_.tolist(), t["tried"].to_pylist(), strict=True) for j in others or ()}
+            trees, waits, out = Classes(len(task)), np.zeros(len(task), dtype=bool), []
+            order = np.lexsort((np.arange(len(task)), root, task))  # sets of one class in one group are one tree from the start
+            new = np.ones(len(task), dtype=bool)
+            new[1:] = (task[order[1:]] != task[order[:-1]]) | (root[order[1:]] != root[order[:-1]])
+            trees.of[order] = np.repeat(order[new], np.diff([*np.flatnonzero(new), len(task)]))
+
+            def look(i: np.ndarray, j: np.ndarray) -> None:
+                apart = trees.of[i] != trees.of[j]
+                waits[i[~apart & (root[i] != root[j])]] = True
+                i, j = i[apart], j[apart]
                 size = n[i] + n[j]
-                ok = (root[i] != root[j]) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
-                shared = np.minimum(pos[i], pos[j]) + 1 + np.minimum(n[i] - pos[i], n[j] - pos[j]) - 1
-                ok &= (100 + percent) * shared >= percent * size
-                i, j, size = i[ok], j[ok], size[ok]
-                ok = np.bitwise_count(folded[i] ^ folded[j]).sum(axis=1) <= most_apart(size, percent)
+                shared = np.minimum(pos[i], pos[j]) + np.minimum(n[i] - pos[i], n[j] - pos[j])
+                ok = (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])) & ((100 + percent) * shared >= percent * size)
+                ok[ok] = np.bitwise_count(fold[i[ok]] ^ fold[j[ok]]).sum(axis=1) <= most_apart(size[ok], percent)
                 i, j, size = i[ok], j[ok], size[ok]
-                ok = [near_sketches(sketch[a], sketch[b], m) for a, b, m in zip(i.tolist(), j.tolist(), most_apart(size, percent).tolist(), strict=True)]
-                return np.stack([np.minimum(id_[i], id_[j]), np.maximum(id_[i], id_[j])], axis=1)[np.array(ok, dtype=bool)]
+                ok = [(sketch[a] is None or near_sketches(sketch[a], sketch[b], m)) and not (failed and (x, y) in failed)
+                      for a, b, m, x, y in zip(i.tolist(), j.tolist(), most_apart(size, percent).tolist(), id_[i].tolist(), id_[j].tolist(), strict=True)]
+                i, j = i[ok], j[ok]
+                a, b = np.minimum(trees.of[i], trees.of[j]), np.maximum(trees.of[i], trees.of[j])
+                _, first = np.unique(a * len(task) + b, return_index=True)  # one pair for each two trees
+                if len(first) < len(i):
+                    waits[i] = True
+                i, j = i[first], j[first]
+                out.append((i, j))
+                trees.link(i, j)
 
             cut = np.flatnonzero(np.concatenate([[True], task[1:] != task[:-1], [True]]))
             size = np.diff(cut)
-            small = np.repeat(size <= 64, size)
-            out = [passing(i := np.flatnonzero((task[d:] == task[:-d]) & small[d:]), i + d) for d in range(1, int(size[size <= 64].max(initial=0)))]
-            for a, m in zip(cut[:-1][size > 64].tolist(), size[size > 64].tolist(), strict=True):
-                out += [passing(i := np.arange(a, a + m - d), i + d) for d in range(1, m)]
+            small = np.repeat(size <= SMALL, size)
+            for d in range(1, int(size[size <= SMALL].max(initial=0))):
+                look(i := np.flatnonzero((task[d:] == task[:-d]) & small[d:]), i + d)
+            for a, m in zip(cut[:-1][size > SMALL].tolist(), size[size > SMALL].tolist(), strict=True):
+                for d in range(1, m):
+                    look(i := np.arange(a, a + m - d), i + d)
             if out:
-                pairs = np.unique(np.concatenate(out), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, 0])), pa.array(np.ascontiguousarray(pairs[:, 1]))], names=["x", "y"])
+                i, j = (np.concatenate(v) for v in zip(*out, strict=True))
+                waiting = np.zeros(len(task), dtype=bool)
+                waiting[trees.of[waits]] = True
+                part = mix(task.view(np.uint64) ^ mix(id_[trees.of].view(np.uint64))).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(id_[i], id_[j])), pa.array(np.maximum(id_[i], id_[j])), pa.array(part[i]), pa.array(waiting[trees.of[i]])],
+                                                 names=["x", "y", "part", "waits"])
 
-    return tasks.mapInArrow(run, "x long, y long").distinct()
+    return tasks.mapInArrow(run, "x long, y long, part long, waits boolean").distinct()
 
 
 def classes(docs: DataFrame, shingle: int = 3, percent: int = 90, most: int = 20_000) -> DataFrame:
@@ -342,18 +382,29 @@ def classes(docs: DataFrame, shingle: int = 3, percent: int = 90, most: int = 20
     shaped = stored(shapes(texts, shingle), "setjoin-shapes")
     per_doc = shaped.where("chunk is null").select("doc_id", "d1", "d2", "n")
     distinct = prefixes(texts, bands(shaped), shingle, percent).dropDuplicates(["d1", "d2"])
-    known = stored(distinct.select(F.monotonically_increasing_id().alias("id"), "d1", "d2", "n", "doc_id", "t", "o1", "o2", "o3", "sketch", F.array("k1", "k2", "k3").alias("keys")),
+    known = stored(distinct.select(F.monotonically_increasing_id().alias("id"), "d1", "d2", "n", "doc_id", "t", "o1", "o2", "o3", "fold", "sketch", F.array("k1", "k2", "k3").alias("keys")),
                    "setjoin-sets")
 
     def linked(pairs: DataFrame, name: str) -> DataFrame:
         left = stored(filtered(stored(pairs, f"{name}-pairs"), known, percent), f"{name}-filtered")
         return stored(verified(left, known, texts, shingle, percent), f"{name}-verified")
 
-    near = linked(stars(known), "setjoin-stars")
-    roots = components(near, "setjoin-stars")
-    found = stored(postings(known, roots), "setjoin-postings")
-    more = linked(candidates(found, known, percent, most), "setjoin-search")
-    roots = components(near.unionAll(more), "setjoin")
+    links = [linked(stars(known), "setjoin-stars")]
+    searched, tried = known, None
+    while True:
+        roots = components(reduce(DataFrame.unionAll, links), "setjoin")
+        found = stored(postings(searched, roots), "setjoin-postings")
+        pairs = stored(candidates(found, searched, tried, percent, most), "setjoin-candidates")
+        good = linked(pairs.select("x", "y").distinct(), "setjoin-search")
+        links.append(good)
+        failed = stored(pairs.join(good.select(F.col("a").alias("x"), F.col("b").alias("y")), ["x", "y"], "left_anti"), "setjoin-failed")
+        if not failed.where("waits").limit(1).count():
+            break
+        again = pairs.join(failed.where("waits").select("part").distinct(), "part", "left_semi").select(F.explode(F.array("x", "y")).alias("id")).distinct()
+        of = known.join(roots.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+        searched = stored(of.join(of.select("id", "root").join(again, "id").select("root").distinct(), "root", "left_semi").select(*known.columns), "setjoin-again")
+        tried = failed.select("x", "y").distinct() if tried is None else tried.unionAll(failed.select("x", "y")).distinct()
+    roots = components(reduce(DataFrame.unionAll, links), "setjoin")
     of = known.select("id", "d1", "d2").join(roots.select(F.col("node").alias("id"), "root"), "id", "left").select(F.coalesce("root", "id").alias("root"), "d1", "d2")
     least = per_doc.where("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("doc")).join(of, ["d1", "d2"])
     named = least.select("d1", "d2", "root").join(least.groupBy("root").agg(F.min("doc").alias("component_id")), "root").select("d1", "d2", "component_id")

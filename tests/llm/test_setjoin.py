@@ -89,6 +89,33 @@ def test_search_alone_finds_what_the_stars_miss(spark, monkeypatch):
     assert found(S.classes(documents(spark, docs))) == brute(docs)
 
 
+def test_a_class_just_below_the_threshold_gives_no_pairs(spark):
+    """Copies that differ from each other by more than the threshold allows meet in every group; few of them are let out."""
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(120)]
+    docs = []
+    for i in range(150):
+        w = list(words)
+        for at in rng.sample(range(120), 4):
+            w[at] = f"n{rng.randrange(10**6)}"
+        docs.append((i, " ".join(w)))
+    docs += [(1000 + i, t) for i, t in enumerate(variants_of(rng, [f"v{i}" for i in range(100)], 60, 3))]
+    seen = []
+    real = S.candidates
+
+    def watched(*args):
+        out = real(*args)
+        seen.append(out.count())
+        return out
+
+    S.candidates = watched
+    try:
+        assert found(S.classes(documents(spark, docs))) == brute(docs)
+    finally:
+        S.candidates = real
+    assert sum(seen) < 2000  # of 11,175 pairs of the first class
+
+
 def test_prefixes_of_every_order_meet():
     rng = np.random.default_rng(1)
     for n in (1, 9, 10, 11, 57, 300):
@@ -99,7 +126,8 @@ def test_prefixes_of_every_order_meet():
         for k in range(S.ORDERS):
             a, b = (v[np.argsort(S.mix(v ^ S.SALT[k + 2]))][:p] for v in (x, y))
             assert len(np.intersect1d(a, b))
-        assert S.near_sketches(S._sketch(x), S._sketch(y), 2 * d)
+        for a, b in zip(S._sketch(x), S._sketch(y), strict=True):
+            assert S.near_sketches(a, b, 2 * d)
 
 
 def test_sifted_drops_nothing_that_is_wanted(spark):
