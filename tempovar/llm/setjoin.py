@@ -20,9 +20,10 @@ as well are dropped; only what is left is verified on the texts.
    dropped; else pairs *of different classes* that pass the size, position and sketch bounds are
    candidates, filtered by the other orders and verified. Pairs within a class are connected already,
    so no link between classes is lost and none is sought twice. A group may be a class of thousands of near
-   copies, so a task gives out a forest of its candidates, never all pairs: a pair whose sets its other
-   candidates connect waits. If one of those turns out to be no link, the sets it stood for are searched once
-   more, with the failed pairs left out, until every pair that waited is connected or has been tried.
+   copies, so of a group of more than ``SMALL`` sets a task gives out a forest of its candidates: a pair whose
+   sets its other candidates connect waits. If one of those turns out to be no link, the sets it stood for are
+   searched again, with the failed pairs left out. Such failures are rare, since the sketches of large groups
+   are wide enough to be nearly exact; the third search lets no pair wait, so it is the last.
 
 Verified links, with those of the stars, give the classes by components.
 
@@ -141,10 +142,15 @@ def bands(shaped: DataFrame) -> np.ndarray:
 
 
 def _sketch(grams: np.ndarray) -> tuple[bytes, bytes]:
-    """Parities of the set over about four cells a shingle (256 to 65,536); folding halves gives narrower ones, here 256 cells."""
-    bits = min(1 << 16, max(256, 1 << int(4 * len(grams) - 1).bit_length()))
+    """Parities of the set over half a cell a shingle or more (256 to 4,096), and over four cells a shingle (256 to 65,536).
+
+    Folding the halves of a sketch gives the narrower ones.
+    """
+    n = len(grams)
+    bits = min(1 << 16, max(256, 1 << (4 * n - 1).bit_length()))
     wide = np.packbits(np.bincount((grams >> np.uint64(5)).astype(np.int64) & (bits - 1), minlength=bits) & 1 == 1, bitorder="little")
-    return np.bitwise_xor.reduce(wide.reshape(-1, 32), axis=0).tobytes(), wide.tobytes()
+    few = min(4096, max(256, 1 << (n // 2).bit_length())) // 8
+    return np.bitwise_xor.reduce(wide.reshape(-1, min(few, len(wide))), axis=0).tobytes(), wide.tobytes()
 
 
 def prefix_sizes(size: np.ndarray, percent: int) -> np.ndarray:
@@ -307,11 +313,11 @@ def postings(known: DataFrame, roots: DataFrame) -> DataFrame:
     return of.mapInArrow(spread, POSTING).repartition("tok").sortWithinPartitions("tok").mapInArrow(several, f"{POSTING}, m long")
 
 
-def candidates(found: DataFrame, known: DataFrame, tried: DataFrame | None, percent: int, most: int) -> DataFrame:
-    """(``x``, ``y``, ``part``, ``waits``): a forest, per shingle, of the pairs of sets of different classes within the bounds.
+def candidates(found: DataFrame, known: DataFrame, tried: DataFrame | None, percent: int, most: int, forest: bool = True) -> DataFrame:
+    """(``x``, ``y``, ``part``, ``waits``): per shingle, the pairs of sets of different classes within the bounds.
 
-    ``part`` numbers the trees; ``waits`` tells that some pair of the tree's sets has not been looked at.
-    ``tried`` are pairs known to be no links (``x``, ``y``).
+    Of a large group with ``forest`` only a forest of them: ``part`` numbers its trees, ``waits`` tells that some pair of
+    the tree's sets has not been looked at. ``tried`` are pairs known to be no links (``x``, ``y``).
     """
     held = sifted(known.select("id", "fold", "sketch"), "id", found.select(F.col("id").alias("k")))
     if tried is not None:
@@ -328,8 +334,9 @@ def candidates(found: DataFrame, known: DataFrame, tried: DataFrame | None, perc
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _groups(frames, 50_000):
             task, id_, root, n, pos = (t[c].to_numpy() for c in ("task", "id", "root", "n", "pos"))
-            fold = np.frombuffer(b"".join(t["fold"].to_pylist()), dtype="<u8").reshape(-1, 4)
-            sketch = t["sketch"].to_pylist()
+            narrow = t["fold"].to_pylist()
+            fold = np.array([np.bitwise_xor.reduce(np.frombuffer(x, dtype="<u8").reshape(-1, 4), axis=0) for x in narrow])
+            sketch = [w or x for w, x in zip(t["sketch"].to_pylist(), narrow, strict=True)]
             failed = {(i, j) for i, others in zip(id_.tolist(), t["tried"].to_pylist(), strict=True) for j in others or ()}
             trees, waits, out = Classes(len(task)), np.zeros(len(task), dtype=bool), []
             order = np.lexsort((np.arange(len(task)), root, task))  # sets of one class in one group are one tree from the start
@@ -337,8 +344,8 @@ def candidates(found: DataFrame, known: DataFrame, tried: DataFrame | None, perc
             new[1:] = (task[order[1:]] != task[order[:-1]]) | (root[order[1:]] != root[order[:-1]])
             trees.of[order] = np.repeat(order[new], np.diff([*np.flatnonzero(new), len(task)]))
 
-            def look(i: np.ndarray, j: np.ndarray) -> None:
-                apart = trees.of[i] != trees.of[j]
+            def look(i: np.ndarray, j: np.ndarray, forest: bool) -> None:
+                apart = trees.of[i] != trees.of[j] if forest else root[i] != root[j]
                 waits[i[~apart & (root[i] != root[j])]] = True
                 i, j = i[apart], j[apart]
                 size = n[i] + n[j]
@@ -346,25 +353,26 @@ def candidates(found: DataFrame, known: DataFrame, tried: DataFrame | None, perc
                 ok = (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])) & ((100 + percent) * shared >= percent * size)
                 ok[ok] = np.bitwise_count(fold[i[ok]] ^ fold[j[ok]]).sum(axis=1) <= most_apart(size[ok], percent)
                 i, j, size = i[ok], j[ok], size[ok]
-                ok = [(sketch[a] is None or near_sketches(sketch[a], sketch[b], m)) and not (failed and (x, y) in failed)
+                ok = [near_sketches(sketch[a], sketch[b], m) and not (failed and (x, y) in failed)
                       for a, b, m, x, y in zip(i.tolist(), j.tolist(), most_apart(size, percent).tolist(), id_[i].tolist(), id_[j].tolist(), strict=True)]
                 i, j = i[ok], j[ok]
-                a, b = np.minimum(trees.of[i], trees.of[j]), np.maximum(trees.of[i], trees.of[j])
-                _, first = np.unique(a * len(task) + b, return_index=True)  # one pair for each two trees
-                if len(first) < len(i):
-                    waits[i] = True
-                i, j = i[first], j[first]
+                if forest:
+                    a, b = np.minimum(trees.of[i], trees.of[j]), np.maximum(trees.of[i], trees.of[j])
+                    _, first = np.unique(a * len(task) + b, return_index=True)  # one pair for each two trees
+                    if len(first) < len(i):
+                        waits[i] = True
+                    i, j = i[first], j[first]
+                    trees.link(i, j)
                 out.append((i, j))
-                trees.link(i, j)
 
             cut = np.flatnonzero(np.concatenate([[True], task[1:] != task[:-1], [True]]))
             size = np.diff(cut)
             small = np.repeat(size <= SMALL, size)
             for d in range(1, int(size[size <= SMALL].max(initial=0))):
-                look(i := np.flatnonzero((task[d:] == task[:-d]) & small[d:]), i + d)
+                look(i := np.flatnonzero((task[d:] == task[:-d]) & small[d:]), i + d, False)
             for a, m in zip(cut[:-1][size > SMALL].tolist(), size[size > SMALL].tolist(), strict=True):
                 for d in range(1, m):
-                    look(i := np.arange(a, a + m - d), i + d)
+                    look(i := np.arange(a, a + m - d), i + d, forest)
             if out:
                 i, j = (np.concatenate(v) for v in zip(*out, strict=True))
                 waiting = np.zeros(len(task), dtype=bool)
@@ -391,10 +399,10 @@ def classes(docs: DataFrame, shingle: int = 3, percent: int = 90, most: int = 20
 
     links = [linked(stars(known), "setjoin-stars")]
     searched, tried = known, None
-    while True:
+    for forest in (True, True, False):
         roots = components(reduce(DataFrame.unionAll, links), "setjoin")
         found = stored(postings(searched, roots), "setjoin-postings")
-        pairs = stored(candidates(found, searched, tried, percent, most), "setjoin-candidates")
+        pairs = stored(candidates(found, searched, tried, percent, most, forest), "setjoin-candidates")
         good = linked(pairs.select("x", "y").distinct(), "setjoin-search")
         links.append(good)
         failed = stored(pairs.join(good.select(F.col("a").alias("x"), F.col("b").alias("y")), ["x", "y"], "left_anti"), "setjoin-failed")

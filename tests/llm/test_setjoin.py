@@ -75,8 +75,10 @@ def planted():
     return [(i, t) for i, t in enumerate(out)] + [(5, out[3]), (None, out[4]), (None, "alone without an id"), (900, LONG), (901, LONG + " more")]
 
 
-@pytest.mark.parametrize("most", [20_000, 6])
-def test_classes_at_the_edge(spark, most):
+@pytest.mark.parametrize(("most", "small"), [(20_000, 2), (6, 64)])
+def test_classes_at_the_edge(spark, monkeypatch, most, small):
+    """Groups dealt into chunks, and forests of groups however small."""
+    monkeypatch.setattr(S, "SMALL", small)
     docs = planted()
     want = brute(docs)
     assert len({r[2] for r in want}) > 20
@@ -89,7 +91,7 @@ def test_search_alone_finds_what_the_stars_miss(spark, monkeypatch):
     assert found(S.classes(documents(spark, docs))) == brute(docs)
 
 
-def test_a_class_just_below_the_threshold_gives_no_pairs(spark):
+def test_a_class_just_below_the_threshold_gives_no_pairs(spark, monkeypatch):
     """Copies that differ from each other by more than the threshold allows meet in every group; few of them are let out."""
     rng = random.Random(6)
     words = [f"w{i}" for i in range(120)]
@@ -108,11 +110,8 @@ def test_a_class_just_below_the_threshold_gives_no_pairs(spark):
         seen.append(out.count())
         return out
 
-    S.candidates = watched
-    try:
-        assert found(S.classes(documents(spark, docs))) == brute(docs)
-    finally:
-        S.candidates = real
+    monkeypatch.setattr(S, "candidates", watched)
+    assert found(S.classes(documents(spark, docs))) == brute(docs)
     assert sum(seen) < 2000  # of 11,175 pairs of the first class
 
 
