@@ -10,9 +10,9 @@ Doubles are rounded to 9 places on both sides before comparison.
 
 from __future__ import annotations
 
-import importlib.util
 import os
 import sys
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -25,33 +25,36 @@ from pyspark.sql import functions as F  # noqa: E402
 from pyspark.sql import types as T  # noqa: E402
 
 from tempovar import config as C  # noqa: E402
-from tempovar.plans.study import Pipeline  # noqa: E402
+from tempovar.plans.study import StoredPipeline  # noqa: E402
+from tempovar.session import ensure_checkpoint_dir  # noqa: E402
 from tempovar.sources.surrogate import warehouse  # noqa: E402
 
-#: The training-data operators are optional: without their subpackage the other queries stand.
-HAS_LLM = all((spec := importlib.util.find_spec(name)) is not None and spec.origin is not None for name in ("tempovar.llm", "corpus_pipeline"))
+try:  # the training-data operators are optional: where they cannot be imported, the other queries stand
+    import corpus_pipeline
+    from tempovar.llm import queries as llm_queries
+except ImportError:
+    corpus_pipeline = llm_queries = None
+
+HAS_LLM = llm_queries is not None
 
 SMOKE_DIR = "/root/testdata/sf0.001"
 
-OUTCOME_TABLES = ["cohort_visit", "hospit_visit", "emergency_visit", "consultation_note", "prescription_note",
-                  "icu_visit", *C.CONDITION_REGEXES]
 PROBES = {"visit_probe": "visit", "icu_probe": "icu", "note_probe": "note", "note_per_visit_probe": "note_per_visit",
           "condition_probe": "condition_per_visit", "condition_per_condition_probe": "condition"}
 MODELS = {"visit_step_model": "visit", "icu_rectangle_model": "icu_rectangle", "note_step_model": "note",
           "note_per_visit_step_model": "note_per_visit", "condition_step_model": "condition"}
 
 
-_PIPELINES: dict[tuple[str, str], Pipeline] = {}
+_PIPELINES: dict[tuple[str, str], StoredPipeline] = {}
 
 
-def _pipeline(spark: SparkSession, sf_dir: str) -> Pipeline:
-    """One pipeline per Spark application and data folder: its persisted derived tables
-    (surrogate views, estimates, analysis cohort) are computed once from the given tables
-    and shared by every query of the run."""
+def _pipeline(spark: SparkSession, sf_dir: str) -> StoredPipeline:
+    """One pipeline per Spark application and data folder. Its stages are computed from the given tables, each
+    written once to the shared folder where a query first needs it and scanned by the others; nothing is persisted."""
     key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir))
     if key not in _PIPELINES:
-        core, reference, claims = warehouse(spark, sf_dir)
-        _PIPELINES[key] = Pipeline(core, reference, claims)
+        root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/study-{uuid.uuid4().hex}"
+        _PIPELINES[key] = StoredPipeline(*warehouse(spark, sf_dir, persist=False), root=root).materialise()
     return _PIPELINES[key]
 
 
@@ -62,8 +65,13 @@ def _canon(df: DataFrame) -> DataFrame:
     return df.select(*cols)
 
 
+def _plain_zero(df: DataFrame) -> DataFrame:
+    """A negative zero as zero, as the oracle of the same query has it (rounding leaves one where a tiny value was)."""
+    return df.select(*[(F.col(f.name) + F.lit(0.0)).alias(f.name) if isinstance(f.dataType, T.DoubleType) else F.col(f.name) for f in df.schema.fields])
+
+
 def _outcome_query(name: str):
-    return lambda spark, sf_dir: _canon(_pipeline(spark, sf_dir).outcomes[name])
+    return lambda spark, sf_dir: _canon(_pipeline(spark, sf_dir).outcome(name))
 
 
 def _probe_query(name: str):
@@ -114,7 +122,7 @@ def _excluded_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 EXAMPLE_HOSPITALS = [1000, 1003]
 EXAMPLE_DEPARTMENTS = [2000001, 2000002]
 EXAMPLE_UNITS = [3000005, 3000006]
-SENSITIVITY_OUTCOMES = ["hospit_visit", "prescription_note"]
+SENSITIVITY_OUTCOMES = [*C.QUALITY_OUTCOMES, *C.ICU_OUTCOMES]
 EXAMPLE_FILTERS = {"care_site_level": C.LEVEL_HOSPITAL, "stay_type": "hospitalisés", "specialties_set": "All"}
 
 
@@ -123,16 +131,16 @@ def _report_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     from tempovar.operators.trend import as_text, linear_trend, long_form, significance
     from tempovar.plans import reports as R
 
-    def est_all(pl: Pipeline) -> dict:
+    def est_all(pl: StoredPipeline) -> dict:
         return {n: pl.estimates(n) for n in ["visit", "note", "note_per_visit", "condition", "icu_rectangle"]}
 
-    def preds(pl: Pipeline) -> dict:
+    def preds(pl: StoredPipeline) -> dict:
         return {n: pl.probe(n) for n in ["visit", "note", "note_per_visit", "condition_per_visit"]}
 
-    def counts(pl: Pipeline, names: list[str]) -> DataFrame:
+    def counts(pl: StoredPipeline, names: list[str]) -> DataFrame:
         return reduce(DataFrame.unionByName, [pl.count_summary(n) for n in names])
 
-    def panels(pl: Pipeline, names: list[str], rates: bool = True) -> DataFrame:
+    def panels(pl: StoredPipeline, names: list[str], rates: bool = True) -> DataFrame:
         return R.figure_panels({n: pl.indicator(n) for n in names}, counts(pl, names), rates)
 
     def wrap(fn):
@@ -169,7 +177,7 @@ def _report_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "quality_figure": wrap(lambda pl: panels(pl, C.QUALITY_OUTCOMES)),
         "quality_figure_icu": wrap(lambda pl: panels(pl, C.ICU_OUTCOMES)),
         "epidemiology_figure": wrap(lambda pl: panels(pl, C.EPIDEMIOLOGY_OUTCOMES, False)),
-        "site_sensitivity_rows": wrap(lambda pl: R.site_sensitivity_rows({n: pl.indicator(n) for n in SENSITIVITY_OUTCOMES})),
+        "site_sensitivity_rows": lambda spark, sf_dir: _plain_zero(wrap(lambda pl: R.site_sensitivity_rows({n: pl.indicator(n) for n in SENSITIVITY_OUTCOMES}))(spark, sf_dir)),
         "example_panels": wrap(lambda pl: R.example_panels(preds(pl), est_all(pl), EXAMPLE_HOSPITALS, EXAMPLE_DEPARTMENTS)),
         "rectangle_panels": wrap(lambda pl: R.rectangle_panels(pl.probe("visit"), pl.probe("icu"), est_all(pl), EXAMPLE_UNITS,
                                                                pl.study.end_date)),
@@ -224,7 +232,7 @@ def entry(spark: SparkSession) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-    for name in OUTCOME_TABLES:
+    for name in C.OUTCOME_TABLES:
         q[name] = _outcome_query(name)
     for qname, probe in PROBES.items():
         q[qname] = _probe_query(probe)
@@ -241,9 +249,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     q["care_site_counts_without_excluded"] = _excluded_query
     q.update(_report_queries())
     if HAS_LLM:
-        import corpus_pipeline
-        from tempovar.llm import queries as llm
-        q.update(llm.queries())
+        q.update(llm_queries.queries())
         q["pipeline"] = corpus_pipeline.run
     return q
 
@@ -260,7 +266,7 @@ def oracle_sql() -> dict[str, str]:
 
     out: dict[str, str] = {}
     base = OS.base_ctes()
-    for name in OUTCOME_TABLES:
+    for name in C.OUTCOME_TABLES:
         out[name] = OS.with_ctes(base, f"select * from {'cohort' if name == 'cohort_visit' else name}")
     probe_sql = {"visit": OS.visit_probe(), "icu": OS.visit_probe(levels=[C.LEVEL_UNIT], sets=C.ICU_SPECIALTIES_SETS),
                  "note": OS.note_probe(), "note_per_visit": OS.note_per_visit_probe(),
@@ -284,9 +290,7 @@ def oracle_sql() -> dict[str, str]:
 where care_site_id not in ({', '.join(map(str, EXCLUDED_SITES))}) group by 1""")
     out.update(_report_oracles())
     if HAS_LLM:
-        import corpus_pipeline
-        from tempovar.llm import queries as llm
-        out.update(llm.oracle_sql())
+        out.update(llm_queries.oracle_sql())
         if corpus_pipeline.ORACLE_SQL:
             out["pipeline"] = corpus_pipeline.ORACLE_SQL
     return out

@@ -289,7 +289,7 @@ def site_sensitivity_rows(names: list[str]) -> str:
         ctes, _ = significance_ctes(name, threshold="before_30_days" if is_d5 else None)
         values = ["p_value", "alpha_0", "alpha_1", "mean_value"]
         on = " and ".join(f"a.{k} = s.{k}" for k in keys)
-        parts.append(with_ctes(ctes, f"""select s.care_site_id, {', '.join('s.' + k for k in keys)}, {', '.join(f'round(s.{v}, 9) {v}, round(a.{v}, 9) {v}_all' for v in values)},
+        parts.append(with_ctes(ctes, f"""select s.care_site_id, {', '.join('s.' + k for k in keys)}, {', '.join(f'round(s.{v}, 9) + 0.0 {v}, round(a.{v}, 9) + 0.0 {v}_all' for v in values)},
        {q(C.EVENT_NAMES[name])} outcome_name
 from txt s left join txt a on {on} and a.care_site_id = 'All' where s.care_site_id <> 'All'""", recursive=True))
     return " union all by name ".join(f"select * from ({p})" for p in parts)

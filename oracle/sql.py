@@ -59,9 +59,10 @@ union all select 3000000+s_suppkey, {q(UH)}, s_name,
        case when o_orderkey%53=0 then null else o_orderdate+to_days(cast(o_orderkey%7 as int)) end visit_end_datetime,
        case when o_orderpriority in ('1-URGENT','2-HIGH') then 'urgence' else 'hospitalisés' end visit_source_value,
        case when o_orderkey%10=0 then 'SSR' else 'MCO' end stay_source_value,
-       case when o_orderkey%20=1 then 'OTHER' else 'ORBIS' end cdm_source,
+       case when o_orderkey%20<>1 and o_orderdate >= date '1995-01-01' + to_months(cast(3*(o_orderkey%25) as int))
+         then 'ORBIS' else 'OTHER' end cdm_source,
        case when o_orderkey%31=0 then 'supprimé' else 'Actif' end row_status_source_value
-from orders where o_orderdate >= date '1995-01-01' + to_months(cast(3*(o_orderkey%25) as int))""",
+from orders""",
     "visit_detail": """select id visit_detail_id, o_orderdate+to_days(n) visit_detail_start_datetime, k visit_occurrence_id,
        case when n%2=0 then 'RUM' else 'UH' end visit_detail_type_source_value,
        cast(case when n%2=0 then 2000000 else 3000000 end+sk as bigint) care_site_id,

@@ -130,6 +130,9 @@ EVENT_NAMES = {
     "icu_visit_rectangle": "ICU stay corrected",
 }
 
+# The cohort and its nine outcome tables.
+OUTCOME_TABLES = ["cohort_visit", "hospit_visit", "emergency_visit", "consultation_note", "prescription_note", "icu_visit", *CONDITION_REGEXES]
+
 # Levels as reports name them, in the counts and on the fit panels.
 LEVEL_LABELS = {LEVEL_HOSPITAL: "hospital", LEVEL_DEPARTMENT: "department", LEVEL_UNIT: "unit"}
 PANEL_LABELS = {LEVEL_HOSPITAL: "1 - Hospitals", LEVEL_DEPARTMENT: "2 - Departments", LEVEL_UNIT: "3 - Units"}
@@ -189,6 +192,15 @@ class Study:
     thresholds: tuple = tuple(THRESHOLDS)
     hospitals_to_remove: tuple = field(default_factory=tuple)
 
+    @property
+    def window(self) -> tuple[str, str]:
+        """Dates ``[from, to)`` of the warehouse rows that the study can use: stays from the probe or cohort start on,
+        events up to the as-of tolerance after the last stay that counts. A stay may be open or end late, so the
+        end leaves two tolerances."""
+        from datetime import date, timedelta
+        end = date.fromisoformat(self.end_date) + timedelta(days=2 * self.tolerance_days)
+        return min(self.probe_start, self.cohort_start), end.isoformat()
+
     @property
     def last_month(self) -> str:
         """Last month the probes cover (the window is ``[probe_start, end_date)``).

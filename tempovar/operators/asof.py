@@ -1,24 +1,28 @@
-"""Forward as-of join by key with a tolerance (C13), pair-free.
+"""Forward as-of join by key with a tolerance (C13), for all cells of a grid at once, pair-free.
 
-For each left row (a stay ending at ``left_ts``) the match is the right row
-(an event) of the same key with the smallest ``(right_ts, right_id)`` such that
+For each left row (a stay ending at ``left_ts``) and each cell the match is the right row (an event)
+of the same key that is stable in the cell, with the smallest ``(right_ts, right_id)`` such that
 ``left_ts <= right_ts <= left_ts + tolerance``.
 
-Stays and events are stacked in one frame and windowed by ``(key, bucket)``,
-a bucket being ``tolerance`` days wide. Each event is placed in its own bucket
-and in the previous one, so a stay's window holds every event of its band.
-Scanning a window in descending ``(ts, side, id)`` order, the nearest next event
-of a stay is the last event seen, ``last(event, ignorenulls)`` over a running
-frame: linear in the rows, no (stay, event) pairs are ever formed, and a key
-with a long history is split over its time buckets (events are copied once).
+Stays and events are stacked in one frame and dealt by ``(key, bucket)``, a bucket being ``tolerance``
+days wide. Each event is placed in its own bucket and in the previous one, so a stay's bucket holds
+every event of its band, and a key with a long history is split over its time buckets (events are
+copied once). A bucket is scanned once, backwards in time, with the *frontier* as its state: the next
+event, then the next one that passes a cell the first does not pass, and so on. An event comes in front
+and takes its cells from the ones behind it; an entry left without a cell goes. The entries' cells are
+disjoint, so the state has at most as many entries as the grid has cells, however many events a key
+has. Spark sorts and deals the rows; the scan itself needs a state that no built-in window function
+keeps (48 running ``last`` functions come nearest), so it is a ``mapInArrow`` step over sorted rows.
+Without cells the nearest event of all is one running ``last``, and no Python runs.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _bucket(ts: Column, days: int) -> Column:
@@ -26,33 +30,71 @@ def _bucket(ts: Column, days: int) -> Column:
     return F.floor(F.unix_date(ts.cast("date")) / F.lit(days))
 
 
+def _frontier(match_type, tolerance_us: int):
+    """The scan: rows sorted by key, bucket, then backwards in time; a stay's row with its frontier comes out."""
+
+    def run(frames: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        group, front = None, []
+        for f in frames:
+            keys, buckets = f.column("_key").to_pylist(), f.column("_b").to_pylist()
+            ts, side = f.column("_ts").cast(pa.int64()).to_pylist(), f.column("_side").to_pylist()
+            ids, cells = f.column("_rid").to_pylist(), f.column("_cells").to_pylist()
+            stays, offsets, out = [], [0], []
+            for i, at in enumerate(zip(keys, buckets, strict=True)):
+                if at != group:
+                    group, front = at, []
+                if side[i]:
+                    mine = cells[i]
+                    front = [(mine, ts[i], ids[i]), *((left, t, r) for c, t, r in front if (left := c & ~mine))]
+                else:
+                    latest = ts[i] + tolerance_us
+                    stays.append(i)
+                    out += [e for e in front if e[1] <= latest]
+                    offsets.append(len(out))
+            entries = pa.StructArray.from_arrays(
+                [pa.array([e[1] for e in out], pa.int64()).cast(pa.timestamp("us")), pa.array([e[2] for e in out], f.schema.field("_rid").type),
+                 pa.array([e[0] for e in out], pa.int64())], names=["ts", "id", "cells"])
+            rows = f.column("_row").take(pa.array(np.array(stays, dtype=np.int64)))
+            yield pa.RecordBatch.from_arrays([rows, pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), entries)], names=["_row", match_type])
+
+    return run
+
+
 def asof_nearest(left: DataFrame, right: DataFrame, key: str, left_ts: str, right_id: str, right_ts: str,
-                 tolerance_days: int, carry: Sequence[str] = (), cells: Sequence[Column] | None = None,
-                 out: str = "match") -> DataFrame:
-    """Left rows with ``out``, an array of ``struct(ts, id)`` (NULL: no match), one entry per cell.
+                 tolerance_days: int, cells: str | None = None, out: str = "match") -> DataFrame:
+    """Left rows with ``out``, an array of ``struct(ts, id, cells)``, nearest event first: the event is the
+    match of the cells in its entry. An empty array: no match.
 
-    ``cells`` are conditions over the ``carry`` columns of an event; each cell's match is searched
-    among the events that meet its condition, all cells over one sort. Without cells there is one
-    entry, over all events. Only the carried columns are shuffled, never a copy per cell.
+    ``cells`` is the events' column of stable cells (bits of a long). Without it there is one cell.
     """
     if tolerance_days <= 0:
         raise ValueError("tolerance_days must be positive")
-    types = dict(right.dtypes)
+    types = {f.name: f.dataType for f in right.schema.fields}
     row_type = left.select(F.struct(*left.columns).alias("r")).schema["r"].dataType
-    stays = left.select(key, F.struct(*left.columns).alias("_row"), F.col(left_ts).cast("timestamp_ntz").alias("_ts"),
+    stays = left.select(F.col(key).alias("_key"), F.struct(*left.columns).alias("_row"), F.col(left_ts).cast("timestamp_ntz").alias("_ts"),
                         _bucket(F.col(left_ts), tolerance_days).alias("_b"), F.lit(0).alias("_side"),
-                        F.lit(None).cast(types[right_id]).alias("_rid"), *[F.lit(None).cast(types[c]).alias(c) for c in carry])
+                        F.lit(None).cast(types[right_id]).alias("_rid"), F.lit(None).cast("long").alias("_cells"))
     rb = _bucket(F.col(right_ts), tolerance_days)
-    events = right.select(key, F.lit(None).cast(row_type).alias("_row"), F.col(right_ts).cast("timestamp_ntz").alias("_ts"),
-                          F.explode(F.array(rb, rb - 1)).alias("_b"), F.lit(1).alias("_side"), F.col(right_id).alias("_rid"), *carry)
-    w = (Window.partitionBy(key, "_b")
-         .orderBy(F.col("_ts").desc(), F.col("_side").desc(), F.col("_rid").desc())
-         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    event = F.struct(F.col("_ts").alias("ts"), F.col("_rid").alias("id"))
-    seen = [F.last(F.when((F.col("_side") == 1) & c, event), ignorenulls=True).over(w) for c in (cells or [F.lit(True)])]
-    scanned = stays.unionByName(events).select("_row", "_ts", "_side", F.array(*seen).alias("_next")).where(F.col("_side") == 0)
-    latest = F.col("_ts") + F.make_dt_interval(days=F.lit(tolerance_days))
-    return scanned.select("_row.*", F.transform("_next", lambda e: F.when(e["ts"] <= latest, e)).alias(out))
+    events = right.select(F.col(key).alias("_key"), F.lit(None).cast(row_type).alias("_row"), F.col(right_ts).cast("timestamp_ntz").alias("_ts"),
+                          F.explode(F.array(rb, rb - 1)).alias("_b"), F.lit(1).alias("_side"), F.col(right_id).alias("_rid"),
+                          (F.col(cells) if cells else F.lit(1)).cast("long").alias("_cells"))
+    rows = stays.unionByName(events)
+    backwards = [F.col("_ts").desc(), F.col("_side").desc(), F.col("_rid").desc()]
+    if cells is None:
+        w = Window.partitionBy("_key", "_b").orderBy(*backwards).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        event = F.struct(F.col("_ts").alias("ts"), F.col("_rid").alias("id"), F.col("_cells").alias("cells"))
+        seen = F.last(F.when(F.col("_side") == 1, event), ignorenulls=True).over(w)
+        scanned = rows.select("_row", "_ts", "_side", seen.alias("_next")).where(F.col("_side") == 0)
+        latest = F.col("_ts") + F.make_dt_interval(days=F.lit(tolerance_days))
+        none = F.array().cast(T.ArrayType(scanned.schema["_next"].dataType))
+        return scanned.select("_row.*", F.when(F.col("_next.ts") <= latest, F.array("_next")).otherwise(none).alias(out))
+    entry = T.StructType([T.StructField("ts", T.TimestampNTZType()), T.StructField("id", types[right_id]), T.StructField("cells", T.LongType())])
+    schema = T.StructType([T.StructField("_row", row_type), T.StructField(out, T.ArrayType(entry))])
+    dealt = rows.repartition("_key", "_b").sortWithinPartitions("_key", "_b", *backwards)
+    return dealt.mapInArrow(_frontier(out, tolerance_days * 86_400_000_000), schema).select("_row.*", out)
 
 
 def asof_join(left: DataFrame, right: DataFrame, key: str, left_id: str, left_ts: str, right_id: str,

@@ -2,7 +2,9 @@
 
 Each function computes the naive indicator, or, given the per-visit stability
 answers, the complete-source-only indicator of every cell in the same job
-(4.2). The "All" care site (D14) is a roll-up done by exploding each row into
+(4.2). Rows are counted by site, month and answers (a bit per cell); the counts
+are unfolded into cells last, so no stay, event or match is copied per cell or
+per threshold. The "All" care site (D14) is a roll-up done by exploding each row into
 its site and "All" right before a partial aggregate, so the hot "All" key is
 combined map-side. Stays duplicated by several GHM codes (trap T6) are carried
 as a multiplicity, so row-count semantics hold.
@@ -17,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import season_year, week_start
 from .asof import asof_nearest
-from .stability import OK, Stability
+from .stability import Stability, unfolded
 
 ALL = "All"
 ALL_MCD = "00 ALL"
@@ -65,82 +67,84 @@ def duration_after_event(event_df: DataFrame, cohort: DataFrame, col_date: str,
     if stability is not None:
         ev = ev.join(stability.visits, "visit_occurrence_id")
     found = asof_nearest(stays, ev, "person_id", "cohort_stay_end", "visit_occurrence_id", "event_ts", tol,
-                         OK if stability else (), stability.cells() if stability else None)
-    # from here on rows go straight into the partial aggregate
-    matched = (found.select("*", F.posexplode("match").alias("param_id", "_m")).drop("match")
-               .where(F.col("_m").isNotNull() & (F.col("_m.id") != F.col("visit_cohort_id"))))
-    th = F.array(*[F.struct(F.lit(f"before_{t}_days").alias("threshold"), F.lit(int(t)).alias("days"))
-                   for t in thresholds])
-    flags = (matched.withColumn("_t", F.explode(th))
-             .withColumn("threshold", F.col("_t.threshold"))
-             .withColumn("_has", (F.col("_m.ts") - F.col("cohort_stay_end"))
-                         <= F.make_dt_interval(days=F.col("_t.days"))))
-    extra = ["param_id"] if stability is not None else []
-    n_events = (add_care_site(flags, index).groupBy(*index, "sub_cohort", "threshold", *extra)
-                .agg(F.sum(F.when(F.col("_has"), F.col("mult")).otherwise(0)).cast("int").alias("n_events")))
-    n_total = (add_care_site(stays, index).groupBy(*index, "sub_cohort")
+                         "cells" if stability is not None else None)
+    # a stay has one match, or one per step of its frontier: rows go straight into the partial aggregate
+    after = F.col("_m.ts") - F.col("cohort_stay_end")
+    matched = (found.withColumn("_m", F.explode("match")).where(F.col("_m.id") != F.col("visit_cohort_id"))
+               .select(*index, "sub_cohort", F.col("_m.cells").alias("cells"), F.col("mult").alias("_any"),
+                       *[F.when(after <= F.make_dt_interval(days=F.lit(int(t))), F.col("mult")).otherwise(F.lit(0)).cast("long").alias(f"_{t}") for t in thresholds]))
+    counts = ["_any", *[f"_{t}" for t in thresholds]]
+    keys = [*index, "sub_cohort"]
+    classes = add_care_site(matched, index)
+    if stability is None:
+        events = classes.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in counts])
+        extra = []
+    else:
+        events = unfolded(classes, keys, counts, stability.grid.size).where(F.col("_any") > 0)
+        extra = ["param_id"]
+    th = F.explode(F.array(*[F.struct(F.lit(f"before_{t}_days").alias("threshold"), F.col(f"_{t}").alias("n")) for t in thresholds]))
+    n_events = events.select(*keys, *extra, th.alias("_t")).select(*keys, F.col("_t.threshold").alias("threshold"), *extra, F.col("_t.n").cast("int").alias("n_events"))
+    n_total = (add_care_site(stays, index).groupBy(*keys)
                .agg(F.sum("mult").cast("long").alias("n_total")))
-    out = n_events.join(n_total, [*index, "sub_cohort"])
+    out = n_events.join(n_total, keys)
     return out.withColumn("rate", F.col("n_events") / F.col("n_total"))
 
 
 def _events_by_stay(event_df: DataFrame, stability: Stability | None) -> DataFrame:
-    """The visits with an event, as ``visit_cohort_id``, with their stability answers."""
+    """The visits with an event, as ``visit_cohort_id``, with the cells they are stable in."""
     ev = event_df.select("visit_occurrence_id").distinct()
     if stability is not None:
         ev = ev.join(stability.visits, "visit_occurrence_id")
     return ev.withColumnRenamed("visit_occurrence_id", "visit_cohort_id")
 
 
-def _by_cell(classes: DataFrame, stability: Stability) -> DataFrame:
-    """Each class of equal answers once per cell, with ``stable``: classes are few, whatever the stays."""
-    flags = F.array(*[F.coalesce(c, F.lit(False)) for c in stability.cells()])
-    return classes.select("*", F.posexplode(flags).alias("param_id", "stable"))
-
-
 def event_during_stay(event_df: DataFrame, cohort: DataFrame, index: Sequence[str] = ("care_site_id",),
                       stability: Stability | None = None, **_) -> DataFrame:
     """D8 (C17): share of stays with an event of the same visit.
 
     ``n_events`` sums a flag over cohort rows while ``n_total`` counts distinct
     stays, so a rate can pass 1 when stays are duplicated (T6), as in the study.
-    Stays are counted by site, month and stability answers before any cell or
-    the "All" site is expanded.
+    Every cell has a row for every site and month with a stay.
     """
     ev = _events_by_stay(event_df, stability).withColumn("_hit", F.lit(True))
-    answers = OK if stability is not None else []
-    classes = (cohort_stays(cohort, index).join(ev, "visit_cohort_id", "left").groupBy(*index, "sub_cohort", *answers)
-               .agg(F.sum(F.when(F.col("_hit"), F.col("mult")).otherwise(0)).alias("_events"), F.count("*").alias("_total")))
-    extra = []
-    if stability is not None:
-        classes = _by_cell(classes, stability).withColumn("_events", F.when(F.col("stable"), F.col("_events")).otherwise(0))
-        extra = ["param_id"]
-    out = (add_care_site(classes, index).groupBy(*index, "sub_cohort", *extra)
-           .agg(F.sum("_events").cast("int").alias("n_events"), F.sum("_total").cast("long").alias("n_total")))
+    keys = [*index, "sub_cohort"]
+    rows = (cohort_stays(cohort, index).join(ev, "visit_cohort_id", "left")
+            .select(*keys, *(["cells"] if stability is not None else []), F.when(F.col("_hit"), F.col("mult")).otherwise(F.lit(0)).cast("long").alias("_events"),
+                    F.lit(1).cast("long").alias("_total")))
+    classes = add_care_site(rows, index)
+    if stability is None:
+        out = classes.groupBy(*keys).agg(F.sum("_events").cast("int").alias("n_events"), F.sum("_total").alias("n_total"))
+    else:
+        out = (unfolded(classes, keys, ["_events"], stability.grid.size, ["_total"])
+               .select(*keys, "param_id", F.col("_events").cast("int").alias("n_events"), F.col("_total").alias("n_total")))
     return out.withColumn("rate", F.col("n_events") / F.col("n_total"))
 
 
 def condition_incidence(event_df: DataFrame, cohort: DataFrame, index: Sequence[str] = ("care_site_id",),
-                        stability: Stability | None = None, **_) -> DataFrame:
+                        stability: Stability | None = None, by: Sequence[str] = (), **_) -> DataFrame:
     """D9 (C18, D10, E1, H7): weekly distinct stays with the condition, and the seasonal peak.
 
     Weeks start on Monday (T11); a season runs September to August (T19);
     ``max_events`` is set on the peak week of each (season, site) only, the
     earliest week winning ties. A stay has one site, so distinct stays are counted
-    per site, week and stability answers, and those counts add up.
+    per site, week and stability answers, and those counts add up. ``by`` names columns of the
+    events that tell several conditions apart, counted in the same pass.
     """
-    answers = OK if stability is not None else []
-    hits = (cohort.select("visit_cohort_id", week_start("cohort_stay_start").alias("sub_cohort"), *index).distinct()
-            .join(_events_by_stay(event_df, stability), "visit_cohort_id"))
-    classes = hits.groupBy(*index, "sub_cohort", *answers).agg(F.count("*").alias("_events"))
-    extra = []
+    ev = event_df.select("visit_occurrence_id", *by).distinct()
     if stability is not None:
-        classes = _by_cell(classes, stability).where("stable")
-        extra = ["param_id"]
-    weekly = (add_care_site(classes, index).groupBy(*index, "sub_cohort", *extra)
-              .agg(F.sum("_events").cast("int").alias("n_events"))
+        ev = ev.join(stability.visits, ["visit_occurrence_id", *by])
+    ev = ev.withColumnRenamed("visit_occurrence_id", "visit_cohort_id")
+    hits = (cohort.select("visit_cohort_id", week_start("cohort_stay_start").alias("sub_cohort"), *index).distinct()
+            .join(ev, "visit_cohort_id").withColumn("_events", F.lit(1).cast("long")))
+    keys = [*by, *index, "sub_cohort"]
+    classes = add_care_site(hits, index)
+    if stability is None:
+        counted, extra = classes.groupBy(*keys).agg(F.sum("_events").alias("_events")), []
+    else:
+        counted, extra = unfolded(classes, keys, ["_events"], stability.grid.size).where(F.col("_events") > 0), ["param_id"]
+    weekly = (counted.select(*keys, *extra, F.col("_events").cast("int").alias("n_events"))
               .withColumn("school_years", season_year("sub_cohort").cast("int")))
-    w = Window.partitionBy("school_years", *index, *extra).orderBy(F.col("n_events").desc(), "sub_cohort")
+    w = Window.partitionBy("school_years", *by, *index, *extra).orderBy(F.col("n_events").desc(), "sub_cohort")
     return weekly.withColumn("max_events", F.when(F.row_number().over(w) == 1, F.col("n_events")))
 
 

@@ -5,18 +5,18 @@ Step model: ``c_hat(t) = c_0 * 1(t >= t_0)``. Rectangle model:
 over all months of the index. For a support ``A`` of ``n_A`` months the best
 level is the mean of ``c`` on ``A``, and the error is
 ``(sum(c^2) - sum_A(c)^2 / n_A) / T``. The step scans every ``t_0`` with
-suffix sums; the rectangle scans every pair ``t_0 <= t_1`` with prefix sums,
-inside one array expression per index. The smallest error wins, then the
-earliest ``t_0`` (then ``t_1``).
+suffix sums; the rectangle scans the pairs ``t_0 <= t_1`` that can still win with
+prefix sums, inside one array expression per index. The smallest error (to 12 places)
+wins, then the earliest ``t_0`` (then ``t_1``).
 Every partition is one index (one care site and label set), so no window or
 aggregate ever holds more than that index's months.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 META = {"date", "c", "c_hat"}
@@ -51,38 +51,46 @@ def fit_step(predictor: DataFrame, index: Sequence[str] | None = None) -> DataFr
                        F.col("_best.error").alias("error"))
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body(value)`` with the value computed once."""
-    return F.element_at(F.transform(F.array(value), body), 1)
+#: The best rectangle of ``m`` (months in order) as SQL over its arrays. The error falls as the gain ``sum^2 / n`` of the
+#: support grows, so the scan is over gains, as doubles. ``p`` are the prefix sums, ``top`` is the largest level.
+#: A support of nonnegative levels gains at most its sum times ``top``: starts ``a`` with ``(p[t] - p[a]) * top`` and ends ``b``
+#: with ``p[b + 1] * top`` below the best gain of a support that runs to the end are left out. Rounded errors are monotone
+#: in the gain, so only the best gain of each start is rounded, then the ends of the first start that reaches the least error.
+RECTANGLE = {
+    "c": "transform(m, x -> x.c)",
+    "p": "aggregate(c, array(0D), (acc, x) -> concat(acc, array(element_at(acc, -1) + x)))",
+    "q": "aggregate(c, 0D, (acc, x) -> acc + x * x)",
+    "t": "size(c)",
+    "total": "element_at(p, -1)",
+    "top": "if(array_min(c) >= 0, array_max(c), double('Infinity'))",
+    "open_end": "array_max(transform(sequence(0, t - 1), a -> pow(total - p[a], 2) / (t - a))) * (1 - 1e-9)",
+    "starts": "filter(sequence(0, t - 1), a -> a = 0 or (total - p[a]) * top >= open_end)",
+    "first_end": "coalesce(array_position(transform(c, (x, b) -> p[b + 1] * top >= open_end), true), 1L) - 1",
+    "gains": "transform(starts, a -> array_max(transform(sequence(greatest(a, int(first_end)), t - 1), b -> pow(p[b + 1] - p[a], 2) / (b - a + 1))))",
+    "least": "round((q - array_max(gains)) / t, 12)",
+    "a": "starts[int(array_position(transform(gains, g -> round((q - g) / t, 12) = least), true)) - 1]",
+    "ends": "transform(sequence(greatest(a, int(first_end)), t - 1), b -> round((q - pow(p[b + 1] - p[a], 2) / (b - a + 1)) / t, 12) = least)",
+    "b": "greatest(a, int(first_end)) + int(array_position(ends, true)) - 1",
+}
 
 
 def fit_rectangle(predictor: DataFrame, index: Sequence[str] | None = None) -> DataFrame:
     """``index..., t_0, t_1, c_0, error`` per index.
 
     One grouping per index: its months become an ordered array (at most the months of the
-    window), prefix sums give every support's sum, and the best pair is the least of an
-    array expression; no pair is ever a row.
+    window), prefix sums give every support's sum, and the best pair comes from array
+    expressions over doubles; no pair is ever a row or a struct.
     """
     index = list(index or index_columns(predictor))
-    months = (predictor.select(*index, "date", F.col("c").cast("double").alias("c")).groupBy(*index)
+    fitted = (predictor.select(*index, "date", F.col("c").cast("double").alias("c")).groupBy(*index)
               .agg(F.array_sort(F.collect_list(F.struct("date", "c"))).alias("m")))
-
-    def best(prefix: Column) -> Column:
-        size, square = F.size("m"), F.aggregate("m", F.lit(0.0), lambda acc, x: acc + x["c"] * x["c"])
-
-        def over(q: Column) -> Column:
-            def support(a: Column, b: Column) -> Column:
-                total, n = F.get(prefix, b + 1) - F.get(prefix, a), b - a + 1
-                error = (q - total * total / n) / size
-                return F.struct(F.round(error, 12).alias("e"), F.get("m", a)["date"].alias("t_0"), F.get("m", b)["date"].alias("t_1"),
-                                (total / n).alias("c_0"), error.alias("error"))
-            return F.array_min(F.transform(F.sequence(F.lit(0), size - 1), lambda a: F.array_min(
-                F.transform(F.sequence(a, size - 1), lambda b: support(a, b)))))
-        return _let(square, over)
-
-    sums = F.aggregate("m", F.array(F.lit(0.0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x["c"])))
-    fitted = months.withColumn("_best", _let(sums, best))
-    return fitted.select(*index, *[F.col(f"_best.{c}").alias(c) for c in ("t_0", "t_1", "c_0", "error")])
+    fitted = fitted.select(F.struct(*index).alias("_index"), "m")
+    for name, expression in RECTANGLE.items():
+        fitted = fitted.withColumn(name, F.expr(expression))
+    total, n = F.expr("p[b + 1] - p[a]"), F.expr("b - a + 1")
+    fitted = fitted.select("_index", F.expr("m[a].date").alias("t_0"), F.expr("m[b].date").alias("t_1"), (total / n).alias("c_0"),
+                           ((F.col("q") - total * total / n) / F.col("t")).alias("error"))
+    return fitted.select("_index.*", "t_0", "t_1", "c_0", "error")
 
 
 def predict(predictor: DataFrame, estimates: DataFrame, index: Sequence[str] | None = None) -> DataFrame:

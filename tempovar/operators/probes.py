@@ -1,14 +1,17 @@
 """Completeness probes (I1-I4): monthly counts per care site and label set, on a zero-filled month grid.
 
 A probe's *index* is the care site plus the label columns of its regex sets.
-Rows fan out to every label whose regex they match (an ``explode`` of a
-literal-built array, no join), counts are distinct ids, and every index gets
-every month of the window so the models see the months with no record.
+A record's labels are one whole number, a bit per regex set, worked out once; records are
+counted by site, month and that number, and only the counts fan out to labels (``labelled``).
+Counts are distinct ids, and every index gets every month of the window so the models see the
+months with no record.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterable, Mapping, Sequence
+from functools import reduce
+from itertools import product
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,12 +26,23 @@ from . import extract as X
 SITE = ["care_site_level", "care_site_id", "care_site_short_name"]
 
 
-def fan_out(df: DataFrame, label: str, column: str, sets: Mapping[str, str], case: bool = False,
-            null_as_empty: bool = True) -> DataFrame:
-    """One row per matching label. NULL text is seen as ``''``, so only a catch-all set takes it."""
-    text = F.coalesce(F.col(column), F.lit("")) if null_as_empty else F.col(column)
-    labels = F.array(*[F.when(contains_regex(text, rx, case=case), F.lit(name)) for name, rx in sets.items()])
-    return df.withColumn(label, F.explode(F.array_compact(labels)))
+def label_bits(column: str, sets: Mapping[str, str], case: bool = False) -> Column:
+    """The regex sets that match a text, as bits in their order. NULL text is seen as ``''``, so only a catch-all set takes it."""
+    if len(sets) > 62:
+        raise ValueError(f"at most 62 regex sets, not {len(sets)}")
+    text = F.coalesce(F.col(column), F.lit(""))
+    bits = [F.when(contains_regex(text, rx, case=case), F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i, rx in enumerate(sets.values())]
+    return reduce(lambda a, b: a.bitwiseOR(b), bits)
+
+
+def _set(bits: str, i: int) -> Column:
+    return F.col(bits).bitwiseAND(F.lit(1 << i).cast("long")) != 0
+
+
+def labelled(df: DataFrame, label: str, bits: str, names: Iterable[str]) -> DataFrame:
+    """One row per label whose bit is set, named in ``label`` in place of the bits."""
+    chosen = F.array_compact(F.array(*[F.when(_set(bits, i), F.lit(name)) for i, name in enumerate(names)]))
+    return df.withColumn("_label", F.explode(chosen)).drop(label, bits).withColumnRenamed("_label", label)
 
 
 def _in_window(c: str, study: Study) -> Column:
@@ -89,12 +103,11 @@ def visit_probe(p: Prepared, study: Study = DEFAULT_STUDY, levels: Sequence[str]
     visits = p.visit_occurrence.where(_in_window("visit_start_datetime", study))
     rows = site_rows(p, visits, levels).join(
         visits.select("visit_occurrence_id", "stay_type", "visit_start_datetime"), "visit_occurrence_id")
-    rows = fan_out(rows, "specialties_set", "service_type", specialties_sets)
     index = SITE + ["stay_type", "specialties_set"]
-    # rows are unique per (visit, site, set): site_rows is distinct on (visit, site), visits are unique,
-    # and a row gets each set label once, so a plain count is the distinct visit count (one shuffle less)
-    counts = (rows.withColumn("date", month_start("visit_start_datetime"))
-              .groupBy(*index, "date").agg(F.count("*").alias("n_visit")))
+    # rows are unique per (visit, site): site_rows is distinct on (visit, site), visits are unique
+    classes = (rows.select(*SITE, "stay_type", month_start("visit_start_datetime").alias("date"), label_bits("service_type", specialties_sets).alias("_sets"))
+               .groupBy(*SITE, "stay_type", "date", "_sets").agg(F.count("*").alias("n_visit")))
+    counts = labelled(classes, "specialties_set", "_sets", specialties_sets).groupBy(*index, "date").agg(F.sum("n_visit").alias("n_visit"))
     return zero_filled(counts, index, ["n_visit"], study, normalise="n_visit")
 
 
@@ -114,7 +127,9 @@ def note_probe(p: Prepared, study: Study = DEFAULT_STUDY,
 
     Hospitals come from the note's visit, departments from the note's site links.
     """
-    notes = _notes_in_window(p, study)
+    notes = _notes_in_window(p, study).select(
+        "note_id", month_start("note_datetime").alias("date"), "visit_care_site_id",
+        label_bits("stay_type", stay_types).alias("_stay"), label_bits("note_type", note_types).alias("_note")).where("_stay <> 0 and _note <> 0")
     cs = p.care_site.select("care_site_id", "care_site_level", "care_site_short_name")
     parts = []
     if C.LEVEL_HOSPITAL in levels:
@@ -125,34 +140,30 @@ def note_probe(p: Prepared, study: Study = DEFAULT_STUDY,
     rows = parts[0]
     for extra in parts[1:]:
         rows = rows.unionByName(extra)
-    rows = rows.join(cs, "care_site_id")
-    rows = fan_out(fan_out(rows, "stay_type_set", "stay_type", stay_types), "note_type_set", "note_type", note_types)
-    rows = rows.drop("stay_type", "note_type").withColumnRenamed("stay_type_set", "stay_type") \
-               .withColumnRenamed("note_type_set", "note_type")
     index = SITE + ["stay_type", "note_type"]
-    counts = (rows.withColumn("date", month_start("note_datetime"))
-              .groupBy(*index, "date").agg(F.countDistinct("note_id").alias("n_note")))
+    classes = (rows.join(cs, "care_site_id").select("note_id", *SITE, "date", "_stay", "_note").distinct()
+               .groupBy(*SITE, "date", "_stay", "_note").agg(F.count("*").alias("n_note")))
+    counts = (labelled(labelled(classes, "stay_type", "_stay", stay_types), "note_type", "_note", note_types)
+              .groupBy(*index, "date").agg(F.sum("n_note").alias("n_note")))
     return zero_filled(counts, index, ["n_note"], study, normalise="n_note")
 
 
-def _per_visit(site_visits: DataFrame, flagged: DataFrame, index: Sequence[str],
+def _per_visit(site_visits: DataFrame, flagged: DataFrame, index: Sequence[str], stay_types: Mapping[str, str],
                labels: Sequence[Mapping[str, str]], n_name: str, study: Study) -> DataFrame:
     """Share of a site's visits (by visit month) having >= 1 flagged record; 0 when there is no visit.
 
-    One pass over the site-visits: a visit's label combinations are a set (bounded by the
-    configuration), and one grouping counts the visits and, per combination, those that
-    have it; the combinations become rows after it.
+    A visit's label combinations are the union of its records' bits (``flagged``: visit and ``_labels``). Visits are
+    counted by site, month and both sets of bits in one pass; the counts then fan out to stay types and combinations.
     """
-    label_cols = list(labels[0].keys())
-    combos = [F.struct(*[F.lit(v).alias(k) for k, v in combo.items()]) for combo in labels]
-    sets = flagged.groupBy("visit_occurrence_id").agg(F.collect_set(F.struct(*label_cols)).alias("_labels"))
-    # site_visits rows are unique per (visit, site, stay-type label): counts of rows are counts of visits
-    wide = (site_visits.join(sets, "visit_occurrence_id", "left")
-            .groupBy(*[c for c in index if c not in label_cols], "date")
-            .agg(F.count("*").alias("n_visit"),
-                 F.array(*[F.struct(combo.alias("l"), F.count_if(F.array_contains("_labels", combo)).alias("n")) for combo in combos]).alias("_n")))
-    counts = (wide.withColumn("_n", F.explode("_n"))
-              .select(*[F.col(f"_n.l.{c}").alias(c) if c in label_cols else F.col(c) for c in index], "date", "n_visit", F.col("_n.n").alias(n_name)))
+    sets = flagged.groupBy("visit_occurrence_id").agg(F.bit_or("_labels").alias("_labels"))
+    # site_visits rows are unique per (visit, site): counts of rows are counts of visits
+    classes = (site_visits.join(sets, "visit_occurrence_id", "left").groupBy(*SITE, "date", "_stay", "_labels")
+               .agg(F.count("*").alias("n_visit")))
+    combos = [F.struct(*[F.lit(v).alias(k) for k, v in combo.items()],
+                       F.when(F.coalesce(_set("_labels", i), F.lit(False)), F.col("n_visit")).otherwise(F.lit(0)).alias("n")) for i, combo in enumerate(labels)]
+    counts = (labelled(classes, "stay_type", "_stay", stay_types).withColumn("_n", F.explode(F.array(*combos)))
+              .select(*SITE, "stay_type", "date", "n_visit", *[F.col(f"_n.{c}").alias(c) for c in labels[0]], F.col("_n.n").alias(n_name))
+              .groupBy(*index, "date").agg(F.sum("n_visit").alias("n_visit"), F.sum(n_name).alias(n_name)))
     counts = zero_filled(counts, index, ["n_visit", n_name], study)
     return counts.withColumn("c", F.when(F.col("n_visit") > 0, F.col(n_name) / F.col("n_visit"))
                              .otherwise(F.lit(0.0)))
@@ -161,11 +172,9 @@ def _per_visit(site_visits: DataFrame, flagged: DataFrame, index: Sequence[str],
 def _site_visits(p: Prepared, study: Study, levels: Sequence[str], stay_types: Mapping[str, str]) -> DataFrame:
     visits = p.visit_occurrence.where(_in_window("visit_start_datetime", study))
     rows = site_rows(p, visits, levels).join(
-        visits.select("visit_occurrence_id", F.col("stay_type").alias("raw_stay_type"), "visit_start_datetime"),
-        "visit_occurrence_id")
-    rows = fan_out(rows, "stay_type", "raw_stay_type", stay_types)
-    return rows.select("visit_occurrence_id", *SITE, "stay_type",
-                       month_start("visit_start_datetime").alias("date"))
+        visits.select("visit_occurrence_id", month_start("visit_start_datetime").alias("date"), label_bits("stay_type", stay_types).alias("_stay"))
+        .where("_stay <> 0"), "visit_occurrence_id")
+    return rows.select("visit_occurrence_id", *SITE, "_stay", "date")
 
 
 def note_per_visit_probe(p: Prepared, study: Study = DEFAULT_STUDY,
@@ -174,16 +183,27 @@ def note_per_visit_probe(p: Prepared, study: Study = DEFAULT_STUDY,
                          note_types: Mapping[str, str] = C.NOTE_TYPES) -> DataFrame:
     """Share of visits with at least one note of the type set, per site, stay-type set and month."""
     site_visits = _site_visits(p, study, levels, stay_types)
-    flagged = fan_out(p.note.select("visit_occurrence_id", "note_type"), "note_type_set", "note_type", note_types)
-    flagged = flagged.select("visit_occurrence_id", F.col("note_type_set").alias("note_type"))
+    flagged = p.note.select("visit_occurrence_id", label_bits("note_type", note_types).alias("_labels")).where("_labels <> 0")
     index = SITE + ["stay_type", "note_type"]
-    return _per_visit(site_visits, flagged, index, [{"note_type": k} for k in note_types],
+    return _per_visit(site_visits, flagged, index, stay_types, [{"note_type": k} for k in note_types],
                       "n_visit_with_note", study)
 
 
-def _conditions(p: Prepared, condition_types, diag_types) -> DataFrame:
-    rows = fan_out(p.conditions_by_source, "condition_type", "condition_source_value", condition_types)
-    return fan_out(rows, "diag_type", "condition_status_source_value", diag_types, case=True)
+def _condition_labels(condition_types: Mapping[str, str], diag_types: Mapping[str, str], source_systems: Sequence[str]) -> tuple[list[dict[str, str]], Column]:
+    """The label combinations of a condition in order, and the bits of those that a record has: a product of
+    one number per label, whose bits never meet."""
+    combos = [dict(zip(("condition_type", "diag_type", "source_system"), x, strict=True)) for x in product(condition_types, diag_types, source_systems)]
+    if len(combos) > 62:
+        raise ValueError(f"at most 62 label combinations, not {len(combos)}")
+    n_diag, n_source = len(diag_types), len(source_systems)
+
+    def spread(column: str, sets: Mapping[str, str], step: int, case: bool) -> Column:
+        text = F.coalesce(F.col(column), F.lit(""))
+        return reduce(lambda a, b: a + b, [F.when(contains_regex(text, rx, case=case), F.lit(1 << (i * step))).otherwise(F.lit(0)).cast("long")
+                                           for i, rx in enumerate(sets.values())])
+
+    source = reduce(lambda a, b: a + b, [F.when(F.col("source_system") == name, F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i, name in enumerate(source_systems)])
+    return combos, spread("condition_source_value", condition_types, n_diag * n_source, False) * spread("condition_status_source_value", diag_types, n_source, True) * source
 
 
 def condition_probe(p: Prepared, study: Study = DEFAULT_STUDY,
@@ -197,34 +217,33 @@ def condition_probe(p: Prepared, study: Study = DEFAULT_STUDY,
 
     Claims conditions carry no detail, so they reach hospitals only.
     """
-    conds = _conditions(p, condition_types, diag_types).where(F.col("source_system").isin(list(source_systems)))
+    combos, bits = _condition_labels(condition_types, diag_types, source_systems)
+    conds = p.conditions_by_source.withColumn("_labels", bits).where("_labels <> 0")
     labels = ["condition_type", "diag_type", "source_system"]
     index = SITE + ["stay_type"] + labels
     if per_visit:
         site_visits = _site_visits(p, study, levels, stay_types)
-        flagged = conds.select("visit_occurrence_id", *labels)
-        combos = [{"condition_type": ct, "diag_type": dt, "source_system": ss}
-                  for ct in condition_types for dt in diag_types for ss in source_systems]
-        return _per_visit(site_visits, flagged, index, combos, "n_visit_with_condition", study)
-    visits = p.visit_occurrence.select("visit_occurrence_id", F.col("stay_type").alias("raw_stay_type"),
-                                       F.col("care_site_id").alias("visit_care_site_id"))
+        return _per_visit(site_visits, conds.select("visit_occurrence_id", "_labels"), index, stay_types, combos, "n_visit_with_condition", study)
+    visits = (p.visit_occurrence.select("visit_occurrence_id", label_bits("stay_type", stay_types).alias("_stay"),
+                                        F.col("care_site_id").alias("visit_care_site_id")).where("_stay <> 0"))
     rows = (conds.where(_in_window("condition_start_datetime", study))
+            .select("visit_occurrence_id", "visit_detail_id", month_start("condition_start_datetime").alias("date"), "_labels")
             .join(visits, "visit_occurrence_id"))
     cs = p.care_site.select("care_site_id", "care_site_level", "care_site_short_name")
     parts = []
     if C.LEVEL_HOSPITAL in levels:
-        parts.append(rows.withColumn("care_site_id", F.col("visit_care_site_id")))
+        parts.append(rows.select(F.col("visit_care_site_id").alias("care_site_id"), "date", "_labels", "_stay"))
     detail_levels = [lv for lv in levels if lv != C.LEVEL_HOSPITAL]
     if detail_levels:
         det = p.visit_detail.select("visit_detail_id", F.col("detail_care_site_id").alias("care_site_id"))
-        parts.append(rows.join(det, "visit_detail_id"))
-    site = parts[0]
-    for extra in parts[1:]:
-        site = site.unionByName(extra)
-    site = site.join(cs, "care_site_id").where(F.col("care_site_level").isin(list(levels)))
-    site = fan_out(site, "stay_type", "raw_stay_type", stay_types)
-    counts = (site.withColumn("date", month_start("condition_start_datetime"))
-              .groupBy(*index, "date").agg(F.count("*").alias("n_condition")))
+        parts.append(rows.join(det, "visit_detail_id").select("care_site_id", "date", "_labels", "_stay"))
+    # a site's records are counted before its name and level are joined
+    counted = reduce(DataFrame.unionByName, parts).groupBy("care_site_id", "date", "_labels", "_stay").agg(F.count("*").alias("n_condition"))
+    site = counted.join(cs, "care_site_id").where(F.col("care_site_level").isin(list(levels)))
+    site = labelled(site, "stay_type", "_stay", stay_types)
+    chosen = F.array_compact(F.array(*[F.when(_set("_labels", i), F.struct(*[F.lit(v).alias(k) for k, v in combo.items()])) for i, combo in enumerate(combos)]))
+    counts = (site.withColumn("_l", F.explode(chosen)).select(*SITE, "stay_type", "date", "_l.*", "n_condition")
+              .groupBy(*index, "date").agg(F.sum("n_condition").alias("n_condition")))
     return zero_filled(counts, index, ["n_condition"], study, normalise="n_condition")
 
 

@@ -6,22 +6,23 @@ estimate row matched by every care site of the visit has ``t_0 <= start``,
 no estimate, or a NULL in any of these, makes the visit unstable. An AND of
 threshold tests is a test on extremes, so one aggregate per visit,
 ``max(t_0), max(error), min(c_0), min(t_1)`` plus a ``bad`` flag, answers all
-cells at once: a visit carries one short array of answers per dimension of the
-grid (``visit_cells``), and a cell is an AND over the three. Nothing is copied
-per cell before it is aggregated.
+cells at once. The answers are one whole number, a bit per cell: what a visit
+carries through joins and shuffles whatever the grid. Rows are counted by that
+number, and only the counts are unfolded into cells (``unfolded``).
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from itertools import product
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import config as C
 from ..config import Outcome
+from .quantiles import nearest_ranks
 
 ERROR_LABELS = ["No filter", "Q3", "median", "Q1"]
 C0_LABELS = ["No filter", "Q1", "median", "Q3"]
@@ -61,15 +62,15 @@ def level_rows(event_df: DataFrame, care_site_level: str) -> DataFrame:
 
 
 def visit_extremes(event_df: DataFrame, estimates: DataFrame, care_site_level: str,
-                   visit_col: str = "visit_occurrence_id", with_t1: bool = False) -> DataFrame:
+                   visit_col: str = "visit_occurrence_id", with_t1: bool = False, by: Sequence[str] = ()) -> DataFrame:
     """D4 folded: per visit ``max_t0, max_error, min_c0[, min_t1], bad`` over its sites' estimate rows.
 
     ``estimates`` must already be filtered (B14). They are reduced to one row of extremes per
     site first, so an event row meets at most one; AQE broadcasts them after measuring them,
-    and a visit's repeated sites are one before the join.
+    and a visit's repeated sites are one before the join. ``by`` names further columns that tell events apart.
     """
     col = site_column(care_site_level)
-    rows = level_rows(event_df, care_site_level).select(visit_col, F.col(col).cast("long").alias("_site")).distinct()
+    rows = level_rows(event_df, care_site_level).select(visit_col, *by, F.col(col).cast("long").alias("_site")).distinct()
     bad = F.col("t_0").isNull() | F.col("error").isNull() | F.col("c_0").isNull()
     if with_t1:
         bad = bad | F.col("t_1").isNull()
@@ -78,35 +79,115 @@ def visit_extremes(event_df: DataFrame, estimates: DataFrame, care_site_level: s
     site = estimates.groupBy(F.col("care_site_id").cast("long").alias("_site")).agg(*extremes, F.bool_or(bad).alias("bad"))
     again = [F.max("max_t0").alias("max_t0"), F.max("max_error").alias("max_error"), F.min("min_c0").alias("min_c0"),
              *([F.min("min_t1").alias("min_t1")] if with_t1 else [])]
-    return rows.join(site, "_site", "left").groupBy(visit_col).agg(*again, F.bool_or(F.coalesce("bad", F.lit(True))).alias("bad"))
+    return rows.join(site, "_site", "left").groupBy(visit_col, *by).agg(*again, F.bool_or(F.coalesce("bad", F.lit(True))).alias("bad"))
 
 
 @dataclass(frozen=True)
-class Stability:
-    """Per visit, which start dates, error limits and levels it passes (``OK`` columns); the grid's shape."""
+class Grid:
+    """The parameter cells (I11): start dates x error limits x completeness floors, ``param_id`` counting the last fastest.
 
-    visits: DataFrame
-    shape: tuple[int, int, int]
+    Limits and floors come by rank ("No filter", then quantiles), so equal quantiles still give cells of their own
+    (T9). A NULL quantile (no estimates) admits nothing. At most 63 cells, one bit each in a visit's answers.
+    """
+
+    starts: tuple[str, ...]
+    max_errors: tuple[float | None, ...]
+    min_c_0s: tuple[float | None, ...]
+    end: str | None = None
+    active_cs_count: int = 0
+
+    def __post_init__(self):
+        if self.size > 63:
+            raise ValueError(f"a grid has at most 63 cells, not {self.size}: analyse the start dates in several grids")
+
+    @classmethod
+    def of(cls, thresholds: DataFrame, start_dates: Sequence[str], end_date: str | None = None) -> Grid:
+        """From the one row of ``estimate_parameters``, read once; everything after it plans with literals."""
+        row = thresholds.first()
+        return cls(tuple(start_dates), tuple(row.max_errors), tuple(row.min_c_0s), end_date, row.active_cs_count)
+
+    @property
+    def shape(self) -> tuple[int, int, int]:
+        return len(self.starts), len(self.max_errors), len(self.min_c_0s)
+
+    @property
+    def size(self) -> int:
+        s, e, c = self.shape
+        return s * e * c
+
+    def answers(self, t_0: Column, error: Column, c_0: Column, usable: Column) -> Column:
+        """The cells that a row with these values passes, as bits of a long: a product of one number per dimension,
+        whose bits never meet."""
+        _, n_errors, n_floors = self.shape
+
+        def passed(tests: Sequence[Column], step: int) -> Column:
+            parts = [F.when(test, F.lit(1 << (i * step))).otherwise(F.lit(0)).cast("long") for i, test in enumerate(tests)]
+            total = parts[0]
+            for part in parts[1:]:
+                total = total + part
+            return total
+
+        starts = passed([t_0 <= F.lit(s).cast("date") for s in self.starts], n_errors * n_floors)
+        errors = passed([error <= F.lit(x).cast("double") for x in self.max_errors], n_floors)
+        floors = passed([c_0 >= F.lit(x).cast("double") for x in self.min_c_0s], 1)
+        return F.when(F.coalesce(usable, F.lit(False)), starts * errors * floors).otherwise(F.lit(0).cast("long"))
+
+    def labelled(self, df: DataFrame, names: Mapping[str, str] | None = None) -> DataFrame:
+        """Add the cell's parameters and rank labels by ``param_id``."""
+        _, n_errors, n_floors = self.shape
+        p = F.col("param_id")
+        start, error, floor = F.floor(p / (n_errors * n_floors)).cast("int"), F.floor(p / n_floors).cast("int") % n_errors, p % n_floors
+
+        def pick(values: Sequence, at: Column, kind: str) -> Column:
+            return F.get(F.array(*[F.lit(v).cast(kind) for v in values]), at)
+
+        return df.select("*", pick(self.starts, start, "string").alias("start_observation_date"),
+                         pick(self.max_errors, error, "double").alias("max_error"), pick(self.min_c_0s, floor, "double").alias("min_c_0"),
+                         pick(ERROR_LABELS, error, "string").alias("max_error_label"), pick(C0_LABELS, floor, "string").alias("min_c_0_label"))
+
+    def every(self, df: DataFrame) -> DataFrame:
+        """Each row once per cell, with the cell's parameters."""
+        return self.labelled(df.withColumn("param_id", F.explode(F.sequence(F.lit(0), F.lit(self.size - 1)))))
+
+    def frame(self, spark: SparkSession) -> DataFrame:
+        """The cells as a table (for reports and the count summary)."""
+        rows = [(i, s, e, c, ERROR_LABELS[k % len(self.max_errors)], C0_LABELS[i % len(self.min_c_0s)])
+                for i, (s, (k, e), c) in enumerate(product(self.starts, enumerate(self.max_errors), self.min_c_0s))]
+        return spark.createDataFrame(rows, "param_id int, start_observation_date string, max_error double, min_c_0 double, "
+                                           "max_error_label string, min_c_0_label string")
+
+
+def unfolded(classes: DataFrame, keys: Sequence[str], counts: Sequence[str], size: int, totals: Sequence[str] = ()) -> DataFrame:
+    """Counts per cell from counts per answer: ``keys, param_id, counts, totals``, ``size`` rows a key.
+
+    ``classes`` has the answers in ``cells`` (NULL: none). Rows with equal keys and answers are added up first (in the
+    task, then over the shuffle), so a key meets the distinct answers that its rows have, never its rows.
+    ``totals`` are added up over all answers.
+    """
+    added = classes.groupBy(*keys, "cells").agg(*[F.sum(c).alias(c) for c in (*counts, *totals)])
+    gathered = added.groupBy(*keys).agg(F.collect_list(F.struct("cells", *counts)).alias("_classes"), *[F.sum(c).alias(c) for c in totals])
+    sums = [F.expr(f"transform(sequence(0, {size - 1}), k -> aggregate(_classes, 0L, (acc, x) -> "
+                   f"acc + if((shiftright(x.cells, k) & 1) = 1, coalesce(x.{c}, 0L), 0L)))").alias(c) for c in counts]
+    per_key = gathered.select(*keys, *totals, F.arrays_zip(*sums).alias("_cells"))
+    return (per_key.select(*keys, *totals, F.posexplode("_cells").alias("param_id", "_cell"))
+            .select(*keys, "param_id", *[F.col("_cell")[c].alias(c) for c in counts], *totals))
 
-    def cells(self) -> list[Column]:
-        """The condition of each cell over the ``OK`` columns, by ``param_id``."""
-        return [F.get(OK[0], s) & F.get(OK[1], e) & F.get(OK[2], c) for s, e, c in product(*map(range, self.shape))]
 
+@dataclass(frozen=True)
+class Stability:
+    """Per visit that is stable anywhere, the cells it is stable in (``cells``, bits of a long); the grid."""
 
-OK = ["ok_start", "ok_error", "ok_c_0"]
+    visits: DataFrame
+    grid: Grid
 
 
-def visit_cells(extremes: DataFrame, thresholds: DataFrame, start_dates: Sequence[str], end_date: str | None = None) -> Stability:
-    """I9 for all cells: the visit's answers in each dimension (a NULL extreme or a bad site passes none)."""
-    good = ~F.col("bad")
-    if end_date:
-        good = good & (F.col("min_t1") >= F.lit(end_date).cast("date"))
-    starts = [F.coalesce(good & (F.col("max_t0") <= F.lit(s).cast("date")), F.lit(False)) for s in start_dates]
-    limits, floors = thresholds.select("max_errors").scalar(), thresholds.select("min_c_0s").scalar()
-    errors = [F.coalesce(F.col("max_error") <= F.get(limits, i), F.lit(False)) for i in range(len(ERROR_LABELS))]
-    levels = [F.coalesce(F.col("min_c0") >= F.get(floors, i), F.lit(False)) for i in range(len(C0_LABELS))]
-    visits = extremes.select(extremes.columns[0], *[F.array(*a).alias(c) for a, c in zip((starts, errors, levels), OK, strict=True)])
-    return Stability(visits, (len(starts), len(errors), len(levels)))
+def visit_cells(extremes: DataFrame, grid: Grid, by: Sequence[str] = ()) -> Stability:
+    """I9 for all cells (a NULL extreme or a bad site passes none)."""
+    usable = ~F.col("bad")
+    if grid.end:
+        usable = usable & (F.col("min_t1") >= F.lit(grid.end).cast("date"))
+    cells = grid.answers(F.col("max_t0"), F.col("max_error"), F.col("min_c0"), usable)
+    return Stability(extremes.select(extremes.columns[0], *by, cells.alias("cells")).where(F.col("cells") != 0), grid)
 
 
 def stable_in(params_prefix: str = "p_", with_t1: bool = False) -> Column:
@@ -152,83 +233,31 @@ def filter_stable_visits(event_df: DataFrame, estimates: DataFrame, start_observ
     return count, events
 
 
-def _nearest_quantile(values: Column, q: float) -> Column:
-    """Value at sorted position ``round((n - 1) * q)`` of the non-NULL values (nearest-rank rule)."""
-    arr = F.array_sort(values)
-    idx = F.round((F.size(arr) - 1) * F.lit(q)).cast("int")
-    return F.when(F.size(arr) > 0, F.get(arr, idx))
-
-
 def estimate_parameters(estimates: DataFrame, care_site_level: str, **filters) -> DataFrame:
     """One row with the active-site count and the threshold lists.
 
     ``max_errors = [1.0, Q3, Q2, Q1]`` of ``error`` and ``min_c_0s = [0.0, Q1, Q2, Q3]``
-    of ``c_0``, quantiles by the nearest-rank rule. The lists are built from the
-    filtered estimates (one row per site and label set, bounded by the care-site
-    table, not by the events).
+    of ``c_0``, exact quantiles by the nearest-rank rule.
     """
     est = filter_estimates(estimates, care_site_level, **filters)
-    errs = F.collect_list("error")
-    c0s = F.collect_list("c_0")
-    return est.agg(
-        F.countDistinct("care_site_id").cast("long").alias("active_cs_count"),
-        F.array(F.lit(1.0), _nearest_quantile(errs, 0.75), _nearest_quantile(errs, 0.5),
-                _nearest_quantile(errs, 0.25)).alias("max_errors"),
-        F.array(F.lit(0.0), _nearest_quantile(c0s, 0.25), _nearest_quantile(c0s, 0.5),
-                _nearest_quantile(c0s, 0.75)).alias("min_c_0s"))
-
-
-def cells_frame(thresholds: DataFrame, start_dates: Sequence[str], end_date: str | None = None,
-                keep: Sequence[str] = ()) -> DataFrame:
-    """I11's cells: ``start dates x max_errors x min_c_0s`` = 48 rows from the one-row ``estimate_parameters``
-    frame, with an integer ``param_id`` and rank labels carried by position (E4, T9: equal quantiles still
-    give distinct, labelled cells). Built by three ``posexplode`` steps, no join."""
-    starts = F.array(*[F.lit(s) for s in start_dates])
-    e_labels = F.array(*[F.lit(x) for x in ERROR_LABELS])
-    c_labels = F.array(*[F.lit(x) for x in C0_LABELS])
-    keep = list(keep)
-    cells = (thresholds
-             .select(*keep, F.posexplode(starts).alias("_si", "start_observation_date"), "max_errors", "min_c_0s")
-             .select(*keep, "_si", "start_observation_date", F.posexplode("max_errors").alias("_ei", "max_error"),
-                     "min_c_0s")
-             .select(*keep, "_si", "start_observation_date", "_ei", "max_error",
-                     F.posexplode("min_c_0s").alias("_ci", "min_c_0")))
-    cols = [*keep, (F.col("_si") * 16 + F.col("_ei") * 4 + F.col("_ci")).cast("int").alias("param_id"),
-            "start_observation_date", F.col("max_error").cast("double").alias("max_error"),
-            F.col("min_c_0").cast("double").alias("min_c_0"),
-            F.get(e_labels, F.col("_ei")).alias("max_error_label"), F.get(c_labels, F.col("_ci")).alias("min_c_0_label")]
-    if end_date:
-        cols.append(F.lit(end_date).alias("end_date"))
-    return cells.select(*cols)
+    ranks = nearest_ranks(est, ["error", "c_0"], [0.25, 0.5, 0.75])
+    quantile = {c: F.max(F.when(F.col("name") == c, F.col("values"))) for c in ("error", "c_0")}
+    errors, floors = (ranks.agg(quantile[c].alias("v")).scalar() for c in ("error", "c_0"))
+    return est.agg(F.countDistinct("care_site_id").cast("long").alias("active_cs_count")).select(
+        "active_cs_count",
+        F.array(F.lit(1.0), *[F.get(errors, i) for i in (2, 1, 0)]).alias("max_errors"),
+        F.array(F.lit(0.0), *[F.get(floors, i) for i in (0, 1, 2)]).alias("min_c_0s"))
 
 
 def parameter_grid(thresholds: DataFrame, start_dates: Sequence[str], end_date: str | None = None) -> DataFrame:
-    """The 48 cells as a table (for reports and the count summary)."""
-    return cells_frame(thresholds, start_dates, end_date)
-
-
-def cells_subquery(thresholds: DataFrame, start_dates: Sequence[str], end_date: str | None = None) -> Column:
-    """The 48 cells as one array, a scalar subquery: computed once, then rows fan out over it with ``explode``."""
-    cells = cells_frame(thresholds, start_dates, end_date)
-    return cells.agg(F.collect_list(F.struct(*cells.columns)).alias("cells")).scalar()
+    """The 48 cells as a table."""
+    return Grid.of(thresholds, start_dates, end_date).frame(thresholds.sparkSession)
 
 
-def with_cells(df: DataFrame, cells: Column) -> DataFrame:
-    """Fan each row out over the cells (x48, a generator, no join); cell fields get a ``p_`` prefix."""
-    names = ["param_id", "start_observation_date", "max_error", "min_c_0", "max_error_label", "min_c_0_label"]
-    out = df.withColumn("_cell", F.explode(cells))
-    cols = [F.col(f"_cell.{n}").alias(n if n == "param_id" else f"p_{n}") for n in names]
-    out = out.select("*", *cols, F.col("_cell.start_observation_date").cast("date").alias("p_start"))
-    if "end_date" in out.select("_cell.*").columns:
-        out = out.withColumn("p_end", F.col("_cell.end_date").cast("date"))
-    return out.drop("_cell")
-
-
-def stable_site_counts(estimates: DataFrame, cells: Column, care_site_level: str, with_t1: bool = False,
-                       **filters) -> DataFrame:
+def stable_site_counts(estimates: DataFrame, grid: Grid, care_site_level: str, **filters) -> DataFrame:
     """D12 per cell: distinct sites with at least one stable estimate row (param_id, cso_cs_count)."""
-    est = with_cells(filter_estimates(estimates, care_site_level, **filters), cells)
-    end = F.col("p_end") if with_t1 else None
-    ok = site_stable(F.col("p_start"), F.col("p_max_error"), F.col("p_min_c_0"), end)
-    return (est.groupBy("param_id")
-            .agg(F.countDistinct(F.when(ok, F.col("care_site_id"))).cast("long").alias("cso_cs_count")))
+    est = filter_estimates(estimates, care_site_level, **filters)
+    usable = F.col("t_1") >= F.lit(grid.end).cast("date") if grid.end else F.lit(True)
+    cells = grid.answers(F.col("t_0"), F.col("error"), F.col("c_0"), usable)
+    sites = est.select("care_site_id", cells.alias("cells")).groupBy("care_site_id").agg(F.bit_or("cells").alias("cells"))
+    return unfolded(sites.withColumn("cso_cs_count", F.lit(1).cast("long")).withColumn("_every", F.lit(True)), ["_every"], ["cso_cs_count"], grid.size).drop("_every")

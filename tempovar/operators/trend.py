@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dates import month_diff
@@ -21,6 +21,8 @@ TREND_INDEX = ["MCD", "care_site_id", "threshold", "param_id", "start_observatio
                "max_error_label", "min_c_0_label", "analysis", "outcome_name"]
 
 
+#: Months up to which ``significance`` looks the quantile up.
+TABLE_MONTHS = 240
 #: Differences of sums below this share of the sums are round-off.
 ROUND_OFF = 1e-12
 
@@ -35,7 +37,7 @@ def _settled(value: Column, scale: Column) -> Column:
 
 
 def linear_trend(df: DataFrame, y: str = "rate", x: str = "sub_cohort", index: Sequence[str] | None = None,
-                 start_col: str = "start_observation_date") -> DataFrame:
+                 start_col: str = "start_observation_date", last: Column | None = None) -> DataFrame:
     """Per partition ``n, alpha_0, alpha_1, se_alpha_0, se_alpha_1, t_alpha_1, mean_value``.
 
     Same result as filling every month from the partition's start to the last
@@ -43,10 +45,10 @@ def linear_trend(df: DataFrame, y: str = "rate", x: str = "sub_cohort", index: S
     but in closed form: a missing month adds nothing to the sums of ``y``,
     ``x*y`` and ``y^2``, and ``x = 0..n-1`` has known sums, so one aggregate over
     the observed rows suffices (no month grid, no join). NULL when there is no
-    spread or fewer than 3 points (T15).
+    spread or fewer than 3 points (T15). ``last`` is the last month, if ``df`` is only a part of the table.
     """
     index = list(index or trend_index(df))
-    last = df.agg(F.max(x)).scalar()
+    last = df.agg(F.max(x)).scalar() if last is None else last
     start = F.col(start_col).cast("date")
     xi = month_diff(F.col(x), start).cast("double")
     yv = F.coalesce(F.col(y).cast("double"), F.lit(0.0))
@@ -74,20 +76,22 @@ def linear_trend(df: DataFrame, y: str = "rate", x: str = "sub_cohort", index: S
 def significance(trend: DataFrame) -> DataFrame:
     """Two-sided slope p-value and 95 % intervals of both coefficients.
 
-    An exact fit with a slope has p = 0; without one (all values equal) p is NULL. The
-    quantile is worked out once per number of months.
+    An exact fit with a slope has p = 0; without one (all values equal) p is NULL. The quantile of a
+    number of months comes from a literal-sized table, beyond ``TABLE_MONTHS`` from the expression itself.
     """
+    spark = trend.sparkSession
+    table = spark.range(3, TABLE_MONTHS + 1).select(F.col("id").alias("_n"), t_quantile(0.975, F.col("id") - 2).alias("_q"))
     dof = F.col("n") - 2
     exact = (F.col("se_alpha_1") == 0) & (F.col("alpha_1") != 0)
-    same = Window.partitionBy("n")
-    once = F.when((F.row_number().over(same.orderBy(F.lit(1))) == 1) & (dof >= 1), t_quantile(0.975, dof))
     out = (trend.withColumn("p_value", F.when(exact, F.lit(0.0))
                             .when(F.col("t_alpha_1").isNotNull(), t_two_sided_p(F.col("t_alpha_1"), dof)))
-           .withColumn("_once", once).withColumn("_q", F.max("_once").over(same)))
+           .join(F.broadcast(table), F.col("n") == F.col("_n"), "left"))  # TABLE_MONTHS rows, whatever the data
+    quantile = F.when(F.col("n") > TABLE_MONTHS, t_quantile(0.975, dof)).otherwise(F.col("_q"))
+    out = out.withColumn("_quantile", quantile)
     for c in ("alpha_0", "alpha_1"):
-        out = (out.withColumn(f"{c}_ci_low", F.col(c) - F.col("_q") * F.col(f"se_{c}"))
-                  .withColumn(f"{c}_ci_high", F.col(c) + F.col("_q") * F.col(f"se_{c}")))
-    return out.drop("_once", "_q")
+        out = (out.withColumn(f"{c}_ci_low", F.col(c) - F.col("_quantile") * F.col(f"se_{c}"))
+                  .withColumn(f"{c}_ci_high", F.col(c) + F.col("_quantile") * F.col(f"se_{c}")))
+    return out.drop("_n", "_q", "_quantile")
 
 
 def _sci(c: Column) -> Column:

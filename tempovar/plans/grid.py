@@ -7,20 +7,19 @@ then stacks both in one long table with an ``analysis`` column.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import config as C
-from ..config import DEFAULT_STUDY, Outcome, Study
-from ..operators.indicators import KEY_FUNCTIONS, add_mcd
-from ..operators.stability import (cells_frame, cells_subquery, estimate_parameters, filter_estimates,
-                                   filter_stable_visits, level_rows, outcome_filters, parameter_grid, stable_site_counts,
-                                   visit_cells, visit_extremes, with_cells)
+from ..config import DEFAULT_STUDY, OUTCOMES, Outcome, Study
+from ..operators.indicators import KEY_FUNCTIONS, add_mcd, condition_incidence
+from ..operators.stability import (FILTER_FIELDS, Grid, estimate_parameters, filter_estimates, filter_stable_visits, level_rows, outcome_filters,
+                                   stable_site_counts, visit_cells, visit_extremes)
 
-PARAM_COLS = ["param_id", "start_observation_date", "max_error", "min_c_0", "max_error_label", "min_c_0_label"]
 COHORT_COLS = ["visit_cohort_id", "person_id", "care_site_id", "cohort_stay_start", "cohort_stay_end",
                "stay_type", "CMD_code", "CMD", "sub_cohort"]
 
@@ -52,6 +51,17 @@ def outcome_thresholds(estimates: DataFrame, outcome: Outcome) -> DataFrame:
     return estimate_parameters(estimates, outcome.care_site_level, **outcome_filters(outcome))
 
 
+def outcome_grid(thresholds: DataFrame, outcome: Outcome, estimates: DataFrame, study: Study) -> Grid:
+    """The outcome's cells, from its threshold row; a rectangle model must also reach the last month."""
+    end = study.last_month if outcome.use_end_date and "t_1" in estimates.columns else None
+    return Grid.of(thresholds, study.start_observation_dates, end)
+
+
+def _from_start(rows: DataFrame, analysis: str) -> DataFrame:
+    """A cell's rows from its start date on."""
+    return rows.where(F.col("sub_cohort") >= F.col("start_observation_date").cast("date")).withColumn("analysis", F.lit(analysis))
+
+
 def statistical_analysis(cohort_all: DataFrame, event_df: DataFrame, estimates: DataFrame, outcome: Outcome,
                          study: Study = DEFAULT_STUDY, thresholds: DataFrame | None = None,
                          sensibility_variables: Sequence[str] = ("care_site_id",)) -> DataFrame:
@@ -61,29 +71,39 @@ def statistical_analysis(cohort_all: DataFrame, event_df: DataFrame, estimates:
     ``thresholds`` is the stored row of ``outcome_thresholds``, worked out if not given.
     """
     level = outcome.care_site_level
-    filters = outcome_filters(outcome)
-    est = filter_estimates(estimates, level, **filters)
-    end = study.last_month if outcome.use_end_date and "t_1" in estimates.columns else None
-    with_t1 = end is not None
-    thresholds = outcome_thresholds(estimates, outcome) if thresholds is None else thresholds
-    cells = cells_subquery(thresholds, study.start_observation_dates, end)
-    params = F.broadcast(parameter_grid(thresholds, study.start_observation_dates, end).select(*PARAM_COLS))
+    est = filter_estimates(estimates, level, **outcome_filters(outcome))
+    grid = outcome_grid(outcome_thresholds(estimates, outcome) if thresholds is None else thresholds, outcome, estimates, study)
     fn = KEY_FUNCTIONS[outcome.key_function]
     kw = _kwargs(outcome, study) | {"index": list(sensibility_variables)}
 
-    naive = fn(event_df, cohort_all, **kw)
-    naive = (with_cells(naive, cells).where(F.col("sub_cohort") >= F.col("p_start"))
-             .select(*naive.columns, *[F.col(c if c == "param_id" else f"p_{c}").alias(c) for c in PARAM_COLS])
-             .withColumn("analysis", F.lit(C.NAIVE)))
-
-    extremes = visit_extremes(event_df, est, level, "visit_occurrence_id", with_t1)
-    stability = visit_cells(extremes, thresholds, study.start_observation_dates, end)
+    naive = _from_start(grid.every(fn(event_df, cohort_all, **kw)), C.NAIVE)
+    extremes = visit_extremes(event_df, est, level, "visit_occurrence_id", grid.end is not None)
     # complete sources: rows of the level first, then the stable visits (the naive form keeps every row)
-    cso = fn(level_rows(event_df, level), cohort_all, stability=stability, **kw)
-    cso = (cso.join(params, "param_id")
-           .where(F.col("sub_cohort") >= F.col("start_observation_date").cast("date"))
-           .withColumn("analysis", F.lit(C.CSO)))
-    return naive.unionByName(cso.select(*naive.columns))
+    cso = fn(level_rows(event_df, level), cohort_all, stability=visit_cells(extremes, grid), **kw)
+    return naive.unionByName(_from_start(grid.labelled(cso), C.CSO).select(*naive.columns))
+
+
+def incidence_analysis(cohort_all: DataFrame, events: Mapping[str, DataFrame], estimates: DataFrame, study: Study = DEFAULT_STUDY,
+                       thresholds: DataFrame | None = None, index: Sequence[str] = ("care_site_id",)) -> DataFrame:
+    """I11 of several incidence outcomes in one pass: their rows with ``outcome_name``.
+
+    ``events`` are the outcomes' tables by name. The outcomes must share model, level and filters, so one grid
+    and one set of estimates serve all; a visit's stability is worked out per outcome, over its rows there.
+    """
+    first, *others = (OUTCOMES[name] for name in events)
+    shared = ("key_function", "estimates", "care_site_level", *FILTER_FIELDS)
+    if first.key_function != "incidence" or any(getattr(o, f) != getattr(first, f) for o in others for f in shared):
+        raise ValueError("incidences that differ in model, level or filters are analysed one by one")
+    by = "outcome_name"
+    columns = sorted(set.intersection(*[set(df.columns) for df in events.values()]))
+    rows = reduce(DataFrame.unionByName, [df.select(*columns).withColumn(by, F.lit(name)) for name, df in events.items()])
+    est = filter_estimates(estimates, first.care_site_level, **outcome_filters(first))
+    grid = outcome_grid(outcome_thresholds(estimates, first) if thresholds is None else thresholds, first, estimates, study)
+    naive = _from_start(grid.every(condition_incidence(rows, cohort_all, index, by=[by])), C.NAIVE)
+    extremes = visit_extremes(rows, est, first.care_site_level, "visit_occurrence_id", grid.end is not None, by=[by])
+    stability = visit_cells(extremes, grid, by=[by])
+    cso = condition_incidence(level_rows(rows, first.care_site_level), cohort_all, index, stability, by=[by])
+    return naive.unionByName(_from_start(grid.labelled(cso), C.CSO).select(*naive.columns))
 
 
 # The columns of the long table over all outcomes (A5, G2), with their types.
@@ -95,9 +115,9 @@ INDICATOR_COLUMNS = {"care_site_id": "string", "sub_cohort": "date", "threshold"
 OWN_COLUMNS = {"duration_after": ["threshold", "n_total", "rate"], "during_stay": ["n_total", "rate"], "incidence": ["school_years", "max_events"]}
 
 
-def union_schema(indicator: DataFrame) -> DataFrame:
-    """A5: every column of the long table, typed NULL where the outcome has none."""
-    return indicator.select(*[(F.col(c) if c in indicator.columns else F.lit(None)).cast(t).alias(c) for c, t in INDICATOR_COLUMNS.items()])
+def union_schema(indicator: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """A5: every column of the long table, typed NULL where the outcome has none, and the columns to keep beside them."""
+    return indicator.select(*[(F.col(c) if c in indicator.columns else F.lit(None)).cast(t).alias(c) for c, t in INDICATOR_COLUMNS.items()], *keep)
 
 
 def own_schema(rows: DataFrame, outcome: Outcome) -> DataFrame:
@@ -114,16 +134,12 @@ def cs_count_summary(cs_count: DataFrame, estimates: DataFrame, outcome: Outcome
     quantiles do not multiply rows (T9).
     """
     level = outcome.care_site_level
-    filters = outcome_filters(outcome)
-    end = study.last_month if outcome.use_end_date and "t_1" in estimates.columns else None
-    thresholds = outcome_thresholds(estimates, outcome) if thresholds is None else thresholds
-    cells = cells_subquery(thresholds, study.start_observation_dates, end)
-    cso = stable_site_counts(estimates, cells, level, with_t1=end is not None, **filters)
-    grid = (cells_frame(thresholds.withColumnRenamed("active_cs_count", "naive_cs_count"),
-                        study.start_observation_dates, end, keep=["naive_cs_count"])
-            .withColumn("care_site_level", F.lit(level)))
+    grid = outcome_grid(outcome_thresholds(estimates, outcome) if thresholds is None else thresholds, outcome, estimates, study)
+    cso = stable_site_counts(estimates, grid, level, **outcome_filters(outcome))
+    cells = (grid.frame(estimates.sparkSession).withColumn("care_site_level", F.lit(level))
+             .withColumn("naive_cs_count", F.lit(grid.active_cs_count).cast("long")))
     total = cs_count.where(F.col("care_site_level") == level)
-    out = (grid.join(total, "care_site_level")
+    out = (cells.join(total, "care_site_level")
            .join(cso, "param_id", "left")
            .fillna(0, subset=["cso_cs_count"])
            .withColumn("outcome_name", F.lit(outcome.name))

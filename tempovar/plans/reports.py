@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from .. import config as C
 from ..functions.dates import month_diff
 from ..functions.text import relabel, starting_date_label
+from ..operators.distinct import distinct_ids, id_rows
 from ..operators.models import predict
 from ..operators.stability import outcome_filters
 from ..operators.trend import as_text, linear_trend, significance
@@ -51,14 +52,16 @@ def _eq_all(df: DataFrame, filters: Mapping[str, str]) -> DataFrame:
 
 def warehouse_counts(core: Tables, approx: bool = False) -> DataFrame:
     """Persons, visits, notes, persons with a visit (exact, or HyperLogLog when ``approx``)."""
-    count = (lambda c: F.approx_count_distinct(c)) if approx else (lambda c: F.countDistinct(c))
-    persons = core.person.agg(count("person_id").alias("n_person"))
-    visits = core.visit_occurrence.agg(count("visit_occurrence_id").alias("n_visit"),
-                                       count("person_id").alias("n_person_with_visit"))
-    notes = core.note.agg(count("note_id").alias("n_note"))
-    return persons.select("n_person", visits.select("n_visit").scalar().alias("n_visit"),
-                          notes.select("n_note").scalar().alias("n_note"),
-                          visits.select("n_person_with_visit").scalar().alias("n_person_with_visit"))
+    ids = {"n_person": (core.person, "person_id"), "n_visit": (core.visit_occurrence, "visit_occurrence_id"),
+           "n_note": (core.note, "note_id"), "n_person_with_visit": (core.visit_occurrence, "person_id")}
+    if approx:
+        parts = [df.agg(F.approx_count_distinct(c).alias("n")).select(F.lit(name).alias("name"), "n") for name, (df, c) in ids.items()]
+        counts = reduce(DataFrame.unionByName, parts)
+    else:
+        visits = id_rows(core.visit_occurrence, {n: F.col(c) for n, (df, c) in ids.items() if df is core.visit_occurrence})
+        others = [id_rows(df, {n: F.col(c)}) for n, (df, c) in ids.items() if df is not core.visit_occurrence]
+        counts = distinct_ids(reduce(DataFrame.unionByName, others, visits)).withColumnRenamed("n_distinct", "n")
+    return counts.agg(*[F.coalesce(F.max(F.when(F.col("name") == n, F.col("n"))), F.lit(0)).cast("long").alias(n) for n in ids])
 
 
 def _epoch_days(c: str) -> Column:
@@ -97,29 +100,27 @@ def cohort_summary(outcomes: Mapping[str, DataFrame]) -> DataFrame:
               "consultation_note": "QI3_Consultation", "prescription_note": "QI4_Prescription",
               "icu_visit": "QI5_ICU", "bronchiolitis_condition": "EI1_Bronchiolitis", "flu_condition": "EI2_Flu",
               "gastroenteritis_condition": "EI3_Gastroenteritis", "nasopharyngitis_condition": "EI4_Nasopharyngitis"}
-    parts = []
+    ids, ages, has = [], [], {}
     for name, label in labels.items():
-        t = outcomes[name]
+        t = outcomes[name].withColumn("table", F.lit(label))
         cols = set(t.columns)
-        stay = "visit_occurrence_id" if "visit_occurrence_id" in cols else "visit_cohort_id"
-
-        def level_count(level: str) -> Column:
-            if "detail_care_site_id" not in cols:
-                return F.lit(None).cast("long")
-            return F.countDistinct(F.when(F.col("detail_care_site_level") == level, F.col("detail_care_site_id")))
-
-        aggs = [F.countDistinct(stay).alias("n_stays"),
-                F.countDistinct("person_id").alias("n_patients") if "person_id" in cols else F.lit(None).cast("long").alias("n_patients"),
-                F.countDistinct("care_site_id").alias("n_hospitals") if "care_site_id" in cols else F.lit(None).cast("long").alias("n_hospitals"),
-                level_count(C.LEVEL_DEPARTMENT).alias("n_departments"),
-                level_count(C.LEVEL_UNIT).alias("n_units"),
-                (F.avg("age_at_stay") if "age_at_stay" in cols else F.lit(None).cast("double")).alias("age_mean"),
-                (F.stddev_samp("age_at_stay") if "age_at_stay" in cols else F.lit(None).cast("double")).alias("age_std")]
-        parts.append(t.agg(*aggs).withColumn("table", F.lit(label)))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        counted = {"n_stays": F.col("visit_occurrence_id" if "visit_occurrence_id" in cols else "visit_cohort_id")}
+        counted |= {n: F.col(c) for n, c in (("n_patients", "person_id"), ("n_hospitals", "care_site_id")) if c in cols}
+        if "detail_care_site_id" in cols:
+            counted |= {n: F.when(F.col("detail_care_site_level") == level, F.col("detail_care_site_id"))
+                        for n, level in (("n_departments", C.LEVEL_DEPARTMENT), ("n_units", C.LEVEL_UNIT))}
+        ids.append(id_rows(t, counted, ["table"]))
+        if "age_at_stay" in cols:
+            ages.append(t.select("table", F.col("age_at_stay").cast("double").alias("age")))
+        has[label] = set(counted)
+    every = ["n_stays", "n_patients", "n_hospitals", "n_departments", "n_units"]
+    counts = distinct_ids(reduce(DataFrame.unionByName, ids), ["table"]).groupBy("table").agg(
+        *[F.max(F.when(F.col("name") == n, F.col("n_distinct"))).alias(n) for n in every])
+    age = reduce(DataFrame.unionByName, ages).groupBy("table").agg(F.avg("age").alias("age_mean"), F.stddev_samp("age").alias("age_std"))
+    named = counts.sparkSession.createDataFrame([(label, [n for n in every if n in own]) for label, own in has.items()], "table string, own array<string>")
+    # a table without rows counts 0, a table without the column NULL
+    shown = [F.when(F.array_contains("own", n), F.coalesce(n, F.lit(0))).cast("long").alias(n) for n in every]
+    return F.broadcast(named).join(counts, "table", "left").join(age, "table", "left").select("table", *shown, "age_mean", "age_std")
 
 
 def ehr_context(visit_probe: DataFrame, note_probe: DataFrame, condition_probe: DataFrame, start_date: str) -> DataFrame:
@@ -191,9 +192,9 @@ def analysis_summary_all(indicators: Mapping[str, DataFrame], cs_count_summary:
     parts = []
     for name, indicator in indicators.items():
         if "rate" in indicator.columns:
-            # the months run to the last one of the whole table, so the cell is taken after the fit
-            fitted = as_text(significance(linear_trend(indicator, y="rate")))
-            rows = one_cell(fitted, threshold=threshold).where(F.col("care_site_id") == "All")
+            # only the reported cell is fitted, over the months up to the last one of the whole table
+            cell = one_cell(indicator, threshold=threshold).where(F.col("care_site_id") == "All")
+            rows = as_text(significance(linear_trend(cell, y="rate", last=indicator.agg(F.max("sub_cohort")).scalar())))
             texts = [F.col("alpha_0_text").alias("alpha_0"), F.col("alpha_1_text").alias("alpha_1")]
         else:
             rows = one_cell(indicator).select("start_observation_date", "analysis", "param_id").distinct()

@@ -1,16 +1,18 @@
-"""The study as lazily built stages, and a runner that writes every stage (A3-A5).
+"""The study as lazily built stages, and the form that stores each stage once.
 
-``Study`` objects hold the dates; ``Warehouse`` holds the three table sets.
-Nothing here collects: the runner writes parquet, which also cuts the lineage
-between stages (a lost executor recomputes from the last written stage only).
+``Pipeline`` builds frames only. ``StoredPipeline`` writes a stage where it is first asked for and scans
+it from then on: no plan holds another stage's plan, a lost executor costs only tasks of the stage at
+work, and what a study holds lies in its folder, not in executors. Nothing is collected but the one row
+of an outcome's thresholds, from which its parameter cells are literals.
 """
 
 from __future__ import annotations
 
 import time
+import uuid
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
-from functools import cached_property, reduce
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,7 +22,7 @@ from ..config import DEFAULT_STUDY, OUTCOMES, Study
 from ..operators import models as M
 from ..operators import probes as P
 from ..operators.cohort import Prepared, cohort_selection, cohort_visit, outcome_tables, prepare
-from ..sources.sinks import write_table
+from ..sources.sinks import read_bucketed, write_bucketed, write_partitions, write_table
 from ..sources.tables import Tables
 from . import grid as G
 
@@ -43,6 +45,9 @@ class Pipeline:
     def outcomes(self) -> dict[str, DataFrame]:
         return cohort_selection(self.core, self.reference, self.claims, self.study)
 
+    def outcome(self, name: str) -> DataFrame:
+        return self.outcomes[name]
+
     # --- probes (I1-I4) ---
     def probe(self, name: str) -> DataFrame:
         p, s = self.prepared, self.study
@@ -98,16 +103,19 @@ class Pipeline:
         cache = self.__dict__.setdefault("_indicators", {})
         if outcome_name not in cache:
             o = OUTCOMES[outcome_name]
-            event_df = self.outcomes[outcome_name.replace("_rectangle", "")]
-            cache[outcome_name] = G.statistical_analysis(self.analysis_cohort.cohort_all, event_df, self.estimates(o.estimates), o,
+            cache[outcome_name] = G.statistical_analysis(self.analysis_cohort.cohort_all, self.events(outcome_name), self.estimates(o.estimates), o,
                                                          self.study, self.thresholds(outcome_name)).persist()
         return cache[outcome_name]
 
+    def events(self, outcome_name: str) -> DataFrame:
+        """The outcome's event table; the rectangle form of an outcome has the same events."""
+        return self.outcome(outcome_name.replace("_rectangle", ""))
+
     def indicator_by_group(self, outcome_name: str) -> DataFrame:
         """The indicator per site and diagnosis group, on the per-group subset of the cohort."""
         o = OUTCOMES[outcome_name]
-        return G.statistical_analysis(self.analysis_cohort.cohort_mcd, self.outcomes[outcome_name.replace("_rectangle", "")],
-                                      self.estimates(o.estimates), o, self.study, self.thresholds(outcome_name), ("care_site_id", "MCD"))
+        return G.statistical_analysis(self.analysis_cohort.cohort_mcd, self.events(outcome_name), self.estimates(o.estimates), o,
+                                      self.study, self.thresholds(outcome_name), ("care_site_id", "MCD"))
 
     def thresholds(self, outcome_name: str) -> DataFrame:
         o = OUTCOMES[outcome_name]
@@ -125,96 +133,142 @@ class Pipeline:
                                   self.analysis_cohort.hospital_count, self.study, self.thresholds(outcome_name))
 
 
+#: Incidences that share model, level and filters are analysed in one pass.
+INCIDENCES = [name for name, o in OUTCOMES.items() if o.key_function == "incidence"]
+
+
 @dataclass
 class StoredPipeline(Pipeline):
-    """A pipeline that reads back each stage that has been written, by its name in ``held``."""
+    """A pipeline whose stages are written to ``root`` where they are first asked for and scanned from then on.
 
+    With ``buckets`` the cohort and event tables are written bucketed by stay, so the joins of a reloaded
+    study need no exchange (A6). ``on_stage(name, seconds)`` receives stage timings, plan building included.
+    ``chosen`` are the outcomes that the study analyses.
+    """
+
+    root: str = ""
+    mode: str = "overwrite"
+    buckets: int | None = None
+    on_stage: Callable[[str, float], None] | None = None
+    chosen: Sequence[str] = tuple(OUTCOMES)
     held: dict[str, DataFrame] = field(default_factory=dict)
+    _tables: str = field(default_factory=lambda: f"study_{uuid.uuid4().hex[:12]}")
+
+    @property
+    def spark(self) -> SparkSession:
+        return next(iter(self.core.values())).sparkSession
+
+    def stage(self, name: str, build: Callable[[], DataFrame], by: str | None = None) -> DataFrame:
+        if name not in self.held:
+            t0 = time.perf_counter()
+            self.held[name] = self._write(name, build(), by)
+            if self.on_stage:
+                self.on_stage(name, time.perf_counter() - t0)
+        return self.held[name]
+
+    def _write(self, name: str, df: DataFrame, by: str | None) -> DataFrame:
+        path = f"{self.root}/{name}"
+        if by and self.buckets:
+            return read_bucketed(self.spark, f"{self._tables}_{name.replace('/', '_')}", write_bucketed(df, path, by, self.buckets, self.mode), df.schema, by, self.buckets)
+        return self.spark.read.schema(df.schema).parquet(write_table(df, path, self.mode))
+
+    def materialise(self) -> StoredPipeline:
+        """Store the input tables first (for inputs that are views, such as the surrogate warehouse of the tests)."""
+        self.core, self.reference, self.claims = (
+            Tables({t: self.stage(f"warehouse/{prefix}/{t}", lambda df=df: df) for t, df in tables.items()})
+            for prefix, tables in (("core", self.core), ("reference", self.reference), ("claims", self.claims)))
+        return self
+
+    def outcome(self, name: str) -> DataFrame:
+        if name == "cohort_visit":
+            return self.stage("cohort/cohort_visit", lambda: cohort_visit(self.prepared, self.study), "visit_cohort_id")
+        return self.stage(f"cohort/{name}", lambda: self._outcome_frames[name], "visit_occurrence_id")
+
+    @cached_property
+    def _outcome_frames(self) -> dict[str, DataFrame]:
+        return outcome_tables(self.prepared, self.outcome("cohort_visit"))
 
     @property
     def outcomes(self) -> dict[str, DataFrame]:  # type: ignore[override]
-        return {k.removeprefix("cohort/"): df for k, df in self.held.items() if k.startswith("cohort/")}
+        return {name: self.outcome(name) for name in C.OUTCOME_TABLES}
 
     def probe(self, name: str) -> DataFrame:
-        return self.held[f"probes/{name}"] if f"probes/{name}" in self.held else super().probe(name)
+        return self.stage(f"probes/{name}", lambda: super(StoredPipeline, self).probe(name))
 
     def estimates(self, name: str) -> DataFrame:
-        return self.held[f"models/{name}"] if f"models/{name}" in self.held else self._fit(name)
+        return self.stage(f"models/{name}", lambda: self._fit(name))
 
     def thresholds(self, outcome_name: str) -> DataFrame:
-        key = f"thresholds/{outcome_name}"
-        return self.held[key] if key in self.held else super().thresholds(outcome_name)
+        """Outcomes with the same model, level and filters have the same row: it is stored once."""
+        o = OUTCOMES[outcome_name]
+        same = next(n for n, x in OUTCOMES.items() if (x.estimates, x.care_site_level, G.outcome_filters(x)) == (o.estimates, o.care_site_level, G.outcome_filters(o)))
+        return self.stage(f"thresholds/{same}", lambda: G.outcome_thresholds(self.estimates(o.estimates), o))
 
     def care_site_counts(self) -> DataFrame:
-        return self.held["cs_count"] if "cs_count" in self.held else super().care_site_counts()
+        return self.stage("cs_count", super().care_site_counts)
 
     @property
     def analysis_cohort(self) -> G.AnalysisCohort:  # type: ignore[override]
-        ac = G.analysis_cohort(self.outcomes["cohort_visit"], self.estimates("visit"), self.study)
-        return G.AnalysisCohort(self.held.get("analysis/cohort_all", ac.cohort_all), self.held.get("analysis/cohort_mcd", ac.cohort_mcd),
-                                self.held.get("analysis/hospital_count", ac.hospital_count))
+        ac = G.analysis_cohort(self.outcome("cohort_visit"), self.estimates("visit"), self.study)
+        return G.AnalysisCohort(*[self.stage(f"analysis/{name}", lambda name=name: getattr(ac, name), None if name == "hospital_count" else "visit_cohort_id")
+                                  for name in ("cohort_all", "cohort_mcd", "hospital_count")])
 
     def indicator(self, outcome_name: str) -> DataFrame:
-        key = f"indicators/{outcome_name}"
-        if key in self.held:
-            return self.held[key]
-        o = OUTCOMES[outcome_name]  # about to be written: not persisted
-        return G.statistical_analysis(self.analysis_cohort.cohort_all, self.outcomes[outcome_name.replace("_rectangle", "")],
-                                      self.estimates(o.estimates), o, self.study, self.thresholds(outcome_name))
+        """Of the long table over all outcomes (A5), this outcome's partition; incidences are written in one job."""
+        name = f"indicators/{outcome_name}"
+        if name not in self.held:
+            o = OUTCOMES[outcome_name]
+            group = [n for n in INCIDENCES if n in self.chosen] if outcome_name in INCIDENCES else [outcome_name]
+            if outcome_name not in group:
+                group = [outcome_name]
+            cohort, estimates, thresholds = self.analysis_cohort.cohort_all, self.estimates(o.estimates), self.thresholds(outcome_name)
+            events = {n: self.events(n) for n in group}
+            t0 = time.perf_counter()
+            rows = (G.incidence_analysis(cohort, events, estimates, self.study, thresholds) if o.key_function == "incidence"
+                    else G.statistical_analysis(cohort, events[outcome_name], estimates, o, self.study, thresholds).withColumn("outcome_name", F.lit(outcome_name)))
+            write_partitions(G.union_schema(rows, ["outcome_name"]), f"{self.root}/indicators", "outcome_name")
+            every = all_indicators(self.spark, self.root)
+            for n in group:
+                self.held[f"indicators/{n}"] = G.own_schema(every.where(F.col("outcome_name") == n), OUTCOMES[n])
+                if self.on_stage:
+                    self.on_stage(f"indicators/{n}", (time.perf_counter() - t0) / len(group))
+        return self.held[name]
 
     def count_summary(self, outcome_name: str) -> DataFrame:
-        if "cs_count_summary" in self.held:
-            return self.held["cs_count_summary"].where(F.col("outcome_name") == outcome_name)
-        return super().count_summary(outcome_name)
+        return self.stage(f"cs_count_summary/{outcome_name}", lambda: super(StoredPipeline, self).count_summary(outcome_name))
 
 
 def all_indicators(spark: SparkSession, out_dir: str) -> DataFrame:
     """A5 read back: one long table over all outcomes, with ``outcome_name``."""
-    return spark.read.parquet(f"{out_dir}/indicators")
+    schema = ", ".join(f"{c} {t}" for c, t in {**G.INDICATOR_COLUMNS, "outcome_name": "string"}.items())
+    return spark.read.schema(schema).parquet(f"{out_dir}/indicators")
 
 
 def run_study(spark: SparkSession, pipeline: Pipeline, out_dir: str, mode: str = "overwrite",
-              on_stage: Callable[[str, float], None] | None = None,
-              materialize_inputs: bool = False, outcomes: Sequence[str] = tuple(OUTCOMES)) -> StoredPipeline:
-    """Write every stage to ``out_dir``; the pipeline that comes back reads what was written.
-
-    The stage outputs are the lineage cuts, each read back by all that follow: the cohort before
-    the outcome tables (A3), probes / estimates / site counts (A4), threshold rows, the analysis
-    cohort, one indicator partition per outcome under one schema
-    (``indicators/outcome_name=...``) and the count summary (A5). ``on_stage(name, seconds)``
-    receives stage timings, plan building included. ``materialize_inputs`` first stores the
-    input tables (for inputs that are views, such as the surrogate warehouse of the tests).
-    ``outcomes`` are those to analyse.
-    """
-    done = StoredPipeline(pipeline.core, pipeline.reference, pipeline.claims, pipeline.study)
-
-    def stage(name: str, build: Callable[[], DataFrame], folder: str | None = None) -> DataFrame:
-        t0 = time.perf_counter()
-        path = write_table(build(), f"{out_dir}/{folder or name}", mode)
-        done.held[name] = spark.read.parquet(path)
-        if on_stage:
-            on_stage(name, time.perf_counter() - t0)
-        return done.held[name]
+              on_stage: Callable[[str, float], None] | None = None, materialize_inputs: bool = False,
+              outcomes: Sequence[str] = tuple(OUTCOMES), buckets: int | None = None) -> StoredPipeline:
+    """Write every stage to ``out_dir``, in order; the pipeline that comes back scans what was written.
 
+    The cohort before the outcome tables (A3), probes / estimates / site counts (A4), threshold rows, the
+    analysis cohort, the indicators (one partition per outcome under one schema, A5) and the count
+    summaries. ``outcomes`` are those to analyse, ``buckets`` as in ``StoredPipeline``.
+    """
+    done = StoredPipeline(pipeline.core, pipeline.reference, pipeline.claims, pipeline.study, root=out_dir, mode=mode, buckets=buckets,
+                          on_stage=on_stage, chosen=tuple(outcomes))
     if materialize_inputs:
-        done.core, done.reference, done.claims = (
-            Tables({t: stage(f"warehouse/{prefix}/{t}", lambda df=df: df) for t, df in tables.items()})
-            for prefix, tables in (("core", pipeline.core), ("reference", pipeline.reference), ("claims", pipeline.claims)))
-    cohort = stage("cohort/cohort_visit", lambda: cohort_visit(done.prepared, done.study))
-    tables = outcome_tables(done.prepared, cohort)
-    for name, df in tables.items():
-        stage(f"cohort/{name}", lambda df=df: df)
+        done.materialise()
+    for name in C.OUTCOME_TABLES:
+        done.outcome(name)
     for name in PROBES:
-        stage(f"probes/{name}", lambda name=name: done.probe(name))
+        done.probe(name)
     for name in MODELS:
-        stage(f"models/{name}", lambda name=name: done._fit(name))
-    stage("cs_count", done.care_site_counts)
-    stage("analysis/cohort_all", lambda: done.analysis_cohort.cohort_all)
-    stage("analysis/cohort_mcd", lambda: done.analysis_cohort.cohort_mcd)
-    stage("analysis/hospital_count", lambda: done.analysis_cohort.hospital_count)
-    for name, outcome in ((n, OUTCOMES[n]) for n in outcomes):
-        stage(f"thresholds/{name}", lambda name=name: done.thresholds(name))
-        rows = stage(f"indicators/{name}", lambda name=name: G.union_schema(done.indicator(name)), f"indicators/outcome_name={name}")
-        done.held[f"indicators/{name}"] = G.own_schema(rows, outcome)
-    stage("cs_count_summary", lambda: reduce(DataFrame.unionByName, [done.count_summary(n) for n in outcomes]))
+        done.estimates(name)
+    done.care_site_counts()
+    for name in outcomes:
+        done.thresholds(name)
+    done.analysis_cohort  # noqa: B018  (stored by being asked for)
+    for name in outcomes:
+        done.indicator(name)
+    for name in outcomes:
+        done.count_summary(name)
     return done

@@ -70,10 +70,12 @@ def care_site(nation: DataFrame, supplier: DataFrame) -> DataFrame:
 
 
 def visit_occurrence(orders: DataFrame) -> DataFrame:
+    """Every order is a stay. A hospital's stays come from the core source once it has gone live (3 months after the
+    hospital before it), from another source until then: the source filter leaves the adoption steps."""
     k = F.col("o_orderkey")
     start = F.col("o_orderdate").cast(NTZ)
     live_from = F.add_months(F.lit("1995-01-01").cast("date"), (3 * (k % 25)).cast("int")).cast(NTZ)
-    return (orders.where(start >= live_from).select(
+    return orders.select(
         k.alias("visit_occurrence_id"),
         F.concat(F.lit("V"), k.cast("string")).alias("visit_occurrence_source_value"),
         F.col("o_custkey").alias("person_id"),
@@ -83,8 +85,8 @@ def visit_occurrence(orders: DataFrame) -> DataFrame:
         F.when(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH"), "urgence")
          .otherwise("hospitalisés").alias("visit_source_value"),
         F.when(k % 10 == 0, "SSR").otherwise("MCO").alias("stay_source_value"),
-        F.when(k % 20 == 1, "OTHER").otherwise(C.SOURCE_CORE).alias("cdm_source"),
-        F.when(k % 31 == 0, C.STATUS_DELETED).otherwise(C.STATUS_VALID).alias("row_status_source_value")))
+        F.when((start >= live_from) & (k % 20 != 1), C.SOURCE_CORE).otherwise("OTHER").alias("cdm_source"),
+        F.when(k % 31 == 0, C.STATUS_DELETED).otherwise(C.STATUS_VALID).alias("row_status_source_value"))
 
 
 def _lines_orders(ln: DataFrame, orders: DataFrame) -> DataFrame:

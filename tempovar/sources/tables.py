@@ -34,6 +34,8 @@ REQUIRED_COLUMNS = {
 
 # Columns that the core tables have beside these; the claims tables lack them.
 CORE_COLUMNS = {"condition_occurrence": ["visit_detail_id"]}
+# The columns of the claims tables that have fewer than the core ones (the link from claims visits to core visits).
+CLAIMS_COLUMNS = {"visit_occurrence": ["visit_occurrence_id", "visit_occurrence_source_value"]}
 
 
 class Tables(Mapping):
@@ -73,7 +75,8 @@ def check_columns(name: str, df: DataFrame, required: Iterable[str] | None = Non
 
 
 def _checked(name: str, df: DataFrame, claims: bool) -> DataFrame:
-    return check_columns(name, df, [*REQUIRED_COLUMNS.get(name, []), *([] if claims else CORE_COLUMNS.get(name, []))])
+    need = REQUIRED_COLUMNS.get(name, [])
+    return check_columns(name, df, CLAIMS_COLUMNS.get(name, need) if claims else [*need, *CORE_COLUMNS.get(name, [])])
 
 
 def load_catalog(spark: SparkSession, database: str, tables: Iterable[str], claims: bool = False) -> Tables:
@@ -81,9 +84,38 @@ def load_catalog(spark: SparkSession, database: str, tables: Iterable[str], clai
     return Tables({t: _checked(t, spark.read.table(f"{database}.{t}"), claims) for t in tables})
 
 
-def load_parquet(spark: SparkSession, root: str, tables: Iterable[str], claims: bool = False) -> Tables:
-    """Load ``root/table.parquet`` (or a folder of that name) for each name (A1)."""
-    return Tables({t: _checked(t, spark.read.parquet(f"{root.rstrip('/')}/{t}.parquet"), claims) for t in tables})
+#: Tables that may lie in one folder per month, with the date that says which.
+MONTHLY = {"visit_occurrence": "visit_start_datetime", "visit_detail": "visit_detail_start_datetime",
+           "condition_occurrence": "condition_start_datetime", "note": "note_datetime"}
+
+
+def load_parquet(spark: SparkSession, root: str, tables: Iterable[str], claims: bool = False,
+                 window: tuple[str, str] | None = None) -> Tables:
+    """Load ``root/table.parquet`` (or a folder of that name) for each name (A1).
+
+    A table may be partitioned by ``month`` (``write_by_month``). With ``window``, dates ``[from, to)``, the months
+    outside it are not read: a study passes ``Study.window``, which holds every row that its own date filters
+    (B6, B7, the probe window, the as-of band) can keep. Rows without a date stay. ``month`` is not a column of the table.
+    """
+    return Tables({t: _checked(t, _pruned(spark.read.parquet(f"{root.rstrip('/')}/{t}.parquet"), t, window), claims) for t in tables})
+
+
+def _pruned(df: DataFrame, name: str, window: tuple[str, str] | None) -> DataFrame:
+    if "month" not in df.columns or name not in MONTHLY:
+        return df
+    if window:
+        first, end = (F.lit(d).cast("date") for d in window)
+        month = F.col("month").cast("date")
+        df = df.where(month.isNull() | ((month >= F.trunc(first, "month")) & (month < end)))
+    return df.drop("month")
+
+
+def restrict_months(df: DataFrame, date: str, months: DataFrame) -> DataFrame:
+    """Rows of the months that ``months`` (a frame with a ``month`` date) names; on a table partitioned by month the
+    join prunes folders at run time, whatever ``months`` comes from."""
+    wanted = months.select(F.col("month").cast("date").alias("_month")).distinct()
+    own = F.col("month").cast("date") if "month" in df.columns else F.trunc(F.col(date).cast("date"), "month")
+    return df.join(wanted, own == F.col("_month"), "left_semi")
 
 
 def cmd_map(spark: SparkSession, mapping: Mapping[str, str] | None = None) -> DataFrame:

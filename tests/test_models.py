@@ -65,6 +65,20 @@ def test_rectangle_matches_brute_force_and_beats_step(spark):
         assert r.error <= step[sid].error + 1e-12
 
 
+def test_rectangle_ties_blocks_and_odd_levels(spark):
+    rng = random.Random(9)
+    series = {0: [0.0] * 12, 1: [1.0] * 12, 2: [0.0, 1.0, 0.0, 1.0, 0.0, 0.0], 3: [0.5, 0.0, 0.5, 0.0, 0.5], 4: [0.7], 5: [0.0] * 5 + [1.0] * 20 + [0.0] * 15,
+              6: [-0.5, 0.2, -0.1, 0.9], 7: [0.0, 0.0, 0.3], 8: [0.3, 0.0, 0.0]}
+    for sid in range(10, 60):  # levels on a coarse grid, so that many rectangles tie
+        series[sid] = [rng.choice([0.0, 0.0, 0.5, 1.0]) for _ in range(rng.randint(1, 24))]
+    rect = {r.care_site_id: r for r in fit_rectangle(frame(spark, series), ["care_site_id"]).collect()}
+    for sid, c in series.items():
+        err, a, b, c0 = brute_rect(c)
+        r = rect[sid]
+        assert (r.t_0, r.t_1) == (months(40)[a], months(40)[b]), sid
+        assert abs(r.error - err) < 1e-9 and abs(r.c_0 - c0) < 1e-9
+
+
 def test_predict(spark):
     df = frame(spark, {1: [0.0, 0.0, 1.0, 1.0]})
     est = fit_step(df, ["care_site_id"])

@@ -5,7 +5,7 @@ from datetime import date
 from pyspark.sql import functions as F
 
 from tempovar.config import LEVEL_HOSPITAL
-from tempovar.operators.stability import estimate_parameters, filter_stable_visits, parameter_grid, visit_cells, visit_extremes
+from tempovar.operators.stability import Grid, estimate_parameters, filter_stable_visits, parameter_grid, unfolded, visit_cells, visit_extremes
 
 D0 = date(2019, 1, 1)
 
@@ -36,9 +36,8 @@ def test_visit_stability_traps(spark):
 def test_fold_equals_direct_form_on_every_cell(spark):
     est = estimates(spark).where(F.col("stay_type") == "x")
     thr = estimate_parameters(estimates(spark), LEVEL_HOSPITAL, stay_type="x")
-    stability = visit_cells(visit_extremes(events(spark), est, LEVEL_HOSPITAL), thr, ["2018-01-01", "2020-01-01"])
-    flags = stability.visits.select("visit_occurrence_id", F.posexplode(F.array(*stability.cells())).alias("param_id", "ok")).where("ok")
-    folded = {(r.param_id, r.visit_occurrence_id) for r in flags.collect()}
+    stability = visit_cells(visit_extremes(events(spark), est, LEVEL_HOSPITAL), Grid.of(thr, ["2018-01-01", "2020-01-01"]))
+    folded = {(k, r.visit_occurrence_id) for r in stability.visits.collect() for k in range(stability.grid.size) if r.cells >> k & 1}
     direct = set()
     for p in parameter_grid(thr, ["2018-01-01", "2020-01-01"]).collect():
         _, ev = filter_stable_visits(events(spark), estimates(spark), p.start_observation_date, LEVEL_HOSPITAL,
@@ -47,6 +46,20 @@ def test_fold_equals_direct_form_on_every_cell(spark):
     assert folded == direct
 
 
+def test_counts_unfold_into_cells(spark):
+    rows = [("a", 0b101, 2, 1), ("a", 0b101, 3, 1), ("a", 0b010, 5, 1), ("a", None, 7, 1), ("b", 0b111, 1, 4), (None, 0, 9, 1)]
+    df = spark.createDataFrame(rows, "k string, cells long, n long, every long")
+    got = {(r.k, r.param_id): (r.n, r.every) for r in unfolded(df, ["k"], ["n"], 3, ["every"]).collect()}
+    assert got == {("a", 0): (5, 4), ("a", 1): (5, 4), ("a", 2): (5, 4), ("b", 0): (1, 4), ("b", 1): (1, 4), ("b", 2): (1, 4),
+                   (None, 0): (0, 1), (None, 1): (0, 1), (None, 2): (0, 1)}
+
+
+def test_a_grid_of_too_many_cells_is_refused():
+    import pytest
+    with pytest.raises(ValueError, match="63 cells"):
+        Grid(tuple(f"200{i}-01-01" for i in range(4)), (1.0, 0.3, 0.2, 0.1), (0.0, 0.1, 0.2, 0.3))
+
+
 def test_equal_quantiles_give_distinct_labelled_cells(spark):
     rows = [(LEVEL_HOSPITAL, i, D0, 0.5, 0.2) for i in range(5)]
     est = spark.createDataFrame(rows, "care_site_level string, care_site_id long, t_0 date, c_0 double, error double")

@@ -3,7 +3,8 @@
 import os
 
 from tempovar.plans.reports import write_reports
-from tempovar.plans.study import MODELS, PROBES, Pipeline, all_indicators, run_study
+from tempovar.config import OUTCOMES
+from tempovar.plans.study import MODELS, PROBES, Pipeline, StoredPipeline, all_indicators, run_study
 from tempovar.sources.surrogate import warehouse
 from tempovar.sources.tables import Tables, check_columns, load_catalog, load_parquet
 
@@ -45,6 +46,46 @@ def test_stored_stages_equal_the_lazy_ones_and_feed_the_reports(spark, tmp_path)
     lazy.release()
 
 
+def subtree(plan: str, node: str) -> list[str]:
+    """The lines of a plan below the first line that holds ``node``."""
+    lines = plan.splitlines()
+    at = next(i for i, x in enumerate(lines) if node in x)
+    depth = len(lines[at]) - len(lines[at].lstrip(" :+-"))
+    below = []
+    for x in lines[at + 1:]:
+        if len(x) - len(x.lstrip(" :+-")) <= depth:
+            break
+        below.append(x)
+    return below
+
+
+def test_a_reloaded_bucketed_study_joins_without_an_exchange(spark, tmp_path):
+    """Cohort and events are stored by stay, so joining them again shuffles neither."""
+    from tempovar.operators.indicators import condition_incidence, event_during_stay
+    from tempovar.operators.stability import filter_estimates, visit_cells, visit_extremes
+    from tempovar.plans import grid as G
+
+    done = StoredPipeline(*warehouse(spark, SF, persist=False), root=str(tmp_path / "study"), buckets=4)
+    plain = StoredPipeline(*warehouse(spark, SF, persist=False), root=str(tmp_path / "plain"))
+    for name, fn in (("prescription_note", event_during_stay), ("flu_condition", condition_incidence)):
+        results = []
+        for pl in (done, plain):
+            o = OUTCOMES[name]
+            est = filter_estimates(pl.estimates(o.estimates), o.care_site_level, **G.outcome_filters(o))
+            grid = G.outcome_grid(pl.thresholds(name), o, est, pl.study)
+            stability = visit_cells(visit_extremes(pl.events(name), est, o.care_site_level), grid)
+            results.append(fn(pl.events(name), pl.analysis_cohort.cohort_all, stability=stability))
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", 200_000)  # as at scale: events are not broadcast, estimates of sites are
+        try:
+            plans = [df._jdf.queryExecution().executedPlan().toString() for df in results]
+        finally:
+            spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        below = subtree(plans[0], "Join [visit_cohort_id")
+        assert not any("Exchange hashpartitioning(visit" in x for x in below), plans[0]
+        assert any("Bucketed: true" in x for x in below)
+        assert rows(results[0]) == rows(results[1])
+
+
 def test_loaders(spark, tmp_path):
     import pytest
     frame = spark.createDataFrame([(1, "x", "y", "z")], "care_site_id long, care_site_type_source_value string, care_site_short_name string, place_of_service_source_value string")
