@@ -9,15 +9,16 @@ text's count per language is the popcount of that bit over its trigrams; from it
 expected from false positives (fill of the language's bits to the power of hashes) is taken.
 The largest corrected count decides; its share of the trigrams is the score.
 
-The filter is fitted on at most about ``max_train`` labelled rows, chosen by a hash of
-doc_id; its size is ``slots`` words, whatever the corpus. Prediction reads every text whole
+The filter is fitted on at most about ``max_train`` labelled rows. Each language has an equal
+share of them: one with fewer rows is learned whole, a larger one is thinned to its share by a
+hash of doc_id and text, so a rare language learns from all it has. The filter's size is ``slots`` words, whatever the corpus. Prediction reads every text whole
 and uses the text alone.
 
 Defined cases: a text that is null or has no letter, and any text if no language was
 learned, is ``und`` with score 0; ties go to the first language by name; rows with a null
 lang are not learned from; a null doc_id counts as the empty text in the split by crc32;
-repeated rows count each time; an empty table gives no rows; extra columns are kept by
-``accepted`` only.
+repeated rows count each time; very long texts are read whole; more than ``MAX_LANGUAGES``
+languages are an error; an empty table gives no rows; extra columns are kept by ``accepted`` only.
 """
 
 from __future__ import annotations
@@ -120,9 +121,13 @@ def train(docs: DataFrame, max_train: int = 50_000, slots: int = 1 << 20, min_co
     per_lang = rows.groupBy(F.col("lang").cast("string").alias("lang")).count().limit(MAX_LANGUAGES + 1).collect()
     if len(per_lang) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    languages, total = sorted(r["lang"] for r in per_lang), sum(r["count"] for r in per_lang)
-    if total > max_train:
-        rows = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * max_train / total))
+    languages = sorted(r["lang"] for r in per_lang)
+    share = max_train / max(1, len(languages))
+    thinned = {r["lang"]: int(1_000_000 * share / r["count"]) for r in per_lang if r["count"] > share}
+    if thinned:
+        most = F.create_map(*[F.lit(x) for pair in thinned.items() for x in pair])
+        place = F.pmod(F.xxhash64(F.col("doc_id"), F.col("text").cast("string")), F.lit(1_000_000))
+        rows = rows.where(place < F.coalesce(F.try_element_at(most, F.col("lang").cast("string")), F.lit(1_000_000)))
     counts = gram_counts(rows)
     totals = counts.groupBy("lang").agg(F.sum("n").alias("all"))
     rates = counts.join(totals, "lang").withColumn("rate", F.col("n") / F.col("all"))

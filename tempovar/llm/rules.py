@@ -15,7 +15,7 @@ emitted as ordered ``when(...)`` expressions.
 Defined cases: a null text has no words and fails the base rule; labels without a doc_id, a
 document or a quality are not learned from; a doc_id labelled twice counts twice; without
 labels the list is empty and only the base rule rejects; repeated rows each get their row;
-an empty table gives no rows; extra columns are not carried.
+very long texts are measured whole; an empty table gives no rows; extra columns are not carried.
 """
 
 from __future__ import annotations
@@ -134,17 +134,20 @@ def best_condition(rows: DataFrame, features: list[str], aside: set[tuple[str, b
     return best[1:]
 
 
-def learn(labelled: DataFrame, features: list[str], max_rules: int = 10, max_conditions: int = 4,
-          min_bad: float = 0.9, least: int = 5) -> list[list[Condition]]:
-    """Rules for bad rows (``bad`` 1, else 0; ``prune`` marks pruning rows), in order."""
+def learn(labelled: DataFrame, features: list[str], min_bad: float = 0.9, least: int = 5) -> list[list[Condition]]:
+    """Rules for bad rows (``bad`` 1, else 0; ``prune`` marks pruning rows), in order.
+
+    A rule grows while a condition gains and good rows are covered; the list grows while a rule passes the pruning
+    test and ``least`` bad pruning rows are left to cover. Nothing else ends either.
+    """
     rules: list[list[Condition]] = []
     aside: set[tuple[str, bool]] = set()
-    while len(rules) < max_rules:
+    while True:
         left = labelled.where(~reduce(lambda a, b: a | b, [holds(r) for r in rules], F.lit(False)))
         if not aside and left.where(F.col("prune") & (F.col("bad") == 1)).count() < least:
             break  # no rule can be accepted
         rule: list[Condition] = []
-        while len(rule) < max_conditions:
+        while True:
             condition, p, n = best_condition(left.where(~F.col("prune") & holds(rule)), features, frozenset() if rule else aside)
             if condition is None:
                 break

@@ -3,12 +3,12 @@
 The cache is a Parquet table (digest of the normalised content, digest of the tokenizer
 version, count). A run reduces the documents to content digests, anti-joins the distinct
 ones to the cache, encodes one text per missing digest, appends those counts, and joins
-counts back by digest. Texts are shuffled once, by document, never by digest: copies of one
-text cannot meet in a task.
+counts back by digest. Texts are shuffled once, by document, never by digest: of the copies of one
+text, that of the least doc_id alone is encoded. Rows that repeat it are encoded once.
 
 Normalised content: null becomes the empty text, and nothing else changes, since any other
 change can change the count. Defined results: null counts as empty (0 bytes, 0 tokens
-under a byte-level tokenizer); repeated rows each get their row; rows without an id too;
+under a byte-level tokenizer); repeated rows each get their row; rows without an id too; very long texts are encoded whole;
 an empty table gives no rows and appends nothing; extra columns are not carried.
 """
 
@@ -26,6 +26,7 @@ from .common import scratch, stored
 from .tokens import batches, encoder
 
 CACHE = "digest binary, tokenizer string, n_tokens long"
+SEEN = 500_000  # digests that a task remembers
 
 
 def version(tokenizer: str) -> str:
@@ -47,16 +48,25 @@ def cached(spark, path: str, tokenizer: str) -> DataFrame:
 
 
 def encoded(texts: DataFrame, path: str, tokenizer: str) -> DataFrame:
-    """Counts of the texts (``digest``, ``text``)."""
+    """Counts of the texts (``digest``, ``text``), one row a digest.
+
+    Rows that repeat a document come to one task, which encodes a digest once (it remembers the last ``SEEN``).
+    """
 
     def count(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code = encoder(path)
+        code, seen = encoder(path), set()
         for f in frames:
-            n = [len(b) // 4 for run in batches(f.column(1).to_pylist()) for b in code.ids(run)]
-            yield pa.RecordBatch.from_arrays([f.column(0), pa.array([tokenizer] * len(n), pa.string()), pa.array(n, pa.int64())],
+            if len(seen) > SEEN:
+                seen.clear()
+            digests = f.column(0).to_pylist()
+            first = {d: i for i, d in reversed([*enumerate(digests)]) if d not in seen}
+            seen.update(first)
+            at = pa.array(sorted(first.values()), pa.int64())
+            n = [len(b) // 4 for run in batches(f.column(1).take(at).to_pylist()) for b in code.ids(run)]
+            yield pa.RecordBatch.from_arrays([f.column(0).take(at), pa.array([tokenizer] * len(n), pa.string()), pa.array(n, pa.int64())],
                                              names=["digest", "tokenizer", "n_tokens"])
 
-    return texts.mapInArrow(count, CACHE)
+    return texts.mapInArrow(count, CACHE).dropDuplicates(["digest"])
 
 
 def token_counts(docs: DataFrame, tokenizer: str, cache: str | None = None, limit: int = 1024) -> DataFrame:

@@ -1,11 +1,14 @@
 """Token ids of whole texts, exactly as the ``tokenizers`` library gives them.
 
-A byte-level BPE without a normaliser never joins characters across the start of a
-" word": a text may be cut before a space unless white space stands on both sides of it.
-Such tokenizers encode each distinct word once per worker (a bounded memo of two
-generations, looked up once per word; an unknown word and its stem share one encoding);
-a text with an unsafe space or an added token's string, and every other kind of
-tokenizer, goes to the library whole.
+A byte-level BPE without a normaliser never joins characters across the start of a " word", nor
+across a line feed that stands between two words: a text may be cut before a space unless white
+space stands on both sides of it, and before a line feed that follows none. Such tokenizers encode
+each distinct unit (a word with the space or the line feed before it) once per worker: a batch of
+texts is split and its units numbered by Arrow, only the distinct ones are looked up in a bounded
+memo of two generations, and the ids of the texts are gathered by numpy. Unknown units share one
+encoding with their stem (letters, before any punctuation) and are encoded many to a call. A text
+with an unsafe white space or an added token's string, and every other kind of tokenizer, goes to
+the library whole.
 """
 
 from __future__ import annotations
@@ -13,16 +16,29 @@ from __future__ import annotations
 import json
 import os
 import re
+import string
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-#: Words in each of the two generations of a worker's memo, and the longest word held.
+#: Units in each of the two generations of a worker's memo, and the longest unit held.
 MEMO_WORDS, MEMO_LENGTH = 500_000, 64
 _SPACE = re.compile(r"\s").search
-_UNSAFE = re.compile(r"\s (?:\s|\Z)")
-_JOINED = 64  # unknown words that are encoded in one call
+#: A space between white space, or other white space before a line feed.
+_UNSAFE = re.compile(r"\s (?:\s|\Z)|[^\S\n]\n").search
+_JOINED = 256  # unknown units that are encoded in one call
+
+
+def _units(text: str) -> str:
+    """The text with a space before each line feed that starts a unit, so that spaces alone part units."""
+    if "\n" not in text:
+        return text
+    text = text.replace("\n", " \n")
+    while "\n \n" in text:  # line feeds in a row stay together
+        text = text.replace("\n \n", "\n\n")
+    return text
 
 
 class Encoder:
@@ -42,7 +58,7 @@ class Encoder:
                         and spec["model"]["type"] == "BPE")
         added = [re.escape(t["content"]) for t in spec.get("added_tokens", [])]
         self._added = re.compile("|".join(added)).search if added else lambda text: None
-        #: A line feed before a space is always a piece of its own: it parts joined words.
+        #: A line feed between words is always a piece of its own: it parts joined units.
         feed = self.library.encode("\n", add_special_tokens=False).ids if self.by_word else []
         self._feed = feed[0] if len(feed) == 1 else None
         self._memo: dict[str, bytes] = {}
@@ -52,62 +68,95 @@ class Encoder:
     def whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def _cut(self, text: str) -> list[str] | None:
-        if not self.by_word or self._added(text) or _UNSAFE.search(text):
-            return None
-        return text.split(" ")
-
-    def _learn(self, words: set[str]) -> dict[str, bytes]:
-        """Ids of " word" for each word; letters and the stops after them are always pieces apart."""
-        stems = {w: w.rstrip(".,") for w in words}
-        stems = {w: stem for w, stem in stems.items() if len(stem) < len(w) and stem.isalpha()}
-        out = {stem: self._memo[stem] for stem in set(stems.values()) & self._memo.keys()}
-        new = words.difference(stems.keys()).union(stems.values()).difference(out.keys())
-        plain = [w for w in new if self._feed is not None and w and not _SPACE(w)]
-        for w in new.difference(plain):
-            out[w] = self.whole(" " + w)
-        for i in range(0, len(plain), _JOINED):
-            part = plain[i:i + _JOINED]
-            ids = np.array(self.library.encode(" " + "\n ".join(part), add_special_tokens=False).ids, dtype="<u4")
-            cuts = np.flatnonzero(ids == self._feed).tolist()
-            body, cuts = ids.tobytes(), [0, *[4 * c + 4 for c in cuts], 4 * len(ids) + 4]
-            out.update(zip(part, [body[a:b - 4] for a, b in zip(cuts, cuts[1:], strict=False)], strict=True))
-        for w, stem in stems.items():
-            stop = w[len(stem):]
-            if stop not in self._stops:
-                self._stops[stop] = self.whole(stop)
-            out[w] = out[stem] + self._stops[stop]
+    def _safe(self, text: str) -> bool:
+        return self.by_word and self._feed is not None and not self._added(text) and not _UNSAFE(text)
+
+    def _joined(self, words: list[str], lead: str) -> dict[str, bytes]:
+        """Ids of words without white space, as they are after a space or a line feed (which their ids then hold)."""
+        out: dict[str, bytes] = {}
+        runs = [words[i:i + _JOINED] for i in range(0, len(words), _JOINED)]
+        before, skip = ("\n ", 4) if lead == " " else ("\n", 0)
+        for run, got in zip(runs, self.library.encode_batch_fast(["".join([before + w for w in run]) for run in runs], add_special_tokens=False), strict=True):
+            ids = np.array(got.ids, dtype="<u4")
+            cuts, body = [*(4 * np.flatnonzero(ids == self._feed)).tolist(), 4 * len(ids)], ids.tobytes()
+            out.update(zip(run, [body[a + skip:b] for a, b in zip(cuts, cuts[1:], strict=False)], strict=True))
         return out
 
-    def ids(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        cut = [self._cut(t) for t in texts]
-        firsts = [c.pop(0) if c else "" for c in cut]
-        words = list(chain.from_iterable(c for c in cut if c))
-        got = list(map(self._memo.get, words))
-        if None in got:
-            at = [i for i, v in enumerate(got) if v is None]
-            unknown = {words[i] for i in at}
+    def _learn(self, units: list[str]) -> dict[str, bytes]:
+        """Ids of the units: " a" for a, "\na" for "\na". Letters and the punctuation after them are always pieces apart."""
+        out: dict[str, bytes] = {}
+        odd, stems, of = [], {" ": set(), "\n": set()}, []
+        for u in units:
+            lead, word = ("\n", u[1:]) if u[:1] == "\n" else (" ", u)
+            if not word or _SPACE(word):
+                odd.append(u)
+                continue
+            stem = word.rstrip(string.punctuation)
+            stem = stem if stem.isalpha() else word
+            stems[lead].add(stem)
+            of.append((u, lead, stem, word[len(stem):]))
+        for u in odd:
+            out[u] = self.whole(u if u[:1] == "\n" else " " + u)
+        known = {}
+        for lead, words in stems.items():
+            prefix = "" if lead == " " else "\n"
+            held = {w: v for w in words if (v := self._memo.get(prefix + w)) is not None}
+            known[lead] = held | self._joined(list(words.difference(held)), lead)
+        for u, lead, stem, stop in of:
+            ids = known[lead][stem]
+            if stop:
+                if stop not in self._stops:
+                    self._stops[stop] = self.whole(stop)
+                out[stem if lead == " " else "\n" + stem] = ids
+                ids += self._stops[stop]
+            out[u] = ids
+        return out
+
+    def _looked_up(self, units: list[str]) -> list[bytes]:
+        """Ids of distinct units."""
+        got = list(map(self._memo.get, units))
+        unknown = [u for u, v in zip(units, got, strict=True) if v is None]
+        if unknown:
             if len(self._memo) + len(unknown) > MEMO_WORDS:
                 self._older, self._memo = self._memo, {}
-            known = {w: v for w in unknown if (v := self._older.get(w)) is not None}
-            known.update(self._learn(unknown.difference(known)))
-            for i in at:
-                got[i] = known[words[i]]
-            self._memo.update((w, v) for w, v in known.items() if len(w) <= MEMO_LENGTH)
             if len(self._stops) > 1000:
                 self._stops = {}
-        out, a = [], 0
-        for t, c, first in zip(texts, cut, firsts, strict=True):
-            if c is None:
-                out.append(self.whole(t))
-            else:
-                out.append(self.whole(first) + b"".join(got[a:a + len(c)]))
-                a += len(c)
+            known = {u: v for u in unknown if (v := self._older.get(u)) is not None}
+            known.update(self._learn([u for u in unknown if u not in known]))
+            got = [known[u] if v is None else v for u, v in zip(units, got, strict=True)]
+            self._memo.update((u, v) for u, v in known.items() if len(u) <= MEMO_LENGTH)
+        return got
+
+    def ids(self, texts: list[str]) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each text."""
+        out: list[bytes] = [b""] * len(texts)
+        safe = [i for i, t in enumerate(texts) if t and self._safe(t)]
+        for i in set(range(len(texts))).difference(safe):
+            out[i] = self.whole(texts[i]) if texts[i] else b""
+        if not safe:
+            return out
+        split = pc.split_pattern(pa.array([_units(texts[i]) for i in safe], pa.large_string()), " ")
+        offs = split.offsets.to_numpy()
+        coded = split.flatten().dictionary_encode()
+        units, of = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64)
+        # no space stands before the first unit of a text: it is read as one after a line feed, without that
+        first = split.flatten().take(pa.array(offs[:-1])).to_pylist()
+        plain = {f: "\n" + f for f in first if f and not f[0].isspace()}
+        extra = [u for u in set(plain.values()).difference(units)]
+        got = dict(zip([*units, *extra], self._looked_up([*units, *extra]), strict=True))
+        ids = [got[u] for u in units] + [got[plain[f]][4:] if f in plain else self.whole(f) if f else b"" for f in first]
+        of[offs[:-1]] = len(units) + np.arange(len(first))
+        size = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4
+        flat, start, n = np.frombuffer(b"".join(ids), dtype="<u4"), np.cumsum(size) - size, size[of]
+        shift = np.cumsum(n) - n
+        flat = flat[np.repeat(start[of] - shift, n) + np.arange(int(n.sum()))].tobytes()
+        cuts = [*(4 * shift[offs[:-1]]).tolist(), len(flat)]
+        for i, a, b in zip(safe, cuts, cuts[1:], strict=False):
+            out[i] = flat[a:b]
         return out
 
 
-def batches(texts: list[str | None], size: int = 1 << 20):
+def batches(texts: list[str | None], size: int = 1 << 22):
     """Runs of texts (null is empty) of about ``size`` characters."""
     run, n = [], 0
     for t in texts:

@@ -6,7 +6,7 @@ import public_tokenizers
 from tokenizers import Tokenizer
 
 from tempovar.llm import packing
-from tempovar.llm.tokens import Encoder
+from tempovar.llm.tokens import Encoder, batches
 
 from .fixtures import ODD, documents, empty, texts
 
@@ -84,3 +84,20 @@ def test_other_tokenizers_go_whole():
     code = Encoder(path)
     assert not code.by_word
     assert code.ids(["Some  Text here"])[0] == code.whole("Some  Text here")
+
+
+def test_ids_of_whole_documents_equal_the_library(spark):
+    code = Encoder(PATH)
+    some = [t or "" for _, t in texts(spark)]
+    for run in batches(some, 1 << 20):
+        for text, ids in zip(run, code.ids(run), strict=True):
+            assert ids == code.whole(text), text[:200]
+
+
+def test_ids_around_line_feeds_and_white_space():
+    code, rng = Encoder(PATH), np.random.default_rng(2)
+    parts = [" ", "  ", "\n", "\n\n", "\n\n\n", " \n", "\n ", "\t", "\r\n", "ab", "Ab.", "x\ny", "12", "'ll", " ", "--", "é", "z)"]
+    for _ in range(400):
+        some = ["".join(rng.choice(parts, rng.integers(0, 10))) for _ in range(8)]
+        for text, ids in zip(some, code.ids(some), strict=True):
+            assert ids == code.whole(text), repr(text)

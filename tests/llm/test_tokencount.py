@@ -45,3 +45,17 @@ def test_another_version_misses(spark):
 def test_odd_and_empty(spark):
     assert Counter(map(tuple, tokencount.token_counts(documents(spark), PATH).collect())) == want(ODD)
     assert tokencount.token_counts(empty(spark), PATH).collect() == []
+
+
+def test_repeated_rows_are_encoded_once(spark, tmp_path, monkeypatch):
+    """500 equal rows, and copies under other ids: one cache row for the text."""
+    docs = [(1, "the same row " * 20)] * 500 + [(i, "the same row " * 20) for i in range(2, 40)] + [(None, "the same row " * 20)] * 3 + [(50, "another")]
+    folder = str(tmp_path / "cache")
+    got = tokencount.token_counts(documents(spark, docs), PATH, folder).collect()
+    assert len(got) == len(docs) and len({r.n_tokens for r in got}) == 2
+    assert spark.read.parquet(folder).count() == 2
+    encoded = []
+    real = tokencount.encoded
+    monkeypatch.setattr(tokencount, "encoded", lambda texts, *a: (encoded.append(texts.count()), real(texts, *a))[1])
+    tokencount.token_counts(documents(spark, docs), PATH, folder).collect()
+    assert encoded == [0]  # all known to the cache
