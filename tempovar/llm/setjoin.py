@@ -23,11 +23,11 @@ as well are dropped; only what is left is verified on the texts.
    copies, so of a group of more than ``SMALL`` sets a task gives out a forest of its candidates: a pair whose
    sets its other candidates connect waits. If one of those turns out to be no link, the sets it stood for are
    searched again, with the failed pairs left out. Such failures are rare, since the sketches of large groups
-   are wide enough to be nearly exact; the third search lets no pair wait, so it is the last.
+   are wide enough to be nearly exact; the second search lets no pair wait, so it is the last.
 
 Verified links, with those of the stars, give the classes by components.
 
-Bounds: to the driver and broadcast: the count table (``SLOTS`` counters, 2 MB) and bitmaps of at most
+Bounds: to the driver and broadcast: the bands of the count table (``SLOTS`` bytes, 2 MB) and bitmaps of at most
 16 MB that let a scan drop what no candidate needs. A shingle with more than ``most`` sets is dealt into
 chunks by hash, each pair of chunks a task of its own. Shingles are compared by 64-bit hashes.
 
@@ -53,8 +53,8 @@ from .simhash import Classes
 from .lm import IS_WORD
 from .scan import LOWER, bounds, mix, slices, window_hashes, word_hashes
 
-SLOTS = 1 << 18
-CHUNK = 1 << 11
+SLOTS = 1 << 21
+CHUNK = 1 << 13
 ORDERS = 3
 SALT = [np.uint64(x) for x in (0x1F3D5B79A2C4E687, 0x3C6EF372FE94F82B, 0xA54FF53A5F1D36F1, 0x510E527FADE682D1, 0x9B05688C2B3E6C1F, 0x1F83D9ABFB41BD6B)]
 
@@ -104,16 +104,23 @@ def shapes(texts: DataFrame, shingle: int) -> DataFrame:
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros(SLOTS, dtype=np.int64)
+        held: list[np.ndarray] = []
         for f in frames:
             for a, b, buf, offs in slices(f.column("text")):
                 grams, _, size = sets(buf, offs, shingle)
-                np.add(table, np.bincount(_slot(grams), minlength=SLOTS), out=table)
+                held.append(_slot(grams))
+                if sum(map(len, held)) > SLOTS:
+                    table += np.bincount(np.concatenate(held), minlength=SLOTS)
+                    held = []
                 d1, d2 = _digests(grams, size)
                 yield rows(f.column("doc_id").slice(a, b - a), f.column("t").slice(a, b - a), pa.array(d1), pa.array(d2), pa.array(size.astype(np.int64)))
+        if held:
+            table += np.bincount(np.concatenate(held), minlength=SLOTS)
         table = table.reshape(-1, CHUNK)
         some = np.flatnonzero(table.any(axis=1))
         none = pa.nulls(len(some), pa.int64())
-        yield rows(none, none, none, none, none, pa.array(some.astype(np.int32)), pa.array([table[k].astype("<i8").tobytes() for k in some], pa.binary()))
+        kinds = ["<u1" if table[k].max() < 1 << 8 else "<u2" if table[k].max() < 1 << 16 else "<u8" for k in some]
+        yield rows(none, none, none, none, none, pa.array(some.astype(np.int32)), pa.array([table[k].astype(d).tobytes() for k, d in zip(some, kinds, strict=True)], pa.binary()))
 
     def rows(*cols: pa.Array) -> pa.RecordBatch:
         n = len(cols[0])
@@ -125,20 +132,22 @@ def shapes(texts: DataFrame, shingle: int) -> DataFrame:
 
 def bands(shaped: DataFrame) -> np.ndarray:
     """The band of each slot: 0 up to twice the mean count, then one more for each doubling."""
+    mean = (shaped.agg(F.sum("n")).first()[0] or 0) // SLOTS
 
     def added(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         for f in frames:
             for k, c in zip(f.column(0).to_pylist(), f.column(1), strict=True):
-                total[k] = total.get(k, 0) + np.frombuffer(c.as_py(), dtype="<i8")
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([c.tobytes() for c in total.values()], pa.binary())], names=["chunk", "counts"])
+                c = c.as_py()
+                total[k] = total.get(k, 0) + np.frombuffer(c, dtype=f"<u{len(c) // CHUNK}").astype(np.int64)
+        of = [np.ceil(np.log2(c // (2 * mean + 1) + 1)).astype(np.uint8).tobytes() for c in total.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(of, pa.binary())], names=["chunk", "band"])
 
-    table = np.zeros((SLOTS // CHUNK, CHUNK), dtype=np.int64)
-    parts = shaped.where("chunk is not null").select("chunk", "counts").repartition("chunk").mapInArrow(added, "chunk int, counts binary")
-    for r in parts.collect():  # SLOTS counters
-        table[r.chunk] = np.frombuffer(r.counts, dtype="<i8")
-    ratio = table.ravel() // (2 * table.sum() // SLOTS + 1)
-    return np.ceil(np.log2(ratio + 1)).astype(np.uint8)
+    table = np.zeros((SLOTS // CHUNK, CHUNK), dtype=np.uint8)
+    parts = shaped.where("chunk is not null").select("chunk", "counts").repartition("chunk").mapInArrow(added, "chunk int, band binary")
+    for r in parts.collect():  # SLOTS bytes
+        table[r.chunk] = np.frombuffer(r.band, dtype=np.uint8)
+    return table.ravel()
 
 
 def _sketch(grams: np.ndarray) -> tuple[bytes, bytes]:
@@ -399,7 +408,7 @@ def classes(docs: DataFrame, shingle: int = 3, percent: int = 90, most: int = 20
 
     links = [linked(stars(known), "setjoin-stars")]
     searched, tried = known, None
-    for forest in (True, True, False):
+    for forest in (True, False):
         roots = components(reduce(DataFrame.unionAll, links), "setjoin")
         found = stored(postings(searched, roots), "setjoin-postings")
         pairs = stored(candidates(found, searched, tried, percent, most, forest), "setjoin-candidates")

@@ -75,22 +75,18 @@ def planted():
     return [(i, t) for i, t in enumerate(out)] + [(5, out[3]), (None, out[4]), (None, "alone without an id"), (900, LONG), (901, LONG + " more")]
 
 
-@pytest.mark.parametrize(("most", "small"), [(20_000, 2), (6, 64)])
-def test_classes_at_the_edge(spark, monkeypatch, most, small):
-    """Groups dealt into chunks, and forests of groups however small."""
+@pytest.mark.parametrize(("stars", "most", "small"), [(True, 20_000, 64), (False, 6, 2)])
+def test_classes_at_the_edge(spark, monkeypatch, stars, most, small):
+    """With the defaults; and without stars, groups dealt into chunks, forests of groups however small."""
     monkeypatch.setattr(S, "SMALL", small)
+    if not stars:
+        monkeypatch.setattr(S, "stars", lambda known: known.select(known.id.alias("x"), known.id.alias("y")).where("x <> y"))
     docs = planted()
     want = brute(docs)
     assert len({r[2] for r in want}) > 20
     assert found(S.classes(documents(spark, docs), most=most)) == want
 
 
-def test_search_alone_finds_what_the_stars_miss(spark, monkeypatch):
-    docs = planted()
-    monkeypatch.setattr(S, "stars", lambda known: known.select(known.id.alias("x"), known.id.alias("y")).where("x <> y"))
-    assert found(S.classes(documents(spark, docs))) == brute(docs)
-
-
 def test_a_class_just_below_the_threshold_gives_no_pairs(spark, monkeypatch):
     """Copies that differ from each other by more than the threshold allows meet in every group; few of them are let out."""
     rng = random.Random(6)
