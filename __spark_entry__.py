@@ -126,6 +126,37 @@ SENSITIVITY_OUTCOMES = [*C.QUALITY_OUTCOMES, *C.ICU_OUTCOMES]
 EXAMPLE_FILTERS = {"care_site_level": C.LEVEL_HOSPITAL, "stay_type": "hospitalisés", "specialties_set": "All"}
 
 
+#: Outcomes whose rows are read back from the one indicator dataset: one of each kind and the incidences written in one job.
+LONG_TABLE_OUTCOMES = ["hospit_visit", "prescription_note", *C.CONDITION_REGEXES]
+
+
+def _long_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A5 written and read back: the long table over several outcomes, by its partitions."""
+    from tempovar.plans.study import all_indicators
+    pl = _pipeline(spark, sf_dir)
+    for name in LONG_TABLE_OUTCOMES:
+        pl.indicator(name)
+    return _canon(all_indicators(spark, pl.root).where(F.col("outcome_name").isin(LONG_TABLE_OUTCOMES)))
+
+
+def _csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A7 written and read back: a figure dataset as CSV with a header."""
+    from tempovar.plans.reports import figure_dataset
+    from tempovar.sources.sinks import write_csv
+    pl = _pipeline(spark, sf_dir)
+    df = figure_dataset(pl.indicator("prescription_note"))
+    return _canon(spark.read.schema(df.schema).option("header", True).csv(write_csv(df, f"{pl.root}/reports/figure_prescription_note")))
+
+
+def _json_record(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A8 written and read back: the warehouse count record as JSON."""
+    from tempovar.plans.reports import warehouse_counts
+    from tempovar.sources.sinks import write_json
+    pl = _pipeline(spark, sf_dir)
+    df = warehouse_counts(pl.core)
+    return spark.read.schema(df.schema).json(write_json(df, f"{pl.root}/reports/warehouse_counts"))
+
+
 def _report_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     from tempovar.operators import extract as X
     from tempovar.operators.trend import as_text, linear_trend, long_form, significance
@@ -147,6 +178,9 @@ def _report_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         return lambda spark, sf_dir: _canon(fn(_pipeline(spark, sf_dir)))
 
     return {
+        "indicator_long_table": _long_table,
+        "figure_csv_prescription_note": _csv_round_trip,
+        "warehouse_record_json": _json_record,
         "warehouse_counts": wrap(lambda pl: R.warehouse_counts(pl.core)),
         "care_site_counts": wrap(lambda pl: pl.care_site_counts()),
         "model_summary": wrap(lambda pl: R.model_summary(est_all(pl))),
@@ -190,6 +224,9 @@ def _report_oracles() -> dict[str, str]:
     from oracle import reports as OR
     from oracle import sql as OS
     return {
+        "indicator_long_table": OR.long_table(LONG_TABLE_OUTCOMES),
+        "figure_csv_prescription_note": OR.figure_dataset("prescription_note"),
+        "warehouse_record_json": OR.warehouse_counts(),
         "warehouse_counts": OR.warehouse_counts(),
         "care_site_counts": OS.with_ctes(dict(OS.VIEWS), """select care_site_type_source_value care_site_level,
        count(distinct care_site_id) total_care_site from care_site group by 1"""),

@@ -323,3 +323,16 @@ def rectangle_panels(units: list[int], end_date: str) -> str:
     icu = OS.visit_probe(levels=[C.LEVEL_UNIT], sets=C.ICU_SPECIALTIES_SETS)
     return f"""select *, 0 data_type from ({_panel_rows(OS.visit_probe(), 'visit', 'icu_visit', units, 'Unit')})
 union all select *, 1 from ({_panel_rows(icu, 'visit', 'icu_visit_rectangle', units, 'Unit', rectangle=True)}) where date <= DATE '{end_date}'"""
+
+
+def long_table(names: list[str]) -> str:
+    """The indicator dataset of A5 over some outcomes: one schema, NULL where an outcome has no such column."""
+    nulls = {"threshold": "varchar", "n_total": "bigint", "rate": "double", "school_years": "integer", "max_events": "integer"}
+    own = {"duration_after": ["threshold", "n_total", "rate"], "during_stay": ["n_total", "rate"], "incidence": ["school_years", "max_events"]}
+    parts = []
+    for name in names:
+        ctes, final = indicator_parts(name)
+        ctes["ind"] = final
+        lacking = [c for c in nulls if c not in own[C.OUTCOMES[name].key_function]]
+        parts.append(with_ctes(ctes, f"select *, {', '.join(f'cast(null as {nulls[c]}) {c}' for c in lacking)}, {q(name)} outcome_name from ind"))
+    return " union all by name ".join(f"select * from ({p})" for p in parts)
