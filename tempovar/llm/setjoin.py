@@ -295,8 +295,15 @@ POSTING = "tok long, id long, root long, n long, pos int"
 SMALL = 64  # sets of a shingle up to which their short sketches will do
 
 
-def postings(known: DataFrame, roots: DataFrame) -> DataFrame:
-    """(``tok``, ``id``, ``root``, ``n``, ``pos``) of the first order's prefixes, where a shingle has sets of several classes; ``m``, how many."""
+def within(n: np.ndarray, pos: np.ndarray, i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
+    """Whether the sizes, and the places of the shared shingle, leave the pairs a chance."""
+    shared = np.minimum(pos[i], pos[j]) + np.minimum(n[i] - pos[i], n[j] - pos[j])
+    return (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])) & ((100 + percent) * shared >= percent * (n[i] + n[j]))
+
+
+def postings(known: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+    """(``tok``, ``id``, ``root``, ``n``, ``pos``) of the first order's prefixes, where a shingle has a set of another class within
+    the bounds (of large groups: a set of another class); ``m``, how many sets it has."""
     of = known.select("id", "n", "o1").join(roots.select(F.col("node").alias("id"), "root"), "id", "left").select("id", F.coalesce("root", "id").alias("root"), "n", "o1")
 
     def spread(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -312,11 +319,16 @@ def postings(known: DataFrame, roots: DataFrame) -> DataFrame:
 
     def several(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _groups(frames, 200_000):
-            tok, root = t["tok"].to_numpy(), t["root"].to_numpy()
+            tok, root, n, pos = (t[c].to_numpy() for c in ("tok", "root", "n", "pos"))
             cut = np.flatnonzero(np.concatenate([[True], tok[1:] != tok[:-1]]))
             mixed = np.minimum.reduceat(root, cut) < np.maximum.reduceat(root, cut)
             m = np.diff([*cut, len(tok)])
-            keep = np.flatnonzero(np.repeat(mixed, m))
+            keep, small = np.repeat(mixed & (m > SMALL), m), np.repeat(mixed & (m <= SMALL), m)
+            for d in range(1, int(m[m <= SMALL].max(initial=0))):
+                i = np.flatnonzero((tok[d:] == tok[:-d]) & small[d:] & (root[d:] != root[:-d]))
+                i = i[within(n, pos, i, i + d, percent)]
+                keep[i] = keep[i + d] = True
+            keep = np.flatnonzero(keep)
             yield from t.append_column("m", pa.array(np.repeat(m, m))).take(pa.array(keep)).combine_chunks().to_batches()
 
     return of.mapInArrow(spread, POSTING).repartition("tok").sortWithinPartitions("tok").mapInArrow(several, f"{POSTING}, m long")
@@ -358,8 +370,7 @@ def candidates(found: DataFrame, known: DataFrame, tried: DataFrame | None, perc
                 waits[i[~apart & (root[i] != root[j])]] = True
                 i, j = i[apart], j[apart]
                 size = n[i] + n[j]
-                shared = np.minimum(pos[i], pos[j]) + np.minimum(n[i] - pos[i], n[j] - pos[j])
-                ok = (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])) & ((100 + percent) * shared >= percent * size)
+                ok = within(n, pos, i, j, percent)
                 ok[ok] = np.bitwise_count(fold[i[ok]] ^ fold[j[ok]]).sum(axis=1) <= most_apart(size[ok], percent)
                 i, j, size = i[ok], j[ok], size[ok]
                 ok = [near_sketches(sketch[a], sketch[b], m) and not (failed and (x, y) in failed)
@@ -410,7 +421,7 @@ def classes(docs: DataFrame, shingle: int = 3, percent: int = 90, most: int = 20
     searched, tried = known, None
     for forest in (True, False):
         roots = components(reduce(DataFrame.unionAll, links), "setjoin")
-        found = stored(postings(searched, roots), "setjoin-postings")
+        found = stored(postings(searched, roots, percent), "setjoin-postings")
         pairs = stored(candidates(found, searched, tried, percent, most, forest), "setjoin-candidates")
         good = linked(pairs.select("x", "y").distinct(), "setjoin-search")
         links.append(good)
