@@ -66,23 +66,27 @@ def test_a_reloaded_bucketed_study_joins_without_an_exchange(spark, tmp_path):
     from tempovar.plans import grid as G
 
     done = StoredPipeline(*warehouse(spark, SF, persist=False), root=str(tmp_path / "study"), buckets=4)
-    plain = StoredPipeline(*warehouse(spark, SF, persist=False), root=str(tmp_path / "plain"))
+
+    def unbucketed(df, path):
+        return spark.read.schema(df.schema).parquet(f"{done.root}/{path}")
+
     for name, fn in (("prescription_note", event_during_stay), ("flu_condition", condition_incidence)):
+        o = OUTCOMES[name]
+        est = filter_estimates(done.estimates(o.estimates), o.care_site_level, **G.outcome_filters(o))
+        grid = G.outcome_grid(done.thresholds(name), o, est, done.study)
+        events, cohort = done.events(name), done.analysis_cohort.cohort_all
         results = []
-        for pl in (done, plain):
-            o = OUTCOMES[name]
-            est = filter_estimates(pl.estimates(o.estimates), o.care_site_level, **G.outcome_filters(o))
-            grid = G.outcome_grid(pl.thresholds(name), o, est, pl.study)
-            stability = visit_cells(visit_extremes(pl.events(name), est, o.care_site_level), grid)
-            results.append(fn(pl.events(name), pl.analysis_cohort.cohort_all, stability=stability))
+        for ev, co in ((events, cohort), (unbucketed(events, f"cohort/{name}"), unbucketed(cohort, "analysis/cohort_all"))):
+            stability = visit_cells(visit_extremes(ev, est, o.care_site_level), grid)
+            results.append(fn(ev, co, stability=stability))
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", 200_000)  # as at scale: events are not broadcast, estimates of sites are
         try:
             plans = [df._jdf.queryExecution().executedPlan().toString() for df in results]
         finally:
             spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-        below = subtree(plans[0], "Join [visit_cohort_id")
-        assert not any("Exchange hashpartitioning(visit" in x for x in below), plans[0]
-        assert any("Bucketed: true" in x for x in below)
+        below = [subtree(p, "Join [visit_cohort_id") for p in plans]
+        assert not any("Exchange hashpartitioning(visit" in x for x in below[0]), plans[0]
+        assert any("Bucketed: true" in x for x in below[0]) and any("Exchange hashpartitioning(visit" in x for x in below[1])
         assert rows(results[0]) == rows(results[1])
 
 
