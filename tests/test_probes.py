@@ -1,10 +1,17 @@
-"""A warehouse that is built only as far as it is read."""
+"""Probes as series (one row per index, its months in one array), and a warehouse that is built only as far as it is read."""
 
 import os
 from datetime import datetime
 
+from pyspark.sql import functions as F
+
+from tempovar import config as C
+from tempovar.operators import probes as P
+from tempovar.operators.cohort import prepare
+from tempovar.operators.models import fit_rectangle, fit_step, predict
 from tempovar.plans.study import StoredPipeline
 from tempovar.sources.surrogate import warehouse
+from tempovar.sources.tables import Tables
 
 SF = "/root/testdata/sf0.001"
 
@@ -39,3 +46,33 @@ def test_lines_without_an_order_keep_their_reference_only(spark, tmp_path):
     ln = S.lines(line, orders)
     assert sorted(r.note_id for r in S.note_ref(ln).collect()) == [1200, 1201, 9200]
     assert sorted(r.visit_detail_id for r in S.visit_detail(ln).collect()) == [1200, 1201]
+
+
+def test_a_series_is_fitted_and_predicted_as_its_rows(spark):
+    p = prepare(*warehouse(spark, SF, persist=False))
+    for probe, fit in ((P.visit_probe(p), fit_step), (P.note_per_visit_probe(p), fit_step), (P.visit_probe(p, levels=[C.LEVEL_UNIT]), fit_rectangle)):
+        probe = spark.createDataFrame(probe.collect(), probe.schema)
+        fitted, by_rows = fit(probe), fit(P.monthly(probe))
+        assert "Exchange" not in plan(fitted)
+        assert rows(fitted) == rows(by_rows)
+        assert rows(predict(probe, fitted)) == rows(predict(P.monthly(probe), fitted))
+
+
+def test_sites_of_visits_and_details(spark):
+    """A visit counts once at a site that is its own and its detail's; a detail does not count at a hospital."""
+    H, D, U = C.CARE_SITE_LEVELS
+    t = datetime(1995, 1, 5)
+    care_site = spark.createDataFrame([(1, H, "h1", None), (2, H, "h2", None), (3, D, "d", "MEDECINE"), (4, U, "u", "REA MED")],
+                                      "care_site_id long, care_site_type_source_value string, care_site_short_name string, place_of_service_source_value string")
+    visits = spark.createDataFrame([(10, "V10", 1, 1, t, t, "x", "MCO", "ORBIS", "Actif"), (11, "V11", 1, 3, t, t, "x", "MCO", "ORBIS", "Actif")],
+                                   "visit_occurrence_id long, visit_occurrence_source_value string, person_id long, care_site_id long, visit_start_datetime timestamp_ntz, "
+                                   "visit_end_datetime timestamp_ntz, visit_source_value string, stay_source_value string, cdm_source string, row_status_source_value string")
+    details = spark.createDataFrame([(1, t, 10, "RUM", 2, "Actif"), (2, t, 10, "RUM", 3, "Actif"), (3, t, 10, "RUM", 3, "Actif"), (4, t, 11, "RUM", 3, "Actif"),
+                                     (5, t, 11, "UH", 4, "Actif"), (6, t, 11, "UH", 4, "Inactif"), (7, t, 11, "UH", 99, "Actif")],
+                                    "visit_detail_id long, visit_detail_start_datetime timestamp_ntz, visit_occurrence_id long, visit_detail_type_source_value string, "
+                                    "care_site_id long, row_status_source_value string")
+    p = prepare(Tables({"care_site": care_site, "visit_occurrence": visits, "visit_detail": details}), Tables({}), Tables({}))
+    got = {(r.care_site_id, r.specialties_set): r.n for r in P.monthly(P.visit_probe(p)).groupBy("care_site_id", "specialties_set").agg(F.sum("n_visit").alias("n")).collect()}
+    assert got == {(1, "All"): 1, (3, "All"): 2, (4, "All"): 1, (4, "ICU"): 1}
+    units = P.monthly(P.visit_probe(p, levels=[U])).where("n_visit > 0").select("care_site_id", "c", "date").distinct().collect()
+    assert [(r.care_site_id, r.c, str(r.date)) for r in units] == [(4, 1.0, "1995-01-01")]
