@@ -6,6 +6,7 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from tempovar import config as C
+from tempovar.config import DEFAULT_STUDY
 from tempovar.operators import probes as P
 from tempovar.operators.cohort import prepare
 from tempovar.operators.models import fit_rectangle, fit_step, predict
@@ -76,3 +77,26 @@ def test_sites_of_visits_and_details(spark):
     assert got == {(1, "All"): 1, (3, "All"): 2, (4, "All"): 1, (4, "ICU"): 1}
     units = P.monthly(P.visit_probe(p, levels=[U])).where("n_visit > 0").select("care_site_id", "c", "date").distinct().collect()
     assert [(r.care_site_id, r.c, str(r.date)) for r in units] == [(4, 1.0, "1995-01-01")]
+
+
+def test_a_month_is_looked_up_once_a_map(spark):
+    seen = spark.sql("select 1000L care_site_id, map(date'1996-02-01', struct(2L as a, 3L as b, 4L as c)) _own")
+    p = prepare(Tables({"care_site": spark.sql("select 1000L care_site_id, 'Hospital' care_site_type_source_value, 'x' care_site_short_name, 'y' place_of_service_source_value")}),
+                Tables({}), Tables({}))
+    site = P.series(seen, p, ["a", "b", "c"], DEFAULT_STUDY)
+    assert site._jdf.queryExecution().analyzed().toString().count("element_at(") == 1
+    assert [(str(x.date), x.a, x.b, x.c) for x in site.first()._months if x.a or x.b or x.c] == [("1996-02-01", 2, 3, 4)]
+
+
+def test_sites_of_a_visit_are_dealt_over_all_partitions_and_counted_once(spark):
+    p = prepare(*warehouse(spark, SF, persist=False))
+    details = p.valid_details.unionByName(p.valid_details.limit(50))
+    p.valid_details = details
+    visits = p.visit_occurrence.select("visit_occurrence_id", "care_site_id", "stay_type")
+    n = spark.conf.get("spark.sql.shuffle.partitions")
+    for df, key in ((P.site_rows(p, visits, C.CARE_SITE_LEVELS), "visit_occurrence_id"), (p.note_care_site, "note_id")):
+        got = plan(df)
+        assert "REPARTITION_BY_NUM" in got and any(f"hashpartitioning({key}" in line and f", {n})" in line for line in got.split("\n") if "REPARTITION_BY_NUM" in line)
+        assert df.count() == df.distinct().count()
+    want = details.join(visits, "visit_occurrence_id").where("detail_care_site_id <> care_site_id").select("visit_occurrence_id", "detail_care_site_id").distinct()
+    assert P.site_rows(p, visits, C.CARE_SITE_LEVELS).where("_detail").count() == want.count()
