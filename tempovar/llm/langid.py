@@ -37,6 +37,8 @@ from .tokens import batches
 
 HASHES = 4
 MAX_LANGUAGES = 63 * 16
+#: Characters of texts that a worker takes apart at once: some 60 bytes each while it does.
+CHARS = 1 << 19
 
 
 @lru_cache(maxsize=1)
@@ -72,7 +74,7 @@ def gram_counts(docs: DataFrame) -> DataFrame:
             langs, texts = np.array(f.column(0).to_pylist(), dtype=object), np.array(f.column(1).to_pylist(), dtype=object)
             for lang in dict.fromkeys(langs.tolist()):
                 total: dict[int, int] = {}
-                for part in batches(texts[langs == lang].tolist()):
+                for part in batches(texts[langs == lang].tolist(), CHARS):
                     for g, n in zip(*(v.tolist() for v in np.unique(grams(part)[0], return_counts=True)), strict=True):
                         total[g] = total.get(g, 0) + n
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(total), pa.string()), pa.array(list(total), pa.int64()),
@@ -96,7 +98,10 @@ class Filters:
         with np.errstate(over="ignore"):
             return [(h + np.uint64(k) * step) % np.uint64(slots) for k in range(HASHES)]
 
-    def predict(self, texts: list[str]) -> list[tuple[str, float]]:
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        return [g for part in batches(texts, CHARS) for g in self._predict(part)]
+
+    def _predict(self, texts: list[str]) -> list[tuple[str, float]]:
         gram, of = grams(texts)
         n = np.bincount(of, minlength=len(texts))
         at = self.positions(gram, self.table.shape[1])
@@ -155,7 +160,7 @@ def identify(docs: DataFrame, filters: Filters) -> DataFrame:
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for f in frames:
-            got = [g for part in batches(f.column(1).to_pylist()) for g in held.value.predict(part)]
+            got = held.value.predict(f.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([f.column(0), f.column(2), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())],
                                              names=["doc_id", "d", "lang_pred", "score"])
 

@@ -104,3 +104,18 @@ def test_odd_and_empty(spark):
     assert kept.columns == documents(spark).columns and {r.doc_id for r in kept.collect()}.isdisjoint({1, 2, 3, 10, 20, 21})
     unlabelled = documents(spark, rows).withColumn("lang", __import__("pyspark").sql.functions.lit(None).cast("string"))
     assert {r.lang_pred for r in G.predictions(unlabelled).collect()} == {"und"}
+
+
+def test_texts_are_taken_apart_a_few_at_a_time():
+    import tracemalloc
+
+    import numpy as np
+    filters = G.Filters(["en"], np.ones((1, 1 << 10), dtype=np.uint64))
+    texts = [f"the cat number {i} sat on the mat " * 3000 for i in range(60)] + [None]  # 6 million characters
+    G.letters()
+    tracemalloc.start()
+    got = filters.predict(texts)
+    peak = tracemalloc.get_traced_memory()[1] / 1e6
+    tracemalloc.stop()
+    assert got == [g for t in texts for g in filters.predict([t])] and got[-1] == ("und", 0.0)
+    assert peak < 100, peak
