@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 from .common import gapless_rank, stored
 from .tokens import batches, encoder
 
+#: Characters of texts that a worker tokenizes at once.
+CHARS = 1 << 20
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
@@ -35,7 +37,7 @@ def pieces(docs: DataFrame, tokenizer: str, window: int = 1024, end_id: int = 0)
         code, end, step = encoder(tokenizer), np.array([end_id], dtype="<u4").tobytes(), 4 * window
         for frame in frames:
             ids, texts, at = frame.column(0).to_pylist(), frame.column(1), 0
-            for run in batches(texts.to_pylist()):
+            for run in batches(texts.to_pylist(), CHARS):
                 out: list[tuple] = []
                 for doc_id, body in zip(ids[at:at + len(run)], code.ids(run), strict=True):
                     body += end

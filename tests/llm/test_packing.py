@@ -101,3 +101,28 @@ def test_ids_around_line_feeds_and_white_space():
         some = ["".join(rng.choice(parts, rng.integers(0, 10))) for _ in range(8)]
         for text, ids in zip(some, code.ids(some), strict=True):
             assert ids == code.whole(text), repr(text)
+
+
+def test_texts_are_tokenized_a_few_at_a_time(spark, monkeypatch):
+    import pyarrow as pa
+
+    from tempovar.llm import packing as P
+    sizes = []
+
+    class Docs:
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, cut, _):
+            return cut
+
+    class Code:
+        def ids(self, run):
+            sizes.append(sum(map(len, run)))
+            return [b"\1\0\0\0" * (len(t) // 100) for t in run]
+
+    monkeypatch.setattr(P, "encoder", lambda path: Code())
+    frame = pa.RecordBatch.from_arrays([pa.array(range(40), pa.int64()), pa.array(["x" * 100_000] * 39 + [None])], names=["doc_id", "text"])
+    got = [r for b in P.pieces(Docs(), "")(iter([frame])) for r in b.to_pylist()]
+    assert sum(sizes) == 3_900_000 and max(sizes) < P.CHARS + 100_000
+    assert [(r["doc_id"], r["length"]) for r in got] == [(i, 1001) for i in range(39)] + [(39, 1)]
