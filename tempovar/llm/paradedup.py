@@ -13,20 +13,31 @@ one is connected to, never pairs. A bucket of more than ``most`` is dealt into c
 hash and each pair of chunks is a task. Components over these links are the clusters; all
 but the first paragraph in (doc_id, line) order of each is marked for removal.
 
+A passage inside longer lines, or across line breaks that differ, is no line. ``passages``
+finds it: of every ``found`` words in a row, the run of ``least`` words with the least hash
+(a MinHash of one row and band over the runs) is a paragraph too. So two documents that share
+``found`` words in a row share such a run; equal runs (128 bits of hash) are clusters, and
+runs that follow one another in both a document and the cluster's first one are one passage.
+A passage of fewer than ``least`` words is never reported. ``repeats`` gives lines and
+passages; a passage of which every line is reported already is left out.
+
 Defined cases: null texts and short lines have no paragraphs; rows equal in doc_id and text
 are one document (a cluster of them alone removes nothing); one doc_id with two texts is
 two documents, ordered by text hash; a null doc_id comes first; an empty table gives no
-rows; extra columns are not carried.
+rows; extra columns are not carried. A passage counts once in a document, at its first place
+there, and is one row even where the document's row is repeated; one that stands in a single
+document is none.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stored
@@ -98,6 +109,69 @@ def signed(docs: DataFrame, min_words: int, shingle: int, bands: int, rows: int)
     return docs.mapInArrow(run, PARAGRAPH)
 
 
+RUN = "doc_id long, d long, start long, line int, last int, first_worded int, last_worded int, p1 long, p2 long"
+
+
+def _sliding(h: np.ndarray, width: int, best: np.ufunc) -> np.ndarray:
+    """``best`` (minimum or maximum) of each run of ``width`` values, by doubling."""
+    out, have = h, 1
+    while have < width:
+        step = min(have, width - have)
+        out, have = best(out[:-step], out[step:]), have + step
+    return out
+
+
+def chosen_runs(words: np.ndarray, text: np.ndarray, found: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts of the runs of ``least`` words that have the least hash of some ``found`` words of their text, and their hashes."""
+    width = found - least + 1
+    if len(words) < found:
+        return np.empty(0, np.int64), np.empty(0, np.uint64)
+    h = window_hashes(words, least)
+    inside = text[:len(words) - found + 1] == text[found - 1:]
+    low = np.where(inside, _sliding(h, width, np.minimum), np.uint64(0))
+    edge = np.zeros(width - 1, np.uint64)
+    at = np.flatnonzero((h == _sliding(np.concatenate([edge, low, edge]), width, np.maximum)) & (h > 0))
+    # of equal runs of a text, the first
+    at = at[np.lexsort((at, h[at], text[at]))]
+    new = np.ones(len(at), dtype=bool)
+    new[1:] = (h[at[1:]] != h[at[:-1]]) | (text[at[1:]] != text[at[:-1]])
+    at = np.sort(at[new])
+    return at, h[at]
+
+
+def run_rows(docs: DataFrame, found: int, least: int) -> DataFrame:
+    """The chosen runs of every text: first word, lines, and the places of these among the lines that have words."""
+
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for f in frames:
+            for a, b, buf, offs in slices(f.column("text")):
+                low = LOWER[buf]
+                lines = np.union1d(offs, np.flatnonzero(low == 10) + 1) if len(buf) else offs
+                s, e, first = bounds(low, lines, IS_WORD)
+                if len(s) < found:
+                    continue
+                words = word_hashes(low, s, e)
+                of = np.searchsorted(offs, lines[:-1], "right") - 1
+                line = np.arange(len(of)) - np.searchsorted(lines, offs)[of]
+                worded = np.cumsum(np.diff(first) > 0)
+                seg = np.repeat(np.arange(len(of)), np.diff(first))
+                at, p1 = chosen_runs(words, of[seg], found, least)
+                if not len(at):
+                    continue
+                p2 = np.zeros(len(at), dtype=np.uint64)
+                with np.errstate(over="ignore"):
+                    for k in range(least):
+                        p2 = mix_light(p2 * np.uint64(0x9FB21C651E98DF25) + words[at + k] + np.uint64(k))
+                t, here, there = of[seg[at]], seg[at], seg[at + least - 1]
+                yield pa.RecordBatch.from_arrays([
+                    f.column("doc_id").slice(a, b - a).take(pa.array(t)), f.column("d").slice(a, b - a).take(pa.array(t)),
+                    pa.array(at - first[np.searchsorted(lines, offs)[t]]), pa.array(line[here].astype(np.int32)), pa.array(line[there].astype(np.int32)),
+                    pa.array(worded[here].astype(np.int32)), pa.array(worded[there].astype(np.int32)), pa.array(p1.view(np.int64)), pa.array(p2.view(np.int64)),
+                ], names=["doc_id", "d", "start", "line", "last", "first_worded", "last_worded", "p1", "p2"])
+
+    return docs.mapInArrow(run, RUN)
+
+
 def mix_light(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
@@ -187,11 +261,14 @@ def links(members: DataFrame, sets: DataFrame, threshold: float, most: int) -> D
     return tasks.select("node", "p1", "grams").mapInArrow(run, "a long, b long")
 
 
-def clusters(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, min_words: int = 20, most: int = 4000) -> DataFrame:
-    """Every paragraph that has a copy or near copy: its cluster's first paragraph, and whether it goes."""
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("d"), F.col("text").cast("string").alias("text"))
+
+
+def _clusters(docs: DataFrame, threshold: float, shingle: int, min_words: int, most: int) -> DataFrame:
+    """The rows of ``clusters`` with ``d``, the hash of the text."""
     bands, rows = tune_bands(threshold)
     min_words = max(min_words, shingle)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("d"), F.col("text").cast("string").alias("text"))
     every = stored(signed(docs, min_words, shingle, bands, rows), "paragraphs")
     distinct = every.groupBy("p1", "p2").agg(F.min(F.struct("doc_id", "d", "line")).alias("at"), F.first("bands").alias("bands"))
     banded = distinct.select("p1", F.posexplode("bands").alias("band", "key")).select("p1", F.xxhash64("band", "key").alias("bucket"))
@@ -204,5 +281,51 @@ def clusters(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, min_word
     place = F.struct("doc_id", "d", "line")
     first = rooted.groupBy("root").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1")
     return rooted.join(first, "root").select(
-        "doc_id", F.col("line").alias("paragraph"), "n_words", F.col("first.doc_id").alias("first_doc_id"),
+        "d", "doc_id", F.col("line").alias("paragraph"), "n_words", F.col("first.doc_id").alias("first_doc_id"),
         F.col("first.line").alias("first_paragraph"), F.col("n").alias("cluster_size"), (~place.eqNullSafe(F.col("first"))).alias("removed"))
+
+
+def clusters(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, min_words: int = 20, most: int = 4000) -> DataFrame:
+    """Every paragraph that has a copy or near copy: its cluster's first paragraph, and whether it goes."""
+    return _clusters(_texts(docs), threshold, shingle, min_words, most).drop("d")
+
+
+def _passages(docs: DataFrame, found: int, least: int) -> DataFrame:
+    """The rows of ``passages`` with ``d`` and the lines that a passage lies in."""
+    runs = stored(run_rows(docs, found, least), "runs")
+    shared = (runs.groupBy("p1", "p2").agg(F.min(F.struct("doc_id", "d", "start")).alias("first"), F.max(F.struct("doc_id", "d")).alias("other"), F.count("*").alias("n"))
+              .where(~F.struct("first.doc_id", "first.d").eqNullSafe(F.col("other"))).drop("other"))
+    held = runs.join(shared, ["p1", "p2"]).withColumn("shift", F.col("start") - F.col("first.start"))
+    pair = ["doc_id", "d", F.col("first.doc_id"), F.col("first.d"), "shift"]
+    row = Window.partitionBy(*pair).orderBy("start")
+    apart = F.coalesce(F.col("start") - F.lag("start").over(row) > least, F.lit(True))
+    parted = held.withColumn("apart", apart.cast("int")).withColumn("k", F.sum("apart").over(row.rowsBetween(Window.unboundedPreceding, 0)))
+    return (parted.groupBy("doc_id", "d", F.col("first.doc_id").alias("first_doc_id"), F.col("first.d").alias("first_d"), "shift", "k")
+            .agg(F.min("start").alias("start"), (F.max("start") + least).alias("end"), F.max("n").alias("n"), F.min("line").alias("line"), F.max("last").alias("last"),
+                 (F.max("last_worded") - F.min("first_worded") + 1).alias("worded"))
+            .select("d", "doc_id", (-1 - F.col("start")).cast("int").alias("paragraph"), (F.col("end") - F.col("start")).alias("n_words"), "first_doc_id",
+                    (-1 - F.col("start") + F.col("shift")).cast("int").alias("first_paragraph"), F.col("n").alias("cluster_size"),
+                    (~F.struct("doc_id", "d").eqNullSafe(F.struct("first_doc_id", "first_d"))).alias("removed"), "line", "last", "worded"))
+
+
+def passages(docs: DataFrame, found: int = 50, least: int = 25) -> DataFrame:
+    """Every passage that another document has too, wherever its lines break: every one of ``found`` words, none of fewer than ``least``.
+
+    ``paragraph`` is -1 - the passage's first word in the text (from 0), ``first_paragraph`` likewise.
+    """
+    return _passages(_texts(docs), found, least).drop("d", "line", "last", "worded")
+
+
+def repeats(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, min_words: int = 5, most: int = 4000, found: int = 50, least: int = 25) -> DataFrame:
+    """The rows of ``clusters`` (lines) and, with a negative ``paragraph``, those passages that do not lie in such lines altogether."""
+    docs = _texts(docs)
+    lines = stored(_clusters(docs, threshold, shingle, min_words, most), "line-clusters")
+    runs = stored(_passages(docs, found, least), "passages")
+    told = lines.select(F.col("doc_id").alias("t_id"), F.col("d").alias("t_d"), F.col("paragraph").alias("t_line")).distinct()
+    key = ["doc_id", "d", "paragraph", "first_doc_id", "first_paragraph"]
+    covered = (runs.select(*key, "worded", F.explode(F.sequence("line", "last")).alias("at"))
+               .join(told, F.col("doc_id").eqNullSafe(F.col("t_id")) & (F.col("d") == F.col("t_d")) & (F.col("at") == F.col("t_line")))
+               .groupBy(*key, "worded").agg(F.count("*").alias("of")).where("of >= worded").select(*[F.col(c).alias(f"c_{c}") for c in key]))
+    same = [F.col(c).eqNullSafe(F.col(f"c_{c}")) for c in key]
+    kept = runs.drop("line", "last", "worded").join(covered, reduce(lambda a, b: a & b, same), "left_anti")
+    return lines.unionByName(kept).drop("d")

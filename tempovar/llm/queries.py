@@ -22,7 +22,7 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return paradedup.clusters(table(spark, sf_dir, "documents"), min_words=5)  # every line that has a shingle
+    return paradedup.repeats(table(spark, sf_dir, "documents"))  # every line that has a shingle, and passages inside lines
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -91,3 +91,54 @@ def test_whole_table_of_short_lines(spark):
     docs = texts(spark, "/root/testdata/sf0.01")
     df = spark.createDataFrame(docs, "doc_id long, text string")
     assert sorted(map(tuple, P.clusters(df, min_words=5).collect())) == sorted(brute(docs, 0.8, 5))
+
+
+def shared(docs, found):
+    """Of each document, the words that lie in ``found`` words in a row which another document has too."""
+    words = {i: (t or "").lower().split() for i, t in docs}
+    at = {}
+    for i, w in words.items():
+        for a in range(len(w) - found + 1):
+            at.setdefault(tuple(w[a:a + found]), set()).add(i)
+    return {i: {k for a in range(len(w) - found + 1) if len(at[tuple(w[a:a + found])]) > 1 for k in range(a, a + found)} for i, w in words.items()}
+
+
+def test_passages_inside_lines_and_across_them(spark):
+    """Every document that shares 50 words in a row has a passage, and each passage stands in its first document too."""
+    docs = texts(spark, "/root/testdata/sf0.01")
+    words = {i: (t or "").lower().split() for i, t in docs}
+    got = P.passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    for r in got:
+        a, b = -1 - r.paragraph, -1 - r.first_paragraph
+        assert r.n_words >= 25 and words[r.doc_id][a:a + r.n_words] == words[r.first_doc_id][b:b + r.n_words]
+        assert r.removed == (r.doc_id != r.first_doc_id) and r.cluster_size > 1
+    assert {i for i, w in shared(docs, 50).items() if w} <= {r.doc_id for r in got} <= {i for i, w in shared(docs, 25).items() if w}
+
+
+def test_query_finds_a_passage_inside_longer_lines(spark, tmp_path):
+    """60 words between others of the same line, and wrapped otherwise, were in no paragraph that had a copy."""
+    from tempovar.llm.queries import op3_substring_dedup
+    rng = random.Random(3)
+    passage = [f"p{i}" for i in range(60)]
+
+    def around(n):
+        return [f"o{rng.randrange(10 ** 9)}" for _ in range(n)]
+
+    alone = " ".join(around(200))
+    docs = [(1, " ".join([*around(90), *passage, *around(80)])), (2, " ".join(around(100) + passage[:31]) + "\n\n" + " ".join(passage[31:] + around(70))), (3, alone), (None, None)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = op3_substring_dedup(spark, str(tmp_path)).collect()
+    assert {(r.doc_id, r.first_doc_id, r.removed, r.cluster_size) for r in got} == {(1, 1, False, 2), (2, 1, True, 2)}
+    for r in got:
+        a = -1 - r.paragraph - {1: 90, 2: 100}[r.doc_id]
+        assert 0 <= a and a + r.n_words <= 60 and r.n_words >= 25 and -1 - r.first_paragraph == a + 90
+
+
+def test_passages_of_odd_and_empty_tables(spark):
+    assert P.passages(empty(spark)).collect() == [] and P.repeats(empty(spark)).collect() == []
+    said = " ".join(f"w{i}" for i in range(55))
+    again = "x\n" + "El " * 300
+    df = spark.createDataFrame([(5, said), (5, said), (None, "and " + said), (7, again), (7, again)], "doc_id long, text string")
+    assert sorted((r.doc_id or 0, r.paragraph, r.first_doc_id, r.removed) for r in P.passages(df).collect()) == sorted(
+        (r.doc_id or 0, r.paragraph, None, r.doc_id == 5) for r in P.passages(df).collect())
+    assert {r.doc_id for r in P.passages(df).collect()} == {5, None}
