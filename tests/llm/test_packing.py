@@ -1,3 +1,4 @@
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -5,7 +6,7 @@ import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
-from tempovar.llm import packing
+from tempovar.llm import packing, tokens
 from tempovar.llm.tokens import Encoder, batches
 
 from .fixtures import ODD, documents, empty, texts
@@ -126,3 +127,21 @@ def test_texts_are_tokenized_a_few_at_a_time(spark, monkeypatch):
     got = [r for b in P.pieces(Docs(), "")(iter([frame])) for r in b.to_pylist()]
     assert sum(sizes) == 3_900_000 and max(sizes) < P.CHARS + 100_000
     assert [(r["doc_id"], r["length"]) for r in got] == [(i, 1001) for i in range(39)] + [(39, 1)]
+
+
+def test_every_white_space_around_spaces_and_line_feeds():
+    """Texts that must not be cut are told apart in Arrow as ``re`` would tell them."""
+    code = Encoder(PATH)
+    white = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and re.match(r"\s", chr(c))]
+    texts = [t for w in [*white, "a", "​", "é"] for t in (f"one{w} two", f"one {w}two", f"one{w} ", f"{w}one{w}\ntwo", f" one\n{w}two{w}", f"one {w} two", w, w + w)]
+    assert code.ids(texts) == [code.whole(t) for t in texts]
+    unsafe = re.compile(r"\s (?:\s|\Z)|[^\S\n]\n").search
+    assert code._safe(texts) == [i for i, t in enumerate(texts) if not unsafe(t)]
+
+
+def test_new_words_are_looked_at_many_at_once(monkeypatch):
+    """White space was sought in each new word by itself: 2,000 searches for 2,000 words."""
+    code, real, looks = Encoder(PATH), tokens._SPACE, []
+    monkeypatch.setattr(tokens, "_SPACE", lambda text: looks.append(1) or real(text))
+    text = " ".join(f"word{i}" for i in range(2000)) + "\nodd\tone " + " ".join(f"x{i}," for i in range(20))
+    assert code.ids([text]) == [code.whole(text)] and len(looks) < 600
