@@ -100,3 +100,48 @@ def test_sites_of_a_visit_are_dealt_over_all_partitions_and_counted_once(spark):
         assert df.count() == df.distinct().count()
     want = details.join(visits, "visit_occurrence_id").where("detail_care_site_id <> care_site_id").select("visit_occurrence_id", "detail_care_site_id").distinct()
     assert P.site_rows(p, visits, C.CARE_SITE_LEVELS).where("_detail").count() == want.count()
+
+
+def test_codes_of_notes_meet_their_sites_without_a_shuffle(spark, tmp_path):
+    """The department codes are stored, so their size is known when the notes' codes are planned: these were dealt by code."""
+    plans = {}
+
+    def keep(name, build):
+        df = build()
+        plans[name] = plan(df)
+        df.write.parquet(str(tmp_path / name))
+        return spark.read.schema(df.schema).parquet(str(tmp_path / name))
+
+    tables = warehouse(spark, SF, persist=False)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "4k")
+    try:
+        got = prepare(*tables, keep=keep).note_care_site
+        assert "hashpartitioning(care_site_source_value" not in plans["note_care_site"] and "hashpartitioning(note_id" in plans["note_care_site"]
+        want = prepare(*tables).note_care_site
+        assert "hashpartitioning(care_site_source_value" in plan(want)
+        assert rows(got) == rows(want) and got.count() > 0
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
+def test_details_of_other_sites_go_before_they_are_dealt_by_visit(spark):
+    from tempovar.operators.cohort import cohort_visit, icu_visit
+    p = prepare(*warehouse(spark, SF, persist=False))
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        lines = plan(icu_visit(p, cohort_visit(p))).split("\n")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    joins = [i for i, x in enumerate(lines) if "SortMergeJoin [detail_care_site_id" in x and "REA" not in x]
+    by_visit = next(i for i, x in enumerate(lines) if "SortMergeJoin [visit_occurrence_id" in x)
+    assert joins and min(joins) > by_visit
+
+
+def test_stages_are_written_in_zstd(tmp_path, spark):
+    import pyarrow.parquet as pq
+    from tempovar.sources.sinks import write_table
+    path = write_table(spark.range(1000), str(tmp_path / "t"))
+    file = next(f for f in os.listdir(path) if f.endswith(".parquet"))
+    assert pq.ParquetFile(f"{path}/{file}").metadata.row_group(0).column(0).compression == "ZSTD"
