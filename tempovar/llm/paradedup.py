@@ -275,7 +275,7 @@ def _clusters(docs: DataFrame, threshold: float, shingle: int, min_words: int, m
     several = banded.groupBy("bucket").count().where(F.col("count") > 1).select("bucket")
     members = stored(banded.join(several, "bucket", "left_semi"), "buckets")
     wanted = distinct.join(members.select("p1").distinct(), "p1", "left_semi").select("at.doc_id", "at.d", "at.line", "p1")
-    sets = stored(shingle_sets(docs, wanted, min_words, shingle), "shingle-sets")
+    sets = shingle_sets(docs, wanted, min_words, shingle)  # read once, by the join of the links
     roots = components(links(members, sets, threshold, most), "paragraphs").select(F.col("node").alias("p1"), "root")
     rooted = every.drop("bands", "p2").join(roots, "p1", "left").withColumn("root", F.coalesce("root", "p1"))
     place = F.struct("doc_id", "d", "line")
