@@ -14,10 +14,10 @@ A run of words is a hash of the two runs that are one word shorter, so it is cou
 (context, suffix) and both are at hand. The log probability of a token is the sum over the
 runs that end at it of fixed values: its root, ``extra`` of each kept successor (what it is
 above its suffix's value and its context's ``rest``) and ``rest`` of each retained context.
-States and successors are stored tables, as large as the evidence makes them. Those of
-probability ``p_word`` or more (at most 1/p_word words, contexts and successors a level)
-are broadcast; the others are joined to the runs of each text, summed by text first, that
-pass a filter of at most ``FILTER_BITS`` bits. A filter passes more than it should, never
+States and successors are stored tables, as large as the evidence makes them. The most
+frequent (at most ``head`` words, contexts and successors a level; or, if ``p_word`` is given,
+those of that probability) are broadcast; the others are joined to the runs of each text,
+summed by text first, that pass a filter of at most ``FILTER_BITS`` bits. A filter passes more than it should, never
 less, and the joins drop what is not there, so both are exact at any size.
 
 Defined cases: null, empty and wordless texts are one end token; a null doc_id counts as
@@ -55,7 +55,8 @@ STATE = np.uint64(0x51A7E51A7E51A7E5)  # parts the key of a run as a context fro
 class Thresholds:
     """Least counts of contexts and successors; the probabilities ``p_next``, ``p_state`` and ``p_pair`` only if asked for."""
 
-    p_word: float = 2.5e-7  # of what is broadcast
+    p_word: float | None = None  # of what is broadcast; None: the ``head`` most frequent of each table
+    head: int = 1_000_000
     p_next: float = 0.0
     p_state: float = 0.0
     p_pair: float = 0.0
@@ -177,6 +178,7 @@ class Model:
     log_root: np.ndarray
     log_count: np.ndarray  # log10(c + 1)
     levels: list[Level]
+    head: Column  # of the counts: the words that are broadcast
     others: DataFrame | None = None  # (key, value) of the states and successors that are not broadcast
 
     def unknown(self) -> float:
@@ -244,15 +246,32 @@ def keyed(df: DataFrame) -> DataFrame:
     return df.select("ctx", "suf", "n").mapInArrow(run, "key long, ctx long, suf long, n long")
 
 
+def frequent(df: DataFrame, column: str, t: Thresholds, n: int) -> Column:
+    """Whether a row of ``df`` is broadcast, by its number of occurrences: at most ``t.head`` rows are, whatever the size.
+
+    Rows are counted by steps of a quarter of a power of two; whole steps are taken from the top.
+    """
+    if t.p_word is not None:
+        return F.col(column) >= t.p_word * n
+    step = F.floor(4 * F.log2(column))
+    least, held = None, 0
+    for s, rows in sorted(map(tuple, df.groupBy(step.alias("step")).count().collect()), reverse=True):
+        held += rows
+        if held > t.head:
+            break
+        least = s
+    return F.lit(False) if least is None else step >= least
+
+
 def train(texts: DataFrame, t: Thresholds) -> tuple[Model, DataFrame]:
     """The model, and the exact counts of all training words (``key``, ``n``)."""
     spark = texts.sparkSession
     counts = stored(counted(texts, lambda tok, of: tok), "word-counts")
     n, v, n1, n2 = counts.agg(F.sum("n"), F.count("*"), F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2)).first()
     n, discount = n or 0, min(0.9, max(0.1, n1 / (n1 + 2 * n2) if n1 else 0.5))
-    head = F.col("n") >= t.p_word * n
+    head = frequent(counts, "n", t, n)
     key, c = collected(counts.where(head).orderBy(F.desc("n"), "key"), "key", "n")
-    model = Model(n, v, discount, Index(key.view(np.uint64)), np.log10((c - discount) / max(n, 1)), np.log10(c + 1.0), [])
+    model = Model(n, v, discount, Index(key.view(np.uint64)), np.log10((c - discount) / max(n, 1)), np.log10(c + 1.0), [], head)
     evidence = max(t.least_state, t.p_state * n)
     known = counts.where(F.col("n") >= max(t.least_pair, t.p_next * n)).select(
         "key", "n", F.log10((F.col("n") - discount) / n).alias("t"), (F.col("key") == F.lit(int(END.view(np.int64)))).alias("end")) if n else None
@@ -291,13 +310,15 @@ def train(texts: DataFrame, t: Thresholds) -> tuple[Model, DataFrame]:
         own = F.log10(m / F.col("times"))
         known = stored(got.withColumn("salt", F.pmod("key", F.lit(SALTS)).cast("int")).join(salted, ["ctx", "salt"], "left").select(
             "key", "n", F.coalesce(own, "t").alias("t"), "end", (own - F.col("t") - F.col("rest")).alias("extra")), f"known-{length}")
-        key, rest = collected(states.where(F.col("times") >= t.p_word * n).orderBy("ctx"), "ctx", "rest")
-        pair, extra = collected(known.where(head & F.col("extra").isNotNull()).orderBy("key"), "key", "extra")
+        after = known.where(F.col("extra").isNotNull())
+        often, near = frequent(states, "times", t, n), frequent(after, "n", t, n)
+        key, rest = collected(states.where(often).orderBy("ctx"), "ctx", "rest")
+        pair, extra = collected(after.where(near).orderBy("key"), "key", "extra")
         model.levels.append(Level(Index(key.view(np.uint64)), rest, Index(pair.view(np.uint64)), extra))
-        others += [states.where(F.col("times") < t.p_word * n).select(F.col("ctx").bitwiseXOR(F.lit(int(STATE.view(np.int64)))).alias("key"), F.col("rest").alias("value")),
-                   known.where(~head & F.col("extra").isNotNull()).select("key", F.col("extra").alias("value"))]
-    if others:
-        model.others = reduce(DataFrame.unionByName, others)
+        others += [states.where(~often).select(F.col("ctx").bitwiseXOR(F.lit(int(STATE.view(np.int64)))).alias("key"), F.col("rest").alias("value")),
+                   after.where(~near).select("key", F.col("extra").alias("value"))]
+    if others and not (rest_of := reduce(DataFrame.unionByName, others)).isEmpty():
+        model.others = rest_of
     return model, counts
 
 
@@ -356,7 +377,7 @@ def score(docs: DataFrame, t: Thresholds | None = None) -> DataFrame:
     rare = per_doc.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("key"), F.col("x.times").alias("times"))
     c = F.coalesce("n", F.lit(0))
     root = F.when(c > 0, F.log10((c - model.discount) / max(model.n, 1))).otherwise(F.lit(model.unknown()))
-    sums = (rare.join(counts.where(F.col("n") < t.p_word * model.n), "key", "left").groupBy("row")
+    sums = (rare.join(counts.where(~model.head), "key", "left").groupBy("row")
             .agg(F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("r_known"),
                  F.sum(F.col("times") * F.log10(c + 1.0)).alias("r_base"), F.sum(F.col("times") * root).alias("r_score")))
     scale = float(np.log10(model.n + model.v + 1))

@@ -110,3 +110,20 @@ def test_every_context_with_evidence_counts(spark):
         got = sorted((r.doc_id, r.score) for r in lm.score(df, lm.Thresholds(p_word=p_word)).collect())
         assert len(got) == len(want)
         assert all(a == b and abs(x - y) < 1e-6 * max(1, abs(y)) for (a, x), (b, y, _) in zip(got, sorted(want, key=lambda r: r[:2]), strict=True))
+
+
+def test_the_head_is_bounded_by_its_rows(spark):
+    """What is broadcast was cut by probability: of many tables far less than fits, and the rest went through joins that grew with the square of the input."""
+    docs = texts(spark, "/root/testdata/sf0.01")
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    rows = df.where(~lm.held_out(df.doc_id)).select("text")
+    whole, _ = lm.train(rows, lm.Thresholds())
+    assert len(whole.words.keys) == whole.v and whole.others is None
+    want = sorted((i, p) for i, p, _ in tree(docs, lm.Thresholds()))
+    for head in (2000, 0):
+        t = lm.Thresholds(head=head)
+        model, _ = lm.train(rows, t)
+        sizes = [len(model.words.keys), *[len(x.keys) for level in model.levels for x in (level.states, level.pairs)]]
+        assert max(sizes) <= head and model.others.count() > 0 and (not head or min(sizes) > 100)
+        got = sorted((r.doc_id, r.score) for r in lm.score(df, t).collect())
+        assert all(a == b and abs(x - y) < 1e-6 * max(1, abs(y)) for (a, x), (b, y) in zip(got, want, strict=True))
