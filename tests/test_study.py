@@ -103,3 +103,14 @@ def test_loaders(spark, tmp_path):
     frame.write.mode("overwrite").option("path", str(tmp_path / "table")).saveAsTable("omop_test.care_site")
     assert load_catalog(spark, "omop_test", ["care_site"]).care_site.count() == 1
     spark.sql("drop table omop_test.care_site")
+
+
+def test_a_query_stores_only_the_parts_of_the_cohort_it_reads(spark, tmp_path):
+    """Stays and their diagnosis groups were written for every count summary and indicator."""
+    core, reference, claims = warehouse(spark, SF)
+    done = StoredPipeline(core, reference, claims, root=str(tmp_path / "study"))
+    assert rows(done.count_summary("bronchiolitis_condition")) == rows(Pipeline(core, reference, claims).count_summary("bronchiolitis_condition"))
+    assert "analysis/hospital_count" in done.held and not {"cohort/cohort_visit", "analysis/cohort_all", "analysis/cohort_mcd"} & set(done.held)
+    done.indicator("hospit_visit")
+    assert "analysis/cohort_all" in done.held and "analysis/cohort_mcd" not in done.held
+    assert done.analysis_cohort.cohort_mcd.count() >= 0 and "analysis/cohort_mcd" in done.held
